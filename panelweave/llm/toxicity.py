@@ -20,20 +20,21 @@ LONGEST = 256
 
 @dataclass
 class CrfModel:
-    """Two labels. Each token's score for toxic against other is the sum of its own, its left and its right neighbour's weights."""
+    """Two labels. Each token's score for toxic against other is a common offset and its own, its left and its right neighbour's weights."""
 
     vocabulary: dict[str, int]  # from 1; 0 is any other token, and a chain's edge
     own: np.ndarray
     left: np.ndarray
     right: np.ndarray
     trans: np.ndarray  # [from, to]
+    offset: np.ndarray  # of one element
     calibration: tuple[float, float] = (1.0, 0.0)
 
     def emissions(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         before, after = np.r_[0, ids[:-1]], np.r_[ids[1:], 0]
         before[starts] = 0
         after[np.r_[starts[1:] - 1, len(ids) - 1]] = 0
-        return self.own[ids] + self.left[before] + self.right[after]
+        return self.offset + self.own[ids] + self.left[before] + self.right[after]
 
 
 def _step(x: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -94,7 +95,7 @@ def tokenise(texts: list[str], vocabulary: dict[str, int]) -> tuple[np.ndarray,
     return flat, starts, np.diff(np.r_[starts, len(flat)]), whose
 
 
-def fit_crf(chains: list[tuple[list[str], list[int]]], *, steps: int = 80, rate: float = 0.15, decay: float = 2e-4, vocabulary_size: int = 20_000) -> CrfModel:
+def fit_crf(chains: list[tuple[list[str], list[int]]], *, steps: int = 120, rate: float = 0.4, decay: float = 3e-5, vocabulary_size: int = 20_000) -> CrfModel:
     """Maximum likelihood with weight decay by Adam, over a bounded list of (tokens, labels)."""
     counts = pd.Series([w for ws, _ in chains for w in ws], dtype=object).value_counts()
     vocabulary = {w: i for i, w in enumerate(sorted(counts[counts >= 2].index[:vocabulary_size]), 1)}
@@ -103,8 +104,7 @@ def fit_crf(chains: list[tuple[list[str], list[int]]], *, steps: int = 80, rate:
     y = np.array([v for _, ys in chains for v in ys], float)
     sizes = np.array([len(ws) for ws, _ in chains], np.int64)
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    model = CrfModel(vocabulary, np.zeros(size), np.zeros(size), np.zeros(size), np.zeros((2, 2)))
-    model.own[:] = -2.0
+    model = CrfModel(vocabulary, np.zeros(size), np.zeros(size), np.zeros(size), np.zeros((2, 2)), np.full(1, -6.0))
     before, after = np.r_[0, ids[:-1]], np.r_[ids[1:], 0]
     before[starts] = 0
     after[starts + sizes - 1] = 0
@@ -113,10 +113,10 @@ def fit_crf(chains: list[tuple[list[str], list[int]]], *, steps: int = 80, rate:
     now = np.flatnonzero(inner)
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[now - 1].astype(int), y[now].astype(int)), 1)
-    parts = (model.own, model.left, model.right, model.trans)
+    parts = (model.own, model.left, model.right, model.trans, model.offset)
     state = [(np.zeros_like(w), np.zeros_like(w)) for w in parts]
     for t in range(1, steps + 1):
-        e = model.own[ids] + model.left[before] + model.right[after]
+        e = model.offset + model.own[ids] + model.left[before] + model.right[after]
         f, b = messages(e, starts, sizes, model.trans)
         p = 1 / (1 + np.exp(-np.clip(f + b, -40, 40)))
         # joint marginals of neighbours, from what reaches them on either side and the transition between them
@@ -125,27 +125,30 @@ def fit_crf(chains: list[tuple[list[str], list[int]]], *, steps: int = 80, rate:
         joint = np.exp(joint - joint.max(0))
         joint = (joint / joint.sum(0)).sum(1).reshape(2, 2)
         residual = (p - y) / len(chains)
-        grads = [np.bincount(i, residual, minlength=size) for i in (ids, before, after)] + [(joint - seen) / len(chains)]
+        grads = [np.bincount(i, residual, minlength=size) for i in (ids, before, after)] + [(joint - seen) / len(chains), residual.sum(keepdims=True)]
         for w, g, (m, v) in zip(parts, grads, state, strict=True):
-            g = g + decay * (w + 2.0 if w is model.own else w)
+            g = g + decay * w * (w is not model.offset)
             m[:], v[:] = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
     return model
 
 
-def label_tokens(texts: DataFrame, labels: DataFrame, *, least: int = 5, z_bar: float = 4.0, most: int = 2_000) -> list[str]:
-    """Words that mark toxic texts: seen in at least `least` of them, much more often than in the others (two-proportion z over z_bar, share ten times as high).
+def label_tokens(texts: DataFrame, labels: DataFrame, *, least: int = 6, z_bar: float = 4.0, most: int = 2_000) -> list[str]:
+    """Words that mark toxic texts: found after at least `least` different words in them, and much less in the others (two-proportion z over z_bar, share ten times as high).
 
-    Text labels become token labels by these words; at most `most` of them come back, those with the highest z.
+    Text labels become token labels by these words. A word counts once for each word before it, so the words of a toxic text
+    that was copied often don't count as often. At most `most` come back, those with the highest z.
     """
-    words = texts.join(labels, "doc_id").select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("word")).filter("word <> ''")
+    words = F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")
+    pairs = F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words)), F.slice(words, 2, F.size(words)), lambda a, b: F.struct(a.alias("before"), b.alias("word"))))
+    seen = texts.join(labels, "doc_id").select("toxic", F.explode(pairs).alias("p")).select("toxic", "p.*").filter("word <> ''").distinct()
     size = labels.join(texts.select("doc_id"), "doc_id", "left_semi").agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") != 1).alias("n0"))
     n1, n0 = size.first()
     if not n1 or not n0:
         return []
-    df = words.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("k1"), F.count_if(F.col("toxic") != 1).alias("k0"))
+    df = seen.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("k1"), F.count_if(F.col("toxic") != 1).alias("k0"))
     p1, p0, p = F.col("k1") / n1, F.col("k0") / n0, (F.col("k1") + F.col("k0")) / (n1 + n0)
-    z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
+    z = (p1 - p0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n1 + 1 / n0))
     found = df.filter((F.col("k1") >= least) & (p1 >= 10 * p0)).withColumn("z", z).filter(F.col("z") >= z_bar)
     return [r[0] for r in found.orderBy(F.desc("z"), "word").limit(most).select("word").collect()]
 
@@ -169,16 +172,21 @@ def _chains(texts: list[str], words: set[str], limit: int) -> list[tuple[list[st
     return marked + plain[::step][: limit - len(marked)]
 
 
-def _doc_logit(model: CrfModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's log-odds that some token is toxic (from -log of the product of 1-p), then all tokens' ids, log-odds and texts."""
+def _doc_logit(model: CrfModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's evidence, then all tokens' marginal log-odds and texts.
+
+    Evidence is half the logarithm of the sum of the tokens' squared odds: many tokens that are hardly suspect weigh little, so
+    a text isn't suspect for its length.
+    """
     ids, starts, sizes, whose = tokenise(texts, model.vocabulary)
-    logit = forward_backward(model.emissions(ids, starts), starts, sizes, model.trans) if len(ids) else np.zeros(0)
-    none = np.bincount(whose, np.logaddexp(0, logit), minlength=len(texts)) if len(ids) else np.zeros(len(texts))
-    none = np.clip(none, 1e-9, 50)
-    return np.log(-np.expm1(-none)) + none, ids, logit, whose
+    if not len(ids):
+        return np.full(len(texts), -12.0), np.zeros(0), whose
+    logit = forward_backward(model.emissions(ids, starts), starts, sizes, model.trans)
+    total = np.bincount(whose, np.exp(2 * np.clip(logit, -30, 30)), minlength=len(texts))
+    return np.clip(np.log(total + 1e-12) / 2, -12, 12), logit, whose
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 5_000, chains: int = 5_000, **fit) -> CrfModel | None:
+def train_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 3_000, chains: int = 5_000, **fit) -> CrfModel | None:
     """Train on at most per_class toxic and per_class other texts of labels (doc_id, toxic), and at most `chains` chains of theirs.
 
     None if no word tells the classes apart (or a class is missing).
@@ -192,7 +200,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 5_000
     rows = texts.join(few, "doc_id").orderBy("doc_id").collect()
     texts.unpersist()
     model = fit_crf(_chains([r["text"] for r in rows], words, chains), **fit)
-    x = np.clip(_doc_logit(model, [r["text"] for r in rows])[0], -12, 12)
+    x = _doc_logit(model, [r["text"] for r in rows])[0]
     model.calibration = _platt(x, np.array([r["toxic"] for r in rows], float))
     return model
 
@@ -251,7 +259,7 @@ def toxicity_scores(docs: DataFrame, model: CrfModel | None, *, token_bar: float
             if model is None:
                 yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": 0.0, "n_spans": 0, "spans": ""})
                 continue
-            odds, _, logit, whose = _doc_logit(model, texts)
+            evidence, logit, whose = _doc_logit(model, texts)
             a, b = model.calibration
             ends = np.searchsorted(whose, np.arange(len(texts) + 1))
             bar = np.log(token_bar / (1 - token_bar))
@@ -259,7 +267,7 @@ def toxicity_scores(docs: DataFrame, model: CrfModel | None, *, token_bar: float
             spans: list[list[tuple[int, int]]] = [[] for _ in texts]
             for i in hot:
                 spans[i] = spans_of(texts[i], logit[ends[i] : ends[i + 1]] > bar)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": 1 / (1 + np.exp(-(a * np.clip(odds, -12, 12) + b))), "n_spans": [len(s) for s in spans], "spans": [",".join(f"{i}:{j}" for i, j in s) for s in spans]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": 1 / (1 + np.exp(-(a * evidence + b))), "n_spans": [len(s) for s in spans], "spans": [",".join(f"{i}:{j}" for i, j in s) for s in spans]})
 
     return with_null_safe_text(docs).mapInPandas(tag, "doc_id long, score double, n_spans long, spans string")
 
