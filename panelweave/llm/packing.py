@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.common import stage, with_null_safe_text
 
-#: Words whose ids a worker remembers; a full memory is emptied and filled anew.
-REMEMBERED = 250_000
+#: Pieces whose ids a worker remembers, in each of two generations.
+REMEMBERED = 200_000
+#: Marks that may stand behind a word.
+TAILS = ".,;:!?|*#$%&"
 END = struct.pack("<I", 1)
 
 
@@ -32,27 +34,63 @@ class BinLimits:
 class WordIds:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
-    The tokenizer never makes a token across a blank or line end, so a text's ids are those of its pieces between them, one
-    after another; pieces seen before are looked up.
+    The tokenizer never makes a token across a blank or line end, nor across the border of a letter or digit and a mark, so a
+    text's ids are those of its pieces, one after another, and pieces seen before are looked up. Two generations of at most
+    REMEMBERED pieces are kept: what is still in use moves to the new one, so memory is bounded and common words stay.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.parts: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.stems: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+
+    @staticmethod
+    def _fill(memory: tuple[dict, dict], wanted: set[str]) -> tuple[tuple[dict, dict], list[str]]:
+        """The memory with all of `wanted` that it knows in its new generation, and what it doesn't know."""
+        new, old = memory
+        if len(new) + len(wanted) > REMEMBERED:
+            new, old = {}, new
+        unknown = []
+        for p in wanted:
+            if p not in new:
+                if (known := old.get(p)) is None:
+                    unknown.append(p)
+                else:
+                    new[p] = known
+        return (new, old), unknown
 
     def __call__(self, text: str) -> bytes:
         parts = text.replace("\n", " ").split(" ")
-        known = self.known
-        missing = list({p for p in parts if p not in known})
-        if missing:
-            if len(known) + len(missing) > REMEMBERED:
-                known.clear()
-                missing = list(set(parts))
-            for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                known[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return b"".join(map(known.__getitem__, parts))
+        new = self.parts[0]
+        if any(p not in new for p in parts):
+            self.parts, unknown = self._fill(self.parts, set(parts))
+            new = self.parts[0]
+            if unknown:
+                self._learn(unknown)
+        return b"".join(map(new.__getitem__, parts))
+
+    def _learn(self, parts: list[str]) -> None:
+        cut = []
+        for p in parts:
+            stem = p.rstrip(TAILS)
+            cut.append((stem.lower(), p[len(stem) :]) if stem.isascii() and stem.isalnum() else (p, ""))
+        self.stems, unknown = self._fill(self.stems, {x for pair in cut for x in pair})
+        known = self.stems[0]
+        for p, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
+            known[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        self.parts[0].update((p, known[a] + known[b]) for p, (a, b) in zip(parts, cut, strict=True))
+
+
+_LOADED: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """This worker's tokenizer with its memory; it outlives a task."""
+    if path not in _LOADED:
+        _LOADED[path] = WordIds(path)
+    return _LOADED[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, *, most: int = 4096) -> DataFrame:
@@ -62,7 +100,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, most: int = 4096) -> D
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = WordIds(tokenizer_path)
+        ids = word_ids(tokenizer_path)
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
