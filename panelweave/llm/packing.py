@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,10 +17,14 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.common import stage, with_null_safe_text
 
-#: Pieces whose ids a worker remembers, in each of two generations.
+#: Words whose ids a worker remembers, in each of two generations.
 REMEMBERED = 200_000
-#: Marks that may stand behind a word.
-TAILS = ".,;:!?|*#$%&"
+#: The tokenizer file's pattern of words: contractions, runs of letters, single digits, runs of anything else but blanks.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: Numerals that count as letters to the pattern above, characters whose lower case depends on others or grows, blanks that not
+#: all count as such, and what begins a special token.
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("No", "Nl"))
+ODD = re.compile("[\u03a3\u0130\x1c-\x1f\x85\u180e\u200b" + _NUMERALS + "]|<\\|")
 END = struct.pack("<I", 1)
 
 
@@ -32,55 +39,59 @@ class BinLimits:
 
 
 class WordIds:
-    """Ids of a text as little-endian unsigned 32-bit bytes.
+    """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer never makes a token across a blank or line end, nor across the border of a letter or digit and a mark, so a
-    text's ids are those of its pieces, one after another, and pieces seen before are looked up. Two generations of at most
-    REMEMBERED pieces are kept: what is still in use moves to the new one, so memory is bounded and common words stay.
+    The tokenizer lower-cases a text, cuts it by WORDS and encodes each piece on its own, so a text's ids are those of its
+    pieces one after another, and pieces seen before are looked up. Unknown ones are encoded together, one blank between two,
+    and parted where a token ends a word. Texts on which lower-casing or blanks could differ, or which spell a special token,
+    go to the tokenizer whole. Two generations of at most REMEMBERED pieces are kept: what is still in use moves to the new
+    one, so memory is bounded and common words stay.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task its core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.stems: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-
-    @staticmethod
-    def _fill(memory: tuple[dict, dict], wanted: set[str]) -> tuple[tuple[dict, dict], list[str]]:
-        """The memory with all of `wanted` that it knows in its new generation, and what it doesn't know."""
-        new, old = memory
-        if len(new) + len(wanted) > REMEMBERED:
-            new, old = {}, new
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _want(self, wanted: set[str]) -> None:
+        """Bring all of `wanted` into the new generation."""
+        if len(self.new) + len(wanted) > REMEMBERED:
+            self.new, self.old = {}, self.new
+        new, old = self.new, self.old
         unknown = []
-        for p in wanted:
-            if p not in new:
-                if (known := old.get(p)) is None:
-                    unknown.append(p)
-                else:
-                    new[p] = known
-        return (new, old), unknown
-
-    def __call__(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        new = self.parts[0]
-        if any(p not in new for p in parts):
-            self.parts, unknown = self._fill(self.parts, set(parts))
-            new = self.parts[0]
-            if unknown:
-                self._learn(unknown)
-        return b"".join(map(new.__getitem__, parts))
-
-    def _learn(self, parts: list[str]) -> None:
-        cut = []
-        for p in parts:
-            stem = p.rstrip(TAILS)
-            cut.append((stem.lower(), p[len(stem) :]) if stem.isascii() and stem.isalnum() else (p, ""))
-        self.stems, unknown = self._fill(self.stems, {x for pair in cut for x in pair})
-        known = self.stems[0]
-        for p, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            known[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        self.parts[0].update((p, known[a] + known[b]) for p, (a, b) in zip(parts, cut, strict=True))
+        for p in wanted - new.keys():
+            if (known := old.get(p)) is None:
+                unknown.append(p)
+            else:
+                new[p] = known
+        for i in range(0, len(unknown), 10_000):
+            words = unknown[i : i + 10_000]
+            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            cut = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            data = ids.tobytes()
+            if len(cut) == len(words) + 1:
+                new.update((w, data[a:b]) for w, a, b in zip(words, cut, cut[1:], strict=False))
+            else:
+                new.update((w, self._encode(w)) for w in words)
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        """Each text's ids; words are looked for, and tokenised, for some texts at once."""
+        for i in range(0, len(texts), 256):
+            some = texts[i : i + 256]
+            parts = [WORDS.findall(t.lower()) if not ODD.search(t) and unicodedata.is_normalized("NFC", t) else None for t in some]
+            self._want(set().union(*filter(None, parts)))
+            get = self.new.__getitem__
+            for t, p in zip(some, parts, strict=True):
+                yield self._encode(t) if p is None else b"".join(map(get, p))
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -103,8 +114,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, most: int = 4096) -> D
         ids = word_ids(tokenizer_path)
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                data = ids(text) + END
+            for doc_id, data in zip(pdf["doc_id"], ids(pdf["text"].tolist()), strict=True):
+                data += END
                 rows += [(doc_id, i // (4 * most), i // 4, len(part := data[i : i + 4 * most]) // 4, zlib.crc32(part)) for i in range(0, len(data), 4 * most)]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
