@@ -20,11 +20,18 @@ from panelweave.llm.common import stage, with_null_safe_text
 #: Words whose ids a worker remembers, in each of two generations.
 REMEMBERED = 200_000
 #: The tokenizer file's pattern of words: contractions, runs of letters, single digits, runs of anything else but blanks.
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+WORDS = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\w\s]|_)+")
 #: Numerals that count as letters to the pattern above, characters whose lower case depends on others or grows, blanks that not
-#: all count as such, and what begins a special token.
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("No", "Nl"))
-ODD = re.compile("[\u03a3\u0130\x1c-\x1f\x85\u180e\u200b" + _NUMERALS + "]|<\\|")
+#: all count as such, and everything beyond the basic plane.
+_NUMERALS = "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) in ("No", "Nl"))
+ODD = re.compile("[\u03a3\u0130\x1c-\x1f\x85\u180e\u200b\U00010000-\U0010ffff" + _NUMERALS + "]")
+
+
+def _plain(text: str) -> bool:
+    """Whether WORDS cuts the text as the tokenizer would."""
+    return "<|" not in text and not ODD.search(text) and (text.isascii() or unicodedata.is_normalized("NFC", text))
+
+
 END = struct.pack("<I", 1)
 
 
@@ -87,7 +94,7 @@ class WordIds:
         """Each text's ids; words are looked for, and tokenised, for some texts at once."""
         for i in range(0, len(texts), 256):
             some = texts[i : i + 256]
-            parts = [WORDS.findall(t.lower()) if not ODD.search(t) and unicodedata.is_normalized("NFC", t) else None for t in some]
+            parts = [WORDS.findall(t.lower()) if _plain(t) else None for t in some]
             self._want(set().union(*filter(None, parts)))
             get = self.new.__getitem__
             for t, p in zip(some, parts, strict=True):
