@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelweave.functions.scalar import safe_div, wilson_lower
+from panelweave.functions.scalar import bin_of, safe_div, wilson_lower
 
 
 def daily_top(df: DataFrame, score: str, fraction: float, *, date: str = "date", tie: str = "row_id") -> DataFrame:
@@ -108,7 +108,7 @@ def minimax_budget(df: DataFrame, fractions: DataFrame, fold: str, *, cap: int,
 
 def cascade(df: DataFrame, features: Sequence[str], grids: dict[str, Sequence[float]], target: str = "target", *, precision: float, least_alerts: int) -> DataFrame:
     """All conjunctions of one threshold per feature: rows are first counted by grid cell, so rules are combined with cells and not with rows."""
-    cells = df.withColumns({f"__{f}": F.size(F.filter(F.array(*[F.lit(float(g)) for g in grids[f]]), lambda g, f=f: g <= F.col(f))) for f in features})
+    cells = df.withColumns({f"__{f}": bin_of(F.col(f), list(grids[f])) for f in features})
     cells = cells.groupBy(*[f"__{f}" for f in features]).agg(F.count("*").alias("k"), F.sum(target).alias("p"))
     rules = cells.select(F.lit(1).alias("one")).limit(1)
     for f in features:

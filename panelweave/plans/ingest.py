@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelweave.functions import scalar as S
+from panelweave.functions.windows import complete_corr
 from panelweave.operators import contracts as C
 from panelweave.operators import joins as J
 from panelweave.plans.registry import Tables, query, rd, sql
@@ -159,7 +160,7 @@ def _(t):
 
 @query("r2_5_leakage_correlation", sql("features", "SELECT feature, round(corr(value, target), 6) AS corr, count(DISTINCT value) AS n_values, abs(corr(value, target)) >= 0.999999 OR (count(DISTINCT value) <= 2 AND abs(corr(value, target)) >= 0.999) AS leaks FROM features GROUP BY feature"))
 def _(t):
-    c = F.corr("value", F.col("target").cast("double"))
+    c = complete_corr(F.col("value"), F.col("target"))
     return t.features.groupBy("feature").agg(c.alias("corr"), F.count_distinct("value").alias("n_values")).withColumn("leaks", (F.abs("corr") >= 0.999999) | ((F.col("n_values") <= 2) & (F.abs("corr") >= 0.999)))
 
 
@@ -303,13 +304,13 @@ def _(t):
 def _(t):
     d = t.panel.groupBy("market", "date").agg(F.sum("close").alias("v"))
     p = d.select(F.col("market").alias("a"), "date", F.col("v").alias("x")).join(d.select(F.col("market").alias("b"), "date", F.col("v").alias("y")), "date").filter("a < b")
-    return p.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("corr"))
+    return p.groupBy("a", "b").agg(F.count("*").alias("n"), complete_corr(F.col("x"), F.col("y")).alias("corr"))
 
 
 @query("r3_14_lag_align", sql("panel", ", d AS (SELECT industry, day(date) AS pos, sum(close) AS v FROM panel GROUP BY 1, 2), l(lag) AS (VALUES (-1), (0), (1), (2)) SELECT a.industry AS a, b.industry AS b, lag, count(*) AS n, round(corr(a.v, b.v), 6) AS corr FROM d a CROSS JOIN l JOIN d b ON b.pos = a.pos + lag AND a.industry <> b.industry GROUP BY 1, 2, 3"))
 def _(t):
     d = t.panel.groupBy("industry", F.dayofmonth("date").alias("pos")).agg(F.sum("close").alias("v"))
-    return J.lagged_pairs(d, entity="industry", pos="pos", value="v", lags=[-1, 0, 1, 2]).groupBy("a", "b", "lag").agg(F.count("*").alias("n"), F.corr("x", "y").alias("corr"))
+    return J.lagged_pairs(d, entity="industry", pos="pos", value="v", lags=[-1, 0, 1, 2]).groupBy("a", "b", "lag").agg(F.count("*").alias("n"), complete_corr(F.col("x"), F.col("y")).alias("corr"))
 
 
 _EDGES = "e AS (SELECT 'N' || (l_suppkey % 9) AS src, 'N' || (l_partkey % 9) AS dst, CAST(1 + min(l_linenumber) % 3 AS INTEGER) AS lag, count(*)::DOUBLE AS weight FROM lineitem WHERE l_suppkey % 9 <> l_partkey % 9 GROUP BY 1, 2)"

@@ -113,9 +113,9 @@ def _(t):
     return p.select("ticker", "date", R.rolling_slope(F.col("close"), F.col("pos"), _W, 7, 5).alias("slope"), F.sum("close").over(_W.rowsBetween(-6, 0)).alias("total"))
 
 
-@query("r5_7_rolling_beta", sql("panel", f"SELECT ticker, date, CASE WHEN ok THEN round(corr(close, v) {_frame(8)}, 6) END AS corr, CASE WHEN ok THEN round(covar_samp(close, v) {_frame(8)} / var_samp(v) {_frame(8)}, 6) END AS beta FROM (SELECT *, count(*) {_frame(8)} >= 5 AND stddev_pop(close) {_frame(8)} > 1e-12 AND stddev_pop(v) {_frame(8)} > 1e-12 AS ok FROM (SELECT *, volume::DOUBLE AS v FROM panel))"))
+@query("r5_7_rolling_beta", sql("panel", f"SELECT ticker, date, CASE WHEN ok THEN round(corr(close, v) {_frame(8)}, 6) END AS corr, CASE WHEN ok THEN round(covar_samp(close, v) {_frame(8)} / var_samp(v) {_frame(8)}, 6) END AS beta FROM (SELECT *, count(*) {_frame(8)} >= 5 AND stddev_pop(close) {_frame(8)} > 1e-12 AND stddev_pop(v) {_frame(8)} > 1e-12 AS ok FROM (SELECT ticker, date, close / 7 AS close, volume::DOUBLE AS v FROM panel))"))
 def _(t):
-    a, b = F.col("close"), F.col("volume").cast("double")
+    a, b = F.col("close") / 7, F.col("volume").cast("double")
     return t.panel.select("ticker", "date", R.rolling_pair("corr", a, b, _W, 8, 5).alias("corr"), R.rolling_pair("beta", a, b, _W, 8, 5).alias("beta"))
 
 

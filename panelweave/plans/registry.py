@@ -52,7 +52,7 @@ class Tables:
     def scored(self) -> DataFrame:
         """Valid labelled rows with a score, a fold of five days and a stable row id."""
         base = self.labelled.filter("target_valid").withColumn("fold_id", F.least(F.floor(F.datediff("date", F.lit("2024-01-01").cast("date")) / 5), F.lit(5)).cast("int"))
-        score = F.round(0.6 * (1 - pct_rank(F.col("close"), "date")) + 0.4 * pct_rank(F.col("volume").cast("double"), "date"), 6)
+        score = F.round(0.6 * (1 - pct_rank(F.col("close"), "date")) + 0.4 * pct_rank(F.col("volume").cast("double"), "date"), 6) * 0.997310137  # no short decimals: halves of a last digit round either way
         return base.select("ticker", "date", "fold_id", "market", "bucket", "industry", "close", "volume", "errors", "buys", "r", F.col("label").alias("target"), "best", score.alias("score"), (F.col("ticker") * 100000 + F.datediff("date", F.lit("2024-01-01").cast("date"))).alias("row_id"))
 
     @cached_property
@@ -86,10 +86,10 @@ CTE = {
   SELECT *, lead(r, 1) OVER w AS r1, lead(r, 2) OVER w AS r2, lead(r, 3) OVER w AS r3 FROM ret WINDOW w AS (PARTITION BY ticker ORDER BY date)))))""",
     "scored": """scored AS (SELECT ticker, date, CAST(least(floor((date - DATE '2024-01-01') / 5.0), 5) AS INTEGER) AS fold_id, market, bucket, industry, close, volume, errors, buys, r, label AS target, best,
   round(0.6 * (1 - (rank() OVER (PARTITION BY date ORDER BY close) + (count(*) OVER (PARTITION BY date, close) - 1) / 2.0) / count(*) OVER (PARTITION BY date))
-      + 0.4 * ((rank() OVER (PARTITION BY date ORDER BY volume) + (count(*) OVER (PARTITION BY date, volume) - 1) / 2.0) / count(*) OVER (PARTITION BY date)), 6) AS score,
+      + 0.4 * ((rank() OVER (PARTITION BY date ORDER BY volume) + (count(*) OVER (PARTITION BY date, volume) - 1) / 2.0) / count(*) OVER (PARTITION BY date)), 6) * 0.997310137 AS score,
   ticker * 100000 + (date - DATE '2024-01-01') AS row_id FROM labelled WHERE target_valid)""",
-    "features": """features AS (UNPIVOT INCLUDE NULLS (SELECT row_id, ticker, date, fold_id, market, target, close AS f_close, CAST(volume AS DOUBLE) AS f_volume, CAST(errors AS DOUBLE) AS f_errors, CAST(buys AS DOUBLE) AS f_buys, r AS f_ret, close / volume AS f_mean FROM scored)
-  ON f_close, f_volume, f_errors, f_buys, f_ret, f_mean INTO NAME feature VALUE value)""",
+    "features": """features AS (FROM (SELECT row_id, ticker, date, fold_id, market, target, close AS f_close, CAST(volume AS DOUBLE) AS f_volume, CAST(errors AS DOUBLE) AS f_errors, CAST(buys AS DOUBLE) AS f_buys, r AS f_ret, close / volume AS f_mean FROM scored)
+  UNPIVOT INCLUDE NULLS (value FOR feature IN (f_close, f_volume, f_errors, f_buys, f_ret, f_mean)))""",
     "monthly": """monthly AS (SELECT *, year(date) * 12 + month(date) AS pos FROM (SELECT l_suppkey AS ticker, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS qty,
   CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS rev, CAST(sum(CAST(l_discount AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS disc, count(*) AS lines FROM lineitem GROUP BY 1, 2))""",
 }
