@@ -50,9 +50,9 @@ def confusion(df: DataFrame, alert: Column, target: str = "target", by: Sequence
 
 def score_curve(df: DataFrame, by: Sequence[str], score: str = "score", target: str = "target", date: str | None = "date") -> DataFrame:
     """One row per distinct score: alerts and hits at or above it. Everything that looks for a threshold reads this curve."""
-    g = df.groupBy(*by, score).agg(F.count("*").alias("k"), F.sum(target).alias("p"))
+    g = df.groupBy(*by, score).agg(F.count("*").alias("__k"), F.sum(target).alias("__p"))
     w, whole = Window.partitionBy(*by).orderBy(F.desc(score)), Window.partitionBy(*by)
-    return g.withColumns({"alerts": F.sum("k").over(w), "tp": F.sum("p").over(w), "positives": F.sum("p").over(whole), "rows": F.sum("k").over(whole)}).withColumns({"precision": F.col("tp") / F.col("alerts"), "recall": safe_div(F.col("tp"), F.col("positives"))})
+    return g.withColumns({"alerts": F.sum("__k").over(w), "tp": F.sum("__p").over(w), "positives": F.sum("__p").over(whole), "rows": F.sum("__k").over(whole)}).drop("__k", "__p").withColumns({"precision": F.col("tp") / F.col("alerts"), "recall": safe_div(F.col("tp"), F.col("positives"))})
 
 
 def threshold_for_recall(df: DataFrame, recall: float, by: Sequence[str] = (), score: str = "score", target: str = "target") -> DataFrame:
@@ -83,13 +83,13 @@ def precision_curve_best(df: DataFrame, by: Sequence[str], *, least_alerts: int,
 
 def at_thresholds(df: DataFrame, grid: DataFrame, by: Sequence[str], score: str = "score", target: str = "target") -> DataFrame:
     """(group, threshold, alerts, tp, positives): counts at each threshold of a small grid, by a cumulative sum over scores and thresholds together, so no row meets every threshold."""
-    c = df.groupBy(*by, F.col(score).alias("__s")).agg(F.count("*").alias("k"), F.sum(target).alias("p")).withColumn("__g", F.lit(0))
+    c = df.groupBy(*by, F.col(score).alias("__s")).agg(F.count("*").alias("__k"), F.sum(target).alias("__p")).withColumn("__g", F.lit(0))
     keys = df.select(*by).distinct() if by else None
     g = grid.select(F.col("threshold").alias("__s")).distinct()
     g = keys.crossJoin(F.broadcast(g)) if by else g
-    both = c.unionByName(g.select(*by, "__s", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("p"), F.lit(1).alias("__g")))
+    both = c.unionByName(g.select(*by, "__s", F.lit(0).cast("long").alias("__k"), F.lit(0).cast("long").alias("__p"), F.lit(1).alias("__g")))
     w, whole = Window.partitionBy(*by).orderBy(F.desc("__s"), "__g"), Window.partitionBy(*by)
-    out = both.withColumns({"alerts": F.sum("k").over(w), "tp": F.sum("p").over(w), "positives": F.sum("p").over(whole), "rows": F.sum("k").over(whole)}).filter("__g = 1")
+    out = both.withColumns({"alerts": F.sum("__k").over(w), "tp": F.sum("__p").over(w), "positives": F.sum("__p").over(whole), "rows": F.sum("__k").over(whole)}).filter("__g = 1")
     return out.select(*by, F.col("__s").alias("threshold"), "alerts", "tp", "positives", "rows")
 
 

@@ -60,10 +60,11 @@ def run_stream(t: Tables, build, *, name: str, mode: str = "append"):
     at = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     source = t.read("events")
     stream = t.spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(t.sf_dir + "/event[s].parquet")
-    out = build(stream)
+    out = build(stream.withColumn("ts", F.col("ts").cast("timestamp")))
     q = out.writeStream.outputMode(mode).format("parquet").option("path", f"{at}/data").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return t.spark.read.schema(out.schema).parquet(f"{at}/data")
+    done = t.spark.read.schema(out.schema).parquet(f"{at}/data")
+    return done.select(*[F.col(c).cast("timestamp_ntz").alias(c) if kind == "timestamp" else F.col(c) for c, kind in done.dtypes])
 
 
 @query("r12_8_windowed_breadth", "SELECT start, \"end\", event_type, n, round(mean, 6) AS mean, advance FROM (SELECT date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS \"end\", event_type, count(*) AS n, avg(value) AS mean, avg((value > 0)::INT) AS advance FROM events GROUP BY 1, 2, 3) WHERE \"end\" <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
