@@ -94,7 +94,7 @@ def safe_step(curve_path: str, base: float, *, precision: float, least_alerts: i
         c = spark.read.parquet(f"{curve_path}/counts/version={batch_id}").withColumns({"alerts": F.sum("k").over(w), "tp": F.sum("p").over(w)})
         ok = (F.col("tp") / F.col("alerts") >= precision) & (F.col("alerts") >= least_alerts)
         found = c.agg(F.min(F.when(ok, F.col("score"))).alias("t"))
-        policy = found.select(F.lit(batch_id).alias("batch"), F.coalesce(F.greatest("t", F.lit(base)), F.lit(float("inf"))).alias("threshold"))
+        policy = found.select(F.lit(batch_id).alias("batch"), F.when(F.col("t").isNull(), float("inf")).otherwise(F.greatest("t", F.lit(base))).alias("threshold"))
         policy.write.mode("overwrite").parquet(f"{curve_path}/policy/batch={batch_id}")
 
     return update
