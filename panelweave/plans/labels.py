@@ -11,7 +11,10 @@ from panelweave.operators import rolling as R
 from panelweave.plans.registry import query, rd, sql
 
 W = "OVER (PARTITION BY ticker ORDER BY date"
-_W = over("ticker", order="date")
+
+
+def _w():
+    return over("ticker", order="date")
 
 
 @query("r4_1_forward_label", sql("labelled", f"SELECT ticker, date, label, target_valid, first_hit_day, {rd('best')} FROM labelled"))
@@ -45,7 +48,7 @@ def _(t):
 
 @query("r4_6_label_from_closes", sql("panel", f"SELECT ticker, date, CASE WHEN lead(close, 3) {W}) IS NOT NULL THEN (greatest(lead(close, 1) {W}), lead(close, 2) {W}), lead(close, 3) {W})) / close - 1 >= 3.0000001)::INT END AS label FROM panel"))
 def _(t):
-    leads = [F.lead("close", k).over(_W) for k in (1, 2, 3)]
+    leads = [F.lead("close", k).over(_w()) for k in (1, 2, 3)]
     return t.panel.select("ticker", "date", F.when(leads[2].isNotNull(), (F.greatest(*leads) / F.col("close") - 1 >= 3.0000001).cast("int")).alias("label"))
 
 
@@ -75,7 +78,7 @@ def _(t):
 
 @query("r5_1_changes", sql("panel", f"SELECT ticker, date, round(close - lag(close, 5) {W}), 6) AS change5, round((close - lag(close, 5) {W})) / greatest(abs(lag(close, 5) {W})), 1e-9), 6) AS ratio5 FROM panel"))
 def _(t):
-    return t.panel.select("ticker", "date", R.change(F.col("close"), 5, _W).alias("change5"), R.ratio_change(F.col("close"), 5, _W).alias("ratio5"))
+    return t.panel.select("ticker", "date", R.change(F.col("close"), 5, _w()).alias("change5"), R.ratio_change(F.col("close"), 5, _w()).alias("ratio5"))
 
 
 def _frame(size, past=False):
@@ -89,80 +92,80 @@ def _z(size, past, std, least):
 
 @query("r5_2_past_z", sql("panel", f"SELECT ticker, date, round(greatest(least(z, 8), -8), 6) AS z FROM (SELECT ticker, date, {_z(10, True, 'stddev_pop', 5)} AS z FROM panel) WHERE z IS NOT NULL"))
 def _(t):
-    return t.panel.select("ticker", "date", R.rolling_z(F.col("close"), _W, 10, past_only=True, least=5, bound=8.0).alias("z")).filter("z is not null")
+    return t.panel.select("ticker", "date", R.rolling_z(F.col("close"), _w(), 10, past_only=True, least=5, bound=8.0).alias("z")).filter("z is not null")
 
 
 @query("r5_3_inclusive_z", sql("panel", f"SELECT ticker, date, round({_z(10, False, 'stddev_samp', 5)}, 6) AS z FROM panel"))
 def _(t):
-    return t.panel.select("ticker", "date", R.rolling_z(F.col("close"), _W, 10, past_only=False, least=5, sample=True).alias("z"))
+    return t.panel.select("ticker", "date", R.rolling_z(F.col("close"), _w(), 10, past_only=False, least=5, sample=True).alias("z"))
 
 
 @query("r5_4_past_rank", sql("panel", f"SELECT ticker, date, CASE WHEN len(s) >= 4 THEN round((len(list_filter(s, lambda v: v < close)) + 0.5 * len(list_filter(s, lambda v: v = close))) / len(s), 6) END AS pr FROM (SELECT ticker, date, close, list(close) {_frame(8, True)} AS s FROM panel)"))
 def _(t):
-    return t.panel.select("ticker", "date", R.rolling_rank(F.col("close"), _W, 8, past_only=True, least=4).alias("pr"))
+    return t.panel.select("ticker", "date", R.rolling_rank(F.col("close"), _w(), 8, past_only=True, least=4).alias("pr"))
 
 
 @query("r5_5_inclusive_rank", sql("panel", f"SELECT ticker, date, round(len(list_filter(s, lambda v: v <= close)) / len(s), 6) AS pr FROM (SELECT ticker, date, close, list(close) {_frame(8)} AS s FROM panel)"))
 def _(t):
-    return t.panel.select("ticker", "date", R.rolling_rank(F.col("close"), _W, 8, past_only=False, least=1).alias("pr"))
+    return t.panel.select("ticker", "date", R.rolling_rank(F.col("close"), _w(), 8, past_only=False, least=1).alias("pr"))
 
 
 @query("r5_6_rolling_slope", sql("panel", f"SELECT ticker, date, round(CASE WHEN count(*) {_frame(7)} >= 5 THEN regr_slope(close, pos) {_frame(7)} END, 6) AS slope, round(sum(close) {_frame(7)}, 6) AS total FROM (SELECT *, CAST(row_number() {W}) AS DOUBLE) AS pos FROM panel)"))
 def _(t):
-    p = t.panel.withColumn("pos", F.row_number().over(_W).cast("double"))
-    return p.select("ticker", "date", R.rolling_slope(F.col("close"), F.col("pos"), _W, 7, 5).alias("slope"), F.sum("close").over(_W.rowsBetween(-6, 0)).alias("total"))
+    p = t.panel.withColumn("pos", F.row_number().over(_w()).cast("double"))
+    return p.select("ticker", "date", R.rolling_slope(F.col("close"), F.col("pos"), _w(), 7, 5).alias("slope"), F.sum("close").over(_w().rowsBetween(-6, 0)).alias("total"))
 
 
 @query("r5_7_rolling_beta", sql("panel", f"SELECT ticker, date, CASE WHEN ok THEN round(corr(close, v) {_frame(8)}, 6) END AS corr, CASE WHEN ok THEN round(covar_samp(close, v) {_frame(8)} / var_samp(v) {_frame(8)}, 6) END AS beta FROM (SELECT *, count(*) {_frame(8)} >= 5 AND stddev_pop(close) {_frame(8)} > 1e-12 AND stddev_pop(v) {_frame(8)} > 1e-12 AS ok FROM (SELECT ticker, date, close / 7 AS close, volume::DOUBLE AS v FROM panel))"))
 def _(t):
     a, b = F.col("close") / 7, F.col("volume").cast("double")
-    return t.panel.select("ticker", "date", R.rolling_pair("corr", a, b, _W, 8, 5).alias("corr"), R.rolling_pair("beta", a, b, _W, 8, 5).alias("beta"))
+    return t.panel.select("ticker", "date", R.rolling_pair("corr", a, b, _w(), 8, 5).alias("corr"), R.rolling_pair("beta", a, b, _w(), 8, 5).alias("beta"))
 
 
 @query("r5_8_rolling_moments", sql("panel", f"SELECT ticker, date, CASE WHEN count(*) {_frame(10)} >= 6 THEN round(skewness(close / 100) {_frame(10)}, 6) END AS skew, CASE WHEN count(*) {_frame(10)} >= 6 THEN round(kurtosis(close / 100) {_frame(10)}, 6) END AS kurt FROM panel"))
 def _(t):
-    s, k = R.rolling_moments(F.col("close") / 100, _W, 10, 6)
+    s, k = R.rolling_moments(F.col("close") / 100, _w(), 10, 6)
     return t.panel.select("ticker", "date", s.alias("skew"), k.alias("kurt"))
 
 
 @query("r5_9_compound_return", sql("ret", f"SELECT ticker, date, CASE WHEN count(r) {_frame(4)} = 4 THEN round(list_reduce(list_prepend(1.0, list(r) {_frame(4)}), lambda a, v: a * (1 + v)) - 1, 6) END AS c4 FROM ret"))
 def _(t):
-    return t.ret.select("ticker", "date", R.compound(F.col("r"), _W, 4).alias("c4"))
+    return t.ret.select("ticker", "date", R.compound(F.col("r"), _w(), 4).alias("c4"))
 
 
 @query("r5_10_drawdown", sql("panel", f"SELECT ticker, date, round(close / max(close) {_frame(10)} - 1, 6) AS dd FROM panel"))
 def _(t):
-    return t.panel.select("ticker", "date", R.drawdown(F.col("close"), _W, 10).alias("dd"))
+    return t.panel.select("ticker", "date", R.drawdown(F.col("close"), _w(), 10).alias("dd"))
 
 
 @query("r5_11_rows_since_peak", sql("panel", f", p AS (SELECT *, row_number() {W}) AS pos, max(close) {W}) AS top FROM panel) SELECT ticker, date, pos - max(CASE WHEN close >= top THEN pos END) {W}) AS since FROM p"))
 def _(t):
-    return R.rows_since_peak(t.panel, "close", _W, "since").select("ticker", "date", "since")
+    return R.rows_since_peak(t.panel, "close", _w(), "since").select("ticker", "date", "since")
 
 
 @query("r5_12_rows_since_low", sql("panel", f", p AS (SELECT *, row_number() {W}) AS pos, list({{'c': close, 'd': date}}) {_frame(6)} AS s FROM panel) SELECT ticker, date, len(list_filter(s, lambda x: x.d > (list_sort(list_filter(s, lambda y: y.c = list_min(list_transform(s, lambda z: z.c))), 'DESC')[1]).d)) AS since FROM p"))
 def _(t):
-    return R.rows_since_low(t.panel, "close", _W, 6, "since").select("ticker", "date", "since")
+    return R.rows_since_low(t.panel, "close", _w(), 6, "since").select("ticker", "date", "since")
 
 
 @query("r5_13_signed_streak", sql("ret", f", s AS (SELECT *, CAST(coalesce(sign(r), 0) AS INTEGER) AS s FROM ret), n AS (SELECT *, CASE WHEN s = lag(s) {W}) THEN 0 ELSE 1 END AS nw FROM s), g AS (SELECT *, sum(nw) {W}) AS run FROM n) SELECT ticker, date, s * row_number() OVER (PARTITION BY ticker, run ORDER BY date) AS streak FROM g"))
 def _(t):
-    return R.signed_streak(t.ret, "r", _W, "streak", "ticker").select("ticker", "date", "streak")
+    return R.signed_streak(t.ret, "r", _w(), "streak", "ticker").select("ticker", "date", "streak")
 
 
 @query("r5_14_semivolatility", sql("ret", f"SELECT ticker, date, CASE WHEN count(r) {_frame(8)} >= 5 THEN round(sqrt(avg(CASE WHEN r IS NOT NULL THEN least(r, 0) * least(r, 0) END) {_frame(8)}), 6) END AS sv FROM ret"))
 def _(t):
-    return t.ret.select("ticker", "date", R.semivolatility(F.col("r"), _W, 8, 5).alias("sv"))
+    return t.ret.select("ticker", "date", R.semivolatility(F.col("r"), _w(), 8, 5).alias("sv"))
 
 
 @query("r5_15_expected_shortfall", sql("ret", f", q AS (SELECT ticker, date, count(r) {_frame(10)} AS n, list(r) {_frame(10)} AS s, quantile_cont(r, 0.2) {_frame(10)} AS c FROM ret) SELECT ticker, date, CASE WHEN n >= 6 THEN round(list_avg(list_filter(s, lambda v: v <= c + 1e-12)), 6) END AS es FROM q"))
 def _(t):
-    return t.ret.select("ticker", "date", R.expected_shortfall(F.col("r"), _W, 10, 0.2, 6).alias("es"))
+    return t.ret.select("ticker", "date", R.expected_shortfall(F.col("r"), _w(), 10, 0.2, 6).alias("es"))
 
 
 @query("r5_16_event_decay", sql("panel", f"SELECT ticker, date, round(coalesce(exp(-ln(2.0) / 5 * (date - max(CASE WHEN errors >= 2 THEN date END) {W}))), 0), 6) AS decay FROM panel"))
 def _(t):
-    return t.panel.select("ticker", "date", R.event_decay(F.col("errors") >= 2, F.col("date"), _W, 5.0).alias("decay"))
+    return t.panel.select("ticker", "date", R.event_decay(F.col("errors") >= 2, F.col("date"), _w(), 5.0).alias("decay"))
 
 
 @query("r5_17_event_counts", f"WITH d AS (SELECT user_id AS ticker, CAST(ts AS DATE) AS date, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type = 'signup') AS s, max(value) AS v FROM events GROUP BY 1, 2) SELECT ticker, date, sum(e) {_frame(5)} AS error_5, sum(e) {_frame(20)} AS error_20, sum(s) {_frame(5)} AS signup_5, sum(s) {_frame(20)} AS signup_20, max(v) {_frame(20)} AS max_severity FROM d")
@@ -206,7 +209,7 @@ def _(t):
 
 @query("r5_22_limit_stress", f"WITH {_BAR}, r AS (SELECT *, c / lag(c) {W}) - 1 AS r, o / lag(c) {W}) - 1 AS g FROM b) SELECT ticker, date, CASE WHEN h <> l THEN round((c - l) / (h - l), 6) END AS close_to_low, round(least(g, 0.0), 6) AS gap_down, round(c / h - 1, 6) AS selloff, sum(CASE WHEN r <= -0.5 THEN 1 ELSE 0 END) {_frame(5)} AS extreme_falls FROM r")
 def _(t):
-    return R.limit_stress(bars(t), "o", "h", "l", "c", bar=0.5).select("ticker", "date", "close_to_low", F.when(F.lag("c").over(_W).isNotNull(), F.col("gap_down")).otherwise(F.lit(0.0)).alias("gap_down"), "selloff", "extreme_falls")
+    return R.limit_stress(bars(t), "o", "h", "l", "c", bar=0.5).select("ticker", "date", "close_to_low", F.when(F.lag("c").over(_w()).isNotNull(), F.col("gap_down")).otherwise(F.lit(0.0)).alias("gap_down"), "selloff", "extreme_falls")
 
 
 @query("r5_23_tail_dependence", sql("ret", f", m AS (SELECT date, avg(r) AS m FROM ret GROUP BY 1), x AS (SELECT ticker, date, r, m FROM ret JOIN m USING (date)) SELECT ticker, date, CASE WHEN count(r) {_frame(10)} >= 5 THEN round(avg(CASE WHEN r IS NOT NULL AND m IS NOT NULL THEN (m < 0.5 AND r < 0)::INT END) {_frame(10)}, 6) END AS co_fall FROM x"))
@@ -219,14 +222,14 @@ def _(t):
 @query("r5_24_price_block", sql("ret", f"SELECT ticker, date, round(close / lag(close, 3) {W}) - 1, 6) AS ret3, round(close / avg(close) {_frame(5)} - 1, 6) AS gap5, round(CASE WHEN count(r) {_frame(5)} >= 5 THEN stddev_pop(r) {_frame(5)} END, 6) AS vol5, round(buys::DOUBLE / volume, 6) AS flow, round(ln(close), 6) AS log_size FROM ret"))
 def _(t):
     c = F.col("close")
-    return t.ret.select("ticker", "date", (c / F.lag(c, 3).over(_W) - 1).alias("ret3"), (c / F.avg(c).over(_W.rowsBetween(-4, 0)) - 1).alias("gap5"), F.when(F.count("r").over(_W.rowsBetween(-4, 0)) >= 5, F.stddev_pop("r").over(_W.rowsBetween(-4, 0))).alias("vol5"), (F.col("buys") / F.col("volume")).alias("flow"), F.log(c).alias("log_size"))
+    return t.ret.select("ticker", "date", (c / F.lag(c, 3).over(_w()) - 1).alias("ret3"), (c / F.avg(c).over(_w().rowsBetween(-4, 0)) - 1).alias("gap5"), F.when(F.count("r").over(_w().rowsBetween(-4, 0)) >= 5, F.stddev_pop("r").over(_w().rowsBetween(-4, 0))).alias("vol5"), (F.col("buys") / F.col("volume")).alias("flow"), F.log(c).alias("log_size"))
 
 
 @query("r5_25_flow_block", sql("panel", f", f AS (SELECT *, buys::DOUBLE / volume AS f FROM panel) SELECT ticker, date, round(sum(f) {_frame(5)}, 6) AS sum5, round(f - lag(f, 1) {W}), 6) AS change1, round((f - lag(f, 1) {W})) - (lag(f, 1) {W}) - lag(f, 2) {W})), 6) AS acceleration, round(f - errors::DOUBLE / volume, 6) AS divergence FROM f"))
 def _(t):
     p = t.panel.withColumn("f", F.col("buys") / F.col("volume"))
-    f, l1, l2 = F.col("f"), F.lag("f", 1).over(_W), F.lag("f", 2).over(_W)
-    return p.select("ticker", "date", F.sum("f").over(_W.rowsBetween(-4, 0)).alias("sum5"), (f - l1).alias("change1"), ((f - l1) - (l1 - l2)).alias("acceleration"), (f - F.col("errors") / F.col("volume")).alias("divergence"))
+    f, l1, l2 = F.col("f"), F.lag("f", 1).over(_w()), F.lag("f", 2).over(_w())
+    return p.select("ticker", "date", F.sum("f").over(_w().rowsBetween(-4, 0)).alias("sum5"), (f - l1).alias("change1"), ((f - l1) - (l1 - l2)).alias("acceleration"), (f - F.col("errors") / F.col("volume")).alias("divergence"))
 
 
 @query("r5_26_index_features", sql("panel", ", d AS (SELECT date, sum(close) AS c FROM panel GROUP BY 1) SELECT date, round(c / lag(c, 1) OVER w - 1, 6) AS r1, round(c / lag(c, 5) OVER w - 1, 6) AS r5, round(lag(c, 1) OVER w, 6) AS foreign_lag, round(c / max(c) OVER (ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) - 1, 6) AS dd FROM d WINDOW w AS (ORDER BY date)"))
@@ -247,7 +250,7 @@ def _(t):
     drivers = t.ret.groupBy(F.col("bucket").alias("driver"), "date").agg(F.avg("r").alias("d"))
     rules = t.spark.createDataFrame([("B0", "B1"), ("B1", "B2"), ("B2", "B0")], "bucket string, driver string")
     x = t.ret.join(F.broadcast(rules), "bucket").join(F.broadcast(drivers), ["driver", "date"])
-    return x.select("ticker", "date", R.rolling_pair("corr", F.col("r"), F.col("d"), _W, 10, 6).alias("link"))
+    return x.select("ticker", "date", R.rolling_pair("corr", F.col("r"), F.col("d"), _w(), 10, 6).alias("link"))
 
 
 @query("r5_29_sequences", sql("panel", f", s AS (SELECT ticker, date, list(close) {_frame(5)} AS s FROM panel) SELECT ticker, date, round(s[1], 6) AS first, round(s[5], 6) AS last FROM s WHERE len(s) = 5"))
