@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 def spark(tmp_path_factory):
     base = tmp_path_factory.mktemp("spark")
     session = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "2").config("spark.sql.codegen.wholeStage", "false").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g").config("spark.local.dir", str(base / "local")).config("spark.checkpoint.dir", f"file://{base}/checkpoint").config("spark.sql.warehouse.dir", str(base / "warehouse")).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
