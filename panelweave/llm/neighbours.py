@@ -79,12 +79,13 @@ def distinct_vectors(vectors: DataFrame, keep: int, *, salts: int = 64) -> DataF
     return both.select(F.element_at("ids", 1).alias("vid"), "v", "ids")
 
 
-def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, curves: int = 10, dims: int = 5, bits: int = 6, share: float = 0.15, block_rows: int = 1024, seed: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, curves: int = 10, dims: int = 5, bits: int = 6, share: float = 0.15, block_rows: int | None = None, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k vectors of largest inner product that were found, ties to smaller vec_id.
 
     vectors: (vec_id, embedding), all of one length; queries: a condition on vec_id. All rows are indexed: for each curve the
-    vectors are range-partitioned by key, numbered in that order and cut into blocks of block_rows; a query is compared with the
-    blocks around its own place, `share` of the table in all. Scores are computed on the original vectors in double precision.
+    vectors are range-partitioned by key, numbered in that order and cut into blocks; a query is compared with the blocks around its
+    own place, `share` of the table in all. Blocks of block_rows (by default a quarter of a window, 16,384 at most) go to a task
+    each, so that a window is a few blocks until tables of 400,000 vectors, and more of the same size beyond. Scores are computed on the original vectors in double precision.
     Null, zero and non-finite vectors take no part (neither as queries), nor do null ids; equal vectors all count. Results with
     fewer than k candidates are shorter, and an empty table gives an empty result. Repeated ids count once per distinct vector.
     """
@@ -94,6 +95,7 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, curves: int = 1
     if not total:
         return vectors.sparkSession.createDataFrame([], T._parse_datatype_string(schema))
     fit = unique.filter(F.size("v") == length)
+    block_rows = block_rows or min(16_384, max(256, -(-int(share * total) // 4)))
 
     def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
