@@ -154,8 +154,12 @@ def label_tokens(texts: DataFrame, labels: DataFrame, *, least: int = 6, z_bar:
 
 
 def _chains(texts: list[str], words: set[str], limit: int) -> list[tuple[list[str], list[int]]]:
-    """Labelled chains: all with a marked word first, then others, at most `limit`, half of them marked at most."""
-    marked, plain = [], []
+    """Labelled chains: those with a marked word first, then others spread evenly over all, at most `limit`, half of them marked at most.
+
+    Of the others never more than four times the limit are held: when there are, every second one goes and only every second
+    further one comes in.
+    """
+    marked, plain, stride, seen = [], [], 1, 0
     for text in texts:
         chain: list[str] = []
         for w in [*TOKEN.findall(text.lower()), "."]:
@@ -165,9 +169,16 @@ def _chains(texts: list[str], words: set[str], limit: int) -> list[tuple[list[st
                     continue
             if chain:
                 y = [int(x in words) for x in chain]
-                (marked if any(y) else plain).append((chain, y))
+                if any(y):
+                    if len(marked) < limit // 2:
+                        marked.append((chain, y))
+                else:
+                    if seen % stride == 0:
+                        plain.append((chain, y))
+                        if len(plain) > 4 * limit:
+                            plain, stride = plain[::2], 2 * stride
+                    seen += 1
                 chain = []
-    marked = marked[: limit // 2]
     step = max(1, len(plain) // max(1, limit - len(marked)))
     return marked + plain[::step][: limit - len(marked)]
 
@@ -186,6 +197,18 @@ def _doc_logit(model: CrfModel, texts: list[str]) -> tuple[np.ndarray, np.ndarra
     return np.clip(np.log(total + 1e-12) / 2, -12, 12), logit, whose
 
 
+def _slices(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` characters together (one text at least), so that a batch's arrays stay small."""
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= most:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 3_000, chains: int = 5_000, **fit) -> CrfModel | None:
     """Train on at most per_class toxic and per_class other texts of labels (doc_id, toxic), and at most `chains` chains of theirs.
 
@@ -200,7 +223,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 3_000
     rows = texts.join(few, "doc_id").orderBy("doc_id").collect()
     texts.unpersist()
     model = fit_crf(_chains([r["text"] for r in rows], words, chains), **fit)
-    x = _doc_logit(model, [r["text"] for r in rows])[0]
+    texts_of = [r["text"] for r in rows]
+    x = np.concatenate([_doc_logit(model, texts_of[i:j])[0] for i, j in _slices(texts_of)])
     model.calibration = _platt(x, np.array([r["toxic"] for r in rows], float))
     return model
 
@@ -255,19 +279,21 @@ def toxicity_scores(docs: DataFrame, model: CrfModel | None, *, token_bar: float
 
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = pdf["text"].tolist()
-            if model is None:
-                yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": 0.0, "n_spans": 0, "spans": ""})
-                continue
-            evidence, logit, whose = _doc_logit(model, texts)
-            a, b = model.calibration
-            ends = np.searchsorted(whose, np.arange(len(texts) + 1))
-            bar = np.log(token_bar / (1 - token_bar))
-            hot = np.unique(whose[logit > bar]).tolist()
-            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-            for i in hot:
-                spans[i] = spans_of(texts[i], logit[ends[i] : ends[i + 1]] > bar)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": 1 / (1 + np.exp(-(a * evidence + b))), "n_spans": [len(s) for s in spans], "spans": [",".join(f"{i}:{j}" for i, j in s) for s in spans]})
+            whole = pdf["text"].tolist()
+            for i, j in _slices(whole):
+                ids, texts = pdf["doc_id"].iloc[i:j], whole[i:j]
+                if model is None:
+                    yield pd.DataFrame({"doc_id": ids, "score": 0.0, "n_spans": 0, "spans": ""})
+                    continue
+                evidence, logit, whose = _doc_logit(model, texts)
+                a, b = model.calibration
+                ends = np.searchsorted(whose, np.arange(len(texts) + 1))
+                bar = np.log(token_bar / (1 - token_bar))
+                spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+                for k in np.unique(whose[logit > bar]).tolist():
+                    spans[k] = spans_of(texts[k], logit[ends[k] : ends[k + 1]] > bar)
+                score = 1 / (1 + np.exp(-np.clip(a * evidence + b, -40, 40)))
+                yield pd.DataFrame({"doc_id": ids, "score": score, "n_spans": [len(s) for s in spans], "spans": [",".join(f"{x}:{y}" for x, y in s) for s in spans]})
 
     return with_null_safe_text(docs).mapInPandas(tag, "doc_id long, score double, n_spans long, spans string")
 
