@@ -18,7 +18,7 @@ def folder(spark, tmp_path_factory):
     item = text(40)
     texts = [text(rng.randint(40, 120)) for _ in range(200)]
     texts += [" ".join(w.upper() + "!!" for w in text(60).split()) for _ in range(30)]
-    texts += [texts[0], texts[1] + " end", text(30) + "\n" + item, text(40) + " token = abcdefghijklmnop99"]
+    texts += [texts[0], texts[1] + " end", text(30) + " " + item, text(40) + " token = abcdefghijklmnop99"]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
