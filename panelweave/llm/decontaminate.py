@@ -13,7 +13,9 @@ from xxhash import xxh64_intdigest
 
 from panelweave.llm.common import stage
 
-TOKEN = re.compile(r"[.!?:\n]+|\d+(?:[.,]\d+)*|[^\W\d_]+|[%$€£]")
+#: Scripts written without blanks, whose characters are tokens of their own: Thai, Lao, Burmese, Khmer, kana and Han.
+UNSPACED = "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u1000-\u103f\u1050-\u108f\u1780-\u17d3\u3005-\u3007\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"[.!?:\n]+|\d+(?:[.,]\d+)*|[^\W\d_{UNSPACED}]+|[{UNSPACED}]|[%$€£]")
 #: Unit words and signs that count as units next to a number.
 UNITS = frozenset("mm cm m km in ft mi mg g kg t oz lb ml cl l s sec ms min h hr hrs kmh mph hz khz mhz w kw kwh v a j kj kcal pa bar k c f usd eur gbp % $ € £ percent dollar dollars euro euros pound pounds cent cents metre metres meter meters kilometre kilometres kilometer kilometers mile miles inch inches foot feet gram grams kilogram kilograms litre litres liter liters second seconds minute minutes hour hours day days week weeks month months year years".split())
 CAPITAL, NUMBER, MARK, UNIT = 1, 2, 4, 8
@@ -66,8 +68,45 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def _windows(frame: DataFrame, key: str, width: int, sieve: np.ndarray | None) -> DataFrame:
-    """(key, pos, hash, slots, n_tokens): template windows of each row's whole text; with a sieve, only those that it passes."""
+WINDOW = "k long, pos int, size int, hash long, slots array<string>, fixed int, n_tokens int"
+
+
+def _item_windows(benchmark: DataFrame, width: int) -> DataFrame:
+    """(item_id, pos, size, hash, slots, fixed, n_tokens): each item's template windows; an item below `width` tokens has one of its own length.
+
+    A capitalised first token opens the item, but may stand inside a document's sentence, where it is a name: the first window
+    comes in both forms. fixed: how many leading slots a document must repeat word for word, so that short templates don't match
+    everything: the first word of a short item that is taken as a name, and all slots of a short item of slots only.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Tokens()
+        for pdf in batches:
+            rows = []
+            for k, text in zip(pdf["k"], pdf["text"], strict=True):
+                h, slot, words = canonical_tokens(text, known)
+                size = min(width, len(h))
+                if not size:
+                    continue
+                plain = [w for w in words if w[0] not in ".!?:\n"]
+                forms = [(h, slot, len(h) - size + 1)]
+                if not slot[0] and known[plain[0]] & CAPITAL:
+                    named, marked = h.copy(), slot.copy()
+                    named[0], marked[0] = NAME_ID, True
+                    forms.append((named, marked, 1))
+                for f, (hashed, slots, n) in enumerate(forms):
+                    for p, x in enumerate(window_hashes(hashed, size)[:n].tolist()):
+                        own = [plain[i] for i in range(p, p + size) if slots[i]]
+                        fixed = 0 if size == width else size if len(own) == size else f
+                        rows.append((k, p, size, int(np.uint64(x).astype(np.int64)), own, fixed, len(h)))
+            yield pd.DataFrame(rows, columns=["k", "pos", "size", "hash", "slots", "fixed", "n_tokens"])
+
+    rows = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInPandas(cut, WINDOW).withColumnRenamed("k", "item_id")
+
+
+def _hits(frame: DataFrame, sizes: list[int], sieve: np.ndarray) -> DataFrame:
+    """(doc_id, pos, size, hash, slots): template windows of the given sizes in each row's whole text, as far as the sieve passes them."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Tokens()
@@ -75,17 +114,18 @@ def _windows(frame: DataFrame, key: str, width: int, sieve: np.ndarray | None) -
             rows = []
             for k, text in zip(pdf["k"], pdf["text"], strict=True):
                 h, slot, words = canonical_tokens(text, known)
-                hashes = window_hashes(h, width)
-                at = np.arange(len(hashes)) if sieve is None else np.flatnonzero(sieve[hashes >> np.uint64(64 - SIEVE_BITS)])
-                if len(at):
-                    plain = [w for w in words if w[0] not in ".!?:\n"]
-                    for p in at.tolist():
-                        own = [plain[i] for i in range(p, p + width) if slot[i]]
-                        rows.append((k, p, int(hashes[p].astype(np.int64)), own, len(h)))
-            yield pd.DataFrame(rows, columns=["k", "pos", "hash", "slots", "n_tokens"])
+                plain = None
+                for size in sizes:
+                    hashes = window_hashes(h, size)
+                    at = np.flatnonzero(sieve[hashes >> np.uint64(64 - SIEVE_BITS)])
+                    if len(at):
+                        plain = plain or [w for w in words if w[0] not in ".!?:\n"]
+                        for p in at.tolist():
+                            rows.append((k, p, size, int(hashes[p].astype(np.int64)), [plain[i] for i in range(p, p + size) if slot[i]]))
+            yield pd.DataFrame(rows, columns=["k", "pos", "size", "hash", "slots"])
 
-    rows = frame.select(F.col(key).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(cut, "k long, pos int, hash long, slots array<string>, n_tokens int").withColumnRenamed("k", key)
+    rows = frame.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInPandas(cut, "k long, pos int, size int, hash long, slots array<string>").withColumnRenamed("k", "doc_id")
 
 
 SIEVE_BITS = 24
@@ -103,18 +143,21 @@ def _sieve(windows: DataFrame) -> np.ndarray:
 def leak_matches(docs: DataFrame, benchmark: DataFrame, *, width: int = 8, least_share: float = 0.5) -> DataFrame:
     """(doc_id, item_id, share): texts that hold at least `least_share` of a benchmark item's template tokens in matched windows.
 
-    Windows of `width` template tokens are joined by hash. Windows on one diagonal (document place minus item place) count
-    only if the slots agree: wherever the item repeats a number, name or unit, the document repeats its own.
+    Windows of `width` template tokens, and of the length of each shorter item, are joined by length and hash. Windows on one
+    diagonal (document place minus item place) count only if the slots agree: wherever the item repeats a number, name or unit,
+    the document repeats its own.
     """
-    items = stage(_windows(benchmark.filter(F.col("item_id").isNotNull()), "item_id", width, None), "items")
-    hits = _windows(docs.filter(F.col("doc_id").isNotNull()), "doc_id", width, _sieve(items))
-    one = items.select("item_id", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), F.col("n_tokens").alias("item_tokens")).distinct()
-    pairs = hits.select("doc_id", "pos", "hash", "slots").join(one, "hash").filter(F.size("slots") == F.size("item_slots"))
+    items = stage(_item_windows(benchmark, width), "items")
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())
+    hits = _hits(docs, sizes, _sieve(items))
+    one = items.select("item_id", F.col("pos").alias("item_pos"), "size", "hash", F.col("slots").alias("item_slots"), "fixed", F.col("n_tokens").alias("item_tokens")).distinct()
+    low = lambda c: F.transform(F.slice(c, F.lit(1), F.col("fixed")), F.lower)
+    pairs = hits.join(one, ["size", "hash"]).filter((F.size("slots") == F.size("item_slots")) & (low("slots") == low("item_slots")))
     runs = pairs.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
-        F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("slots"), F.max("item_tokens").alias("item_tokens")
+        F.collect_set(F.struct("item_pos", "size")).alias("at"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("slots"), F.max("item_tokens").alias("item_tokens")
     )
     agree = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item_slots"])))
-    spread = F.flatten(F.transform("at", lambda p: F.sequence(p, p + width - 1)))
+    spread = F.flatten(F.transform("at", lambda p: F.sequence(p["item_pos"], p["item_pos"] + p["size"] - 1)))
     whole = runs.filter(agree).select("doc_id", "item_id", "item_tokens", F.explode(F.array_distinct(spread)).alias("token"))
     share = whole.groupBy("doc_id", "item_id").agg((F.count_distinct("token") / F.max("item_tokens")).alias("share"))
     return share.filter(F.col("share") >= least_share)

@@ -193,6 +193,19 @@ def test_leaks_and_templates(spark):
     assert decontaminate.decontaminate(docs(spark, texts), bench.limit(0)).agg(F.sum("contaminated")).first()[0] == 0
 
 
+def test_short_items_first_names_and_unspaced_scripts(spark):
+    items = ["What is 12% of 250?", "Maria gave all her red apples away", "Berlin was the largest old city there", "北京是中国的首都吗？它有多少人口", "12 km", "Who wrote Hamlet?", "Gold", "ประเทศไทยมีกี่จังหวัด", "...", "Tom sold all nine of the old boats"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    cases = {
+        "so, what is 40% of 90? that": [0], "they say What is 12% of 250?": [0], "they say Peter is 12% of 250": [], "once Maria gave all her red apples away": [1], "once Anna gave all her red apples away": [],
+        "he said Berlin was the largest old city there": [2], "我想问一下北京是中国的首都吗？它有多少人口呢": [3], "北京很大": [], "it is 15 km": [], "it is 12 KM far": [4],
+        "asked who wrote Hamlet": [5], "surely Tolstoy wrote Hamlet": [], "all Gold here": [6], "ถามว่าประเทศไทยมีกี่จังหวัดครับ": [7], "": [],
+        "then Tom sold all nine of the old boats": [9], "then Max sold all nine of the old boats": [9],
+    }
+    got = {r["doc_id"]: r["items"] for r in decontaminate.decontaminate(clashing(docs(spark, list(cases))), bench).collect()}
+    assert {t: got[i] for i, t in enumerate(cases)} == cases
+
+
 # 1, 2, 8: trained operators
 
 
