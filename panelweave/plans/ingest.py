@@ -93,6 +93,15 @@ def _(t):
     return I.upsert(old, new, ["user_id"], "ts").drop("ts")
 
 
+@query("r1_12_upsert_whole", "SELECT event_id, user_id, value, src FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, src DESC) AS n FROM (SELECT event_id, user_id, ts, value, 0 AS src FROM events WHERE event_type IS DISTINCT FROM 'purchase' UNION ALL SELECT event_id, user_id, ts, -value, 1 FROM events WHERE event_type = 'purchase')) WHERE n = 1")
+def _(t):
+    e = t.read("events").select("event_id", "user_id", "ts", "value", "event_type")
+    bought = F.col("event_type").eqNullSafe("purchase")
+    old = e.filter(~bought).drop("event_type").withColumn("src", F.lit(0))
+    new = e.filter(bought).drop("event_type").withColumn("value", -F.col("value")).withColumn("src", F.lit(1))
+    return I.upsert(old, new, ["user_id"], "ts").drop("ts")
+
+
 @query("r1_13_coalescing_merge", sql("panel", "SELECT date, round(coalesce(a.total, b.total), 6) AS total, a.n, round(b.best, 6) AS best FROM (SELECT date, CASE WHEN count(*) % 2 = 0 THEN max(close) END AS total, count(*) AS n FROM panel WHERE market = 'M0' GROUP BY 1) a FULL JOIN (SELECT date, min(close) AS total, max(close) AS best FROM panel WHERE market = 'M1' AND extract(day FROM date) > 3 GROUP BY 1) b USING (date)"))
 def _(t):
     a = t.panel.filter("market = 'M0'").groupBy("date").agg(F.when(F.count("*") % 2 == 0, F.max("close")).alias("total"), F.count("*").alias("n"))
@@ -188,6 +197,11 @@ def _(t):
     return C.join_contract(t.read("orders").select(F.col("o_custkey").alias("k")), t.read("customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k")), ["k"])
 
 
+@query("r2_8_join_contract_whole", "SELECT count(*) FILTER (r IS NULL) AS left_only, count(*) FILTER (l IS NULL) AS right_only, count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS \"both\" FROM (SELECT DISTINCT o_custkey AS k, 1 AS l FROM orders) FULL JOIN (SELECT c_custkey AS k, 1 AS r FROM customer) USING (k)")
+def _(t):
+    return C.join_contract(t.read("orders").select(F.col("o_custkey").alias("k")), t.read("customer").select(F.col("c_custkey").alias("k")), ["k"])
+
+
 @query("r2_9_family_available", sql("ret", "SELECT ticker, date, (r IS NOT NULL OR (CASE WHEN errors > 0 THEN errors END) IS NOT NULL)::INT AS is_available FROM ret"))
 def _(t):
     return t.ret.withColumn("e", F.when(F.col("errors") > 0, F.col("errors"))).select("ticker", "date", C.family_available(["r", "e"]).alias("is_available"))
@@ -252,6 +266,14 @@ def _(t):
     return left.join(J.asof_backward(days, right, on="date", values=["price"]), "date").select("o_orderkey", "price")
 
 
+@query("r3_5_asof_global_whole", "SELECT o.o_orderkey, d.price FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders) o ASOF LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS price FROM lineitem GROUP BY 1) d ON o.date >= d.date")
+def _(t):
+    left = t.read("orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"))
+    right = t.read("lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.max("l_extendedprice").alias("price"))
+    days = left.select("date").distinct()
+    return left.join(J.asof_backward(days, right, on="date", values=["price"]), "date").select("o_orderkey", "price")
+
+
 @query("r3_6_asof_by_entity", sql("panel", "SELECT p.ticker, p.date, e.last_value FROM panel p ASOF LEFT JOIN (SELECT user_id AS ticker, CAST(ts AS DATE) AS date, max(value) AS last_value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) e ON p.ticker = e.ticker AND p.date >= e.date"))
 def _(t):
     right = t.read("events").filter("event_type = 'purchase'").groupBy(F.col("user_id").alias("ticker"), F.to_date("ts").alias("date")).agg(F.max("value").alias("last_value"))

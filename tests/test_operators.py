@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.windows import over, pct_rank
 from panelweave.operators import contracts, crosssection, joins, labels, policy, rolling, stats
+from panelweave.plans import QUERIES
 from panelweave.sources import ingest
 from panelweave.streaming import operators as streaming
 
@@ -67,6 +68,18 @@ def test_asof_and_next_date(spark):
     assert sorted((r["day"], r["effective"]) for r in joins.next_date(ev, cal, at="day").filter("effective is not null").collect()) == [(DAYS[1], DAYS[2]), (dt.date(2026, 1, 3), DAYS[2])]
 
 
+def test_whole_table_queries_leave_no_row_out(spark, tmp_path):
+    day = dt.datetime(2026, 1, 1)
+    spark.createDataFrame([(1, day + dt.timedelta(2), 1)], "o_orderkey long, o_orderdate timestamp, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1, day, 5.0), (97, day - dt.timedelta(9), 1.0)], "l_orderkey long, l_shipdate timestamp, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1,), (3,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(3, day, 7, "view", 2.0), (9, day, 8, "purchase", 4.0)], "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    run = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    assert run("r3_5_asof_global_whole") == [(1, 5.0)]
+    assert [r.asDict() for r in QUERIES["r2_8_join_contract_whole"](spark, str(tmp_path)).collect()] == [{"left_only": 0, "right_only": 1, "both": 1}]
+    assert sorted(r["event_id"] for r in QUERIES["r1_12_upsert_whole"](spark, str(tmp_path)).collect()) == [3, 9]
+
+
 def test_matching_reuse_is_capped(spark):
     pairs = spark.createDataFrame([(c, k, float(abs(c - k))) for c in range(8) for k in (0, 1, 2)], "case_id int, control_id int, penalty double")
     out = joins.reuse_capped(pairs, 2).collect()
