@@ -79,13 +79,13 @@ def correlation_matrix(long: DataFrame, *, least: int = 10, shrink: float | None
     return g.select("a", "b", "n", (corr * (n - 3) / (n - 3 + shrink) if shrink else corr).alias("corr"))
 
 
-def components_of(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 30) -> DataFrame:
-    """(node, component) of an undirected graph: least labels spread over the edges and jump along labels until nothing changes."""
+def components_of(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) of an undirected graph: least labels spread over the edges and jump along labels until nothing changes. Labels only fall, so it ends."""
     from panelweave.operators.iterate import cut_lineage
 
     both = cut_lineage(edges.select(F.col(a).alias("s"), F.col(b).alias("t")).unionByName(edges.select(F.col(b).alias("s"), F.col(a).alias("t"))).distinct())
     labels = cut_lineage(both.groupBy(F.col("s").alias("node")).agg(F.least(F.min("t"), F.col("s")).alias("component")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("t"), F.col("component").alias("c")), "t").groupBy(F.col("s").alias("node")).agg(F.min("c").alias("c"))
         moved = labels.join(near, "node").select("node", F.least("component", "c").alias("component"), F.col("component").alias("old"))
         jump = moved.join(moved.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
@@ -93,7 +93,6 @@ def components_of(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 30
         if new.filter("component <> old").isEmpty():
             return new.drop("old")
         labels = new.drop("old")
-    return labels
 
 
 def auc(long: DataFrame, by: Sequence[str], score: str = "value", target: str = "target") -> DataFrame:
@@ -261,11 +260,17 @@ def bh_qvalues(df: DataFrame, p: str, by: Sequence[str] = (), tie: Sequence[str]
 
 
 def fisher_combine(df: DataFrame, by: Sequence[str], p: str) -> DataFrame:
-    """-2 sum ln p and its chi-square tail for 2k degrees, which is a finite sum."""
+    """-2 sum ln p and its chi-square tail for 2k degrees, which is a finite sum; its terms are summed as logarithms, for groups of any size."""
     g = df.groupBy(*by).agg(F.count(p).alias("k"), (-2.0 * F.sum(F.log(F.greatest(F.col(p), F.lit(1e-300))))).alias("statistic"))
     half = F.col("statistic") / 2
-    tail = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("k") - 1, F.lit(1)).cast("int")), F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")), lambda a, i: F.struct((a["term"] * half / i).alias("term"), (a["sum"] + F.when(i <= F.col("k") - 1, a["term"] * half / i).otherwise(0.0)).alias("sum")), lambda a: a["sum"])
-    return g.withColumn("p", F.exp(-half) * tail)
+    both = lambda x, y: F.greatest(x, y) + F.log1p(F.exp(-F.abs(x - y)))
+
+    def add(a: Column, i: Column) -> Column:
+        term = a["term"] + F.log(half / i)
+        return F.struct(term.alias("term"), F.when(i < F.col("k"), both(a["sum"], term)).otherwise(a["sum"]).alias("sum"))
+
+    tail = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("k") - 1, F.lit(1)).cast("int")), F.struct((-half).alias("term"), (-half).alias("sum")), add, lambda a: a["sum"])
+    return g.withColumn("p", F.when(half > 0, F.least(F.exp(tail), F.lit(1.0))).when(half == 0, 1.0))
 
 
 def ols2(df: DataFrame, by: Sequence[str], y: str, x1: str, x2: str, weight: Column | None = None, least: int = 10) -> DataFrame:

@@ -106,6 +106,11 @@ def _(t):
     return T.components_of(e)
 
 
+@query("r7_14_components_whole")
+def _(t):
+    return T.components_of(t.read("lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") + 7).alias("b")).distinct())
+
+
 @query("r7_15_average_linkage")
 def _(t):
     """Average-linkage clusters of features by 1 - |corr|, cut at 0.7; a scope's few hundred features in one grouped call."""
@@ -321,6 +326,12 @@ def _(t):
     return T.fisher_combine(p, ["market"], "p")
 
 
+@query("r7_46_fisher_whole")
+def _(t):
+    p = t.panel.select("ticker", "market").distinct().withColumn("p", (1 + F.col("ticker") % 40) / 41.0)
+    return T.fisher_combine(p, ["market"], "p")
+
+
 @query("r7_47_weighted_mean", "SELECT l_returnflag, round(sum(l_quantity * l_discount) / sum(l_quantity), 6) AS mean FROM lineitem WHERE l_quantity > 0 GROUP BY 1")
 def _(t):
     return t.read("lineitem").filter("l_quantity > 0").groupBy("l_returnflag").agg((F.sum(F.col("l_quantity") * F.col("l_discount")) / F.sum("l_quantity")).alias("mean"))

@@ -1,6 +1,7 @@
 """Hand-made cases: label boundaries, past-only windows, ties, budgets, joins, sources and streams."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +95,21 @@ def test_components_and_bh(spark):
     assert q == pytest.approx([0.03, 0.04, 0.04])
 
 
+def test_long_chains_and_large_fisher_groups(spark, tmp_path):
+    spark.createDataFrame([(i,) for i in range(1, 1501)], "l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["node"]: r["component"] for r in QUERIES["r7_14_components_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: (i - 1) % 7 + 1 for i in range(1, 1508)}
+    day = dt.datetime(2026, 1, 1)
+    spark.createDataFrame([(i, day, 1.0, "view") for i in range(6000)], "user_id long, ts timestamp, value double, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    for r in QUERIES["r7_46_fisher_whole"](spark, str(tmp_path)).collect():
+        ps = [(1 + i % 40) / 41 for i in range(6000) if i % 3 == int(r["market"][1:])]
+        h = -sum(map(math.log, ps))
+        want = math.fsum(math.exp(-h + i * math.log(h) - math.lgamma(i + 1)) for i in range(len(ps)))
+        assert (r["k"], r["statistic"], r["p"]) == (2000, pytest.approx(2 * h), pytest.approx(want, abs=2e-6))
+    ones = stats.fisher_combine(spark.createDataFrame([("a", 1.0), ("b", 0.2)], "g string, p double"), ["g"], "p")
+    assert {r["g"]: r["p"] for r in ones.collect()} == {"a": 1.0, "b": pytest.approx(0.2)}
+
+
 def test_auc_and_precision_on_known_scores(spark):
     df = spark.createDataFrame([("f", s, y) for s, y in [(0.9, 1), (0.8, 0), (0.8, 1), (0.1, 0)]], "feature string, value double, target int")
     assert stats.auc(df, ["feature"]).first()["auc"] == pytest.approx(0.875)
