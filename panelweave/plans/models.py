@@ -20,12 +20,12 @@ def frame(t: Tables):
 
 @query("r10_8_forward_logistic")
 def _(t):
-    return ml.forward_scores(frame(t), FEATURES, first=4, last=5).select("row_id", "fold_id", "target", "p")
+    return ml.forward_scores(frame(t), FEATURES).select("row_id", "fold_id", "target", "p")
 
 
 @query("r10_8_boosted_trees")
 def _(t):
-    return ml.forward_scores(frame(t), FEATURES, first=5, last=5, kind="boosted", maxIter=5, maxDepth=3).select("row_id", "fold_id", "target", "p")
+    return ml.forward_scores(frame(t), FEATURES, kind="boosted", maxDepth=3).select("row_id", "fold_id", "target", "p")
 
 
 @query("r10_9_entity_models")

@@ -116,6 +116,16 @@ def test_auc_and_precision_on_known_scores(spark):
     assert stats.average_precision(df, ["feature"]).first()["ap"] == pytest.approx((1 + 2 / 3) / 2)
 
 
+@pytest.mark.parametrize("name", ["r10_8_forward_logistic", "r10_8_boosted_trees"])
+def test_forward_queries_score_every_later_fold(spark, name):
+    folder = "/root/testdata/sf0.001"
+    from panelweave.plans.registry import Tables
+
+    want = {(r[0], r[1]) for r in Tables(spark, folder).scored.filter("fold_id >= 2").select("row_id", "fold_id").collect()}
+    got = [(r["row_id"], r["fold_id"]) for r in QUERIES[name](spark, folder).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {f for _, f in got} == {2, 3, 4, 5}
+
+
 def test_sealed_rows_fail_the_job(spark):
     df = spark.createDataFrame([(1,), (-1,)], "x int")
     with pytest.raises(Exception, match="sealed"):
