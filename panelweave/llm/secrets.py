@@ -13,8 +13,11 @@ ASSIGN_LEAST = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Strings that look random but are none of ours to report: placeholders, counting runs, repeated characters, and UUIDs.
-ALLOWED = r"(?i)(example|sample|placeholder|dummy|changeme|your[_-]?|lorem)|0123456789|abcdefghij|(.)\2{7}|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: What looks random but is none of ours to report. A placeholder takes its piece between separators out of a candidate,
+#: counting runs and repeated characters only themselves out of the windows; a UUID has to be all that is left.
+PLACEHOLDER = r"(?<![A-Za-z0-9+])[A-Za-z0-9+]*?(?i:example|sample|placeholder|dummy|changeme|your|lorem)[A-Za-z0-9+]*+[/_=-]*+"
+FILLER = r"(?i)0123456789|abcdefghij|(.)\1{7,}"
+UUID = r"(?i)^[/_=-]*[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}[/_=-]*$"
 
 
 @dataclass(frozen=True)
@@ -83,21 +86,32 @@ def window_entropy(value: Column, alphabet: str, width: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, move, lambda acc: acc["best"])
 
 
-def random_looking(value: Column, width: int, allowed: str) -> Column:
-    """Whether a candidate holds letters and digits, is not on the allow-list, and some window reaches its class's entropy."""
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(allowed)
+def random_looking(value: Column, width: int, filler: str) -> Column:
+    """Whether a string holds letters and digits, is no UUID, and some window without filler reaches its class's entropy."""
+    mixed = (F.length(value) >= width) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(UUID)
     out = F.lit(False)
     for c in reversed(CLASSES):
-        out = F.when(value.rlike(c.pattern), window_entropy(value, c.alphabet, width) >= c.bar).otherwise(out)
+        reaches = F.exists(F.split(value, filler, -1), lambda p: F.when(F.length(p) >= width, window_entropy(p, c.alphabet, width) >= c.bar).otherwise(F.lit(False)))
+        out = F.when(value.rlike(c.pattern), reaches).otherwise(out)
     return F.when(mixed, out).otherwise(F.lit(False))
 
 
-def find_secrets(docs: DataFrame, *, width: int = 20, allowed: str = ALLOWED) -> DataFrame:
+def outside(span: Column, holes: Column) -> Column:
+    """The parts of a span (start, end, kind, value) that no hole covers, as such spans. Holes: an array of structs with start and end."""
+    part = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), span["kind"].alias("kind"), F.substr(span["value"], a - span["start"] + 1, b - a).alias("value"))
+    grow = lambda acc, until: F.when(until > acc["pos"], F.concat(acc["parts"], F.array(part(acc["pos"], until)))).otherwise(acc["parts"])
+    start = F.struct(span["start"].alias("pos"), F.expr("cast(array() as array<struct<start:int,end:int,kind:string,value:string>>)").alias("parts"))
+    places = F.array_sort(F.transform(F.filter(holes, lambda h: (h["start"] < span["end"]) & (span["start"] < h["end"])), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))))
+    return F.aggregate(places, start, lambda acc, h: F.struct(F.greatest(acc["pos"], h["end"]).alias("pos"), grow(acc, h["start"]).alias("parts")), lambda acc: grow(acc, span["end"]))
+
+
+def find_secrets(docs: DataFrame, *, width: int = 20, placeholder: str = PLACEHOLDER, filler: str = FILLER) -> DataFrame:
     """(doc_id, found) for each row of docs (doc_id, text): found is an array of (start, end, kind, value) by start, then kind.
 
-    Kinds: assign, access and hex by pattern, then entropy: candidate strings that overlap none of those and whose windows of
-    `width` characters are random enough for their class. Places are code points, end exclusive. Null and empty texts have
-    none. Rows are handled one by one: repeated rows repeat, an empty table gives an empty result.
+    Kinds: assign, access and hex by pattern, then entropy: what assignments and placeholders leave of a candidate string, if a
+    window of `width` characters without filler is random enough for its class; of such a string the parts outside access and
+    hex spans are reported. Places are code points, end exclusive. Null and empty texts have none. Rows are handled one by one:
+    repeated rows repeat, an empty table gives an empty result.
     """
     text = F.coalesce("text", F.lit(""))
     value = lambda m: F.regexp_extract(m, ASSIGN, 1)
@@ -111,7 +125,12 @@ def find_secrets(docs: DataFrame, *, width: int = 20, allowed: str = ALLOWED) ->
     rank = lambda k: F.when(k == "assign", 0).when(k == "access", 1).when(k == "hex", 2).otherwise(3)
     ordered = lambda spans: F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank(s["kind"]).alias("rank"), s.alias("span")))), lambda x: x["span"])
     base = rows.select("doc_id", F.concat("a", "b", "c").alias("base"), "d")
-    more = F.filter("d", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & random_looking(s["value"], width, allowed))
+    words = lambda s: F.transform(spans_by(s["value"], placeholder, "entropy"), lambda p: F.struct((p["start"] + s["start"]).alias("start"), (p["end"] + s["start"]).alias("end")))
+    assigned = F.transform(F.filter("base", lambda b: b["kind"] == "assign"), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))
+    left = F.flatten(F.transform("d", lambda s: outside(s, F.concat(words(s), assigned))))
+    base = base.withColumn("d", F.when(F.size("d") > 0, left).otherwise(F.col("d")))
+    base = base.withColumn("d", F.filter("d", lambda s: random_looking(s["value"], width, filler)))
+    more = F.flatten(F.transform("d", lambda s: outside(s, F.col("base"))))
     return base.select("doc_id", ordered(F.col("base")).alias("base"), ordered(F.concat("base", more)).alias("found"))
 
 
