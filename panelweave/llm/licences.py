@@ -40,25 +40,35 @@ def _bigrams(words: Column) -> Column:
 
 
 def scan_licences(docs: DataFrame, *, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, n_matches, licence, dice, matches) for each row of docs: its lines that reach `threshold` with a template.
+    """(doc_id, n_matches, licence, dice, matches) for each row of docs: its lines, and runs of lines, that reach `threshold` with a template.
 
-    A line (split at line ends) is compared only with templates whose bigram count lies between t/(2-t) and (2-t)/t times its
-    own, since no other can reach the threshold t. Each line counts for its best template (ties: the first by name). matches:
-    line:licence, comma-joined in line order, lines from 0; licence and dice: the best match (ties: earliest line), else null.
-    Null and empty texts have no matches. Rows are handled one by one: repeated rows repeat, an empty table gives an empty result.
+    A line (split at line ends) or run is compared only with templates whose bigram count lies between t/(2-t) and (2-t)/t times
+    its own, since no other can reach the threshold t. Each line counts for its best template (ties: the first by name). Runs
+    join neighbouring lines of which none reaches the threshold alone; of overlapping runs the best counts (ties: the earliest,
+    then the shortest). matches: line:licence, comma-joined in line order, lines from 0, a run by its first line; licence and
+    dice: the best match (ties: earliest line), else null. Null and empty texts have no matches. Rows are handled one by one:
+    repeated rows repeat, an empty table gives an empty result.
     """
     own = templates or TEMPLATES
     entries = {k: g for k, v in sorted(own.items()) if (g := bigrams_of(v))}
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    least, most = min(map(len, entries.values())) * low, max(map(len, entries.values())) * high
-    marks = sorted({w for g in entries.values() for b in g for w in b.split() if len(w) > 2 and w not in ("the", "and", "with", "may", "you", "are", "not", "any", "this", "that", "use")})
+    most = max(map(len, entries.values())) * high
     text = F.coalesce("text", F.lit(""))
-    lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
-    # A line takes part if its length and one of the templates' own words allow a match: a cheap test before words are split
-    longest = int(most + 2) * 24
-    maybe = F.filter(lines, lambda x: (F.length(x["text"]).between(5, longest)) & x["text"].rlike("(?i)" + "|".join(w for w in marks)))
-    worded = F.transform(maybe, lambda x: F.struct(x["line"].alias("line"), _bigrams(_words(x["text"])).alias("grams")))
-    sized = F.filter(worded, lambda x: F.size(x["grams"]).between(int(least), int(most) + 1))
+    # A match holds t/(2-t) of its template's bigrams, so the whole text does: exact, and most texts end here
+    flat = F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " ")
+
+    def holds(flat: Column) -> Column:
+        out = F.lit(False)
+        for g in entries.values():
+            out = out | (sum((F.contains(flat, F.lit(b)).cast("int") for b in g), F.lit(0)) >= len(g) * low - 1e-9)
+        return out
+
+    # A lambda's variable, so that the flattened text is made once
+    maybe = F.exists(F.array(flat), holds)
+    split = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("line"), _words(x).alias("words")))
+    none = F.expr("cast(array() as array<struct<line:int,words:array<string>>>)")
+    rows = docs.select("doc_id", F.when(maybe, split).otherwise(none).alias("lines"))
+    rows = rows.select("doc_id", F.filter("lines", lambda x: F.size(x["words"]) > 0).alias("lines"))
 
     def best(grams: Column) -> Column:
         found = []
@@ -70,8 +80,23 @@ def scan_licences(docs: DataFrame, *, templates: dict[str, str] | None = None, t
         top = F.array_max(F.transform(F.array(*found), lambda s: s["dice"]))
         return F.element_at(F.filter(F.array(*found), lambda s: s["dice"] == top), 1)
 
-    hits = F.filter(F.transform(sized, lambda x: F.struct(x["line"].alias("line"), best(x["grams"]).alias("best"))), lambda x: x["best"]["dice"] >= threshold)
-    rows = docs.select("doc_id", hits.alias("hits"))
+    sized = F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["line"].alias("end"), best(_bigrams(x["words"])).alias("best")))
+    rows = rows.withColumn("single", F.filter(sized, lambda x: x["best"]["dice"] >= threshold))
+    # The best run starts in a line from which a template's bigram goes on; more worded lines than `longest` have too many bigrams
+    longest, known = int(most) + 2, F.array(*[F.lit(b) for b in sorted({b for g in entries.values() for b in g})])
+    last = F.size("lines")
+    opens = F.filter(F.sequence(F.lit(1), last), lambda i: (i < last) & F.arrays_overlap(_bigrams(F.flatten(F.transform(F.slice("lines", i, F.lit(2)), lambda x: x["words"]))), known))
+    free = lambda a, b: ~F.exists("single", lambda s: s["line"].between(a, b))
+
+    def run(i: Column, k: Column) -> Column:
+        part = F.slice("lines", i, k)
+        return F.struct(F.get(part, F.lit(0))["line"].alias("line"), F.get(part, k - 1)["line"].alias("end"), best(_bigrams(F.flatten(F.transform(part, lambda x: x["words"])))).alias("best"))
+
+    runs = F.flatten(F.transform(opens, lambda i: F.filter(F.transform(F.sequence(F.lit(2), F.least(F.lit(longest), last - i + 1)), lambda k: run(i, k)), lambda r: (r["best"]["dice"] >= threshold) & free(r["line"], r["end"]))))
+    rows = rows.withColumn("runs", F.when(last > 1, runs).otherwise(F.filter("single", lambda s: F.lit(False))))
+    ranked = F.array_sort(F.transform("runs", lambda r: F.struct((-r["best"]["dice"]).alias("cost"), r["line"].alias("line"), r["end"].alias("end"), r.alias("run"))))
+    kept = F.aggregate(F.transform(ranked, lambda x: x["run"]), F.col("single"), lambda acc, r: F.when(F.exists(acc, lambda s: (s["line"] <= r["end"]) & (r["line"] <= s["end"])), acc).otherwise(F.concat(acc, F.array(r))))
+    rows = rows.select("doc_id", F.array_sort(kept).alias("hits"))
     top = F.array_max(F.transform("hits", lambda x: x["best"]["dice"]))
     first = F.get(F.filter("hits", lambda x: x["best"]["dice"] == top), F.lit(0))
     return rows.select(

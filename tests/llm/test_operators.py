@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -167,6 +168,20 @@ def test_licences_by_line(spark):
     assert licences.scan_licences(docs(spark, [])).count() == 0
 
 
+def test_licences_without_long_words_in_long_lines_and_wrapped(spark):
+    def wrapped(name, width, mark="", end="\n"):
+        return end.join(mark + x for x in textwrap.wrap(licences.TEMPLATES[name], width))
+
+    texts = ["CC BY-NC 4.0", "CC BY-SA 4.0", "=" * 1500 + " Released under the MIT License. " + " " * 900, "released under the mit license " * 30]
+    names = ["mit-permission", "bsd", "gpl-header", "apache-2.0-header"]
+    texts += [f"some prose here\n{wrapped(n, w, m)}\nmore prose follows" for n in names for w, m in ((72, " * "), (20, "# "))]
+    texts += [wrapped("bsd", 40, end="\n\n") + "\n\nReleased under the MIT License.\n" + wrapped("mit-permission", 60), "in the\nof the\nterms of\nuse in"]
+    got = {r["doc_id"]: (r["n_matches"], r["licence"], r["matches"]) for r in licences.scan_licences(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(4)] == [(1, "cc-by-nc-4.0", "0:cc-by-nc-4.0"), (1, "cc-by-sa-4.0", "0:cc-by-sa-4.0"), (1, "mit", "0:mit"), (1, "mit", "0:mit")]
+    assert [got[i][1:] for i in range(4, 12)] == [(n, f"1:{n}") for n in names for _ in range(2)]
+    assert got[12][0] == 3 and [x.split(":")[1] for x in got[12][2].split(",")] == ["bsd", "mit", "mit-permission"] and got[13][0] == 0
+
+
 # 6: URLs
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block")]
