@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -9,9 +10,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from panelweave.llm.common import stage
+from panelweave.llm.common import per_text, stage
 
 #: Scripts written without blanks, whose characters are tokens of their own: Thai, Lao, Burmese, Khmer, kana and Han.
 UNSPACED = "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u1000-\u103f\u1050-\u108f\u1780-\u17d3\u3005-\u3007\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff"
@@ -68,99 +70,138 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-WINDOW = "k long, pos int, size int, hash long, slots array<string>, fixed int, n_tokens int"
+def _template(size: int, hashes: list[int], slots: list[list[str]], fixed: list[int]) -> str:
+    """A digest of an item's windows and of what its slots have to fulfil: which of them are equal, and which are fixed words."""
+    order: dict[str, int] = {}
+    shape = [[order.setdefault(x, len(order)) for x in own] for own in slots]
+    words = [[x.lower() for x in own[:n]] for own, n in zip(slots, fixed, strict=True)]
+    return hashlib.sha256(repr((size, hashes, shape, words)).encode()).hexdigest()
 
 
 def _item_windows(benchmark: DataFrame, width: int) -> DataFrame:
-    """(item_id, pos, size, hash, slots, fixed, n_tokens): each item's template windows; an item below `width` tokens has one of its own length.
+    """(item_id, template, windows): each item's template windows (pos, size, hash, slots, fixed, n_tokens); an item below `width` tokens has one of its own length.
 
     A capitalised first token opens the item, but may stand inside a document's sentence, where it is a name: the first window
     comes in both forms. fixed: how many leading slots a document must repeat word for word, so that short templates don't match
-    everything: the first word of a short item that is taken as a name, and all slots of a short item of slots only.
+    everything: the first word of a short item that is taken as a name, and all slots of a short item of slots only. Items of one
+    template are found in the same documents.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(texts: list[str]) -> Iterator[tuple[list[int], dict]]:
         known = _Tokens()
-        for pdf in batches:
-            rows = []
-            for k, text in zip(pdf["k"], pdf["text"], strict=True):
-                h, slot, words = canonical_tokens(text, known)
-                size = min(width, len(h))
-                if not size:
-                    continue
-                plain = [w for w in words if w[0] not in ".!?:\n"]
-                forms = [(h, slot, len(h) - size + 1)]
-                if not slot[0] and known[plain[0]] & CAPITAL:
-                    named, marked = h.copy(), slot.copy()
-                    named[0], marked[0] = NAME_ID, True
-                    forms.append((named, marked, 1))
-                for f, (hashed, slots, n) in enumerate(forms):
-                    for p, x in enumerate(window_hashes(hashed, size)[:n].tolist()):
-                        own = [plain[i] for i in range(p, p + size) if slots[i]]
-                        fixed = 0 if size == width else size if len(own) == size else f
-                        rows.append((k, p, size, int(np.uint64(x).astype(np.int64)), own, fixed, len(h)))
-            yield pd.DataFrame(rows, columns=["k", "pos", "size", "hash", "slots", "fixed", "n_tokens"])
-
-    rows = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(cut, WINDOW).withColumnRenamed("k", "item_id")
-
-
-def _hits(frame: DataFrame, sizes: list[int], sieve: np.ndarray) -> DataFrame:
-    """(doc_id, pos, size, hash, slots): template windows of the given sizes in each row's whole text, as far as the sieve passes them."""
+        rows, templates, windows = [], [], []
+        for k, text in enumerate(texts):
+            h, slot, words = canonical_tokens(text, known)
+            size = min(width, len(h))
+            if not size:
+                continue
+            plain = [w for w in words if w[0] not in ".!?:\n"]
+            forms = [(h, slot, len(h) - size + 1)]
+            if not slot[0] and known[plain[0]] & CAPITAL:
+                named, marked = h.copy(), slot.copy()
+                named[0], marked[0] = NAME_ID, True
+                forms.append((named, marked, 1))
+            own = []
+            for f, (hashed, slots, n) in enumerate(forms):
+                for p, x in enumerate(window_hashes(hashed, size)[:n].tolist()):
+                    held = [plain[i] for i in range(p, p + size) if slots[i]]
+                    fixed = 0 if size == width else size if len(held) == size else f
+                    own.append({"pos": p, "size": size, "hash": int(np.uint64(x).astype(np.int64)), "slots": held, "fixed": fixed, "n_tokens": len(h)})
+            rows.append(k)
+            windows.append(own)
+            templates.append(_template(size, [w["hash"] for w in own], [w["slots"] for w in own], [w["fixed"] for w in own]))
+        yield rows, {"template": templates, "windows": windows}
+
+    rows = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    return per_text(rows, "template string, windows array<struct<pos:int,size:int,hash:bigint,slots:array<string>,fixed:int,n_tokens:int>>", cut)
+
+
+def _rare(windows: DataFrame, least_share: float) -> DataFrame:
+    """windows (template, pos, size, hash, n_tokens, ...) with the flag `rare`.
+
+    Of each template those windows that most templates share are set aside, as far as they cover less than least_share of its
+    tokens. A document that holds least_share of the template holds another of its windows too, so only these have to be looked
+    for, and a passage that many items share leads to none of them.
+    """
+    often = windows.groupBy("size", "hash").agg(F.count_distinct("template").alias("often"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Tokens()
-        for pdf in batches:
-            rows = []
-            for k, text in zip(pdf["k"], pdf["text"], strict=True):
-                h, slot, words = canonical_tokens(text, known)
-                plain = None
-                for size in sizes:
-                    hashes = window_hashes(h, size)
-                    at = np.flatnonzero(sieve[hashes >> np.uint64(64 - SIEVE_BITS)])
-                    if len(at):
-                        plain = plain or [w for w in words if w[0] not in ".!?:\n"]
-                        for p in at.tolist():
-                            rows.append((k, p, size, int(hashes[p].astype(np.int64)), [plain[i] for i in range(p, p + size) if slot[i]]))
-            yield pd.DataFrame(rows, columns=["k", "pos", "size", "hash", "slots"])
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["often", "pos", "hash"], ascending=[False, True, True], kind="stable")
+        covered, rare = np.zeros(int(pdf["n_tokens"].iloc[0]), bool), np.ones(len(pdf), bool)
+        for i, (pos, size, n) in enumerate(zip(pdf["pos"], pdf["size"], pdf["often"], strict=True)):
+            new = int((~covered[pos : pos + size]).sum())
+            if n == 1 or covered.sum() + new >= least_share * len(covered):
+                break
+            covered[pos : pos + size] = True
+            rare[i] = False
+        return pdf.assign(rare=rare)
 
-    rows = frame.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(cut, "k long, pos int, size int, hash long, slots array<string>").withColumnRenamed("k", "doc_id")
+    joined = windows.join(often, ["size", "hash"])
+    return joined.groupBy("template").applyInPandas(choose, T.StructType([*joined.schema, T.StructField("rare", T.BooleanType())]))
 
 
-SIEVE_BITS = 24
+#: Bits of a window's hash that the sieve looks at: 2**SIEVE_BITS flags, eight to a byte, 16 MB whatever the benchmark's size.
+SIEVE_BITS = 27
 
 
 def _sieve(windows: DataFrame) -> np.ndarray:
-    """A flag for each leading SIEVE_BITS bits that some benchmark window has: 16 MB whatever the benchmark's size."""
-    out = np.zeros(1 << SIEVE_BITS, bool)
-    heads = windows.select(F.shiftrightunsigned("hash", 64 - SIEVE_BITS).cast("int").alias("head")).distinct()
-    for (i,) in heads.toLocalIterator():
-        out[i] = True
+    """A flag for each leading SIEVE_BITS bits that some benchmark window has; or-ed together in Spark, eight flags a row."""
+    head = F.shiftrightunsigned("hash", 64 - SIEVE_BITS)
+    bits = windows.select(F.shiftright(head, 3).cast("int").alias("byte"), F.call_function("shiftleft", F.lit(1), F.pmod(head, F.lit(8)).cast("int")).alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(1 << (SIEVE_BITS - 3), np.uint8)
+    for byte, value in bits.toLocalIterator():
+        out[byte] = value
     return out
 
 
+def _hits(frame: DataFrame, sizes: list[int], sieve: np.ndarray) -> DataFrame:
+    """(doc_id, pos, size, hash, slots): template windows of the given sizes in each row's whole text, as far as the sieve passes them."""
+
+    def cut(texts: list[str]) -> Iterator[tuple[list[int], dict]]:
+        known = _Tokens()
+        rows: list[tuple] = []
+        for k, text in enumerate(texts):
+            h, slot, words = canonical_tokens(text, known)
+            plain = None
+            for size in sizes:
+                hashes = window_hashes(h, size)
+                head = hashes >> np.uint64(64 - SIEVE_BITS)
+                at = np.flatnonzero((sieve[head >> np.uint64(3)] >> (head & np.uint64(7)).astype(np.uint8)) & 1)
+                if len(at):
+                    plain = plain or [w for w in words if w[0] not in ".!?:\n"]
+                    rows += [(k, p, size, int(hashes[p].astype(np.int64)), [plain[i] for i in range(p, p + size) if slot[i]]) for p in at.tolist()]
+        own, *values = zip(*rows, strict=True) if rows else [[]] * 5
+        yield own, dict(zip(("pos", "size", "hash", "slots"), values, strict=True))
+
+    rows = frame.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return per_text(rows, "pos int, size int, hash long, slots array<string>", cut)
+
+
 def leak_matches(docs: DataFrame, benchmark: DataFrame, *, width: int = 8, least_share: float = 0.5) -> DataFrame:
     """(doc_id, item_id, share): texts that hold at least `least_share` of a benchmark item's template tokens in matched windows.
 
     Windows of `width` template tokens, and of the length of each shorter item, are joined by length and hash. Windows on one
     diagonal (document place minus item place) count only if the slots agree: wherever the item repeats a number, name or unit,
-    the document repeats its own.
+    the document repeats its own. Items of one template are looked for once; a document meets a template only by windows that
+    aren't set aside as common ones, and only then all of its windows are compared.
     """
     items = stage(_item_windows(benchmark, width), "items")
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())
-    hits = _hits(docs, sizes, _sieve(items))
-    one = items.select("item_id", F.col("pos").alias("item_pos"), "size", "hash", F.col("slots").alias("item_slots"), "fixed", F.col("n_tokens").alias("item_tokens")).distinct()
+    windows = items.dropDuplicates(["template"]).select("template", F.explode("windows").alias("w")).select("template", "w.*").distinct()
+    windows = stage(_rare(windows, least_share), "windows")
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())
+    hits = stage(_hits(docs, sizes, _sieve(windows)), "hits")
+    met = hits.select("doc_id", "size", "hash").distinct().join(windows.filter("rare").select("template", "size", "hash").distinct(), ["size", "hash"]).select("doc_id", "template").distinct()
+    one = windows.select("template", F.col("pos").alias("item_pos"), "size", "hash", F.col("slots").alias("item_slots"), "fixed", F.col("n_tokens").alias("item_tokens"))
     low = lambda c: F.transform(F.slice(c, F.lit(1), F.col("fixed")), F.lower)
-    pairs = hits.join(one, ["size", "hash"]).filter((F.size("slots") == F.size("item_slots")) & (low("slots") == low("item_slots")))
-    runs = pairs.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
+    pairs = met.join(one, "template").join(hits, ["doc_id", "size", "hash"]).filter((F.size("slots") == F.size("item_slots")) & (low("slots") == low("item_slots")))
+    runs = pairs.groupBy("doc_id", "template", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
         F.collect_set(F.struct("item_pos", "size")).alias("at"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("slots"), F.max("item_tokens").alias("item_tokens")
     )
     agree = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item_slots"])))
     spread = F.flatten(F.transform("at", lambda p: F.sequence(p["item_pos"], p["item_pos"] + p["size"] - 1)))
-    whole = runs.filter(agree).select("doc_id", "item_id", "item_tokens", F.explode(F.array_distinct(spread)).alias("token"))
-    share = whole.groupBy("doc_id", "item_id").agg((F.count_distinct("token") / F.max("item_tokens")).alias("share"))
-    return share.filter(F.col("share") >= least_share)
+    whole = runs.filter(agree).select("doc_id", "template", "item_tokens", F.explode(F.array_distinct(spread)).alias("token"))
+    share = whole.groupBy("doc_id", "template").agg((F.count_distinct("token") / F.max("item_tokens")).alias("share")).filter(F.col("share") >= least_share)
+    return share.join(items.select("item_id", "template"), "template").select("doc_id", "item_id", "share")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **match) -> DataFrame:

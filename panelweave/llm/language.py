@@ -10,28 +10,41 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import bounded_sample, with_null_safe_text
+from panelweave.llm.common import bounded_sample, per_text, with_null_safe_text
 
 UNDETERMINED = "und"
 _KINDS: list[np.ndarray] = []
 
 
 def _lower_letters() -> np.ndarray:
-    """For each UTF-16 unit its lower-case form if it is a letter (or half of a pair), else a blank."""
+    """For each code point of the basic plane its lower-case form if it is a letter, else a blank."""
     if not _KINDS:
         table = np.full(65536, 32, np.uint32)
         for i in range(65536):
             c = chr(i)
-            if 0xD800 <= i < 0xE000 or c.isalpha():
+            if c.isalpha():
                 low = c.lower()
                 table[i] = ord(low) if len(low) == 1 else i
         _KINDS.append(table)
     return _KINDS[0]
 
 
+def lower_letters(text: str) -> np.ndarray:
+    """A text's code points, letters in lower case, anything else as blanks."""
+    points = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
+    if not ((points >= 0xD800) & (points < 0xE000)).any():
+        return _lower_letters()[points]
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = _lower_letters()[np.minimum(points, 0xFFFF)]
+    for p in np.unique(points[points > 0xFFFF]).tolist():
+        low = chr(p).lower()
+        out[points == p] = (ord(low) if len(low) == 1 else p) if chr(p).isalpha() else 32
+    return out
+
+
 def ngram_buckets(text: str, bits: int) -> np.ndarray:
     """Buckets of all character 1-, 2- and 3-grams of a whole text, lower case, runs of other characters as one blank; empty without letters."""
-    units = _lower_letters()[np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)]
+    units = lower_letters(text)
     blank = units == 32
     if blank.all():
         return np.zeros(0, np.int64)
@@ -167,23 +180,22 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of docs (doc_id, text), over whole texts.
 
     lang_pred: a language of the model, und with score 0 for texts that are null or without letters, and where the model knows
-    no language; score: its calibrated probability. Repeated rows get equal results; an empty table gives an empty one.
+    no language; score: its calibrated probability. Ids keep their values, nulls too. Repeated rows get equal results; an empty table gives an empty one.
     """
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            names, scores = [], []
-            for text in pdf["text"]:
-                s = model.logits(text) if model.languages else None
-                if s is None:
-                    names.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                p = np.exp((s - s.max()) / model.temperature)
-                p /= p.sum()
-                k = int(p.argmax())
-                names.append(model.languages[k])
-                scores.append(float(p[k]))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": names, "score": scores})
-
-    return with_null_safe_text(docs).mapInPandas(predict, "doc_id long, lang_pred string, score double")
+    def predict(texts: list[str]) -> Iterator[tuple[None, dict]]:
+        names, scores = [], []
+        for text in texts:
+            s = model.logits(text) if model.languages else None
+            if s is None:
+                names.append(UNDETERMINED)
+                scores.append(0.0)
+                continue
+            p = np.exp((s - s.max()) / model.temperature)
+            p /= p.sum()
+            k = int(p.argmax())
+            names.append(model.languages[k])
+            scores.append(float(p[k]))
+        yield None, {"lang_pred": names, "score": scores}
+
+    return per_text(with_null_safe_text(docs), "lang_pred string, score double", predict)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -30,13 +32,43 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def _with(value: Column, use) -> Column:
+    """use(value), with the value made once: it becomes a lambda's variable."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _words(line: Column) -> Column:
     """Lower case, runs of anything but a-z and 0-9 as one blank, split into words."""
     return F.filter(F.split(F.regexp_replace(F.lower(line), r"[^a-z0-9]+", " "), " "), lambda w: w != "")
 
 
 def _bigrams(words: Column) -> Column:
-    return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+    """Distinct neighbouring words, joined by a blank; none of fewer than two words."""
+    return F.when(F.size(words) > 1, F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def _may_hold(text: Column, entries: dict[str, list[str]], low: float) -> Column:
+    """Whether a text may hold a match; false only where it can't.
+
+    A match holds ceil(low * size) of its template's bigrams, so it holds one of any size - ceil(low * size) + 1 of them. Of each
+    template those with the longest words are taken, and a text that holds none of these words (of bigrams without a long
+    word: not the bigram) is out. Then, with its marks turned to blanks, it has to hold enough bigrams of one template.
+    """
+    words, pairs = set(), set()
+    for g in entries.values():
+        for b in sorted(g, key=lambda b: (-max(map(len, b.split())), b))[: len(g) - math.ceil(len(g) * low - 1e-9) + 1]:
+            longer = max(b.split(), key=len)
+            if len(longer) > 5:
+                words.add(longer)
+            else:
+                pairs.add("[^a-z0-9]+".join(b.split()))
+    needles = sorted(w for w in words if not any(v != w and v in w for v in words))
+    lower = F.lower(text)
+    tests = lambda t: [*(F.contains(t, F.lit(w)) for w in needles), *([t.rlike("|".join(sorted(pairs)))] if pairs else [])]
+    some = F.exists(F.array(lower), lambda t: functools.reduce(lambda a, b: a | b, tests(t)))
+    held = lambda t, g: sum((F.contains(t, F.lit(b)).cast("int") for b in g), F.lit(0)) >= len(g) * low - 1e-9
+    enough = F.exists(F.array(F.regexp_replace(lower, r"[^a-z0-9]+", " ")), lambda t: functools.reduce(lambda a, b: a | b, (held(t, g) for g in entries.values())))
+    return F.when(some, enough).otherwise(F.lit(False))
 
 
 def scan_licences(docs: DataFrame, *, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
@@ -45,64 +77,54 @@ def scan_licences(docs: DataFrame, *, templates: dict[str, str] | None = None, t
     A line (split at line ends) or run is compared only with templates whose bigram count lies between t/(2-t) and (2-t)/t times
     its own, since no other can reach the threshold t. Each line counts for its best template (ties: the first by name). Runs
     join neighbouring lines of which none reaches the threshold alone; of overlapping runs the best counts (ties: the earliest,
-    then the shortest). matches: line:licence, comma-joined in line order, lines from 0, a run by its first line; licence and
+    then the shortest; a run holds at most so many worded lines as the largest size bound has bigrams, and two).
+    matches: line:licence, comma-joined in line order, lines from 0, a run by its first line; licence and
     dice: the best match (ties: earliest line), else null. Null and empty texts have no matches. Rows are handled one by one:
     repeated rows repeat, an empty table gives an empty result.
     """
     own = templates or TEMPLATES
     entries = {k: g for k, v in sorted(own.items()) if (g := bigrams_of(v))}
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    most = max(map(len, entries.values())) * high
-    text = F.coalesce("text", F.lit(""))
-    # A match holds t/(2-t) of its template's bigrams, so the whole text does: exact, and most texts end here
-    flat = F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " ")
-
-    def holds(flat: Column) -> Column:
-        out = F.lit(False)
-        for g in entries.values():
-            out = out | (sum((F.contains(flat, F.lit(b)).cast("int") for b in g), F.lit(0)) >= len(g) * low - 1e-9)
-        return out
-
-    # A lambda's variable, so that the flattened text is made once
-    maybe = F.exists(F.array(flat), holds)
-    split = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("line"), _words(x).alias("words")))
-    none = F.expr("cast(array() as array<struct<line:int,words:array<string>>>)")
-    rows = docs.select("doc_id", F.when(maybe, split).otherwise(none).alias("lines"))
-    rows = rows.select("doc_id", F.filter("lines", lambda x: F.size(x["words"]) > 0).alias("lines"))
+    names, low, high = list(entries), threshold / (2 - threshold), (2 - threshold) / threshold
+    longest = int(max(map(len, entries.values())) * high) + 2
+    known = F.array(*[F.lit(b) for b in sorted({b for g in entries.values() for b in g})])
+    table = F.array(*[F.struct(F.lit(-i).alias("rank"), F.lit(len(g)).alias("size"), F.array(*map(F.lit, g)).alias("grams")) for i, g in enumerate(entries.values())])
 
     def best(grams: Column) -> Column:
-        found = []
-        for name, g in entries.items():
-            n = F.size(grams)
-            fits = (n >= len(g) * low) & (n <= len(g) * high)
-            shared = F.size(F.array_intersect(grams, F.array(*map(F.lit, g))))
-            found.append(F.struct(F.when(fits, 2.0 * shared / (n + len(g))).otherwise(F.lit(0.0)).alias("dice"), F.lit(name).alias("name")))
-        top = F.array_max(F.transform(F.array(*found), lambda s: s["dice"]))
-        return F.element_at(F.filter(F.array(*found), lambda s: s["dice"] == top), 1)
-
-    sized = F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["line"].alias("end"), best(_bigrams(x["words"])).alias("best")))
-    rows = rows.withColumn("single", F.filter(sized, lambda x: x["best"]["dice"] >= threshold))
-    # The best run starts in a line from which a template's bigram goes on; more worded lines than `longest` have too many bigrams
-    longest, known = int(most) + 2, F.array(*[F.lit(b) for b in sorted({b for g in entries.values() for b in g})])
-    last = F.size("lines")
-    opens = F.filter(F.sequence(F.lit(1), last), lambda i: (i < last) & F.arrays_overlap(_bigrams(F.flatten(F.transform(F.slice("lines", i, F.lit(2)), lambda x: x["words"]))), known))
-    free = lambda a, b: ~F.exists("single", lambda s: s["line"].between(a, b))
+        """(dice, rank) of the template that is most like the bigrams; only templates within the size bounds are compared."""
+        n = F.size(grams)
+        like = lambda t: F.when((n >= t["size"] * low) & (n <= t["size"] * high), 2.0 * F.size(F.array_intersect(grams, t["grams"])) / (n + t["size"])).otherwise(F.lit(0.0))
+        return F.array_max(F.transform(table, lambda t: F.struct(like(t).alias("dice"), t["rank"].alias("rank"))))
+
+    def judged(words: Column) -> Column:
+        return _with(_bigrams(words), best)
 
-    def run(i: Column, k: Column) -> Column:
-        part = F.slice("lines", i, k)
-        return F.struct(F.get(part, F.lit(0))["line"].alias("line"), F.get(part, k - 1)["line"].alias("end"), best(_bigrams(F.flatten(F.transform(part, lambda x: x["words"])))).alias("best"))
+    def run(part: Column) -> Column:
+        joined = judged(F.flatten(F.transform(part, lambda x: x["words"])))
+        return F.struct(F.element_at(part, 1)["line"].alias("line"), F.element_at(part, -1)["line"].alias("end"), joined.alias("best"))
 
-    runs = F.flatten(F.transform(opens, lambda i: F.filter(F.transform(F.sequence(F.lit(2), F.least(F.lit(longest), last - i + 1)), lambda k: run(i, k)), lambda r: (r["best"]["dice"] >= threshold) & free(r["line"], r["end"]))))
-    rows = rows.withColumn("runs", F.when(last > 1, runs).otherwise(F.filter("single", lambda s: F.lit(False))))
+    kind = "array<struct<line:int,end:int,best:struct<dice:double,rank:int>>>"
+    none = F.expr(f"cast(array() as {kind})")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.when(_may_hold(text, entries, low), F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("line"), _words(x).alias("words")))).alias("lines"))
+    rows = rows.withColumn("lines", F.filter("lines", lambda x: F.size(x["words"]) > 0))
+    rows = rows.withColumn("single", F.filter(F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["line"].alias("end"), judged(x["words"]).alias("best"))), lambda x: x["best"]["dice"] >= threshold))
+    # The best run starts in a line from which a template's bigram goes on
+    last = F.size("lines")
+    joint = lambda i: F.concat(F.element_at("lines", i)["words"], F.element_at("lines", i + 1)["words"])
+    opens = F.filter(F.sequence(F.lit(1), last - 1), lambda i: F.arrays_overlap(_bigrams(joint(i)), known))
+    free = lambda r: ~F.exists("single", lambda s: s["line"].between(r["line"], r["end"]))
+    from_ = lambda i: F.filter(F.transform(F.sequence(F.lit(2), F.least(F.lit(longest), last - i + 1)), lambda k: _with(F.slice("lines", i, k), run)), lambda r: (r["best"]["dice"] >= threshold) & free(r))
+    rows = rows.withColumn("runs", F.when(last > 1, F.flatten(F.transform(opens, from_))).otherwise(none))
     ranked = F.array_sort(F.transform("runs", lambda r: F.struct((-r["best"]["dice"]).alias("cost"), r["line"].alias("line"), r["end"].alias("end"), r.alias("run"))))
     kept = F.aggregate(F.transform(ranked, lambda x: x["run"]), F.col("single"), lambda acc, r: F.when(F.exists(acc, lambda s: (s["line"] <= r["end"]) & (r["line"] <= s["end"])), acc).otherwise(F.concat(acc, F.array(r))))
-    rows = rows.select("doc_id", F.array_sort(kept).alias("hits"))
-    top = F.array_max(F.transform("hits", lambda x: x["best"]["dice"]))
-    first = F.get(F.filter("hits", lambda x: x["best"]["dice"] == top), F.lit(0))
+    rows = rows.select("doc_id", F.when(F.size("runs") > 0, F.array_sort(kept)).otherwise(F.coalesce("single", none)).alias("hits"))
+    top = F.array_max(F.transform("hits", lambda x: F.struct(x["best"]["dice"].alias("dice"), (-x["line"]).alias("line"), x["best"]["rank"].alias("rank"))))
+    name = lambda rank: F.get(F.array(*map(F.lit, names)), -rank)
+    rows = rows.withColumn("top", top)
     return rows.select(
         "doc_id",
         F.size("hits").cast("long").alias("n_matches"),
-        first["best"]["name"].alias("licence"),
-        F.round(first["best"]["dice"], 6).alias("dice"),
-        F.array_join(F.transform("hits", lambda x: F.concat_ws(":", x["line"].cast("string"), x["best"]["name"])), ",").alias("matches"),
+        name(F.col("top")["rank"]).alias("licence"),
+        F.round(F.col("top")["dice"], 6).alias("dice"),
+        F.array_join(F.transform("hits", lambda x: F.concat_ws(":", x["line"].cast("string"), name(x["best"]["rank"]))), ",").alias("matches"),
     )

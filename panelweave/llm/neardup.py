@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import connected_components, stage, with_null_safe_text
+from panelweave.llm.common import connected_components, discard, per_text, stage, staged, with_null_safe_text
 
 WORD = re.compile(r"\w+")
 
@@ -82,30 +82,27 @@ def least_matches(params: JoinParams) -> list[tuple[int, int]]:
 
 
 def signatures(docs: DataFrame, params: JoinParams) -> DataFrame:
-    """(doc_id, n, h1, h2, sig, keys): shingle count, a 128-bit digest of the shingle set, MinHash values and band keys. Texts without words have n = 0 and no keys."""
+    """(doc_id, content, n, h1, h2, sig, keys): the text's hash, shingle count, a 128-bit digest of the shingle set, MinHash values and band keys. Texts without words have n = 0 and no keys."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(texts: list[str]) -> Iterator[tuple[None, dict]]:
         a, b = _multipliers(params.values)
         mix = np.random.default_rng(77).integers(1, 1 << 62, params.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         tag = np.arange(params.bands, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                s = shingles(text, params.words)
-                if not len(s):
-                    rows.append((0, 0, 0, b"", []))
-                    continue
-                sig = minhash(s, a, b)
-                t = (s ^ (s >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-                key = sig.reshape(params.bands, params.rows).astype(np.uint64) @ mix + tag
-                key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                rows.append((len(s), int(s.sum().astype(np.int64)), int((t ^ (t >> np.uint64(29))).sum().astype(np.int64)), sig.tobytes(), (key ^ (key >> np.uint64(32))).astype(np.int64)))
-            out = pd.DataFrame(rows, columns=["n", "h1", "h2", "sig", "keys"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
-
-    schema = "doc_id long, n long, h1 long, h2 long, sig binary, keys array<long>"
-    return with_null_safe_text(docs).filter(F.col("doc_id").isNotNull()).mapInPandas(sign, schema)
+        rows = []
+        for text in texts:
+            s = shingles(text, params.words)
+            if not len(s):
+                rows.append((0, 0, 0, b"", []))
+                continue
+            sig = minhash(s, a, b)
+            t = (s ^ (s >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+            key = sig.reshape(params.bands, params.rows).astype(np.uint64) @ mix + tag
+            key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            rows.append((len(s), int(s.sum().astype(np.int64)), int((t ^ (t >> np.uint64(29))).sum().astype(np.int64)), sig.tobytes(), (key ^ (key >> np.uint64(32))).astype(np.int64)))
+        yield None, dict(zip(("n", "h1", "h2", "sig", "keys"), zip(*rows, strict=True) if rows else [[]] * 5, strict=True))
+
+    rows = with_null_safe_text(docs).filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("content"), "text")
+    return per_text(rows, "n long, h1 long, h2 long, sig binary, keys array<long>", sign)
 
 
 def _prune(sig_a: np.ndarray, sig_b: np.ndarray, bars: list[tuple[int, int]]) -> np.ndarray:
@@ -209,17 +206,37 @@ def candidate_edges(reps: DataFrame, params: JoinParams) -> DataFrame:
     return stars.unionByName(both.select("src", "dst", "sa", "sb").mapInPandas(prune, "src long, dst long"))
 
 
+def _blocks(groups: DataFrame, params: JoinParams) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts of groups that are one block, texts of larger groups with their block, and the pairs of blocks (root, p, q) of these that can hold a link.
+
+    A group that fits a block is one. In larger ones texts of one first band key, which are likely to be alike, lie together: a
+    block takes several such keys, or a part of a key that has too many texts. Two blocks are a pair if some band key lies in both.
+    """
+    parts = lambda rows, shingles: F.greatest(F.ceil(rows / params.block_rows), F.ceil(shingles / params.block_shingles), F.lit(1)).cast("int")
+    size = groups.groupBy("root").agg(parts(F.count("*"), F.sum("n")).alias("blocks"))
+    sized = stage(groups.join(size, "root"), "sized")
+    large = sized.filter("blocks > 1").withColumn("key", F.element_at("keys", 1))
+    per_key = large.groupBy("root", "key").agg(parts(F.count("*"), F.sum("n")).alias("parts"))
+    some = F.when(F.col("parts") > 1, F.xxhash64("key", F.pmod(F.xxhash64(F.lit(9), "rep"), F.col("parts")))).otherwise(F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")))
+    own = ["root", "rep", "copies", "sig", "content", "keys"]
+    large = stage(large.join(per_key, ["root", "key"]).select(*own, some.alias("block")), "blocks")
+    held = large.select("root", "block", F.explode("keys").alias("key")).distinct()
+    met = held.alias("a").join(held.alias("b"), ["root", "key"]).filter("a.block <= b.block").select("root", F.col("a.block").alias("p"), F.col("b.block").alias("q")).distinct()
+    small = sized.filter("blocks = 1").select(*own, F.lit(0).cast("long").alias("block"))
+    return small, large, met
+
+
 def _verified(groups: DataFrame, texts: DataFrame, params: JoinParams) -> DataFrame:
     """(rep, links, linked_copies, root) parts of all exact links inside candidate groups.
 
-    groups: (rep, root, sig, copies, n). A group of any size is cut into blocks by a hash of the text's id; each pair of blocks is
-    one task, which returns a row for each of its texts that has a link.
+    groups: (rep, root, sig, copies, n, keys, content); texts: (rep, content, text). Each group that fits a block, and each pair
+    of blocks of a larger group, is one task, which returns a row for each of its texts that has a link.
     """
-    size = groups.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("members") / params.block_rows), F.ceil(F.col("shingles") / params.block_shingles)).cast("int")
-    sized = groups.join(size.withColumn("blocks", blocks), "root").withColumn("block", F.pmod(F.xxhash64(F.lit(9), "rep"), F.col("blocks")).cast("int"))
-    each = sized.select("root", "rep", "copies", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "sig")
-    tasks = each.select("root", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "rep", "copies", "block", "sig").join(texts, "rep")
+    small, large, met = _blocks(groups, params)
+    both = met.select("root", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
+    columns = ["root", "p", "q", "rep", "copies", "block", "sig", "content"]
+    tasks = small.withColumns({"p": F.col("block"), "q": F.col("block")}).select(*columns).unionByName(large.join(both, ["root", "block"]).select(*columns))
+    tasks = tasks.join(texts, ["rep", "content"])
     bars = least_matches(params)
 
     def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -254,22 +271,24 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     without words (null, empty) are alone in their class. Null ids are left out; rows that repeat an id count once (the first by
     content). An empty table gives an empty result.
     """
+    mark = staged()
     signed = stage(signatures(docs, params), "signed")
-    sets = signed.groupBy("doc_id").agg(F.min(F.struct("n", "h1", "h2")).alias("s")).select("doc_id", "s.*")
+    sets = signed.groupBy("doc_id").agg(F.min(F.struct("n", "h1", "h2", "content")).alias("s")).select("doc_id", "s.*")
     worded = sets.filter("n > 0")
-    classes = stage(worded.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = classes.join(signed.withColumnRenamed("doc_id", "rep"), ["rep", "n", "h1", "h2"]).dropDuplicates(["rep"])
-    reps = stage(reps.select("rep", "n", "copies", "sig", "keys"), "reps")
+    least = F.min(F.struct(F.col("doc_id").alias("rep"), "content"))
+    classes = stage(worded.groupBy("n", "h1", "h2").agg(least.alias("r"), F.count("*").alias("copies")).select("n", "h1", "h2", "r.*", "copies"), "classes")
+    reps = classes.join(signed.select(F.col("doc_id").alias("rep"), "content", "sig", "keys"), ["rep", "content"]).dropDuplicates(["rep"])
+    reps = stage(reps.select("rep", "content", "n", "copies", "sig", "keys"), "reps")
     groups = stage(connected_components(candidate_edges(reps, params)).withColumnRenamed("node", "rep"), "groups")
-    texts = with_null_safe_text(docs).withColumnRenamed("doc_id", "rep").join(groups.select("rep"), "rep", "left_semi")
-    found = stage(_verified(groups.join(reps.drop("keys"), "rep"), texts.dropDuplicates(["rep"]), params), "links")
+    texts = with_null_safe_text(docs).withColumnRenamed("doc_id", "rep").withColumn("content", F.xxhash64("text")).join(groups.select("rep"), "rep", "left_semi")
+    found = stage(_verified(groups.join(reps, "rep"), texts.dropDuplicates(["rep", "content"]), params), "links")
     total = found.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("linked_copies").alias("linked"))
     joined = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "rep")
     per_class = classes.join(total, "rep", "left").join(joined, "rep", "left")
     per_class = per_class.select("n", "h1", "h2", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("root", "rep").alias("root"))
     out = sets.join(per_class, ["n", "h1", "h2"], "left")
     zero = F.lit(0).cast("long")
-    return out.select(
+    out = out.select(
         "doc_id",
         F.coalesce("root", "doc_id").alias("class_id"),
         F.coalesce("links", zero).alias("n_links"),
@@ -277,6 +296,9 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
         F.coalesce("copies", F.lit(1).cast("long")).alias("n_copies"),
         F.coalesce("linked", zero).alias("n_linked"),
     )
+    out = stage(out, "near-duplicates")
+    discard(docs.sparkSession, mark, keep=1)
+    return out
 
 
 def keep_one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:

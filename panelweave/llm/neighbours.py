@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from panelweave.llm.common import stage
+from panelweave.llm.common import discard, stage, staged
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -65,13 +66,18 @@ def _usable(v: Column) -> Column:
     return v.isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
+def _clean(v: Column) -> Column:
+    """Components as doubles, -0 as 0, so that equal vectors are equal as groups."""
+    return F.transform(v, lambda x: F.when(x == 0, 0.0).otherwise(x.cast("double")))
+
+
 def distinct_vectors(vectors: DataFrame, keep: int, *, salts: int = 64) -> DataFrame:
     """(vid, v, ids): each distinct usable vector once, vid its least vec_id, with its `keep` least ids.
 
     Equal vectors have equal scores, and ties go to smaller ids, so further copies can be in no result. Copies of a very common
     vector are first reduced in salted parts.
     """
-    v = F.transform("embedding", lambda x: F.when(x == 0, 0.0).otherwise(x.cast("double")))
+    v = _clean(F.col("embedding"))
     rows = vectors.filter(F.col("vec_id").isNotNull() & _usable(F.col("embedding"))).select("vec_id", v.alias("v"))
     some = Window.partitionBy("v", "salt").orderBy("vec_id")
     part = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts))).withColumn("r", F.row_number().over(some)).filter(F.col("r") <= keep)
@@ -79,70 +85,163 @@ def distinct_vectors(vectors: DataFrame, keep: int, *, salts: int = 64) -> DataF
     return both.select(F.element_at("ids", 1).alias("vid"), "v", "ids")
 
 
-def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, curves: int = 10, dims: int = 5, bits: int = 6, share: float = 0.15, block_rows: int | None = None, seed: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k vectors of largest inner product that were found, ties to smaller vec_id.
+def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as bytes, in steps of a 127th of their own largest component, and the steps."""
+    step = np.abs(v).max(1) / 127
+    return np.rint(v / step[:, None]).astype(np.int8), step
+
+
+def _matrix(codes: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1).astype(np.float32)
+
+
+KEYED = "size int, curve int, part int, place long, vid long, code binary, step double"
+
+
+def curve_index(unique: DataFrame, total: int, curves: int, dims: int, bits: int, seed: int) -> DataFrame:
+    """(size, curve, place, vid, code, step): each vector's place in each curve's order, among vectors of its length, staged.
 
-    vectors: (vec_id, embedding), all of one length; queries: a condition on vec_id. All rows are indexed: for each curve the
-    vectors are range-partitioned by key, numbered in that order and cut into blocks; a query is compared with the blocks around its
-    own place, `share` of the table in all. Blocks of block_rows (by default a quarter of a window, 16,384 at most) go to a task
-    each, so that a window is a few blocks until tables of 400,000 vectors, and more of the same size beyond. Scores are computed on the original vectors in double precision.
-    Null, zero and non-finite vectors take no part (neither as queries), nor do null ids; equal vectors all count. Results with
-    fewer than k candidates are shorter, and an empty table gives an empty result. Repeated ids count once per distinct vector.
+    One range partitioning by (size, curve, key); rows are numbered as they lie in a partition, and the counts of the partitions
+    before are added. Vectors go along as bytes.
     """
-    unique = stage(distinct_vectors(vectors, k + 1), "vectors")
-    total, length = unique.agg(F.count("*"), F.max(F.size("v"))).first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not total:
-        return vectors.sparkSession.createDataFrame([], T._parse_datatype_string(schema))
-    fit = unique.filter(F.size("v") == length)
-    block_rows = block_rows or min(16_384, max(256, -(-int(share * total) // 4)))
 
     def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys = curve_keys(np.array(pdf["v"].tolist(), float), curves, dims, bits, seed)
-            for c in range(curves):
-                yield pd.DataFrame({"curve": c, "key": keys[:, c], "vid": pdf["vid"]})
-
-    parts = max(8, total * curves // 200_000)
-    keyed = stage(fit.select("vid", "v").mapInPandas(key, "curve int, key long, vid long").repartitionByRange(parts, "curve", "key", "vid").sortWithinPartitions("curve", "key", "vid").withColumn("part", F.spark_partition_id()), "curves")
-    # place in a curve's order: rows of the curve in earlier partitions, and row number inside the partition
-    sizes = keyed.groupBy("curve", "part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("curve", "part", "before")
-    own = Window.partitionBy("curve", "part").orderBy("key", "vid")
-    placed = keyed.withColumn("r", F.row_number().over(own)).join(F.broadcast(before), ["curve", "part"]).select("vid", "curve", (F.expr(f"cast((before + r - 1) div {block_rows} as int)")).alias("block"))
-    blocks = -(-total // block_rows)
-    reach = max(1, round(share * total / block_rows / 2))  # blocks on either side
-    placed = stage(placed.join(fit.select("vid", "v"), "vid"), "placed")
-    clean = F.transform("embedding", lambda x: F.when(x == 0, 0.0).otherwise(x.cast("double")))
-    ids = vectors.filter(queries & F.col("vec_id").isNotNull() & _usable(F.col("embedding"))).select(F.col("vec_id").alias("query_id"), clean.alias("v"))
-    asked = stage(ids.join(fit.select(F.col("vid").alias("qid"), "v"), "v").select("query_id", "qid"), "asked")
-    own_place = placed.join(asked.select(F.col("qid").alias("vid")).distinct(), "vid", "left_semi").withColumnRenamed("vid", "qid")
-    around = F.sequence(F.greatest(F.col("block") - reach, F.lit(0)), F.least(F.col("block") + reach, F.lit(blocks - 1)))
-    targets = own_place.select("qid", F.col("v").alias("q"), F.col("curve").alias("on_curve"), F.explode(around).alias("in_block"))
+            sizes = pdf["v"].map(len).to_numpy()
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                v = np.array(pdf["v"].iloc[at].tolist(), float)
+                keys, (codes, step) = curve_keys(v, curves, dims, bits, seed), quantise(v)
+                vid, packed = pdf["vid"].to_numpy()[at], [c.tobytes() for c in codes]
+                for c in range(curves):
+                    yield pd.DataFrame({"size": size, "curve": c, "key": keys[:, c], "vid": vid, "code": packed, "step": step})
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch.column("size").to_numpy().astype(np.int64) * curves + batch.column("curve").to_numpy()
+            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            place = np.arange(len(group)) - np.repeat(first, np.diff(np.r_[first, len(group)]))
+            place += np.repeat([seen.get(g, 0) for g in group[first].tolist()], np.diff(np.r_[first, len(group)]))
+            last = np.r_[first[1:] - 1, len(group) - 1]
+            seen |= dict(zip(group[last].tolist(), (place[last] + 1).tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column("size"), batch.column("curve"), pa.array(np.full(len(group), part, np.int32)), pa.array(place.astype(np.int64)), *(batch.column(c) for c in ("vid", "code", "step"))], names=[x.split()[0] for x in KEYED.split(", ")])
+
+    rows = unique.select("vid", "v").mapInPandas(key, "size int, curve int, key long, vid long, code binary, step double")
+    dealt = rows.repartitionByRange(max(8, total * curves // 200_000), "size", "curve", "key", "vid").sortWithinPartitions("size", "curve", "key", "vid")
+    return stage(dealt.mapInArrow(number, KEYED), "curves")
+
+
+def _placed(index: DataFrame) -> DataFrame:
+    """The index with places counted over all partitions of a curve."""
+    sizes = index.groupBy("size", "curve", "part").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("size", "curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return index.join(before, ["size", "curve", "part"]).select("size", "curve", (F.col("place") + F.col("before")).alias("place"), "vid", "code", "step")
+
+
+def _calibrated(index: DataFrame, unique: DataFrame, asked: DataFrame, total: int, *, k: int, sample: int, target: float) -> int:
+    """The least number of rows in a block for which a query's own block and its neighbours, over all curves, hold `target` of the nearest.
+
+    Measured on at most `sample` queries (the hash's least, all of them from one bounded sample) against all vectors. What the
+    driver gets is a place for each curve of these queries and of their k nearest.
+    """
+    few = asked.select("qid").distinct().orderBy(F.xxhash64("qid"), "qid").limit(sample).join(unique.select(F.col("vid").alias("qid"), "v"), "qid").collect()
+    groups = {}
+    for qid, v in few:
+        groups.setdefault(len(v), []).append((qid, v))
+    groups = {n: (np.array([x[0] for x in g]), np.array([x[1] for x in g], float)) for n, g in groups.items()}
+
+    def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sizes = pdf["v"].map(len).to_numpy()
+            for size, (qid, q) in groups.items():
+                at = np.flatnonzero(sizes == size)
+                if len(at):
+                    s = q @ np.array(pdf["v"].iloc[at].tolist(), float).T
+                    vid = pdf["vid"].to_numpy()[at]
+                    s[qid[:, None] == vid[None, :]] = -np.inf
+                    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    found = pd.DataFrame({"qid": np.repeat(qid, best.shape[1]), "vid": vid[best].ravel(), "s": np.take_along_axis(s, best, 1).ravel()})
+                    yield found[np.isfinite(found["s"])]
+
+    by = Window.partitionBy("qid").orderBy(F.desc("s"), "vid")
+    near = unique.select("vid", "v").mapInPandas(top, "qid long, vid long, s double").withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k).select("qid", "vid").collect()
+    if not near:
+        return 256
+    wanted = asked.sparkSession.createDataFrame(pd.DataFrame({"vid": sorted({x for r in near for x in r} | {r[0] for r in few})}, dtype="int64"), "vid long")
+    place = index.join(F.broadcast(wanted), "vid").select("vid", "curve", "place").toPandas().pivot(index="vid", columns="curve", values="place")
+    q, x = (place.loc[[r[i] for r in near]].to_numpy() for i in (0, 1))
+    rows = 64
+    while rows < total and (np.abs(q // rows - x // rows).min(1) <= 1).mean() < target:
+        rows = rows * 11 // 10 + 1
+    return rows
+
+
+def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, curves: int = 24, dims: int = 20, bits: int = 3, target: float = 0.94, sample: int = 256, window: int | None = None, most_rows: int = 65_536, seed: int = 5) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's k vectors of largest inner product that were found, ties to smaller vec_id.
+
+    vectors: (vec_id, embedding); queries: a condition on vec_id. All rows are indexed: for each of `curves` shifted Hilbert
+    curves over `dims` projected dimensions of `bits` bits the vectors are range-partitioned by key, numbered in that order and
+    cut into blocks of `window` rows; a query is compared with its own block and the two beside it. Without `window` the blocks
+    are as small as lets a sample of `sample` queries find `target` of its true neighbours: of constant size where vectors lie in
+    clusters, a share of the table where they lie like noise. Blocks hold at most most_rows rows; a wider window takes more of
+    them. In a block vectors are compared as bytes, and the best 2k + 1 are scored again on the original vectors in
+    double precision.
+    Null, zero and non-finite vectors take no part (neither as queries), nor do null ids; equal vectors all count. Vectors of
+    different lengths are never compared. Results with fewer than k candidates are shorter, and an empty table gives an empty
+    result. Repeated ids count once per distinct vector.
+    """
+    spark, mark = vectors.sparkSession, staged()
+    unique = stage(distinct_vectors(vectors, k + 1), "vectors")
+    total = unique.count()
+    ids = vectors.filter(queries & F.col("vec_id").isNotNull() & _usable(F.col("embedding"))).select(F.col("vec_id").alias("query_id"), _clean(F.col("embedding")).alias("v"))
+    asked = stage(ids.join(unique.select(F.col("vid").alias("qid"), "v"), "v").select("query_id", "qid"), "asked")
+    index = _placed(curve_index(unique, total, curves, dims, bits, seed))
+    window = window or _calibrated(index, unique, asked, total, k=k, sample=sample, target=target)
+    rows = min(window, most_rows)
+    reach, keep = -(-window // rows), 2 * k + 1
+    placed = index.select("size", "curve", (F.expr(f"place div {rows}")).cast("int").alias("block"), "vid", "code", "step")
+    own = placed.join(asked.select(F.col("qid").alias("vid")).distinct(), "vid", "left_semi")
+    targets = own.select("size", "curve", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"), F.col("vid").alias("qid"), "code").filter("block >= 0")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"qid": np.zeros(0, np.int64), "found": []})
-        q, c = np.array(left["q"].tolist(), float), np.array(right["v"].tolist(), float)
-        vid = right["vid"].to_numpy()
-        qid, out = left["qid"].to_numpy(), []
-        for i in range(0, len(q), 512):
-            s = q[i : i + 512] @ c.T
-            top = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, : k + 1] if s.shape[1] > k + 1 else np.broadcast_to(np.arange(s.shape[1]), s.shape)
-            for row, at in enumerate(top):
-                edge = s[row, at].min()
-                more = np.flatnonzero(s[row] >= edge - 1e-12) if s.shape[1] > k + 1 else at
-                out.append((int(qid[i + row]), sorted(((float(s[row, j]), int(vid[j])) for j in more), key=lambda x: (-x[0], x[1]))[: k + 1]))
-        return pd.DataFrame({"qid": [o[0] for o in out], "found": [[{"s": a, "vid": b} for a, b in o[1]] for o in out]})
-
-    found = targets.groupBy("on_curve", "in_block").cogroup(placed.groupBy("curve", "block")).applyInPandas(compare, "qid long, found array<struct<s:double,vid:long>>")
-    near = found.select("qid", F.explode("found").alias("f")).groupBy("qid", F.col("f.vid").alias("vid")).agg(F.max("f.s").alias("s"))
-    few = near.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "vid"))).filter(F.col("r") <= 2 * k)
-    exact = few.join(fit, "vid").join(fit.select(F.col("vid").alias("qid"), F.col("v").alias("q")), "qid")
+            return pd.DataFrame({"qid": np.zeros(0, np.int64), "vid": [], "s": []})
+        q, c = _matrix(left["code"]), _matrix(right["code"]) * right["step"].to_numpy(np.float32)[:, None]
+        qid, vid, out = left["qid"].to_numpy(), right["vid"].to_numpy(), []
+        many = max(1, 4_000_000 // len(c))
+        for i in range(0, len(q), many):
+            s = q[i : i + many] @ c.T
+            at = np.argpartition(-s, keep, axis=1)[:, :keep] if s.shape[1] > keep else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+            out.append((at, np.take_along_axis(s, at, 1)))
+        at, s = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"qid": qid, "vid": list(vid[at]), "s": list(s)})
+
+    home = placed.select(F.col("size").alias("in_size"), F.col("curve").alias("in_curve"), F.col("block").alias("in_block"), "vid", "code", "step")
+    pairs = targets.groupBy("size", "curve", "block").cogroup(home.groupBy("in_size", "in_curve", "in_block")).applyInPandas(compare, "qid long, vid array<long>, s array<float>")
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for qid, some in pdf.groupby("qid", sort=False):
+            vid, s = np.concatenate(some["vid"].to_list()), np.concatenate(some["s"].to_list())
+            vid, first = np.unique(vid, return_index=True)
+            best = vid[np.lexsort((vid, -s[first]))[: keep + 1]]
+            out.append(pd.DataFrame({"qid": qid, "vid": best}))
+        return pd.concat(out)
+
+    lists = max(8, asked.count() // 300)
+    few = pairs.withColumn("some", F.pmod(F.xxhash64("qid"), F.lit(lists))).groupBy("some").applyInPandas(merge, "qid long, vid long")
+    found = stage(few, "found")
+    exact = found.join(unique, "vid").join(unique.select(F.col("vid").alias("qid"), F.col("v").alias("q")), "qid")
     score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     # of a distinct query's candidates k+1 at most can be among a query's k, whichever copy asks
     each = exact.select("qid", score.alias("score"), F.explode("ids").alias("vec_id"))
     best = each.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1).drop("r")
-    rows = asked.join(best, "qid").filter("vec_id <> query_id")
+    hits = asked.join(best, "qid").filter("vec_id <> query_id")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return rows.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = hits.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = stage(ranked, "neighbours")
+    discard(spark, mark, keep=1)
+    return out

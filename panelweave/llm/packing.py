@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import struct
@@ -15,16 +16,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import stage, with_null_safe_text
+from panelweave.llm.common import per_text, stage, with_null_safe_text
 
 #: Words whose ids a worker remembers, in each of two generations.
 REMEMBERED = 200_000
 #: The tokenizer file's pattern of words: contractions, runs of letters, single digits, runs of anything else but blanks.
 WORDS = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\w\s]|_)+")
 #: Numerals that count as letters to the pattern above, characters whose lower case depends on others or grows, blanks that not
-#: all count as such, and everything beyond the basic plane.
-_NUMERALS = "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) in ("No", "Nl"))
-ODD = re.compile("[\u03a3\u0130\x1c-\x1f\x85\u180e\u200b\U00010000-\U0010ffff" + _NUMERALS + "]")
+#: all count as such, characters younger than Unicode 3.2, whose kind depends on how new a table is, and everything beyond the
+#: basic plane.
+_DOUBTFUL = "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) in ("No", "Nl") or unicodedata.ucd_3_2_0.category(c) in ("Cn", "Cs"))
+ODD = re.compile("[\u03a3\u0130\x1c-\x1f\x85\u180e\u200b\U00010000-\U0010ffff" + _DOUBTFUL + "]")
 
 
 def _plain(text: str) -> bool:
@@ -114,19 +116,18 @@ def word_ids(path: str) -> WordIds:
 def token_pieces(docs: DataFrame, tokenizer_path: str, *, most: int = 4096) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each row's ids and then id 1, cut into pieces of `most` tokens only where longer.
 
-    A null text is an empty one, whose only token is id 1. Repeated rows give repeated pieces.
+    A null text is an empty one, whose only token is id 1. Ids keep their values, nulls too. Repeated rows give repeated pieces.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = word_ids(tokenizer_path)
-        for pdf in batches:
-            rows = []
-            for doc_id, data in zip(pdf["doc_id"], ids(pdf["text"].tolist()), strict=True):
-                data += END
-                rows += [(doc_id, i // (4 * most), i // 4, len(part := data[i : i + 4 * most]) // 4, zlib.crc32(part)) for i in range(0, len(data), 4 * most)]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+    def cut(texts: list[str]) -> Iterator[tuple[list[int], dict]]:
+        rows: list[tuple[int, int, int, int, int]] = []
+        for k, data in enumerate(word_ids(tokenizer_path)(texts)):
+            data += END
+            rows += [(k, i // (4 * most), i // 4, len(part := data[i : i + 4 * most]) // 4, zlib.crc32(part)) for i in range(0, len(data), 4 * most)]
+        own, *values = zip(*rows, strict=True) if rows else [[]] * 5
+        yield own, dict(zip(("piece", "start", "length", "ids_crc32"), values, strict=True))
 
-    return with_null_safe_text(docs).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return per_text(with_null_safe_text(docs), "piece int, start long, length long, ids_crc32 long", cut)
 
 
 def best_fit(sizes: np.ndarray, limits: BinLimits) -> tuple[np.ndarray, np.ndarray]:
@@ -179,14 +180,16 @@ def _pack_groups(pieces: DataFrame, groups: int, limits: BinLimits, base: int) -
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, limits: BinLimits = BinLimits(), group_rows: int = 12_000, refill: float = 0.97) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every row of docs (doc_id, text).
 
-    Pieces of full length are sequences of their own. The others are dealt by hash to groups of about group_rows, packed
+    Texts are cut only where longer than a sequence, or than what the attention limit lets a piece have. Pieces of a sequence's
+    length are sequences of their own. The others are dealt by hash to groups of about group_rows, packed
     largest first by best_fit; what lies in sequences filled below `refill` is dealt and packed a second time, in fewer
     groups. Each sequence keeps every limit, and its pieces lie gapless from offset 0. Null or empty texts take one token;
     repeated rows are packed like others; an empty table gives an empty result.
     """
-    if limits.documents < 1 or limits.attention < limits.tokens**2:
-        raise ValueError("a single piece of full length must fit the limits")
-    cut = token_pieces(docs, tokenizer_path, most=limits.tokens)
+    if limits.documents < 1 or limits.tokens < 1 or limits.attention < 1:
+        raise ValueError("a piece of one token must fit the limits")
+    most = min(limits.tokens, math.isqrt(limits.attention))
+    cut = token_pieces(docs, tokenizer_path, most=most)
     pieces = stage(cut.withColumn("pid", F.monotonically_increasing_id()), "pieces")
     whole = pieces.filter(F.col("length") == limits.tokens).select("pid", (-1 - F.col("pid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.filter(F.col("length") < limits.tokens)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelweave.llm.common import bounded_sample, stage, with_null_safe_text
+from panelweave.llm.common import bounded_sample, per_text, stage, with_null_safe_text
 
 N_FEATURES = 22
 
@@ -57,19 +59,28 @@ def text_features(text: str) -> list[float]:
     return out
 
 
+def with_features(frame: DataFrame, text: str, name: str) -> DataFrame:
+    """frame without its text column (whose nulls count as empty), and the features of each whole text beside its other columns."""
+
+    def shape(texts: list[str]) -> Iterator[tuple[None, dict]]:
+        yield None, {name: [text_features(t or "") for t in texts]}
+
+    return per_text(frame, f"{name} array<double>", shape, text)
+
+
 def feature_table(docs: DataFrame) -> DataFrame:
     """(doc_id, features) of every whole text, written to the shared folder: the texts are read once."""
+    return stage(with_features(with_null_safe_text(docs), "text", "features"), "quality")
 
-    def shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "features": [text_features(t) for t in pdf["text"]]})
 
-    return stage(with_null_safe_text(docs).mapInPandas(shape, "doc_id long, features array<double>"), "quality")
+#: Deviations count as at least so much: a share of characters, any other feature. What hardly varies in training says little when it is a little off.
+LEAST_SCALE = np.r_[np.full(11, 0.02), np.full(N_FEATURES - 11, 0.05)]
+REACH = 4.0
 
 
 @dataclass
 class PuModel:
-    """Standardised features, random tanh units, and a linear layer; prior is the estimated share of positives."""
+    """Standardised features, kept within REACH deviations, random tanh units, and a linear layer; prior is the estimated share of positives."""
 
     mean: np.ndarray
     scale: np.ndarray
@@ -78,82 +89,144 @@ class PuModel:
     prior: float
 
     def expand(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -6, 6)
+        z = np.clip((x - self.mean) / self.scale, -REACH, REACH)
         return np.hstack([np.ones((len(z), 1)), z, np.tanh(z @ self.units[1:] + self.units[0])])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.expand(x) @ self.weights, -30, 30)))
 
 
-def _descend(phi_p: np.ndarray, phi_u: np.ndarray, prior: float, steps: int, rate: float, decay: float) -> np.ndarray:
-    """Adam on the non-negative risk prior*R_p(+) + max(0, R_u(-) - prior*R_p(-)) with the logistic loss; where the second part is negative its gradient is reversed."""
-    w = np.zeros(phi_p.shape[1])
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
-        sp, su = (1 / (1 + np.exp(-np.clip(phi @ w, -30, 30))) for phi in (phi_p, phi_u))
-        rest = -np.log(1 - su + 1e-12).mean() + prior * np.log(1 - sp + 1e-12).mean()
-        negative = phi_u.T @ su / len(su) - prior * (phi_p.T @ sp) / len(sp)
-        grad = (prior * (phi_p.T @ (sp - 1)) / len(sp) + negative) if rest >= 0 else -negative
-        grad = grad + decay * w
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+def matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, N_FEATURES)
+
+
+def total(features: DataFrame, part: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """Sum over all rows of features of part(their matrix), a vector of `size` numbers: each task adds up its rows, then Spark adds up the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size)
+        for batch in batches:
+            x = matrix(batch.column(0))
+            for i in range(0, len(x), 4096):
+                out += part(x[i : i + 4096])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(out)], names=["place", "value"])
+
+    got = features.select("features").mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).orderBy("place").toPandas()
+    return got["value"].to_numpy() if len(got) else np.zeros(size)
+
+
+def risks(s_p: np.ndarray, u_negative: float, prior: float) -> tuple[float, float]:
+    """Of positives' scores and the unlabelled's mean loss as negatives: the positives' risk as positives, and the risk of negatives, which is that of the unlabelled less the positives' share."""
+    return prior * float(np.logaddexp(0, -s_p).mean()), u_negative - prior * float(np.logaddexp(0, s_p).mean())
+
+
+def curvature(phi: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Rows' sums of: 1, the loss as negatives, its gradient, and its second derivatives (as one vector)."""
+    s = phi @ w
+    p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+    return np.r_[len(phi), np.logaddexp(0, s).sum(), p @ phi, (phi.T @ (phi * (p * (1 - p))[:, None])).ravel()]
+
+
+def minimise(phi_p: np.ndarray, unlabelled: Callable[[np.ndarray], np.ndarray], prior: float | None, *, steps: int, decay: float) -> np.ndarray:
+    """Newton steps on the non-negative risk prior*R_p(+) + max(0, R_u(-) - prior*R_p(-)), logistic loss with weight decay.
+
+    unlabelled: gives for weights the sums of `curvature` over all unlabelled rows. A step is halved until the risk falls and the
+    part of the negatives isn't negative, so weights that only fit the sample's noise are never taken. With the logistic loss
+    R_p(+) - R_p(-) is linear, so the second derivatives are those of R_u(-). Without a prior: positives against unlabelled
+    rows, each class weighing the same.
+    """
+    size = phi_p.shape[1]
+    ridge = np.full(size, decay)
+    ridge[0] = decay * 1e-3
+
+    def measure(w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+        sums = unlabelled(w)
+        n, loss, grad, hess = sums[0], sums[1] / sums[0], sums[2 : 2 + size] / sums[0], sums[2 + size :].reshape(size, size) / sums[0]
+        s_p = phi_p @ w
+        p = 1 / (1 + np.exp(-np.clip(s_p, -30, 30)))
+        if prior is None:
+            return float(np.logaddexp(0, -s_p).mean()) + loss + ridge @ (w * w) / 2, 0.0, (p - 1) @ phi_p / len(p) + grad + ridge * w, (phi_p.T @ (phi_p * (p * (1 - p))[:, None])) / len(p) + hess
+        plus, rest = risks(s_p, loss, prior)
+        return plus + max(rest, 0.0) + ridge @ (w * w) / 2, rest, grad - prior * phi_p.mean(0) + ridge * w, hess
+
+    w = np.zeros(size)
+    now = measure(w)
+    for _ in range(steps):
+        step = np.linalg.solve(now[3] + np.diag(ridge + 1e-9), now[2])
+        for share in (1.0, 0.5, 0.25, 0.125, 0.0625):
+            new = measure(w - share * step)
+            if new[0] < now[0] and new[1] >= 0:
+                break
+        else:
+            return w
+        w, gain, now = w - share * step, now[0] - new[0], new
+        if gain < 1e-6:
+            break
     return w
 
 
-def estimate_prior(score_p: np.ndarray, score_u: np.ndarray, confidence: float = 0.1) -> float:
-    """Least ratio, over thresholds, of the unlabelled share above to the positive share above, with a bound for its sampling error."""
+def estimate_prior(score_p: np.ndarray, above_u: Callable[[np.ndarray], np.ndarray], n_u: int, confidence: float = 0.1) -> float:
+    """Least ratio, over thresholds, of the unlabelled share above (by above_u) to the positive share above, with a bound for its sampling error."""
     cuts = np.quantile(score_p, np.linspace(0, 0.9, 181))
     above_p = 1 - np.searchsorted(np.sort(score_p), cuts, side="left") / len(score_p)
-    above_u = 1 - np.searchsorted(np.sort(score_u), cuts, side="left") / len(score_u)
-    slack = np.sqrt(np.log(4 / confidence) / 2) * (1 / np.sqrt(len(score_p)) + 1 / np.sqrt(len(score_u)))
-    best = np.argmin((above_u + slack) / np.maximum(above_p, 1e-9))
-    return float(np.clip(above_u[best] / max(above_p[best], 1e-9), 0.01, 0.99))
-
-
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, *, hidden: int = 64, steps: int = 600, rate: float = 0.03, decay: float = 1e-5, seed: int = 7) -> PuModel:
-    """Fit on two bounded matrices: a separator of positives from unlabelled texts gives the prior, then the non-negative risk is minimised with it."""
-    both = np.vstack([positive, unlabelled])
-    rng = np.random.default_rng(seed)
-    model = PuModel(both.mean(0), both.std(0) + 1e-3, rng.normal(0, 1, (both.shape[1] + 1, hidden)) / np.sqrt(both.shape[1]), np.zeros(0), 0.5)
-    phi_p, phi_u = model.expand(positive), model.expand(unlabelled)
-    apart = _descend(phi_p, phi_u, 0.5, steps // 2, rate, 1e-3)
-    model.prior = estimate_prior(phi_p @ apart, phi_u @ apart)
-    model.weights = _descend(phi_p, phi_u, model.prior, steps, rate, decay)
-    return model
+    above = above_u(cuts)
+    slack = np.sqrt(np.log(4 / confidence) / 2) * (1 / np.sqrt(len(score_p)) + 1 / np.sqrt(n_u))
+    best = np.argmin((above + slack) / np.maximum(above_p, 1e-9))
+    return float(np.clip(above[best] / max(above_p[best], 1e-9), 0.01, 0.99))
 
 
-def train_quality(features: DataFrame, positives: DataFrame, *, max_positive: int = 12_000, max_unlabelled: int = 12_000, **fit) -> PuModel:
-    """Train on at most max_positive trusted positives (a table of doc_id) and max_unlabelled other rows of `features`.
+def train_quality(features: DataFrame, positives: DataFrame, *, max_positive: int = 12_000, hidden: int = 64, steps: int = 12, decay: float = 1e-3, seed: int = 7) -> PuModel:
+    """Train on at most max_positive trusted positives (a table of doc_id), and on all rows of `features` as the unlabelled side.
 
-    Where either is empty a model comes back that scores everything 0.5.
+    A separator of positives from unlabelled texts gives the prior, then the non-negative risk is minimised with it. Each step is
+    a pass over the features. Where there are no positives a model comes back that scores everything 0.5.
     """
     ids = positives.select("doc_id").distinct()
-    few = bounded_sample(features.join(ids, "doc_id", "left_semi"), "doc_id", max_positive)
-    rest = bounded_sample(features, "doc_id", max_unlabelled, salt=1)
-    p, u = (np.array([r[0] for r in x.select("features").collect()], float).reshape(-1, N_FEATURES) for x in (few, rest))
-    if not len(p) or not len(u):
+    few = bounded_sample(features.join(ids, "doc_id", "left_semi"), "doc_id", max_positive).select("features").collect()
+    p = np.array([r[0] for r in few], float).reshape(-1, N_FEATURES)
+    if not len(p):
         return PuModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros((N_FEATURES + 1, 1)), np.zeros(N_FEATURES + 2), 0.5)
-    return fit_pu(p, u, **fit)
+    n, *sums = total(features, lambda x: np.r_[len(x), x.sum(0), (x * x).sum(0)], 1 + 2 * N_FEATURES)
+    mean, square = np.array(sums[:N_FEATURES]) / n, np.array(sums[N_FEATURES:]) / n
+    rng = np.random.default_rng(seed)
+    model = PuModel(mean, np.maximum(np.sqrt(np.maximum(square - mean**2, 0)), LEAST_SCALE), rng.normal(0, 1, (N_FEATURES + 1, hidden)) / np.sqrt(N_FEATURES), np.zeros(0), 0.5)
+    phi = model.expand(p)
+    size = phi.shape[1]
+    all_rows = lambda w: total(features, lambda x: curvature(model.expand(x), w), 2 + size + size * size)
+    apart = minimise(phi, all_rows, None, steps=steps, decay=1e-3)
+    model.prior = estimate_prior(phi @ apart, lambda cuts: total(features, lambda x: (model.expand(x) @ apart >= cuts[:, None]).sum(1).astype(float), len(cuts)) / n, int(n))
+    model.weights = minimise(phi, all_rows, model.prior, steps=steps, decay=decay)
+    return model
 
 
-def score_quality(features: DataFrame, model: PuModel) -> DataFrame:
-    """(doc_id, score): the probability that a text is of the trusted kind."""
+def with_scores(frame: DataFrame, model: PuModel, features: str, name: str) -> DataFrame:
+    """frame with the model's score in place of the features."""
+    others = [c for c in frame.columns if c != features]
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.array(pdf["features"].tolist(), float).reshape(-1, N_FEATURES)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": model.score(x)})
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = pa.array(model.score(matrix(batch.column(features))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), score], names=[*others, name])
 
-    return features.mapInPandas(apply, "doc_id long, score double")
+    return frame.mapInArrow(apply, T.StructType([*frame.select(*others).schema, T.StructField(name, T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, positives: DataFrame, trainable: Column | None = None, **fit) -> DataFrame:
     """Score every whole text of docs (doc_id, text) for quality: (doc_id, score in 0..1), one row for each row of docs.
 
     positives: (doc_id) of trusted texts. trainable: a condition on doc_id for the rows that training may look at.
-    Null texts count as empty; empty texts are scored by their flag feature. Repeated rows get equal scores.
-    An empty table gives an empty result, and no positives the score 0.5 throughout.
+    Null texts count as empty; empty texts are scored by their flag feature. Rows with a null id are scored like others, and ids
+    keep their values. Repeated rows get equal scores. An empty table gives an empty result, and no positives the score 0.5
+    throughout.
     """
     features = feature_table(docs)
     model = train_quality(features.filter(trainable) if trainable is not None else features, positives, **fit)
-    return score_quality(features, model)
+    return with_scores(features, model, "features", "score")
+
+
+def keep_good(docs: DataFrame, positives: DataFrame, bar: float, trainable: Column | None = None, **fit) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) whose text scores `bar` at least, with all their columns; each row is judged by its own text."""
+    held = stage(with_features(docs.withColumn("__text", F.col("text")), "__text", "__features"), "quality-rows")
+    features = held.select("doc_id", F.col("__features").alias("features"))
+    model = train_quality(features.filter(trainable) if trainable is not None else features, positives, **fit)
+    return with_scores(held, model, "__features", "__score").filter(F.col("__score") >= bar).drop("__score")

@@ -14,7 +14,7 @@ from panelweave.llm.licences import TEMPLATES, bigrams_of, scan_licences
 from panelweave.llm.neardup import near_duplicates
 from panelweave.llm.neighbours import nearest
 from panelweave.llm.packing import pack_documents
-from panelweave.llm.quality import quality_scores
+from panelweave.llm.quality import keep_good, quality_scores
 from panelweave.llm.secrets import described, find_secrets
 from panelweave.llm.toxicity import toxicity_scores, train_toxicity, trainable_labels
 from panelweave.llm.urls import canonical, host_and_path, judge_urls
@@ -36,14 +36,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def quality_of(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, score) of docs by a model of the trusted positives among the labels' training rows."""
-    trusted = table(spark, sf_dir, "labels").filter((F.col("quality") == 1) & (fold_of(F.col("doc_id"), 5) != 0))
-    return quality_scores(docs, trusted, fold_of(F.col("doc_id"), 5) != 0)
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The positives among the labels' training rows."""
+    return table(spark, sf_dir, "labels").filter((F.col("quality") == 1) & (fold_of(F.col("doc_id"), 5) != 0))
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of docs that op1_quality's model doesn't reject."""
+    return keep_good(docs, trusted(spark, sf_dir), QUALITY_BAR, fold_of(F.col("doc_id"), 5) != 0)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality_of(spark, table(spark, sf_dir, "documents"), sf_dir)
+    scored = quality_scores(table(spark, sf_dir, "documents"), trusted(spark, sf_dir), fold_of(F.col("doc_id"), 5) != 0)
     return scored.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_BAR).cast("int").alias("predicted"))
 
 
@@ -121,7 +125,7 @@ def _licence_sql(threshold: float = 0.8) -> str:
 WITH t(name, grams) AS (VALUES {rows}),
 l AS (SELECT doc_id, i - 1 AS line, string_split(coalesce(text, ''), chr(10))[i] AS body FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS u(i)),
 w AS (SELECT doc_id, line, list_filter(string_split(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS words FROM l),
-g AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM w WHERE len(words) BETWEEN 2 AND 60),
+g AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM w WHERE len(words) >= 2),
 m AS (SELECT doc_id, line, name, 2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice FROM g JOIN t ON list_has_any(g.grams, t.grams)),
 b AS (SELECT * FROM m WHERE dice >= {threshold} QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, name) = 1),
 s AS (SELECT doc_id, count(*) AS n_matches, first(name ORDER BY dice DESC, line) AS licence, round(max(dice), 6) AS dice, string_agg(line || ':' || name, ',' ORDER BY line) AS matches FROM b GROUP BY doc_id)

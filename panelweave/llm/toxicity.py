@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import bounded_sample, with_null_safe_text
+from panelweave.llm.common import bounded_sample, per_text, stage, with_null_safe_text
 
-#: A token is a run of word characters; a run of sentence marks or line ends closes a chain. A chain of more than LONGEST tokens goes on as another one.
+#: A token is a run of word characters; a run of sentence marks or line ends closes a chain.
 TOKEN = re.compile(r"\w+|[.!?\n]+")
-LONGEST = 256
+#: Numbers that a matrix of chains may hold.
+CELLS = 2_000_000
+
+
+def lowered(text: str) -> str:
+    """Lower case of the same length: a few capitals whose lower case is longer stay as they are."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
 @dataclass
@@ -42,11 +49,15 @@ def _step(x: np.ndarray, a: np.ndarray) -> np.ndarray:
     return np.logaddexp(a[0, 1], a[1, 1] + x) - np.logaddexp(a[0, 0], a[1, 0] + x)
 
 
-def _padded(starts: np.ndarray, sizes: np.ndarray, chunk: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Chains of like length together: positions as a matrix with a column a chain, and which of them are real."""
-    order = np.argsort(sizes, kind="stable")
-    for i in range(0, len(order), chunk):
-        rows = order[i : i + chunk]
+def _padded(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Chains of like length together, CELLS tokens at most unless one chain has more: positions as a matrix with a column a chain, and which of them are real."""
+    order = np.argsort(-sizes, kind="stable")
+    i = 0
+    while i < len(order):
+        rows = order[i : i + max(1, CELLS // int(sizes[order[i]]))]
+        rows = rows[2 * sizes[rows] > sizes[rows[0]]]  # little padding: the rest are much shorter
+        i += len(rows)
+        rows = rows[::-1]
         step = np.arange(sizes[rows[-1]])[:, None]
         real = step < sizes[rows]
         yield np.where(real, starts[rows] + step, 0), real
@@ -77,7 +88,7 @@ def tokenise(texts: list[str], vocabulary: dict[str, int]) -> tuple[np.ndarray,
     get = vocabulary.get
     ids, owner = [], []
     for text in texts:
-        got = [-1 if w[0] in ".!?\n" else get(w, 0) for w in TOKEN.findall(text.lower())]
+        got = [-1 if w[0] in ".!?\n" else get(w, 0) for w in TOKEN.findall(lowered(text))]
         ids.append(np.array([*got, -1], np.int64))
         owner.append(len(got) + 1)
     flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
@@ -89,20 +100,24 @@ def tokenise(texts: list[str], vocabulary: dict[str, int]) -> tuple[np.ndarray,
     if not len(flat):
         none = np.zeros(0, np.int64)
         return none, none, none, none
-    new = np.r_[True, run[1:] != run[:-1]]
-    place = np.arange(len(flat)) - np.maximum.accumulate(np.where(new, np.arange(len(flat)), 0))
-    starts = np.flatnonzero(new | (place % LONGEST == 0))
+    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
     return flat, starts, np.diff(np.r_[starts, len(flat)]), whose
 
 
-def fit_crf(chains: list[tuple[list[str], list[int]]], *, steps: int = 120, rate: float = 0.4, decay: float = 3e-5, vocabulary_size: int = 20_000) -> CrfModel:
-    """Maximum likelihood with weight decay by Adam, over a bounded list of (tokens, labels)."""
-    counts = pd.Series([w for ws, _ in chains for w in ws], dtype=object).value_counts()
-    vocabulary = {w: i for i, w in enumerate(sorted(counts[counts >= 2].index[:vocabulary_size]), 1)}
+def fit_crf(chains: Counter[tuple[str, ...]], words: set[str], *, steps: int = 80, rate: float = 0.4, decay: float = 0.15) -> CrfModel:
+    """Maximum likelihood by Adam, over chains of tokens and how often each occurs; a token's label is whether it is among `words`. decay: weight decay against the sum over all chains, so a word's weight doesn't shrink as more chains come in."""
+    counts: Counter[str] = Counter()
+    for chain, n in chains.items():
+        for w in chain:
+            counts[w] += n
+    vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in counts.items() if n >= 2), 1)}
     size = len(vocabulary) + 1
-    ids = np.array([vocabulary.get(w, 0) for ws, _ in chains for w in ws], np.int64)
-    y = np.array([v for _, ys in chains for v in ys], float)
-    sizes = np.array([len(ws) for ws, _ in chains], np.int64)
+    flat = [w for chain in chains for w in chain]
+    ids = np.array([vocabulary.get(w, 0) for w in flat], np.int64)
+    y = np.array([w in words for w in flat], float)
+    sizes = np.array([len(chain) for chain in chains], np.int64)
+    often = np.repeat(np.array(list(chains.values()), float), sizes)
+    total = sum(chains.values())
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
     model = CrfModel(vocabulary, np.zeros(size), np.zeros(size), np.zeros(size), np.zeros((2, 2)), np.full(1, -6.0))
     before, after = np.r_[0, ids[:-1]], np.r_[ids[1:], 0]
@@ -112,7 +127,7 @@ def fit_crf(chains: list[tuple[list[str], list[int]]], *, steps: int = 120, rate
     inner[starts] = False
     now = np.flatnonzero(inner)
     seen = np.zeros((2, 2))
-    np.add.at(seen, (y[now - 1].astype(int), y[now].astype(int)), 1)
+    np.add.at(seen, (y[now - 1].astype(int), y[now].astype(int)), often[now])
     parts = (model.own, model.left, model.right, model.trans, model.offset)
     state = [(np.zeros_like(w), np.zeros_like(w)) for w in parts]
     for t in range(1, steps + 1):
@@ -123,25 +138,25 @@ def fit_crf(chains: list[tuple[list[str], list[int]]], *, steps: int = 120, rate
         lo, hi = f[now - 1], e[now] + b[now]
         joint = np.stack([model.trans[i, j] + i * lo + j * hi for i in (0, 1) for j in (0, 1)])
         joint = np.exp(joint - joint.max(0))
-        joint = (joint / joint.sum(0)).sum(1).reshape(2, 2)
-        residual = (p - y) / len(chains)
-        grads = [np.bincount(i, residual, minlength=size) for i in (ids, before, after)] + [(joint - seen) / len(chains), residual.sum(keepdims=True)]
+        joint = (joint / joint.sum(0) @ often[now]).reshape(2, 2)
+        residual = (p - y) * often / total
+        grads = [np.bincount(i, residual, minlength=size) for i in (ids, before, after)] + [(joint - seen) / total, residual.sum(keepdims=True)]
         for w, g, (m, v) in zip(parts, grads, state, strict=True):
-            g = g + decay * w * (w is not model.offset)
+            g = g + decay / total * w * (w is not model.offset)
             m[:], v[:] = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
     return model
 
 
-def label_tokens(texts: DataFrame, labels: DataFrame, *, least: int = 6, z_bar: float = 4.0, most: int = 2_000) -> list[str]:
+def label_tokens(texts: DataFrame, labels: DataFrame, *, least: int = 6, z_bar: float = 4.0) -> list[str]:
     """Words that mark toxic texts: found after at least `least` different words in them, and much less in the others (two-proportion z over z_bar, share ten times as high).
 
     Text labels become token labels by these words. A word counts once for each word before it, so the words of a toxic text
-    that was copied often don't count as often. At most `most` come back, those with the highest z.
+    that was copied often don't count as often. Such words are few among those of a bounded sample of texts; all come back.
     """
     words = F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")
-    pairs = F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words)), F.slice(words, 2, F.size(words)), lambda a, b: F.struct(a.alias("before"), b.alias("word"))))
-    seen = texts.join(labels, "doc_id").select("toxic", F.explode(pairs).alias("p")).select("toxic", "p.*").filter("word <> ''").distinct()
+    pairs = F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words)), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b)))  # of strings, so that they are hashed
+    seen = texts.join(labels, "doc_id").select("toxic", F.explode(pairs).alias("pair")).distinct().withColumn("word", F.substring_index("pair", " ", -1)).filter("word <> ''")
     size = labels.join(texts.select("doc_id"), "doc_id", "left_semi").agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") != 1).alias("n0"))
     n1, n0 = size.first()
     if not n1 or not n0:
@@ -150,37 +165,21 @@ def label_tokens(texts: DataFrame, labels: DataFrame, *, least: int = 6, z_bar:
     p1, p0, p = F.col("k1") / n1, F.col("k0") / n0, (F.col("k1") + F.col("k0")) / (n1 + n0)
     z = (p1 - p0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n1 + 1 / n0))
     found = df.filter((F.col("k1") >= least) & (p1 >= 10 * p0)).withColumn("z", z).filter(F.col("z") >= z_bar)
-    return [r[0] for r in found.orderBy(F.desc("z"), "word").limit(most).select("word").collect()]
+    return [r[0] for r in found.orderBy("word").select("word").collect()]
 
 
-def _chains(texts: list[str], words: set[str], limit: int) -> list[tuple[list[str], list[int]]]:
-    """Labelled chains: those with a marked word first, then others spread evenly over all, at most `limit`, half of them marked at most.
-
-    Of the others never more than four times the limit are held: when there are, every second one goes and only every second
-    further one comes in.
-    """
-    marked, plain, stride, seen = [], [], 1, 0
+def _chains(texts: list[str]) -> Counter[tuple[str, ...]]:
+    """All different chains of the texts, and how often each occurs."""
+    out: Counter[tuple[str, ...]] = Counter()
     for text in texts:
         chain: list[str] = []
-        for w in [*TOKEN.findall(text.lower()), "."]:
+        for w in [*TOKEN.findall(lowered(text)), "."]:
             if w[0] not in ".!?\n":
                 chain.append(w)
-                if len(chain) < LONGEST:
-                    continue
-            if chain:
-                y = [int(x in words) for x in chain]
-                if any(y):
-                    if len(marked) < limit // 2:
-                        marked.append((chain, y))
-                else:
-                    if seen % stride == 0:
-                        plain.append((chain, y))
-                        if len(plain) > 4 * limit:
-                            plain, stride = plain[::2], 2 * stride
-                    seen += 1
+            elif chain:
+                out[tuple(chain)] += 1
                 chain = []
-    step = max(1, len(plain) // max(1, limit - len(marked)))
-    return marked + plain[::step][: limit - len(marked)]
+    return out
 
 
 def _doc_logit(model: CrfModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,38 +208,40 @@ def _slices(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]
         yield start, len(texts)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 3_000, chains: int = 5_000, **fit) -> CrfModel | None:
-    """Train on at most per_class toxic and per_class other texts of labels (doc_id, toxic), and at most `chains` chains of theirs.
+def train_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 3_000, fitted: int = 800, **fit) -> CrfModel | None:
+    """Train on labelled texts of labels (doc_id, toxic): words are marked by at most per_class texts of each class, counted in Spark; the field and its calibration are fitted on all of at most `fitted` of them a class.
 
     None if no word tells the classes apart (or a class is missing).
     """
-    few = bounded_sample(labels.filter("toxic = 1"), "doc_id", per_class).unionByName(bounded_sample(labels.filter("toxic = 0"), "doc_id", per_class))
-    texts = with_null_safe_text(docs).join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi").persist()
+    few = stage(bounded_sample(labels.filter("toxic = 1"), "doc_id", per_class).unionByName(bounded_sample(labels.filter("toxic = 0"), "doc_id", per_class)), "toxic-labels")
+    texts = stage(with_null_safe_text(docs).join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi"), "toxic-texts")
     words = set(label_tokens(texts, few))
     if not words:
-        texts.unpersist()
         return None
-    rows = texts.join(few, "doc_id").orderBy("doc_id").collect()
-    texts.unpersist()
-    model = fit_crf(_chains([r["text"] for r in rows], words, chains), **fit)
+    own = [bounded_sample(few.filter(F.col("toxic") == y), "doc_id", fitted) for y in (1, 0)]
+    rows = texts.join(F.broadcast(own[0].unionByName(own[1])), "doc_id").orderBy("doc_id", "text").select("text", "toxic").collect()
     texts_of = [r["text"] for r in rows]
+    model = fit_crf(_chains(texts_of), words, **fit)
     x = np.concatenate([_doc_logit(model, texts_of[i:j])[0] for i, j in _slices(texts_of)])
-    model.calibration = _platt(x, np.array([r["toxic"] for r in rows], float))
+    y = np.array([r["toxic"] for r in rows], float)
+    often = {r["toxic"]: r["count"] for r in labels.filter("toxic in (0, 1)").groupBy("toxic").count().collect()}
+    share = np.where(y == 1, often[1] / max(1, y.sum()), often[0] / max(1, (1 - y).sum()))
+    model.calibration = _platt(x, y, share / share.mean())
     return model
 
 
-def _platt(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
-    """Slope (not negative) and offset of a logistic fit with a ridge on the slope, by Newton steps that are halved until the loss falls."""
+def _platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
+    """Slope (not negative) and offset of a weighted logistic fit with a ridge on the slope, by Newton steps that are halved until the loss falls. The weights give each class its share among all labels."""
 
     def loss(v: np.ndarray) -> float:
         s = v[0] * x + v[1]
-        return float(np.logaddexp(0, s).sum() - (y * s).sum() + ridge / 2 * v[0] ** 2)
+        return float(weight @ (np.logaddexp(0, s) - y * s) + ridge / 2 * v[0] ** 2)
 
     v = np.array([0.5, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(v[0] * x + v[1], -40, 40)))
-        w = p * (1 - p) + 1e-9
-        g = np.array([(x * (p - y)).sum() + ridge * v[0], (p - y).sum()])
+        w = weight * p * (1 - p) + 1e-9
+        g = np.array([(weight * x * (p - y)).sum() + ridge * v[0], (weight * (p - y)).sum()])
         h = np.array([[(w * x * x).sum() + ridge, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-6]])
         d, step = np.linalg.solve(h, g), 1.0
         while step > 1e-4 and loss(v - step * d) > loss(v):
@@ -254,13 +255,8 @@ def _platt(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, flo
 def spans_of(text: str, flags: np.ndarray) -> list[tuple[int, int]]:
     """Code-point spans of the flagged tokens of a text; neighbours with only blanks between them form one span."""
     spans: list[tuple[int, int]] = []
-    lower = text.lower()
-    if len(lower) != len(text):  # a few capitals have longer lower-case forms
-        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    found = [m.span() for m in TOKEN.finditer(lower) if m[0][0] not in ".!?\n"]
-    if len(found) != len(flags):
-        return spans
-    for (a, b), hit in zip(found, flags, strict=True):
+    found = (m.span() for m in TOKEN.finditer(lowered(text)) if m[0][0] not in ".!?\n")
+    for (a, b), hit in zip(found, flags.tolist(), strict=True):
         if hit:
             if spans and not text[spans[-1][1] : a].strip():
                 spans[-1] = (spans[-1][0], b)
@@ -274,28 +270,26 @@ def toxicity_scores(docs: DataFrame, model: CrfModel | None, *, token_bar: float
 
     score: calibrated probability that the text is toxic; spans: start:end of toxic tokens, comma-joined, code points, end
     exclusive. A null or empty text has no spans and the score of a text without toxic tokens; without a model every score
-    is 0. Repeated rows get equal results; an empty table gives an empty one.
+    is 0. Ids keep their values, nulls too. Repeated rows get equal results; an empty table gives an empty one.
     """
 
-    def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            whole = pdf["text"].tolist()
-            for i, j in _slices(whole):
-                ids, texts = pdf["doc_id"].iloc[i:j], whole[i:j]
-                if model is None:
-                    yield pd.DataFrame({"doc_id": ids, "score": 0.0, "n_spans": 0, "spans": ""})
-                    continue
-                evidence, logit, whose = _doc_logit(model, texts)
-                a, b = model.calibration
-                ends = np.searchsorted(whose, np.arange(len(texts) + 1))
-                bar = np.log(token_bar / (1 - token_bar))
-                spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-                for k in np.unique(whose[logit > bar]).tolist():
-                    spans[k] = spans_of(texts[k], logit[ends[k] : ends[k + 1]] > bar)
-                score = 1 / (1 + np.exp(-np.clip(a * evidence + b, -40, 40)))
-                yield pd.DataFrame({"doc_id": ids, "score": score, "n_spans": [len(s) for s in spans], "spans": [",".join(f"{x}:{y}" for x, y in s) for s in spans]})
-
-    return with_null_safe_text(docs).mapInPandas(tag, "doc_id long, score double, n_spans long, spans string")
+    def tag(whole: list[str]) -> Iterator[tuple[np.ndarray, dict]]:
+        for i, j in _slices(whole):
+            texts = whole[i:j]
+            if model is None:
+                yield np.arange(i, j), {"score": np.zeros(j - i), "n_spans": np.zeros(j - i, np.int64), "spans": [""] * (j - i)}
+                continue
+            evidence, logit, whose = _doc_logit(model, texts)
+            a, b = model.calibration
+            ends = np.searchsorted(whose, np.arange(len(texts) + 1))
+            bar = np.log(token_bar / (1 - token_bar))
+            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+            for k in np.unique(whose[logit > bar]).tolist():
+                spans[k] = spans_of(texts[k], logit[ends[k] : ends[k + 1]] > bar)
+            score = 1 / (1 + np.exp(-np.clip(a * evidence + b, -40, 40)))
+            yield np.arange(i, j), {"score": score, "n_spans": np.array([len(s) for s in spans], np.int64), "spans": [",".join(f"{x}:{y}" for x, y in s) for s in spans]}
+
+    return per_text(with_null_safe_text(docs), "score double, n_spans long, spans string", tag)
 
 
 def trainable_labels(labels: DataFrame, condition: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.llm.common import stage
+
 #: Rows of the filter that may be broadcast: each is a block number and four words, 40 bytes.
 BROADCAST_BLOCKS = 100_000
 WORDS = 4
@@ -46,40 +48,49 @@ def bloom_blocks(listed: DataFrame, key: str, blocks: int) -> DataFrame:
     return listed.select(block.alias("block"), *[b.alias(f"w{i}") for i, b in enumerate(bits)]).groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
 
 
-def listed_rows(rows: DataFrame, listed: DataFrame, key: str, *, bits_per_key: int = 16) -> DataFrame:
-    """The rows whose key is in `listed` (one column of the same name), by way of the blocked filter.
+def probed(rows: DataFrame, names: DataFrame, key: str, flag: str, *, bits_per_key: int = 16) -> DataFrame:
+    """rows with the column `flag`: whether the blocked filter of `names` (distinct keys, no nulls) passes the row's key.
 
-    Rows that the filter passes go on to an exact join, which removes false positives; few others are shuffled for it. The
-    filter is broadcast only up to BROADCAST_BLOCKS blocks; a larger one is joined by block. Null keys match nothing.
+    Each row is probed where it lies: the filter is broadcast up to BROADCAST_BLOCKS blocks; only a larger one is joined by block.
     """
-    names = listed.select(key).filter(F.col(key).isNotNull()).distinct()
     n = names.count()
     if not n:
-        return rows.limit(0)
+        return rows.withColumn(flag, F.lit(False))
     blocks = max(1, n * bits_per_key // (64 * WORDS))
-    table = bloom_blocks(names, key, blocks)
     block, bits = _probe(F.col(key), blocks)
-    kept = rows.columns
-    probed = rows.filter(F.col(key).isNotNull()).withColumn("__block", block)
-    table = table.withColumnRenamed("block", "__block").withColumnsRenamed({f"w{i}": f"__w{i}" for i in range(WORDS)})
+    table = bloom_blocks(names, key, blocks).withColumnRenamed("block", "__block").withColumnsRenamed({f"w{i}": f"__w{i}" for i in range(WORDS)})
     table = F.broadcast(table) if blocks <= BROADCAST_BLOCKS else table
     hit = F.lit(True)
     for i, b in enumerate(bits):
         hit = hit & (F.col(f"__w{i}").bitwiseAND(b) == b)
-    passed = probed.join(table, "__block").filter(hit).select(*kept)
-    return passed.join(names, key, "left_semi")
+    return rows.withColumn("__block", block).join(table, "__block", "left").select(*rows.columns, F.coalesce(hit, F.lit(False)).alias(flag))
+
+
+def mark_listed(rows: DataFrame, listed: DataFrame, key: str, flag: str, *, where: Column | None = None) -> DataFrame:
+    """rows with the column `flag`: whether the row's key is in `listed` (one column of the same name) and `where` holds.
+
+    Rows that the filter stops are done without a shuffle. The few that pass are staged and meet the list in an exact hash
+    join, which finds the filter's false positives. Null keys match nothing.
+    """
+    names = stage(listed.select(key).filter(F.col(key).isNotNull()).distinct(), "listed")
+    seen = probed(rows, names, key, "__maybe")
+    maybe = F.col("__maybe") & F.coalesce(where, F.lit(False)) if where is not None else F.col("__maybe")
+    stopped = seen.filter(~maybe).drop("__maybe").withColumn(flag, F.lit(False))
+    passed = stage(seen.filter(maybe).drop("__maybe"), "passed")
+    sure = passed.join(names.withColumn(flag, F.lit(True)), key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return stopped.unionByName(sure)
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, *, key: str = "page_id", url: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row: the longest rule's verdict, else block for a listed canonical URL, else allow.
 
     listed: a table with one column `canon` of canonical URLs. Null urls and such without :// have an empty host and path,
-    fit no rule and are allowed. Repeated rows give repeated rows; an empty table gives an empty result.
+    fit no rule and are allowed. Ids are never joined on, so null and repeated ones are rows like others. Repeated rows give
+    repeated rows; an empty table gives an empty result.
     """
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": text, "ruled": verdict, "canon": canonical(F.col("host"), F.col("path"))})
-    open_urls = rows.filter(F.col("rule").isNull()).select("canon").distinct()
-    bad = listed_rows(open_urls, listed, "canon").withColumn("hit", F.lit(True))
-    return rows.join(bad, "canon", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"))
+    marked = mark_listed(rows, listed, "canon", "hit", where=F.col("rule").isNull())
+    return marked.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"))
