@@ -208,9 +208,9 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, curves: int = 2
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"qid": np.zeros(0, np.int64), "vid": [], "s": []})
-        q, c = _matrix(left["code"]), _matrix(right["code"]) * right["step"].to_numpy(np.float32)[:, None]
-        qid, vid, out = left["qid"].to_numpy(), right["vid"].to_numpy(), []
+            return pd.DataFrame({"qid": [], "vid": [], "s": []}, dtype=object)
+        q, c = _matrix(left["code"]), _matrix(right["in_code"]) * right["step"].to_numpy(np.float32)[:, None]
+        qid, vid, out = left["qid"].to_numpy(), right["in_vid"].to_numpy(), []
         many = max(1, 4_000_000 // len(c))
         for i in range(0, len(q), many):
             s = q[i : i + many] @ c.T
@@ -219,7 +219,7 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, curves: int = 2
         at, s = (np.concatenate(x) for x in zip(*out, strict=True))
         return pd.DataFrame({"qid": qid, "vid": list(vid[at]), "s": list(s)})
 
-    home = placed.select(F.col("size").alias("in_size"), F.col("curve").alias("in_curve"), F.col("block").alias("in_block"), "vid", "code", "step")
+    home = placed.select(F.col("size").alias("in_size"), F.col("curve").alias("in_curve"), F.col("block").alias("in_block"), F.col("vid").alias("in_vid"), F.col("code").alias("in_code"), "step")
     pairs = targets.groupBy("size", "curve", "block").cogroup(home.groupBy("in_size", "in_curve", "in_block")).applyInPandas(compare, "qid long, vid array<long>, s array<float>")
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
