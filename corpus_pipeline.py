@@ -5,27 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import stage
+from panelweave.llm.common import discard, stage, staged
 from panelweave.llm.decontaminate import decontaminate
 from panelweave.llm.neardup import keep_one_of_each
 from panelweave.llm.packing import pack_documents
-from panelweave.llm.queries import QUALITY_BAR, quality_of, table, tokenizer_path
+from panelweave.llm.queries import good_documents, table, tokenizer_path
 from panelweave.llm.secrets import redact_secrets
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is below the bar go."""
-    low = quality_of(spark, docs, sf_dir).filter(F.col("score") < QUALITY_BAR).select(F.col("doc_id").alias("__gone"))
-    return docs.join(low, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Documents whose quality score is below the bar go; each row is judged by its own text, those without an id too."""
+    return good_documents(spark, docs, sf_dir)
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id stays."""
+    """Of each class of near duplicates the document with the least id stays; rows without an id stay."""
     return keep_one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; rows without an id stay."""
     leaks = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated = 1").select(F.col("doc_id").alias("__gone"))
     return docs.join(leaks, F.col("doc_id") == F.col("__gone"), "left_anti")
 
@@ -53,8 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each stage's result is written to the shared folder and read again."""
+    """All stages on documents; each stage's result is written to the shared folder and read again, and what it needed there is removed.
+
+    Null and empty texts pass every stage that doesn't score them low, columns beside those of documents are kept as they are,
+    repeated rows are judged alike, and an empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, apply in STAGES[:-1]:
+        mark = staged()
         docs = stage(apply(spark, docs, sf_dir), name)
+        discard(spark, mark, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
