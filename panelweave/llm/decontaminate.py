@@ -126,18 +126,20 @@ def _rare(windows: DataFrame, least_share: float) -> DataFrame:
     often = windows.groupBy("size", "hash").agg(F.count_distinct("template").alias("often"))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["often", "pos", "hash"], ascending=[False, True, True], kind="stable")
-        covered, rare = np.zeros(int(pdf["n_tokens"].iloc[0]), bool), np.ones(len(pdf), bool)
-        for i, (pos, size, n) in enumerate(zip(pdf["pos"], pdf["size"], pdf["often"], strict=True)):
-            new = int((~covered[pos : pos + size]).sum())
-            if n == 1 or covered.sum() + new >= least_share * len(covered):
-                break
-            covered[pos : pos + size] = True
-            rare[i] = False
+        pdf = pdf.drop(columns="part").sort_values(["template", "often", "pos", "hash"], ascending=[True, False, True, True], kind="stable")
+        rare, template = np.ones(len(pdf), bool), None
+        for i, (t, pos, size, n, tokens) in enumerate(zip(pdf["template"], pdf["pos"], pdf["size"], pdf["often"], pdf["n_tokens"], strict=True)):
+            if t != template:
+                template, covered = t, set()
+            if n > 1 and covered is not None and len(wider := covered.union(range(pos, pos + size))) < least_share * tokens:
+                covered, rare[i] = wider, False
+            else:
+                covered = None  # from here on all windows are looked for
         return pdf.assign(rare=rare)
 
     joined = windows.join(often, ["size", "hash"])
-    return joined.groupBy("template").applyInPandas(choose, T.StructType([*joined.schema, T.StructField("rare", T.BooleanType())]))
+    dealt = joined.withColumn("part", F.pmod(F.xxhash64("template"), F.lit(max(1, windows.count() // 50_000))))
+    return dealt.groupBy("part").applyInPandas(choose, T.StructType([*joined.schema, T.StructField("rare", T.BooleanType())]))
 
 
 #: Bits of a window's hash that the sieve looks at: 2**SIEVE_BITS flags, eight to a byte, 16 MB whatever the benchmark's size.

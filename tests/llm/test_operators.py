@@ -1,6 +1,5 @@
 """The operators for training data, against brute force, planted cases and awkward rows."""
 
-import hashlib
 import math
 import random
 import re
@@ -203,7 +202,22 @@ def test_urls_rules_and_list(spark):
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("canon"))
     rows = keys.unionByName(spark.range(3000).select(F.concat(F.lit("n"), "id").alias("canon")))
-    assert sorted(r[0] for r in urls.listed_rows(rows, keys, "canon").collect()) == sorted(f"k{i}" for i in range(3000))
+    marked = urls.mark_listed(rows, keys, "canon", "hit").collect()
+    assert len(marked) == 6000 and all(r["hit"] == r["canon"].startswith("k") for r in marked)
+    maybe = urls.probed(rows, keys, "canon", "maybe").filter("maybe").count()
+    assert 3000 <= maybe < 3100  # the filter stops nearly all others
+
+
+def test_pages_are_probed_where_they_lie(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i}.org/p") for i in range(50)], "page_id long, url string")
+    listed = spark.createDataFrame([("h3.org/p",)], "canon string")
+    df = urls.judge_urls(pages, [], listed)
+    assert [r["page_id"] for r in df.filter("verdict = 'block'").collect()] == [3]
+    branches = df._jdf.queryExecution().optimizedPlan().toString().split("Union")[1]
+    stopped = branches[: branches.index("Relation")] if "Relation" in branches else branches
+    assert "LeftOuter" in stopped and "LeftSemi" not in branches  # the filter's blocks are joined to the rows; no exact join is pushed below
+    plan = urls.probed(pages.withColumn("canon", F.concat(F.lit("h"), F.col("page_id"), F.lit(".org/p"))), listed, "canon", "m")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 # 7: decontamination
@@ -256,7 +270,29 @@ def test_prior_estimate():
     rng = np.random.default_rng(0)
     p, n = rng.normal(1.5, 1, 6000), rng.normal(-2, 1, 4000)
     u = np.r_[rng.normal(1.5, 1, 4000), n]
-    assert abs(quality.estimate_prior(p, u) - 0.5) < 0.06
+    assert abs(quality.estimate_prior(p, lambda cuts: (u >= cuts[:, None]).mean(1), len(u)) - 0.5) < 0.06
+
+
+def test_non_negative_risk_and_its_derivatives(spark):
+    rng = np.random.default_rng(3)
+    phi, w = rng.normal(size=(300, 5)), rng.normal(size=5)
+    loss = lambda v: np.log1p(np.exp(phi @ v)).sum()
+    n, value, *rest = quality.curvature(phi, w)
+    e = np.eye(5) * 1e-4
+    assert n == 300 and value == pytest.approx(loss(w))
+    assert np.allclose(rest[:5], [(loss(w + d) - loss(w - d)) / 2e-4 for d in e], rtol=1e-5)
+    grad = lambda v: np.array(quality.curvature(phi, v)[2:7])
+    assert np.allclose(np.reshape(rest[5:], (5, 5)), [(grad(w + d) - grad(w - d)) / 2e-4 for d in e], rtol=1e-4, atol=1e-5)
+    # a prior that is too high would make the risk of negatives negative: the fit stops where it is not
+    pos, unl = rng.normal(1.0, 1, (40, 5)), np.vstack([rng.normal(1.0, 1, (100, 5)), rng.normal(-1.5, 1, (300, 5))])
+    for prior in (0.25, 0.9):
+        v = quality.minimise(pos, lambda w: quality.curvature(unl, w), prior, steps=12, decay=1e-3)
+        plus, negatives = quality.risks(pos @ v, np.log1p(np.exp(unl @ v)).mean(), prior)
+        assert negatives >= 0 and plus + negatives < np.log(2)
+        assert prior > 0.5 or ((unl[100:] @ v) < 0).mean() > 0.9
+    x = rng.normal(size=(50, quality.N_FEATURES))
+    frame = spark.createDataFrame([(r.tolist(),) for r in x], "features array<double>").repartition(3)
+    assert np.allclose(quality.total(frame, lambda m: m.sum(0), quality.N_FEATURES), x.sum(0))
 
 
 def test_crf_marginals_match_enumeration():
@@ -324,7 +360,7 @@ def test_neighbours_recall_ties_and_awkward_vectors(spark):
     rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(900, None), (920, [0.0] * 16), (940, [float("nan")] * 16), (960, [None] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(1))
     got = {}
-    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=10, block_rows=64).collect():
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=10).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     s = x.astype(float) @ x.astype(float).T
     hit = 0
@@ -334,7 +370,7 @@ def test_neighbours_recall_ties_and_awkward_vectors(spark):
         assert [m[0] for m in mine] == list(range(1, 11)) and all(abs(m[2] - s[q, m[1]]) < 1e-9 for m in mine)
         hit += len({m[1] for m in mine} & set(want))
     assert sorted(got) == list(range(0, 800, 20)) and hit / 400 >= 0.9
-    assert sorted(m[1] for m in got[20])[:3] == sorted(m[1] for m in got[20])[:3] and [m[1] for m in sorted(got[0])] == list(range(1, 11))
+    assert [m[1] for m in sorted(got[0])] == list(range(1, 11))
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
@@ -379,5 +415,255 @@ def test_packing_is_exact_and_tight(spark):
     assert packing.pack_documents(docs(spark, []), path).count() == 0
 
 
-def test_sha_of_no_spans():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+BIG = 9007199254740993  # a double can't hold it
+
+
+def test_ids_keep_their_values_beside_null_ids(spark):
+    P = pytest.importorskip("public_tokenizers")
+    texts = ["the zargh is here. yes", "the sun is there and warm", None]
+    df = spark.createDataFrame(list(zip([BIG, None, BIG + 2], texts, ["en", "en", "en"], strict=True)), "doc_id long, text string, lang string").coalesce(1)
+    trusted = spark.createDataFrame([(BIG,)], "doc_id long")
+    chains = toxicity._chains([t for t in texts if t])
+    found = {
+        "quality": quality.quality_scores(df, trusted),
+        "kept": quality.keep_good(df, trusted, 0.0),
+        "toxicity": toxicity.toxicity_scores(df, toxicity.fit_crf(chains, {"zargh"}, steps=5)),
+        "language": language.identify_languages(df, language.train_language(df, F.lit(True))),
+        "packing": packing.pack_documents(df, P.path("word_bpe_49k.json")),
+        "licences": licences.scan_licences(df),
+        "secrets": secrets.find_secrets(df),
+    }
+    for name, out in found.items():
+        assert sorted((r["doc_id"] for r in out.collect()), key=str) == [BIG, BIG + 2, None], name
+    assert {r["doc_id"] for r in neardup.near_duplicates(df).collect()} == {BIG, BIG + 2}
+
+
+def test_bounded_sample_orders_few_rows(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    few = common.bounded_sample(df, "doc_id", 200)
+    want = df.orderBy(F.xxhash64(F.lit(0), "doc_id"), "doc_id").limit(200)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, want.collect()))
+    assert "xxhash64" in few._jdf.queryExecution().optimizedPlan().toString().split("Filter")[1]
+    assert common.bounded_sample(df.limit(5), "doc_id", 200).count() == 5
+
+
+def test_staged_tables_are_removed(spark):
+    import os
+
+    mark = common.staged()
+    a, b = common.stage(spark.range(5), "x"), common.stage(spark.range(7), "y")
+    at = [f.removeprefix("file://") for df in (a, b) for f in df.inputFiles()]
+    common.discard(spark, mark, keep=1)
+    assert b.count() == 7 and not os.path.exists(at[0]) and os.path.exists(at[-1])
+
+
+def test_components_with_a_hub_and_unfinished_rounds(spark):
+    star = [(0, i) for i in range(1, 900)] + [(i, i + 1000) for i in range(1, 900)]
+    got = common.connected_components(spark.createDataFrame(star, "src long, dst long")).collect()
+    assert len(got) == 1799 and {r["root"] for r in got} == {0}
+    with pytest.raises(RuntimeError, match="still change"):
+        common.connected_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long"), rounds=1)
+
+
+def test_repeated_ids_do_not_depend_on_row_order(spark):
+    rng = random.Random(6)
+    one, other = prose(60, rng), prose(60, rng)
+    rows = [(0, one, None, None, 0), (0, other, None, None, 0), (5, edited(one, 1, rng), None, None, 0)]
+    got = [sorted(map(tuple, neardup.near_duplicates(spark.createDataFrame(r, DOCS).coalesce(1)).collect())) for r in (rows, rows[::-1], [rows[1], rows[0], rows[2]])]
+    assert got[0] == got[1] == got[2]
+
+
+def test_large_groups_compare_only_blocks_that_share_a_key(spark):
+    rng = random.Random(12)
+    texts, base = [], prose(80, rng)
+    for _ in range(60):  # a chain: each text is near the one before, hardly near the first
+        base = edited(base, 3, rng)
+        texts.append(base)
+    params = neardup.JoinParams(small=1, block_rows=6)
+    got = {r["doc_id"]: r for r in neardup.near_duplicates(docs(spark, texts), params).collect()}
+    root, linked = brute_near(texts)
+    assert [got[i]["class_id"] for i in range(60)] == root and [got[i]["n_linked"] for i in range(60)] == linked
+
+
+def test_texts_without_letters_are_undetermined(spark):
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["some plain words", "more plain words", "\U0001f600\U0001f680", "\U00010400\U00010401 \U0001f600"])], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify_languages(df, language.train_language(df, F.col("doc_id") < 2, held_back=0.0)).collect()}
+    assert got == {0: "en", 1: "en", 2: "und", 3: "en"}  # the last one holds letters beyond the basic plane
+    assert (language.ngram_buckets("\U00010400", 15) == language.ngram_buckets("\U00010428", 15)).all()
+
+
+def test_ftrl_matches_a_plain_loop():
+    rng = np.random.default_rng(4)
+    rows = [(np.sort(rng.choice(12, 4, replace=False)), rng.random(4)) for _ in range(30)]
+    y = rng.integers(0, 3, 30)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.05, 0.3
+    w, bias = language.fit_ftrl(rows, y, 3, 12, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=2, seed=1)
+    z, n, order = [[0.0] * 3 for _ in range(13)], [[0.0] * 3 for _ in range(13)], np.random.default_rng(1)
+
+    def weight(i, c):
+        return 0.0 if abs(z[i][c]) <= l1 else -(z[i][c] - math.copysign(l1, z[i][c])) / ((beta + math.sqrt(n[i][c])) / alpha + l2)
+
+    for _ in range(2):
+        for k in order.permutation(30):
+            x = {**dict(zip(rows[k][0].tolist(), rows[k][1].tolist(), strict=True)), 12: 1.0}
+            now = {i: [weight(i, c) for c in range(3)] for i in x}
+            s = [sum(x[i] * now[i][c] for i in x) for c in range(3)]
+            e = [math.exp(v - max(s)) for v in s]
+            for i in x:
+                for c in range(3):
+                    g = x[i] * (e[c] / sum(e) - (c == y[k]))
+                    sigma = (math.sqrt(n[i][c] + g * g) - math.sqrt(n[i][c])) / alpha
+                    z[i][c] += g - sigma * now[i][c]
+                    n[i][c] += g * g
+    assert np.allclose(w, [[weight(i, c) for c in range(3)] for i in range(12)]) and np.allclose(bias, [weight(12, c) for c in range(3)])
+
+
+def test_spans_survive_letters_that_grow_and_long_chains(spark):
+    words = {"zargh"}
+    calm = " ".join(prose(2, random.Random(i)) for i in range(40))
+    model = toxicity.fit_crf(toxicity._chains([f"{calm} zargh {calm}", calm, f"zargh {calm}. the zargh"] * 5), words, steps=60)
+    text = "İ İstanbul and zargh here"
+    rows = toxicity.toxicity_scores(docs(spark, [text, ("word " * 3000) + "zargh" + (" word" * 3000)]), model).orderBy("doc_id").collect()
+    assert [text[int(a) : int(b)] for a, b in (s.split(":") for s in rows[0]["spans"].split(","))] == ["zargh"]
+    assert rows[1]["spans"] == "15000:15005"
+    flat, starts, sizes, _ = toxicity.tokenise(["a " * 1000 + ". b"], {})
+    assert sizes.tolist() == [1000, 1]  # a chain is never cut
+
+
+def test_marginals_of_chains_of_mixed_lengths():
+    rng = np.random.default_rng(7)
+    sizes = np.array([1, 700, 3, 40, 2, 650])
+    e, trans, starts = rng.normal(size=sizes.sum()), rng.normal(size=(2, 2)), np.r_[0, np.cumsum(sizes)[:-1]]
+    got = toxicity.forward_backward(e, starts, sizes, trans)
+    for a, n in zip(starts, sizes, strict=True):
+        assert np.allclose(got[a : a + n], toxicity.forward_backward(e[a : a + n], np.array([0]), np.array([n]), trans))
+
+
+def test_young_letters_are_cut_as_the_tokenizer_cuts_them(spark):
+    P = pytest.importorskip("public_tokenizers")
+    ids = packing.word_ids(P.path("word_bpe_49k.json"))
+    rng = random.Random(10)
+    texts = [f"ab{c}cd {c} x{c}" for c in "\u1c89\u1c8a\ua7cc\ua7cd\ua7da\ua7db\ua7dc\u0560\u08c8\u20c0"]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 0xD800), rng.randrange(0xE000, 0x10000), rng.randrange(32, 0x250)])) for _ in range(30)) for _ in range(3000)]
+    assert list(ids(texts)) == [ids._encode(t) for t in texts]
+
+
+def test_packing_under_binding_limits(spark):
+    P = pytest.importorskip("public_tokenizers")
+    rng = random.Random(11)
+    texts = [prose(rng.randint(1, 60), rng) for _ in range(300)] + [prose(700, rng)]
+    limits = packing.BinLimits(tokens=256, documents=3, attention=100 * 100)
+    rows = packing.pack_documents(docs(spark, texts), P.path("word_bpe_49k.json"), limits=limits).collect()
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert max(r["length"] for r in rows) <= 100 and sum(r["doc_id"] == 300 for r in rows) > 5
+    for own in bins.values():
+        own.sort()
+        assert len(own) <= 3 and sum(n * n for _, n in own) <= 10_000 and sum(n for _, n in own) <= 256
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
+
+
+def test_neighbours_of_mixed_lengths_and_in_clusters(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 2)))] + [(100, [1.0, 2.0, 3.0]), (120, [1.0, 0.0, 3.0])]
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert sorted(got) == [0, 20, 40, 100, 120] and got[100] == [120] and got[120] == [100] and all(len(got[q]) == 5 for q in (0, 20, 40))
+    centres = rng.normal(size=(300, 32))
+    x = (centres[np.arange(6000) % 300] + 0.05 * rng.normal(size=(6000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    unique = common.stage(neighbours.distinct_vectors(df, 11), "v")
+    index = neighbours._placed(neighbours.curve_index(unique, 6000, 24, 20, 3, 5))
+    asked = df.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("qid"))
+    window = neighbours._calibrated(index, unique, asked, 6000, k=10, sample=100, target=0.94)
+    assert 24 * 3 * window < 6000  # fewer products than comparing a query with each vector once
+
+
+def brute_leaks(texts, items, width=8, least=0.5):
+    """Every window of every text against every window of every item."""
+    known, out = decontaminate._Tokens(), []
+
+    def read(text):
+        h, slot, words = decontaminate.canonical_tokens(text, known)
+        return h.tolist(), slot.tolist(), [w for w in words if w[0] not in ".!?:\n"]
+
+    for text in texts:
+        th, ts, tw = read(text or "")
+        found = []
+        for k, item in enumerate(items):
+            h, s, w = read(item)
+            n, diagonals = min(width, len(h)), {}
+            for p in range(len(h) - n + 1 if h else 0):
+                forms = [(h[p : p + n], s[p : p + n], 0)]
+                if p == 0 and not s[0] and known[w[0]] & decontaminate.CAPITAL:
+                    forms.append(([decontaminate.NAME_ID, *h[1:n]], [True, *s[1:n]], 1))
+                for fh, fs, f in forms:
+                    own = [x for x, y in zip(w[p : p + n], fs, strict=True) if y]
+                    fixed = 0 if n == width else n if len(own) == n else f
+                    for q in range(len(th) - n + 1):
+                        held = [x for x, y in zip(tw[q : q + n], ts[q : q + n], strict=True) if y]
+                        if th[q : q + n] == fh and len(held) == len(own) and [x.lower() for x in held[:fixed]] == [x.lower() for x in own[:fixed]]:
+                            diagonals.setdefault(q - p, []).append((p, list(zip(own, held, strict=True))))
+            covered = set()
+            for hits in diagonals.values():
+                maps = {}
+                for _, pairs in hits:
+                    for a, b in pairs:
+                        maps.setdefault(a, set()).add(b)
+                if all(len(v) == 1 for v in maps.values()):
+                    covered |= {t for p, _ in hits for t in range(p, p + n)}
+            if h and len(covered) >= least * len(h):
+                found.append(k)
+        out.append(found)
+    return out
+
+
+def test_leaks_match_brute_force(spark):
+    rng = random.Random(21)
+    few = [prose(1, rng) for _ in range(12)] + ["Rome", "Oslo", "12", "7", "30 km", "5 %", "."]
+    piece = lambda n: " ".join(rng.choice(few) for _ in range(n))
+    items = [piece(rng.randint(1, 30)) for _ in range(30)]
+    items += [items[0], items[1].replace("12", "9"), "Common words that open each of them here now: " + items[2], "Common words that open each of them here now: " + items[3]]
+    texts = [piece(20) + " " + rng.choice(items).replace("Rome", rng.choice(["Rome", "Bern"])) + " " + piece(5) for _ in range(60)] + [piece(40) for _ in range(20)] + AWKWARD
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate.decontaminate(docs(spark, texts), bench).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_leaks(texts, items)
+
+
+def test_a_window_of_many_items_makes_no_product(spark):
+    rng = random.Random(22)
+    head = "answer this question with one of the letters below"
+    items = [f"{head} {prose(14, rng)}" for _ in range(2000)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    windows = decontaminate._item_windows(bench, 8).select("template", F.explode("windows").alias("w")).select("template", "w.*")
+    common_hash = windows.filter("pos = 0").select("hash").distinct()
+    rare = decontaminate._rare(windows, 0.5)
+    assert common_hash.count() == 1 and rare.join(common_hash, "hash").filter("rare").count() == 0
+    assert rare.filter("rare").groupBy("template").count().count() == 2000
+    texts = [f"{head} {prose(30, rng)}" for _ in range(200)] + [items[7], items[8] + " and more"]
+    got = decontaminate.decontaminate(docs(spark, texts), bench).filter("contaminated = 1").collect()
+    assert sorted((r["doc_id"], tuple(r["items"])) for r in got) == [(200, (7,)), (201, (8,))]
+
+
+def test_no_rows_and_repeated_rows(spark):
+    trusted = spark.createDataFrame([(0,)], "doc_id long")
+    model = toxicity.fit_crf(toxicity._chains(["zargh a b", "a b c"]), {"zargh"}, steps=5)
+    apply = {
+        "quality": lambda d: quality.quality_scores(d, trusted), "toxicity": lambda d: toxicity.toxicity_scores(d, model), "licences": licences.scan_licences, "secrets": lambda d: secrets.find_secrets(d),
+        "redaction": secrets.redact_secrets, "language": lambda d: language.identify_languages(d, language.train_language(d, F.lit(True))), "leaks": lambda d: decontaminate.decontaminate(d, d.selectExpr("doc_id AS item_id", "text").limit(0)),
+    }
+    twice = docs(spark, ["Released under the MIT License. zargh token = abcdefghijklmnop"]).union(docs(spark, ["Released under the MIT License. zargh token = abcdefghijklmnop"]))
+    for name, f in apply.items():
+        assert f(docs(spark, [])).count() == 0, name
+        rows = f(twice).collect()
+        assert len(rows) == 2 and rows[0] == rows[1], name
+
+
+def test_very_long_candidates_and_lines(spark):
+    rng = random.Random(30)
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789") for _ in range(20_000))
+    line = "word " * 20_000 + "Released under the MIT License."
+    assert secrets.find_secrets(docs(spark, [run])).select(secrets.described(F.col("found"))).first()[0].startswith("entropy:0:")
+    assert licences.scan_licences(docs(spark, [line + "\nReleased under the MIT License."])).first()["matches"] == "1:mit"
