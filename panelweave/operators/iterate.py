@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir, which all executors share; a folder of our own only where that is unset."""
+    """A reliable checkpoint in spark.checkpoint.dir, which all executors share; a folder of our own only where that is unset and all tasks run on this machine."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelweave-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if found is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="panelweave-"))
     return df.checkpoint()

@@ -51,7 +51,7 @@ def prior_fold_sums(df: DataFrame, fold: str, by: Sequence[str], sums: dict[str,
     return each.withColumns({n: F.sum(n).over(w) for n in sums})
 
 
-def matched_controls(df: DataFrame, *, case: Column, control: Column, score: str, row_id: str, same: Sequence[str], penalties: dict[str, float], k: int, blocks: int = 1) -> DataFrame:
+def matched_controls(df: DataFrame, *, case: Column, control: Column, score: str, row_id: str, same: Sequence[str], penalties: dict[str, float], k: int) -> DataFrame:
     """(case_id, control_id, penalty, rank): for each case the k controls of its group with the least penalty.
 
     Penalty: absolute score gap, plus a fixed amount for each of the given columns that differs; ties by control id.
@@ -67,27 +67,64 @@ def matched_controls(df: DataFrame, *, case: Column, control: Column, score: str
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def reuse_capped(pairs: DataFrame, most: int) -> DataFrame:
-    """One control per case under a cap of cases per control: rounds in which each case asks its best control left, and each control takes the best `most`.
+def hierarchical_matching(df: DataFrame, *, case: Column, control: Column, row_id: str, score: str, date: str, levels: Sequence[Sequence[str]], most: int, reach: int = 16, day_cost: float = 0.1 / 756, use_cost: float = 0.01) -> DataFrame:
+    """(case_id, control_id, level, cost): one control for each case, each control for `most` cases at most.
 
-    Ends when a round changes nothing; every round is a pair of windows over the candidate pairs left.
+    Levels are tried in order, each a list of columns that must agree (none: any control). At a level, cases and controls with room
+    are laid in order of score; each case looks at the `reach` controls on either side of its place and asks one of the cheapest;
+    each control takes the cheapest that ask. Cost: score gap, days apart (two years at most) and how often the control is taken
+    already. Rounds go on, over a wider reach, until no case finds a control with room at that level; cases left after the last
+    level find none anywhere. Among equal scores order is by hash, so that cases don't all ask the same controls.
     """
     from panelweave.operators.iterate import cut_lineage
 
-    left, taken = pairs.select("case_id", "control_id", "penalty"), None
-    for _ in range(20):
-        ask = left.withColumn("r", F.row_number().over(Window.partitionBy("case_id").orderBy("penalty", "control_id"))).filter("r = 1").drop("r")
-        used = taken.groupBy("control_id").agg(F.count("*").alias("used")) if taken is not None else None
-        room = ask.join(used, "control_id", "left").withColumn("used", F.coalesce("used", F.lit(0))) if used is not None else ask.withColumn("used", F.lit(0).cast("long"))
-        got = room.withColumn("r", F.row_number().over(Window.partitionBy("control_id").orderBy("penalty", "case_id"))).filter(F.col("r") + F.col("used") <= most).select("case_id", "control_id", "penalty")
-        taken = cut_lineage(got if taken is None else taken.unionByName(got))
-        full = taken.groupBy("control_id").agg(F.count("*").alias("n")).filter(F.col("n") >= most).select("control_id")
-        left = cut_lineage(left.join(taken.select("case_id"), "case_id", "left_anti").join(full, "control_id", "left_anti"))
-        if left.isEmpty():
-            break
+    cols = [*dict.fromkeys(c for level in levels for c in level)]
+    rows = cut_lineage(df.filter(case | control).select(F.col(row_id).alias("id"), F.col(score).alias("s"), F.col(date).alias("d"), *cols, control.alias("is_control")).filter("s is not null"))
+    taken = cut_lineage(rows.limit(0).select(F.col("id").alias("case_id"), F.col("id").alias("control_id"), F.lit(0).alias("level"), F.lit(0.0).alias("cost")))
+    for number, level in enumerate(levels):
+        turn = 0
+        while True:
+            used = taken.groupBy(F.col("control_id").alias("id")).agg(F.count("*").alias("used"))
+            free = rows.filter("is_control").join(used, "id", "left").withColumn("used", F.coalesce("used", F.lit(0).cast("long"))).filter(F.col("used") < most)
+            open_cases = rows.filter("not is_control").join(taken.select(F.col("case_id").alias("id")), "id", "left_anti").withColumn("used", F.lit(0).cast("long"))
+            both = free.unionByName(open_cases).withColumn("h", F.xxhash64("id"))
+            for c in level:
+                both = both.filter(F.col(c).isNotNull())
+            laid = places(both, level, ["s", "h", "id"], "is_control", "at")
+            wide = min(512, reach << (turn // 3))
+            near = F.explode(F.sequence(F.col("at") - wide + 1, F.col("at") + wide)).alias("at")
+            ask = laid.filter("not is_control").select(*level, F.col("id").alias("case_id"), F.col("s").alias("cs"), F.col("d").alias("cd"), near)
+            offer = laid.filter("is_control").select(*level, "at", F.col("id").alias("control_id"), F.col("s").alias("ks"), F.col("d").alias("kd"), "used")
+            cost = F.abs(F.col("cs") - F.col("ks")) + day_cost * F.least(F.abs(F.datediff("cd", "kd")), F.lit(756)) + use_cost * F.col("used")
+            met = ask.join(offer, [*level, "at"]).select("case_id", "control_id", F.round(cost, 9).alias("cost"), "used")
+            w = Window.partitionBy("case_id")
+            ranked = met.withColumns({"r": F.row_number().over(w.orderBy("cost", "control_id")), "n": F.count("*").over(w)})
+            one = ranked.filter(F.col("r") == F.pmod(F.xxhash64("case_id", F.lit(turn)), F.least(F.col("n"), F.lit(1 << min(turn, 20)))) + 1)
+            got = one.withColumn("r", F.row_number().over(Window.partitionBy("control_id").orderBy("cost", "case_id"))).filter(F.col("r") + F.col("used") <= most)
+            new = cut_lineage(got.select("case_id", "control_id", F.lit(number).alias("level"), "cost"))
+            if new.isEmpty():
+                break
+            taken, turn = cut_lineage(taken.unionByName(new)), turn + 1
     return taken
 
 
+def places(df: DataFrame, by: Sequence[str], order: Sequence[str], counted: str, name: str) -> DataFrame:
+    """df with the number of `counted` rows up to and with each row, in order within a group of any size.
+
+    The rows are range-partitioned and checkpointed, so that what follows sees one assignment of rows to partitions; counts of
+    the partitions before are added.
+    """
+    from panelweave.operators.iterate import cut_lineage
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = cut_lineage(df.repartitionByRange(parts, *by, *order).withColumn("__part", F.spark_partition_id()))
+    sums = laid.groupBy(*by, "__part").agg(F.sum(F.col(counted).cast("long")).alias("__n"))
+    w = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*by, "__part", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+    own = Window.partitionBy(*by, "__part").orderBy(*order)
+    return laid.join(before, [*by, "__part"]).withColumn(name, F.sum(F.col(counted).cast("long")).over(own) + F.col("__before")).drop("__part", "__before")
+
+
 def lagged_pairs(df: DataFrame, *, entity: str, pos: str, value: str, lags: Sequence[int], ordered: bool = True) -> DataFrame:
     """(a, b, lag, pos, x, y): a's value at pos with b's at pos + lag, for pairs of different entities. Aligned by calendar position, not by row."""
     a = df.select(F.col(entity).alias("a"), F.col(pos).alias("pos"), F.col(value).alias("x"), F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag")).withColumn("at", F.col("pos") + F.col("lag"))

@@ -217,7 +217,7 @@ def _(t):
     return t.panel.groupBy("date").pivot("market", ["M0", "M1", "M2"]).sum("close")
 
 
-@query("r13_1_grouped_map")
+@query("r13_1_grouped_map", sql("panel", ", n AS (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM panel) SELECT ticker, date, round(sum(close * pow(2, i / 5.0)) OVER w / sum(pow(2, i / 5.0)) OVER w, 6) AS ewm FROM n WINDOW w AS (PARTITION BY ticker ORDER BY date)"))
 def _(t):
     import pandas as pd
 

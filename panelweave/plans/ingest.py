@@ -85,15 +85,7 @@ def _(t):
     return I.stamp_rows(t.panel.select("ticker", "date"), "date", "ticker")
 
 
-@query("r1_12_upsert", "SELECT event_id, user_id, value, src FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, src DESC) AS n FROM (SELECT event_id, user_id, ts, value, 0 AS src FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT event_id, user_id, ts, -value, 1 FROM events WHERE event_id % 2 = 0)) WHERE n = 1")
-def _(t):
-    e = t.read("events").select("event_id", "user_id", "ts", "value")
-    old = e.filter("event_id % 3 <> 0").withColumn("src", F.lit(0))
-    new = e.filter("event_id % 2 = 0").withColumn("value", -F.col("value")).withColumn("src", F.lit(1))
-    return I.upsert(old, new, ["user_id"], "ts").drop("ts")
-
-
-@query("r1_12_upsert_whole", "SELECT event_id, user_id, value, src FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, src DESC) AS n FROM (SELECT event_id, user_id, ts, value, 0 AS src FROM events WHERE event_type IS DISTINCT FROM 'purchase' UNION ALL SELECT event_id, user_id, ts, -value, 1 FROM events WHERE event_type = 'purchase')) WHERE n = 1")
+@query("r1_12_upsert", "SELECT event_id, user_id, value, src FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, src DESC) AS n FROM (SELECT event_id, user_id, ts, value, 0 AS src FROM events WHERE event_type IS DISTINCT FROM 'purchase' UNION ALL SELECT event_id, user_id, ts, -value, 1 FROM events WHERE event_type = 'purchase')) WHERE n = 1")
 def _(t):
     e = t.read("events").select("event_id", "user_id", "ts", "value", "event_type")
     bought = F.col("event_type").eqNullSafe("purchase")
@@ -192,12 +184,7 @@ def _(t):
     return C.key_contract(t.read("lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("r2_8_join_contract", "SELECT count(*) FILTER (r IS NULL) AS left_only, count(*) FILTER (l IS NULL) AS right_only, count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS \"both\" FROM (SELECT DISTINCT o_custkey AS k, 1 AS l FROM orders) FULL JOIN (SELECT c_custkey AS k, 1 AS r FROM customer WHERE c_custkey % 3 <> 0) USING (k)")
-def _(t):
-    return C.join_contract(t.read("orders").select(F.col("o_custkey").alias("k")), t.read("customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k")), ["k"])
-
-
-@query("r2_8_join_contract_whole", "SELECT count(*) FILTER (r IS NULL) AS left_only, count(*) FILTER (l IS NULL) AS right_only, count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS \"both\" FROM (SELECT DISTINCT o_custkey AS k, 1 AS l FROM orders) FULL JOIN (SELECT c_custkey AS k, 1 AS r FROM customer) USING (k)")
+@query("r2_8_join_contract", "SELECT count(*) FILTER (r IS NULL) AS left_only, count(*) FILTER (l IS NULL) AS right_only, count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS \"both\" FROM (SELECT DISTINCT o_custkey AS k, 1 AS l FROM orders) FULL JOIN (SELECT c_custkey AS k, 1 AS r FROM customer) USING (k)")
 def _(t):
     return C.join_contract(t.read("orders").select(F.col("o_custkey").alias("k")), t.read("customer").select(F.col("c_custkey").alias("k")), ["k"])
 
@@ -258,15 +245,7 @@ def _(t):
     return t.panel.join(F.broadcast(t.panel.groupBy("date").agg(F.sum("close").alias("total"))), "date", "left").select("ticker", "date", (F.col("close") / F.col("total")).alias("share"))
 
 
-@query("r3_5_asof_global", "SELECT o.o_orderkey, d.price FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders) o ASOF LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS price FROM lineitem WHERE l_orderkey % 97 = 0 GROUP BY 1) d ON o.date >= d.date")
-def _(t):
-    left = t.read("orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"))
-    right = t.read("lineitem").filter("l_orderkey % 97 = 0").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.max("l_extendedprice").alias("price"))
-    days = left.select("date").distinct()
-    return left.join(J.asof_backward(days, right, on="date", values=["price"]), "date").select("o_orderkey", "price")
-
-
-@query("r3_5_asof_global_whole", "SELECT o.o_orderkey, d.price FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders) o ASOF LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS price FROM lineitem GROUP BY 1) d ON o.date >= d.date")
+@query("r3_5_asof_global", "SELECT o.o_orderkey, d.price FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders) o ASOF LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS price FROM lineitem GROUP BY 1) d ON o.date >= d.date")
 def _(t):
     left = t.read("orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"))
     right = t.read("lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.max("l_extendedprice").alias("price"))
@@ -318,8 +297,7 @@ def _(t):
 
 @query("r3_12_reuse_capped_matching")
 def _(t):
-    pairs = J.matched_controls(t.scored, case=F.col("target") == 1, control=F.col("target") == 0, score="score", row_id="row_id", same=["date", "bucket"], penalties={"market": 0.08}, k=10)
-    return J.reuse_capped(pairs, 3)
+    return J.hierarchical_matching(t.scored, case=F.col("target") == 1, control=F.col("target") == 0, row_id="row_id", score="score", date="date", levels=[["ticker"], ["bucket"], ["market"], []], most=3)
 
 
 @query("r3_13_pair_enumeration", sql("panel", ", d AS (SELECT market, date, sum(close) AS v FROM panel GROUP BY 1, 2) SELECT a.market AS a, b.market AS b, count(*) AS n, round(corr(a.v, b.v), 6) AS corr FROM d a JOIN d b ON a.date = b.date AND a.market < b.market GROUP BY 1, 2"))

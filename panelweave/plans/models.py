@@ -50,14 +50,22 @@ def _(t):
     return ml.score(model, later.withColumns({"__l0": logit(F.col("a")), "__l1": logit(F.col("b"))})).select("row_id", "target", "p")
 
 
-def run_stream(t: Tables, build, *, name: str, mode: str = "append"):
-    """Run a streaming query over the events table to its end, into a table of the shared folder, and return what it holds."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
+def shared(spark) -> str:
+    """The folder that the driver and all executors share; one of our own only where none is set and all tasks run on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master", "").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="panelweave-")
-    at = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def run_stream(t: Tables, build, *, name: str, mode: str = "append"):
+    """Run a streaming query over the events table to its end, into a table of the shared folder, and return what it holds."""
+    base = shared(t.spark)
+    at = f"{base}/{name}-{uuid.uuid4().hex}"
     source = t.read("events")
     stream = t.spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(t.sf_dir + "/event[s].parquet")
     out = build(stream.withColumn("ts", F.col("ts").cast("timestamp")))
@@ -72,7 +80,7 @@ def _(t):
     return run_stream(t, lambda s: ST.windowed_breadth(s, by=["event_type"]), name="breadth")
 
 
-@query("r12_7_episode_sessions")
+@query("r12_7_episode_sessions", "WITH e AS (SELECT user_id, ts FROM events WHERE event_type = 'error'), g AS (SELECT *, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM e)) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS \"end\", count(*) AS n FROM g GROUP BY user_id, run HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM e) - INTERVAL 1 HOUR")
 def _(t):
     return run_stream(t, lambda s: ST.episode_sessions(s, F.col("event_type") == "error", key="user_id"), name="sessions")
 
@@ -82,12 +90,12 @@ def _(t):
     return run_stream(t, lambda s: ST.first_of_each(s, ["user_id", "event_type"]), name="first")
 
 
-@query("r12_6_rolling_state")
+@query("r12_6_rolling_state", "WITH n AS (SELECT user_id, ts, value, count(value) OVER w AS k, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s, sign(value)::INT AS g, row_number() OVER (PARTITION BY user_id ORDER BY ts) - row_number() OVER (PARTITION BY user_id, sign(value) ORDER BY ts) AS run FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) SELECT user_id, ts, value, CASE WHEN k >= 3 AND s > 1e-12 THEN round((value - m) / s, 6) END AS z, CAST(g * row_number() OVER (PARTITION BY user_id, g, run ORDER BY ts) AS BIGINT) AS streak FROM n")
 def _(t):
     return run_stream(t, lambda s: ST.rolling_state(s, key="user_id", ts="ts", value="value", size=10), name="rolling")
 
 
-@query("r12_1_delayed_labels")
+@query("r12_1_delayed_labels", "WITH s AS (SELECT user_id AS key, ts, value AS score FROM events WHERE event_type = 'view'), l AS (SELECT user_id AS k, ts AS label_ts, value AS label FROM events WHERE event_type = 'purchase') SELECT key, ts, score, label_ts, label FROM s LEFT JOIN l ON key = k AND label_ts >= ts AND label_ts <= ts + INTERVAL 3 DAY WHERE label_ts IS NOT NULL OR ts + INTERVAL 3 DAY < (SELECT least((SELECT max(ts) FROM s), (SELECT max(label_ts) FROM l))) - INTERVAL 1 DAY")
 def _(t):
     def build(s):
         scores = s.filter("event_type = 'view'").select(F.col("user_id").alias("key"), "ts", F.col("value").alias("score"))

@@ -11,6 +11,7 @@ from panelweave.operators import hierarchy as H
 from panelweave.operators import policy as P
 from panelweave.operators import stats as T
 from panelweave.plans.registry import query, sql
+from panelweave.plans.stats import FV, auc_sql, greedy_sql
 
 EFF = "eff AS (SELECT ticker, market, bucket, fold_id, count(*)::DOUBLE AS n, round(avg(score - target) / 7, 12) AS x FROM scored GROUP BY 1, 2, 3, 4)"
 
@@ -286,7 +287,7 @@ def _(t):
     return t.scored.groupBy("fold_id").agg((0.3 - p).alias("precision_gap"), F.when(p >= 0.3, "NONE").when(F.avg("target") < 0.1, "BASE_RATE").otherwise("RANKING").alias("bottleneck"))
 
 
-@query("r9_25_diverse_finalists")
+@query("r9_25_diverse_finalists", sql("features", greedy_sql(f"SELECT feature, row_number() OVER (ORDER BY abs(auc - 0.5) DESC, feature) AS i FROM ({auc_sql('feature', FV)})", "abs(pc.c) > 0.8", 3)).replace("WITH ", "WITH RECURSIVE ", 1) + " SELECT unnest(range(0, len(kept))) AS place, unnest(kept) AS feature FROM g WHERE i = (SELECT max(i) FROM o)")
 def _(t):
     """Features by AUC, each kept only if its correlation with those kept is at most 0.8; the greedy pass runs over the short ranked list."""
     a = T.auc(t.features, ["feature"]).withColumn("s", F.abs(F.col("auc") - 0.5))

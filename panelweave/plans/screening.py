@@ -13,7 +13,7 @@ from panelweave.operators import stats as T
 from panelweave.plans.crosssection import clusters, pr
 from panelweave.plans.evaluate import LONG, models
 from panelweave.plans.registry import query, sql
-from panelweave.plans.stats import FV, _SER, auc_sql, series
+from panelweave.plans.stats import _NEAR, FV, _SER, auc_sql, series
 
 _FC = f"fc AS (SELECT feature, fold_id, CASE WHEN count(*) >= 10 AND stddev_pop(value) > 1e-12 AND stddev_pop(target) > 1e-12 THEN round(corr(value, target), 9) END AS c FROM {FV} GROUP BY 1, 2)"
 
@@ -145,7 +145,7 @@ def _(t):
     return fold_corr(t).groupBy("feature", role.alias("role")).agg(F.count("corr").alias("folds"), F.avg("corr").alias("mean"), F.min("corr").alias("low"), F.max("corr").alias("high"))
 
 
-@query("r14_3_multi_threshold_clusters")
+@query("r14_3_multi_threshold_clusters", sql("features", f"{_NEAR}, e AS (SELECT t AS threshold, a, b FROM pc, (VALUES (0.3), (0.6), (0.9)) v(t) WHERE abs(c) >= t), r(threshold, node, seen) AS (SELECT DISTINCT threshold, a, a FROM e UNION SELECT r.threshold, r.node, e.b FROM r JOIN e ON e.a = r.seen AND e.threshold = r.threshold)").replace("WITH ", "WITH RECURSIVE ", 1) + " SELECT threshold::DOUBLE AS threshold, node, min(seen) AS component FROM r GROUP BY 1, 2")
 def _(t):
     m = T.correlation_matrix(t.features)
     out = None

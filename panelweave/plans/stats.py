@@ -100,13 +100,7 @@ def _(t):
     return c.groupBy("a", "b").agg(F.avg(F.abs("c")).alias("m"), F.min(F.abs("c")).alias("l"), F.count("*").alias("folds")).filter("m >= 0.3").select("a", "b", F.round("m", 5).alias("mean_abs"), F.round("l", 5).alias("min_abs"), "folds")
 
 
-@query("r7_14_components", "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_suppkey + 7 AS b FROM lineitem WHERE l_suppkey % 5 <> 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY node")
-def _(t):
-    e = t.read("lineitem").filter("l_suppkey % 5 <> 0").select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") + 7).alias("b")).distinct()
-    return T.components_of(e)
-
-
-@query("r7_14_components_whole")
+@query("r7_14_components", "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_suppkey + 7 AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY node")
 def _(t):
     return T.components_of(t.read("lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") + 7).alias("b")).distinct())
 
@@ -163,7 +157,15 @@ def _(t):
     return both.groupBy("feature").agg(F.round(F.max("c"), 5).alias("top"), F.max_by("g", "c").alias("peer"), F.count_if(F.col("c") >= 0.3).alias("peers"))
 
 
-@query("r7_19_greedy_redundancy")
+_NEAR = f", v AS (SELECT row_id, feature, value FROM {FV}), pc AS (SELECT a.feature AS a, b.feature AS b, corr(a.value, b.value) AS c FROM v a JOIN v b ON a.row_id = b.row_id AND a.feature <> b.feature GROUP BY 1, 2 HAVING count(*) >= 10)"
+
+
+def greedy_sql(ranked: str, near: str, most: int) -> str:
+    """DuckDB text of a greedy pass over ranked (feature, i from 1): a feature is kept unless it is near one that is kept already."""
+    return f"""{_NEAR}, o AS ({ranked}), g(i, kept) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT g.i + 1, CASE WHEN len(g.kept) >= {most} OR EXISTS (SELECT 1 FROM pc WHERE pc.a = o.feature AND {near} AND list_contains(g.kept, pc.b)) THEN g.kept ELSE list_append(g.kept, o.feature) END FROM g JOIN o ON o.i = g.i + 1)"""
+
+
+@query("r7_19_greedy_redundancy", sql("features", greedy_sql(f"SELECT feature, row_number() OVER (ORDER BY abs(corr(value, target)) DESC, feature) AS i FROM {FV} GROUP BY 1", "abs(pc.c) >= 0.5", 1000)).replace("WITH ", "WITH RECURSIVE ", 1) + " SELECT unnest(kept) AS feature FROM g WHERE i = (SELECT max(i) FROM o)")
 def _(t):
     """Features in order of signal, each dropped if it correlates at 0.5 or more with one kept: one fold over the short ranked list."""
     m = T.correlation_matrix(t.features).filter("abs(corr) >= 0.5")
@@ -272,7 +274,7 @@ def _(t):
     return g.groupBy("fold_id").agg(F.count_if(F.col("error_group") == "A").alias("a"), F.count_if(F.col("error_group") == "B").alias("b"), F.round(0.5 * (m["A"] - m["B"]) + 0.4 * (m["C"] - m["B"]) + 0.1 * (m["A"] - m["C"]), 5).alias("bottleneck"))
 
 
-@query("r7_37_interaction_screen")
+@query("r7_37_interaction_screen", sql("features", f", g AS (SELECT a.feature AS a, b.feature AS b, a.target AS k, count(*) AS n, sum(a.value) AS sx, sum(b.value) AS sy, sum(a.value * b.value) AS sxy FROM {FV} a JOIN {FV} b ON a.row_id = b.row_id AND a.feature < b.feature GROUP BY 1, 2, 3), m AS (SELECT a, b, k, (sxy - sx * sy / n) / n AS cov, sx / n AS mx, sy / n AS my FROM g) SELECT x.a, x.b, round(abs(y.cov - x.cov) - 0.25 * (abs(y.mx - x.mx) + abs(y.my - x.my)), 6) AS screen, row_number() OVER (ORDER BY abs(y.cov - x.cov) - 0.25 * (abs(y.mx - x.mx) + abs(y.my - x.my)) DESC, x.a, x.b) AS rank FROM m x JOIN m y ON x.a = y.a AND x.b = y.b AND x.k = 0 AND y.k = 1 QUALIFY rank <= 10"))
 def _(t):
     """Pairs whose covariance differs most between positive and negative rows, less a quarter of their own differences."""
     g = {k: T.gram(t.features.filter(f"target = {k}")).select("a", "b", ((F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.col("n")).alias(f"cov{k}"), (F.col("sx") / F.col("n")).alias(f"mx{k}"), (F.col("sy") / F.col("n")).alias(f"my{k}")) for k in (0, 1)}
@@ -320,13 +322,7 @@ def _(t):
     return T.bh_qvalues(p, "p", ["market"], ["ticker"]).select("ticker", "q")
 
 
-@query("r7_46_fisher", sql("panel", ", p AS (SELECT market, (1 + ticker % 40) / 41.0 AS p FROM (SELECT DISTINCT ticker, market FROM panel WHERE ticker < 15)), g AS (SELECT market, count(*) AS k, -2 * sum(ln(p)) AS s FROM p GROUP BY 1) SELECT market, k, round(s, 6) AS statistic, round(exp(-s / 2) * (SELECT sum(pow(s / 2, i) / gamma(i + 1)) FROM range(0, k) r(i)), 6) AS p FROM g"))
-def _(t):
-    p = t.panel.filter("ticker < 15").select("ticker", "market").distinct().withColumn("p", (1 + F.col("ticker") % 40) / 41.0)
-    return T.fisher_combine(p, ["market"], "p")
-
-
-@query("r7_46_fisher_whole")
+@query("r7_46_fisher", sql("panel", ", p AS (SELECT market, (1 + ticker % 40) / 41.0 AS p FROM (SELECT DISTINCT ticker, market FROM panel)), g AS (SELECT market, count(*) AS k, -sum(ln(p)) AS h FROM p GROUP BY 1) SELECT market, k, round(2 * h, 6) AS statistic, round((SELECT sum(exp(-h + i * ln(h) - lgamma(i + 1))) FROM range(0, k) r(i)), 6) AS p FROM g"))
 def _(t):
     p = t.panel.select("ticker", "market").distinct().withColumn("p", (1 + F.col("ticker") % 40) / 41.0)
     return T.fisher_combine(p, ["market"], "p")

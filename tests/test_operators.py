@@ -76,16 +76,23 @@ def test_whole_table_queries_leave_no_row_out(spark, tmp_path):
     spark.createDataFrame([(1,), (3,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
     spark.createDataFrame([(3, day, 7, "view", 2.0), (9, day, 8, "purchase", 4.0)], "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
     run = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect())
-    assert run("r3_5_asof_global_whole") == [(1, 5.0)]
-    assert [r.asDict() for r in QUERIES["r2_8_join_contract_whole"](spark, str(tmp_path)).collect()] == [{"left_only": 0, "right_only": 1, "both": 1}]
-    assert sorted(r["event_id"] for r in QUERIES["r1_12_upsert_whole"](spark, str(tmp_path)).collect()) == [3, 9]
+    assert run("r3_5_asof_global") == [(1, 5.0)]
+    assert [r.asDict() for r in QUERIES["r2_8_join_contract"](spark, str(tmp_path)).collect()] == [{"left_only": 0, "right_only": 1, "both": 1}]
+    assert sorted(r["event_id"] for r in QUERIES["r1_12_upsert"](spark, str(tmp_path)).collect()) == [3, 9]
 
 
-def test_matching_reuse_is_capped(spark):
-    pairs = spark.createDataFrame([(c, k, float(abs(c - k))) for c in range(8) for k in (0, 1, 2)], "case_id int, control_id int, penalty double")
-    out = joins.reuse_capped(pairs, 2).collect()
-    assert len({r["case_id"] for r in out}) == len(out) == 6
-    assert max(sum(r["control_id"] == k for r in out) for k in (0, 1, 2)) == 2
+def test_matching_leaves_no_case_while_a_control_has_room(spark):
+    rows = [(i, "a", "x", DAYS[0], 0.5, 1) for i in range(40)] + [(100 + i, "a", "x", DAYS[0], 0.5, 0) for i in range(10)]  # a hot group of equal scores
+    rows += [(200 + i, "b", "x", DAYS[1], 0.4 + i / 100, 0) for i in range(4)] + [(300, None, None, DAYS[2], 0.9, 0), (301, "c", None, DAYS[2], 0.1, 1)]
+    df = spark.createDataFrame(rows, "row_id long, bucket string, market string, date date, score double, target int")
+    out = joins.hierarchical_matching(df, case=F.col("target") == 1, control=F.col("target") == 0, row_id="row_id", score="score", date="date", levels=[["bucket"], ["market"], []], most=3, reach=2).collect()
+    used = {}
+    for r in out:
+        used[r["control_id"]] = used.get(r["control_id"], 0) + 1
+    assert len(out) == len({r["case_id"] for r in out}) == 41 and max(used.values()) <= 3
+    levels = [sum(r["level"] == k for r in out) for k in range(3)]
+    assert levels == [30, 10, 1] and [r["level"] for r in out if r["case_id"] == 301] == [2]
+    assert joins.hierarchical_matching(df.filter("target = 1"), case=F.col("target") == 1, control=F.col("target") == 0, row_id="row_id", score="score", date="date", levels=[[]], most=1).count() == 0
 
 
 def test_components_and_bh(spark):
@@ -97,11 +104,11 @@ def test_components_and_bh(spark):
 
 def test_long_chains_and_large_fisher_groups(spark, tmp_path):
     spark.createDataFrame([(i,) for i in range(1, 1501)], "l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
-    got = {r["node"]: r["component"] for r in QUERIES["r7_14_components_whole"](spark, str(tmp_path)).collect()}
+    got = {r["node"]: r["component"] for r in QUERIES["r7_14_components"](spark, str(tmp_path)).collect()}
     assert got == {i: (i - 1) % 7 + 1 for i in range(1, 1508)}
     day = dt.datetime(2026, 1, 1)
     spark.createDataFrame([(i, day, 1.0, "view") for i in range(6000)], "user_id long, ts timestamp, value double, event_type string").write.parquet(str(tmp_path / "events.parquet"))
-    for r in QUERIES["r7_46_fisher_whole"](spark, str(tmp_path)).collect():
+    for r in QUERIES["r7_46_fisher"](spark, str(tmp_path)).collect():
         ps = [(1 + i % 40) / 41 for i in range(6000) if i % 3 == int(r["market"][1:])]
         h = -sum(map(math.log, ps))
         want = math.fsum(math.exp(-h + i * math.log(h) - math.lgamma(i + 1)) for i in range(len(ps)))
