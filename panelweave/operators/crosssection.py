@@ -15,10 +15,12 @@ def global_pct_rank(df: DataFrame, value: str, name: str, *, parts: int = 64) ->
     """Percentile rank over the whole table (ties at their average) without a single sorted partition.
 
     Rows are first counted by value; the counts are cut into ranges of about equal size, numbered inside each range, and offset
-    by the ranges before it.
+    by the ranges before it. The ranges are checkpointed, so that a task that runs again sees the same ones.
     """
+    from panelweave.operators.iterate import cut_lineage
+
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
-    ranged = counts.repartitionByRange(parts, value).withColumn("__part", F.spark_partition_id())
+    ranged = cut_lineage(counts.repartitionByRange(parts, value).withColumn("__part", F.spark_partition_id()))
     sums = ranged.groupBy("__part").agg(F.sum("__n").alias("__size"), F.min(value).alias("__from"))
     before = sums.withColumns({"__before": F.sum("__size").over(Window.orderBy("__from")) - F.col("__size"), "__total": F.sum("__size").over(Window.partitionBy())}).select("__part", "__before", "__total")
     inside = F.sum("__n").over(Window.partitionBy("__part").orderBy(value)) - F.col("__n")

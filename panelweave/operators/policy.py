@@ -33,11 +33,24 @@ def with_bias(score: str, group: str, bias: dict[str, float]) -> Column:
     return F.col(score) + lookup(F.col(group), bias, 0.0)
 
 
-def pooled_top(df: DataFrame, score: str, fraction: float, *, tie: str = "row_id") -> DataFrame:
-    """The top ceil(n * fraction) rows of the table: a quantile gives a cut, counted exactly; only rows about the cut are ordered."""
-    n = df.count()
-    k = max(1, -(-int(n * fraction * 1_000_000) // 1_000_000)) if n else 0
-    return df.orderBy(F.desc(score), tie).limit(k)
+def pooled_top(df: DataFrame, score: str, fraction: float, *, tie: str = "row_id", error: float = 0.001) -> DataFrame:
+    """The top ceil(n * fraction) rows of the table; null scores come last.
+
+    Two approximate quantiles enclose the cut. Rows above are counted and taken; only those in between are laid in order, over as
+    many tasks as there are shuffle partitions.
+    """
+    from panelweave.operators.joins import places
+
+    rows = df.withColumn("__s", F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))))
+    n = rows.count()
+    if not n:
+        return df
+    k = max(1, -(-int(n * fraction * 1_000_000) // 1_000_000))
+    low, high = rows.approxQuantile("__s", [max(0.0, 1 - fraction - 2 * error), min(1.0, 1 - fraction + 2 * error)], error)
+    above = rows.filter(F.col("__s") > high)
+    left = k - above.count()
+    about = rows.filter(F.col("__s").between(low, high)).withColumns({"__c": F.lit(1), "__d": -F.col("__s")})
+    return above.select(*df.columns).unionByName(places(about, [], ["__d", tie], "__c", "__at").filter(F.col("__at") <= left).select(*df.columns))
 
 
 def confusion(df: DataFrame, alert: Column, target: str = "target", by: Sequence[str] = (), date: str = "date") -> DataFrame:

@@ -224,12 +224,18 @@ def fold_rollup(df: DataFrame, by: Sequence[str], metric: str) -> DataFrame:
     return df.filter(m.isNotNull()).groupBy(*by).agg(F.count("*").alias("folds"), F.avg(m).alias("mean"), F.percentile(m, F.lit(0.5)).alias("median"), F.min(m).alias("min"), F.max(m).alias("max"), F.stddev_samp(m).alias("std"), F.avg((m > 0).cast("double")).alias("positive_share"), sign_consistency(m).alias("consistency"))
 
 
-def sign_flip_p(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Exact two-sided sign-flip p-value of a mean: all 2^n sign vectors of a group's values (n at most 16) are compared with what was seen."""
-    g = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.collect_list(value).alias("v")).filter(F.size("v") <= 16)
+def sign_flip_p(df: DataFrame, by: Sequence[str], value: str, *, most: int = 16) -> DataFrame:
+    """Exact two-sided sign-flip p-value of a mean: all 2^n sign vectors of a group's values are compared with what was seen.
+
+    A group of more than `most` values, whose vectors are too many, has its n and no p; the values of such groups are never gathered.
+    """
+    rows = df.filter(F.col(value).isNotNull())
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    g = rows.join(sizes.filter(F.col("n") <= most).select(*by), list(by), "left_semi").groupBy(*by).agg(F.collect_list(value).alias("v"))
     flips = g.withColumn("seen", F.abs(F.aggregate("v", F.lit(0.0), lambda a, x: a + x))).select(*by, "v", "seen", F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size("v")) - 1)).alias("mask"))
     signed = F.aggregate(F.transform("v", lambda x, i: F.when(F.call_function("shiftright", F.col("mask"), i).bitwiseAND(F.lit(1)) == 1, -x).otherwise(x)), F.lit(0.0), lambda a, x: a + x)
-    return flips.groupBy(*by).agg(F.first(F.size("v")).alias("n"), F.avg((F.abs(signed) >= F.col("seen") - 1e-12).cast("double")).alias("p"))
+    p = flips.groupBy(*by).agg(F.avg((F.abs(signed) >= F.col("seen") - 1e-12).cast("double")).alias("p"))
+    return sizes.join(p, list(by), "left").select(*by, "n", "p")
 
 
 def bootstrap_mean(df: DataFrame, by: Sequence[str], value: str, *, draws: int = 200, seed: int = 7, alpha: float = 0.1) -> DataFrame:
@@ -242,7 +248,7 @@ def bootstrap_mean(df: DataFrame, by: Sequence[str], value: str, *, draws: int =
 
 
 def poisson_bootstrap(df: DataFrame, by: Sequence[str], tp: Column, alerts: Column, unit: Sequence[str], *, draws: int = 200, seed: int = 11, quantile: float = 0.05) -> DataFrame:
-    """Lower quantile of precision over replicates in which each unit (a date, a stratum row) counts a hashed Poisson(1) number of times."""
+    """Lower quantile of precision over replicates in which each unit (a date, a stratum row) counts a hashed Poisson(1) number of times (what would be more than 5, 1 draw in 1,700, counts as 5)."""
     units = df.groupBy(*by, *unit).agg(F.sum(tp.cast("int")).alias("__tp"), F.sum(alerts.cast("int")).alias("__al")).filter("__al > 0")
     reps = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), *unit), F.lit(1 << 24)) + 0.5) / float(1 << 24)
