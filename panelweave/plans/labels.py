@@ -197,7 +197,13 @@ def _(t):
     return R.range_volatility(bars(t), "o", "h", "l", "c").select("ticker", "date", "parkinson", "rogers_satchell")
 
 
-@query("r5_20_range_volatility_full")
+_VOL = f"""WITH {_BAR}, g AS (SELECT *, ln(h / l) * ln(h / l) AS hl, 0.5 * ln(h / l) * ln(h / l) - (2 * ln(2.0) - 1) * ln(c / o) * ln(c / o) AS gk, ln(h / o) * (ln(h / o) - ln(c / o)) + ln(l / o) * (ln(l / o) - ln(c / o)) AS rs, ln(o / lag(c) {W})) AS gap, ln(c / o) AS co, ln(c / lag(c) {W})) AS r FROM b),
+q AS (SELECT *, abs(r) * abs(lag(r) {W})) AS bp FROM g), z AS (SELECT *, sum(r * r) {_frame(5)} AS realised, 1.5707963267948966 * sum(bp) {_frame(5)} AS bipower FROM q)
+SELECT ticker, date, o, h, l, c, v, CASE WHEN count(hl) {_frame(5)} >= 3 THEN round(sqrt(greatest(avg(hl) {_frame(5)} / (4 * ln(2.0)), 0)), 6) END AS parkinson, CASE WHEN count(hl) {_frame(5)} >= 3 THEN round(sqrt(greatest(avg(gk) {_frame(5)}, 0)), 6) END AS garman_klass, CASE WHEN count(hl) {_frame(5)} >= 3 THEN round(sqrt(greatest(avg(rs) {_frame(5)}, 0)), 6) END AS rogers_satchell,
+  CASE WHEN count(gap) {_frame(5)} >= 3 THEN round(sqrt(greatest(var_samp(gap) {_frame(5)} + 0.34 / (1.34 + 6 / 4.0) * var_samp(co) {_frame(5)} + (1 - 0.34 / (1.34 + 6 / 4.0)) * avg(rs) {_frame(5)}, 0)), 6) END AS yang_zhang, CASE WHEN count(bp) {_frame(5)} >= 3 AND realised > 1e-12 THEN round(greatest(realised - bipower, 0) / realised, 6) END AS jump_share FROM z"""
+
+
+@query("r5_20_range_volatility_full", _VOL)
 def _(t):
     return R.range_volatility(bars(t), "o", "h", "l", "c")
 
