@@ -200,6 +200,7 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, curves: int = 2
     asked = stage(ids.join(unique.select(F.col("vid").alias("qid"), "v"), "v").select("query_id", "qid"), "asked")
     index = _placed(curve_index(unique, total, curves, dims, bits, seed))
     window = window or _calibrated(index, unique, asked, total, k=k, sample=sample, target=target)
+    window = max(window, min(1024, total // 256))  # smaller blocks would cost more to hand out than to compare
     rows = min(window, most_rows)
     reach, keep = -(-window // rows), 2 * k + 1
     placed = index.select("size", "curve", (F.expr(f"place div {rows}")).cast("int").alias("block"), "vid", "code", "step")
