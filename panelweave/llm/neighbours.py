@@ -187,7 +187,7 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, curves: int = 2
     cut into blocks of `window` rows; a query is compared with its own block and the two beside it. Without `window` the blocks
     are as small as lets a sample of `sample` queries find `target` of its true neighbours: of constant size where vectors lie in
     clusters, a share of the table where they lie like noise. Blocks hold at most most_rows rows; a wider window takes more of
-    them. In a block vectors are compared as bytes, and the best 2k + 1 are scored again on the original vectors in
+    them. In a block vectors are compared as bytes, and the best k and a quarter more of each block are scored again on the original vectors in
     double precision.
     Null, zero and non-finite vectors take no part (neither as queries), nor do null ids; equal vectors all count. Vectors of
     different lengths are never compared. Results with fewer than k candidates are shorter, and an empty table gives an empty
@@ -202,7 +202,7 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, curves: int = 2
     window = window or _calibrated(index, unique, asked, total, k=k, sample=sample, target=target)
     window = max(window, min(1024, total // 256))  # smaller blocks would cost more to hand out than to compare
     rows = min(window, most_rows)
-    reach, keep = -(-window // rows), 2 * k + 1
+    reach, keep = -(-window // rows), k + k // 4 + 1
     placed = index.select("size", "curve", (F.expr(f"place div {rows}")).cast("int").alias("block"), "vid", "code", "step")
     own = placed.join(asked.select(F.col("qid").alias("vid")).distinct(), "vid", "left_semi")
     targets = own.select("size", "curve", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"), F.col("vid").alias("qid"), "code").filter("block >= 0")
