@@ -127,8 +127,8 @@ def connected_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     for _ in range(rounds):
         mark = staged() - 1
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "cc-least")
-        large = stage(_with_least(both.filter("v > u"), least, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.filter("v > u"), least, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = _with_least(large, low, before[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         cur = stage(small.filter("u <> v").distinct(), "cc")

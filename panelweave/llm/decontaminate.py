@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from panelweave.llm.common import per_text, stage
+from panelweave.llm.urls import without_listed
 
 #: Scripts written without blanks, whose characters are tokens of their own: Thai, Lao, Burmese, Khmer, kana and Han.
 UNSPACED = "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u1000-\u103f\u1050-\u108f\u1780-\u17d3\u3005-\u3007\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff"
@@ -216,3 +217,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **match) -> DataFrame:
     out = docs.select("doc_id").join(found, "doc_id", "left")
     items = F.coalesce("items", F.expr("cast(array() as array<long>)"))
     return out.select("doc_id", F.col("items").isNotNull().cast("int").alias("contaminated"), F.size(items).cast("long").alias("n_items"), items.alias("items"), F.round(F.coalesce("share", F.lit(0.0)), 6).alias("share"))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, **match) -> DataFrame:
+    """docs without the documents that hold a benchmark item; all columns stay. Rows with a null id stay, and all rows of a leaking id go."""
+    return without_listed(docs, leak_matches(docs, benchmark, **match).select("doc_id"), "doc_id")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import connected_components, discard, per_text, stage, staged, with_null_safe_text
+from panelweave.llm.urls import probed, without_listed
 
 WORD = re.compile(r"\w+")
 
@@ -31,7 +32,7 @@ class JoinParams:
     tolerance: float = 1e-6
     step: int = 13
     small: int = 8
-    block_rows: int = 1024
+    block_rows: int = 512
     block_shingles: int = 1_500_000
 
     @property
@@ -280,7 +281,8 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     reps = classes.join(signed.select(F.col("doc_id").alias("rep"), "content", "sig", "keys"), ["rep", "content"]).dropDuplicates(["rep"])
     reps = stage(reps.select("rep", "content", "n", "copies", "sig", "keys"), "reps")
     groups = stage(connected_components(candidate_edges(reps, params)).withColumnRenamed("node", "rep"), "groups")
-    texts = with_null_safe_text(docs).withColumnRenamed("doc_id", "rep").withColumn("content", F.xxhash64("text")).join(groups.select("rep"), "rep", "left_semi")
+    texts = probed(with_null_safe_text(docs).withColumnRenamed("doc_id", "rep").withColumn("content", F.xxhash64("text")), groups.select("rep"), "rep", "maybe")
+    texts = texts.filter("maybe").drop("maybe").join(groups.select("rep"), "rep", "left_semi")
     found = stage(_verified(groups.join(reps, "rep"), texts.dropDuplicates(["rep", "content"]), params), "links")
     total = found.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("linked_copies").alias("linked"))
     joined = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "rep")
@@ -303,5 +305,5 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
 
 def keep_one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """docs without those whose class has a smaller id; all columns stay. Rows with a null id stay."""
-    gone = near_duplicates(docs, params).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = near_duplicates(docs, params).filter("doc_id <> class_id").select("doc_id")
+    return without_listed(docs, gone, "doc_id")

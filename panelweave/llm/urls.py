@@ -1,4 +1,4 @@
-"""Operator 6: URL filter: host and path rules, then a blocked Bloom filter of listed canonical URLs with an exact hash join behind it."""
+"""Operator 6: URL filter: host and path rules, then a blocked Bloom filter of listed canonical URLs with an exact hash join behind it. The filter serves other operators' keys too."""
 
 from __future__ import annotations
 
@@ -81,6 +81,14 @@ def mark_listed(rows: DataFrame, listed: DataFrame, key: str, flag: str, *, wher
     return stopped.unionByName(sure)
 
 
+def without_listed(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows without those whose key is in `gone` (one column of the same name); rows with a null key stay.
+
+    Only rows that the blocked filter passes take part in a join, so the others, with all their columns, are never shuffled.
+    """
+    return mark_listed(rows, gone, key, "__listed").filter(~F.col("__listed")).select(*rows.columns)
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, *, key: str = "page_id", url: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row: the longest rule's verdict, else block for a listed canonical URL, else allow.
 
