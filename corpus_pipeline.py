@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from panelweave.llm.common import discard, stage, staged
-from panelweave.llm.decontaminate import decontaminate
+from panelweave.llm.decontaminate import without_leaks
 from panelweave.llm.neardup import keep_one_of_each
 from panelweave.llm.packing import pack_documents
 from panelweave.llm.queries import good_documents, table, tokenizer_path
@@ -25,8 +24,7 @@ def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; rows without an id stay."""
-    leaks = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated = 1").select(F.col("doc_id").alias("__gone"))
-    return docs.join(leaks, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
