@@ -51,20 +51,44 @@ def prior_fold_sums(df: DataFrame, fold: str, by: Sequence[str], sums: dict[str,
     return each.withColumns({n: F.sum(n).over(w) for n in sums})
 
 
-def matched_controls(df: DataFrame, *, case: Column, control: Column, score: str, row_id: str, same: Sequence[str], penalties: dict[str, float], k: int) -> DataFrame:
+def matched_controls(df: DataFrame, *, case: Column, control: Column, score: str, row_id: str, same: Sequence[str], penalties: dict[str, float], k: int, near: int = 512) -> DataFrame:
     """(case_id, control_id, penalty, rank): for each case the k controls of its group with the least penalty.
 
-    Penalty: absolute score gap, plus a fixed amount for each of the given columns that differs; ties by control id.
+    Penalty: absolute score gap, plus a fixed amount for each of the given columns that differs; ties by control id. A case first
+    meets the controls within a score gap that holds about `near` rows of its group. Its k best are final if the k-th penalty is
+    within that gap, since any other control is further off; the cases left go on with four times the gap, until it spans the
+    group. So a case of a large group meets a part of it that doesn't grow with the group.
     """
-    cols = [*same, score, row_id, *penalties]
-    a = df.filter(case).select(*[F.col(c) if c in same else F.col(c).alias(f"a_{c}") for c in cols])
-    b = df.filter(control).select(*[F.col(c) if c in same else F.col(c).alias(f"b_{c}") for c in cols])
+    from panelweave.operators.iterate import cut_lineage
+
+    cols = [*dict.fromkeys([*same, score, row_id, *penalties])]
+    span = df.groupBy(*same).agg(F.count("*").alias("__n"), F.min(score).alias("__lo"), (F.max(score) - F.min(score)).alias("__span"))
+    rows = cut_lineage(df.filter((case | control) & F.col(score).isNotNull()).select(*cols, case.alias("__case"), control.alias("__control")).join(span, list(same)))
     cost = F.abs(F.col(f"a_{score}") - F.col(f"b_{score}"))
     for c, p in penalties.items():
         cost = cost + F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), 0.0).otherwise(p)
-    pairs = a.join(b, list(same)).select(F.col(f"a_{row_id}").alias("case_id"), F.col(f"b_{row_id}").alias("control_id"), F.round(cost, 9).alias("penalty"))
-    w = Window.partitionBy("case_id").orderBy("penalty", "control_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    left, out, turn = rows.filter("__case"), None, 0
+    while True:
+        width = F.col("__span") * near / F.col("__n") * float(4**turn)
+        whole = (width >= F.col("__span")) | (width <= 0)
+        cell = F.when(whole, 0).otherwise(F.floor((F.col(score) - F.col("__lo")) / width)).cast("long")
+        cells = F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.array(cell - 1, cell, cell + 1))
+        other = [c for c in cols if c not in same]
+        a = left.select(*same, *[F.col(c).alias(f"a_{c}") for c in other], width.alias("__width"), whole.alias("__whole"), F.explode(cells).alias("__cell"))
+        b = rows.filter("__control").select(*same, *[F.col(c).alias(f"b_{c}") for c in other], cell.alias("__cell"))
+        pairs = a.join(b, [*same, "__cell"]).select(F.col(f"a_{row_id}").alias("case_id"), F.col(f"b_{row_id}").alias("control_id"), F.round(cost, 9).alias("penalty"), "__width", "__whole")
+        w = Window.partitionBy("case_id")
+        best = pairs.withColumn("rank", F.row_number().over(w.orderBy("penalty", "control_id"))).filter(F.col("rank") <= k)
+        sure = F.col("__whole") | ((F.count("*").over(w) >= k) & (F.max("penalty").over(w) < F.col("__width") - 1e-9))
+        final = best.withColumn("__sure", sure).filter("__sure").select("case_id", "control_id", "penalty", "rank")
+        if turn == 0 and not left.filter(~whole).limit(1).count():
+            return final  # every group is met whole
+        final = cut_lineage(final)
+        out = final if out is None else out.unionByName(final)
+        left = cut_lineage(left.filter(~whole).join(final.select(F.col("case_id").alias(row_id)), row_id, "left_anti").select(*left.columns))
+        if left.isEmpty():
+            return out
+        turn += 1
 
 
 def hierarchical_matching(df: DataFrame, *, case: Column, control: Column, row_id: str, score: str, date: str, levels: Sequence[Sequence[str]], most: int, reach: int = 16, day_cost: float = 0.1 / 756, use_cost: float = 0.01) -> DataFrame:

@@ -81,6 +81,22 @@ def test_whole_table_queries_leave_no_row_out(spark, tmp_path):
     assert sorted(r["event_id"] for r in QUERIES["r1_12_upsert"](spark, str(tmp_path)).collect()) == [3, 9]
 
 
+@pytest.mark.parametrize("near", [2, 8, 10_000])
+def test_matched_controls_equal_all_pairs(spark, near):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, "d" if i % 9 else "e", rng.choice("xy"), round(rng.random() ** 3, 3), int(rng.random() < 0.3)) for i in range(120)] + [(500, "f", "x", 0.5, 1)]
+    df = spark.createDataFrame(rows, "row_id long, day string, market string, score double, target int")
+    got = joins.matched_controls(df, case=F.col("target") == 1, control=F.col("target") == 0, score="score", row_id="row_id", same=["day"], penalties={"market": 0.08}, k=3, near=near)
+    want = []
+    for i, day, market, s, y in rows:
+        if y == 1:
+            cost = sorted((round(abs(s - t) + (0.08 if m != market else 0.0), 9), j) for j, d, m, t, z in rows if z == 0 and d == day)
+            want += [(i, j, c, n) for n, (c, j) in enumerate(cost[:3], 1)]
+    assert sorted((r["case_id"], r["control_id"], r["penalty"], r["rank"]) for r in got.collect()) == sorted(want)
+
+
 def test_matching_leaves_no_case_while_a_control_has_room(spark):
     rows = [(i, "a", "x", DAYS[0], 0.5, 1) for i in range(40)] + [(100 + i, "a", "x", DAYS[0], 0.5, 0) for i in range(10)]  # a hot group of equal scores
     rows += [(200 + i, "b", "x", DAYS[1], 0.4 + i / 100, 0) for i in range(4)] + [(300, None, None, DAYS[2], 0.9, 0), (301, "c", None, DAYS[2], 0.1, 1)]
