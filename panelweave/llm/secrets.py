@@ -66,24 +66,27 @@ def window_entropy(value: Column, alphabet: str, width: int) -> Column:
     Counts and the sum of c*log2(c) move with the window: a character comes in, one goes out, nothing is counted again.
     """
     size = F.least(F.length(value), F.lit(width))
-    letter = lambda i: F.instr(F.lit(alphabet), F.substr(value, i, F.lit(1))) - 1
     nlogn = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    bump = lambda counts, k, by: F.transform(counts, lambda c, i: F.when(i == k, c + by).otherwise(c))
     entropy = lambda total: F.log2(size.cast("double")) - total / size
 
-    def move(acc: Column, i: Column) -> Column:
-        enters = letter(i)
-        leaves = F.when(i > size, letter(i - size))
-        old = F.get(acc["counts"], enters)
-        counts = bump(acc["counts"], enters, 1)
-        total = acc["total"] - nlogn(old) + nlogn(old + 1)
-        going = F.get(counts, leaves)
-        total = F.when(leaves.isNotNull(), total - nlogn(going) + nlogn(going - 1)).otherwise(total)
-        counts = F.when(leaves.isNotNull(), bump(counts, leaves, -1)).otherwise(counts)
-        return F.struct(counts.alias("counts"), total.alias("total"), F.when(i >= size, F.greatest(acc["best"], entropy(total))).otherwise(acc["best"]).alias("best"))
-
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, move, lambda acc: acc["best"])
+    def change(counts: Column, k: Column, by: int) -> Column:
+        """What the sum gains as the count of letter k changes by one."""
+        return F.when(k >= 0, nlogn(F.get(counts, k) + by) - nlogn(F.get(counts, k))).otherwise(F.lit(0.0))
+
+    def step(acc: Column, moved: Column) -> Column:
+        enters, leaves = moved["enters"], moved["leaves"]
+        counts = F.transform(acc["counts"], lambda c, k: F.when(k == enters, c + 1).when(k == leaves, c - 1).otherwise(c))
+        total = acc["total"] + change(acc["counts"], enters, 1) + change(acc["counts"], leaves, -1)
+        same = enters == leaves
+        full = moved["full"]
+        return F.when(same, acc).otherwise(F.struct(counts.alias("counts"), total.alias("total"), F.when(full, F.greatest(acc["best"], entropy(total))).otherwise(acc["best"]).alias("best")))
+
+    # what comes in and goes out at each place, made once; the two letters of a place change different counts, or none
+    letters = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
+    moved = lambda own: F.transform(own, lambda x, i: F.struct(x.alias("enters"), F.coalesce(F.when(i >= size, F.get(own, i - size)), F.lit(-1)).alias("leaves"), (i + 1 >= size).alias("full")))
+    moves = F.element_at(F.transform(F.array(letters), moved), 1)
+    begin = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
+    return F.aggregate(moves, begin, step, lambda acc: acc["best"])
 
 
 def random_looking(value: Column, width: int, filler: str) -> Column:

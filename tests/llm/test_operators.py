@@ -521,7 +521,7 @@ def test_ftrl_matches_a_plain_loop():
 def test_spans_survive_letters_that_grow_and_long_chains(spark):
     words = {"zargh"}
     calm = " ".join(prose(2, random.Random(i)) for i in range(40))
-    model = toxicity.fit_crf(toxicity._chains([f"{calm} zargh {calm}", calm, f"zargh {calm}. the zargh"] * 5), words, steps=60)
+    model = toxicity.fit_crf(toxicity._chains([f"{calm} zargh {calm}", calm, f"zargh {calm}. the zargh"] * 50), words, steps=120, decay=0.01)
     text = "İ İstanbul and zargh here"
     rows = toxicity.toxicity_scores(docs(spark, [text, ("word " * 3000) + "zargh" + (" word" * 3000)]), model).orderBy("doc_id").collect()
     assert [text[int(a) : int(b)] for a, b in (s.split(":") for s in rows[0]["spans"].split(","))] == ["zargh"]
