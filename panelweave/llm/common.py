@@ -97,25 +97,12 @@ def per_text(frame: DataFrame, columns: str, compute: Callable[[list[str]], Iter
     return frame.mapInArrow(run, schema)
 
 
-#: A node with more neighbours than this, and than a two-thousandth of all edges, is a hub: there are at most 4,000 hubs.
-HUB = 256
-
-
-def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
-    """edges (u, v) with the u's row of `least` (u, m, n). Hubs' rows are broadcast, so that no task meets all edges of a hub."""
-    bar = max(HUB, n // 2000)
-    hubs = F.broadcast(least.filter(F.col("n") > bar).select("u", "m"))
-    few = edges.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("n") <= bar).select("u", "m"), "u")
-    return edges.join(hubs, "u").select("u", "v", "m").unionByName(few.select("u", "v", "m"))
-
-
 def connected_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Components of an undirected graph with (src, dst) long columns as (node, root): root is the component's least node.
 
     Alternating large-star and small-star steps: each step rewires edges towards smaller nodes and keeps at most as many
-    edges as there were. A node's neighbours are only ever reduced to their least, never gathered, and the edges of a hub stay
-    where they are. Each step's edges are written to the shared folder, and those of the step before removed. An isolated node
-    has no row. An error is raised if `rounds` steps don't suffice (their number grows with the logarithm of the nodes).
+    edges as there were. A node's neighbours are only ever reduced to their least, never gathered. Each step's edges are written
+    to the shared folder, and those of the step before removed. An isolated node has no row. An error is raised if `rounds` steps don't suffice (their number grows with the logarithm of the nodes).
     """
     spark = edges.sparkSession
     cur = stage(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "cc")
@@ -127,10 +114,9 @@ def connected_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     for _ in range(rounds):
         mark = staged() - 1
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both.filter("v > u"), least, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_least(large, low, before[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         cur = stage(small.filter("u <> v").distinct(), "cc")
         discard(spark, mark, keep=1)
         after = digest(cur)
