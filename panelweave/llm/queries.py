@@ -12,6 +12,7 @@ from panelweave.llm.decontaminate import decontaminate
 from panelweave.llm.language import identify_languages, train_language
 from panelweave.llm.licences import TEMPLATES, bigrams_of, scan_licences
 from panelweave.llm.neardup import near_duplicates
+from panelweave.llm.negatives import hard_negatives
 from panelweave.llm.neighbours import nearest
 from panelweave.llm.packing import pack_documents
 from panelweave.llm.quality import keep_good, quality_scores
@@ -98,9 +99,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_toxicity, op3_licences, op4_secrets, op5_near_duplicates, op6_urls, op7_decontaminate, op8_language, op9_neighbours, op10_packing)
-}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+_ALL = (op1_quality, op2_toxicity, op3_licences, op4_secrets, op5_near_duplicates, op6_urls, op7_decontaminate, op8_language, op9_neighbours, op10_packing, op13_hard_negatives)
+LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _HOSTS = r"regexp_extract(regexp_extract(url, '://(.*)$', 1, 's'), '^[^/?#]*', 0)"
 _SQL_URLS = f"""
@@ -133,4 +138,14 @@ SELECT d.doc_id, coalesce(n_matches, 0) AS n_matches, licence, dice, coalesce(ma
 """
 
 
-LLM_SQL: dict[str, str] = {"op3_licences": _licence_sql(), "op6_urls": _SQL_URLS}
+_SQL_NEGATIVES = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, CAST(list_dot_product(a.v, e.v) AS BIGINT) AS score FROM e AS a JOIN e ON a.vec_id % 100 = 0 AND a.vec_id <> e.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s AS n ON p.anchor_id = n.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+LLM_SQL: dict[str, str] = {"op3_licences": _licence_sql(), "op6_urls": _SQL_URLS, "op13_hard_negatives": _SQL_NEGATIVES}
