@@ -18,6 +18,7 @@ from panelweave.llm.packing import pack_documents
 from panelweave.llm.quality import keep_good, quality_scores
 from panelweave.llm.secrets import described, find_secrets
 from panelweave.llm.toxicity import toxicity_scores, train_toxicity, trainable_labels
+from panelweave.llm.trie import prefix_trie
 from panelweave.llm.urls import canonical, host_and_path, judge_urls
 
 #: The URL rules of the contract, and the host labels whose pages make up the list of canonical URLs.
@@ -99,12 +100,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    return prefix_trie(table(spark, sf_dir, "conversations"), head=fold_of(c, 6), base=c - c % 100)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
-_ALL = (op1_quality, op2_toxicity, op3_licences, op4_secrets, op5_near_duplicates, op6_urls, op7_decontaminate, op8_language, op9_neighbours, op10_packing, op13_hard_negatives)
+_ALL = (op1_quality, op2_toxicity, op3_licences, op4_secrets, op5_near_duplicates, op6_urls, op7_decontaminate, op8_language, op9_neighbours, op10_packing, op12_prefix_trie, op13_hard_negatives)
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _HOSTS = r"regexp_extract(regexp_extract(url, '://(.*)$', 1, 's'), '^[^/?#]*', 0)"
@@ -148,4 +154,19 @@ FROM p JOIN s AS n ON p.anchor_id = n.anchor_id AND NOT n.same AND 30 * p.score
 WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) QUALIFY row_number() OVER w <= 10
 """
 
-LLM_SQL: dict[str, str] = {"op3_licences": _licence_sql(), "op6_urls": _SQL_URLS, "op13_hard_negatives": _SQL_NEGATIVES}
+_SQL_TRIE = """
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tbl),
+t AS (SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id AS c, list(d ORDER BY turn NULLS FIRST, d) AS ds, list(n ORDER BY turn NULLS FIRST, d) AS ns FROM t GROUP BY conv_id),
+h AS (SELECT o.*, c - c % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, tbl[(xor(a, b) & 255) + 1])), 4294967295) % 6 AS h FROM o, crc),
+r AS (SELECT h.c, coalesce(b.ds[1:h.h], []) || h.ds[h.h + 1:] AS ds, coalesce(b.ns[1:h.h], []) || h.ns[h.h + 1:] AS ns FROM h LEFT JOIN o AS b ON b.c = h.base),
+p AS (SELECT c, d, array_to_string(ds[1:d], '') AS key, CASE WHEN d > 0 THEN ns[d] ELSE 0 END AS n, len(ds) = d AS last FROM r, unnest(range(0, len(ds) + 1)) AS u(d)),
+g AS (SELECT key, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(n) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends_sha256 FROM p GROUP BY key),
+k AS (SELECT left(key, 64 * (depth - 1)::BIGINT) AS key, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY 1),
+v AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN k USING (key)),
+s AS (SELECT left(key, 64 * a) AS key, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * n) AS saved_tokens FROM v, unnest(range(0, depth + 1)) AS u(a) GROUP BY 1)
+SELECT v.conv_id, v.depth, up.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN s USING (key) LEFT JOIN g AS up ON v.depth > 0 AND up.key = left(v.key, 64 * (v.depth - 1)::BIGINT)
+"""
+
+LLM_SQL: dict[str, str] = {"op3_licences": _licence_sql(), "op6_urls": _SQL_URLS, "op12_prefix_trie": _SQL_TRIE, "op13_hard_negatives": _SQL_NEGATIVES}
