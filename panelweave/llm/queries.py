@@ -20,6 +20,7 @@ from panelweave.llm.secrets import described, find_secrets
 from panelweave.llm.toxicity import toxicity_scores, train_toxicity, trainable_labels
 from panelweave.llm.trie import prefix_trie
 from panelweave.llm.urls import canonical, host_and_path, judge_urls
+from panelweave.llm.wrappers import extract_main_text
 
 #: The URL rules of the contract, and the host labels whose pages make up the list of canonical URLs.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -100,6 +101,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("conv_id")
     return prefix_trie(table(spark, sf_dir, "conversations"), head=fold_of(c, 6), base=c - c % 100)
@@ -110,7 +115,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
-_ALL = (op1_quality, op2_toxicity, op3_licences, op4_secrets, op5_near_duplicates, op6_urls, op7_decontaminate, op8_language, op9_neighbours, op10_packing, op12_prefix_trie, op13_hard_negatives)
+_ALL = (op1_quality, op2_toxicity, op3_licences, op4_secrets, op5_near_duplicates, op6_urls, op7_decontaminate, op8_language, op9_neighbours, op10_packing, op11_main_text, op12_prefix_trie, op13_hard_negatives)
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _HOSTS = r"regexp_extract(regexp_extract(url, '://(.*)$', 1, 's'), '^[^/?#]*', 0)"
