@@ -328,7 +328,7 @@ def content_nodes(labels: list[str], parents: list[int], chars: list[float], lin
     for k in range(n):
         below[k] = (k > 0 and below[parents[k]]) or tag[k] in ASIDE_TAGS or not ASIDE.isdisjoint(words[k][1:])
         is_main[k] = not below[k] and (tag[k] in MAIN or "main" in words[k][1:] or {"article", "body"} <= set(words[k][1:]))
-    holds, headed, total = is_main.copy(), [t == "h1" for t in tag], list(chars)
+    holds, headed, total = is_main.copy(), [t == "h1" for t in tag], [0.0 if b else c for b, c in zip(below, chars, strict=True)]
     for k in range(n - 1, 0, -1):
         p = parents[k]
         holds[p], headed[p], total[p] = holds[p] or holds[k], headed[p] or headed[k], total[p] + total[k]
