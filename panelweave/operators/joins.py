@@ -149,13 +149,6 @@ def places(df: DataFrame, by: Sequence[str], order: Sequence[str], counted: str,
     return laid.join(before, [*by, "__part"]).withColumn(name, F.sum(F.col(counted).cast("long")).over(own) + F.col("__before")).drop("__part", "__before")
 
 
-def lagged_pairs(df: DataFrame, *, entity: str, pos: str, value: str, lags: Sequence[int], ordered: bool = True) -> DataFrame:
-    """(a, b, lag, pos, x, y): a's value at pos with b's at pos + lag, for pairs of different entities. Aligned by calendar position, not by row."""
-    a = df.select(F.col(entity).alias("a"), F.col(pos).alias("pos"), F.col(value).alias("x"), F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag")).withColumn("at", F.col("pos") + F.col("lag"))
-    b = df.select(F.col(entity).alias("b"), F.col(pos).alias("at"), F.col(value).alias("y"))
-    return a.join(b, "at").filter(F.col("a") != F.col("b") if ordered else F.col("a") < F.col("b")).drop("at")
-
-
 def two_hop(edges: DataFrame, *, longest: int = 5) -> DataFrame:
     """Paths a -> b -> c, a and c different, total lag within bounds, scored by the root of the product of strengths."""
     first = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("lag").alias("lag1"), F.col("weight").alias("w1"))

@@ -12,11 +12,12 @@ from panelweave.functions.windows import complete_corr, pct_rank
 from panelweave.operators import assembly as A
 from panelweave.operators import policy as P
 from panelweave.operators import stats as T
+from panelweave.operators.leadlag import edge_correlations
 from panelweave.plans.crosssection import pr
 from panelweave.plans.evaluate import LONG, models
 from panelweave.plans.registry import query, sql
 from panelweave.plans.screening import _FC, fold_corr
-from panelweave.plans.stats import _SER, FV, auc_sql, pairs
+from panelweave.plans.stats import _SER, FV, KEYS, auc_sql, series
 from panelweave.sources import ingest as I
 
 
@@ -284,7 +285,7 @@ def _(t):
 def _(t):
     """Earlier edges tested again: only their pairs and lags are kept."""
     e = t.spark.createDataFrame([("B0", "B1", 0), ("B1", "B2", 1), ("B3", "B0", 2)], "a string, b string, lag int")
-    c = pairs(t, [0, 1, 2]).join(F.broadcast(e), ["a", "b", "lag"], "left_semi").groupBy("a", "b", "lag").agg(F.count("*").alias("n"), F.round(complete_corr(F.col("x"), F.col("y")), 6).alias("corr"))
+    c = edge_correlations(series(t), e, **KEYS).withColumn("corr", F.round("corr", 6))
     return c.withColumn("holds", F.abs("corr") >= 0.1)
 
 

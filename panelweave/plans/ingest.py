@@ -9,6 +9,7 @@ from panelweave.functions import scalar as S
 from panelweave.functions.windows import complete_corr
 from panelweave.operators import contracts as C
 from panelweave.operators import joins as J
+from panelweave.operators.leadlag import lagged_correlations
 from panelweave.plans.registry import Tables, query, rd, sql
 from panelweave.sources import ingest as I
 
@@ -310,7 +311,7 @@ def _(t):
 @query("r3_14_lag_align", sql("panel", ", d AS (SELECT industry, day(date) AS pos, sum(close) AS v FROM panel GROUP BY 1, 2), l(lag) AS (VALUES (-1), (0), (1), (2)) SELECT a.industry AS a, b.industry AS b, lag, count(*) AS n, round(corr(a.v, b.v), 6) AS corr FROM d a CROSS JOIN l JOIN d b ON b.pos = a.pos + lag AND a.industry <> b.industry GROUP BY 1, 2, 3"))
 def _(t):
     d = t.panel.groupBy("industry", F.dayofmonth("date").alias("pos")).agg(F.sum("close").alias("v"))
-    return J.lagged_pairs(d, entity="industry", pos="pos", value="v", lags=[-1, 0, 1, 2]).groupBy("a", "b", "lag").agg(F.count("*").alias("n"), complete_corr(F.col("x"), F.col("y")).alias("corr"))
+    return lagged_correlations(d, entity="industry", pos="pos", value="v", lags=[-1, 0, 1, 2])
 
 
 _EDGES = "e AS (SELECT 'N' || (l_suppkey % 9) AS src, 'N' || (l_partkey % 9) AS dst, CAST(1 + min(l_linenumber) % 3 AS INTEGER) AS lag, count(*)::DOUBLE AS weight FROM lineitem WHERE l_suppkey % 9 <> l_partkey % 9 GROUP BY 1, 2)"

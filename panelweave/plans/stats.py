@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelweave.functions.windows import complete_corr, over, pct_rank
-from panelweave.operators import joins as J
+from panelweave.operators import leadlag as L
 from panelweave.operators import stats as T
 from panelweave.plans.crosssection import pr
 from panelweave.plans.ingest import edges
@@ -340,23 +340,25 @@ def series(t):
     return t.ret.filter("r is not null").groupBy(F.col("bucket").alias("k"), F.dayofmonth("date").alias("pos")).agg(F.avg("r").alias("v"))
 
 
-def pairs(t, lags):
-    return J.lagged_pairs(series(t), entity="k", pos="pos", value="v", lags=lags)
+#: What the series of a bucket are called.
+KEYS = {"entity": "k", "pos": "pos", "value": "v"}
 
 
 @query("r7_48_lagged_lift", sql("ret", f", {_SER}, p AS (SELECT a.k AS a, b.k AS b, l.lag, a.v AS x, b.v AS y FROM s a CROSS JOIN (VALUES (1), (2)) l(lag) JOIN s b ON b.pos = a.pos + l.lag AND a.k <> b.k) SELECT a, b, lag, round(avg((y >= 1.5)::INT), 6) AS base, round(avg(CASE WHEN x >= 1.5 THEN (y >= 1.5)::INT END), 6) AS conditional FROM p GROUP BY 1, 2, 3"))
 def _(t):
-    y = (F.col("y") >= 1.5).cast("double")
-    return pairs(t, [1, 2]).groupBy("a", "b", "lag").agg(F.avg(y).alias("base"), F.avg(F.when(F.col("x") >= 1.5, y)).alias("conditional"))
+    one, hit = (lambda v: v == v), (lambda v: v >= 1.5)
+    s = L.lagged_sums(series(t), {"y": (one, hit), "x": (hit, one), "xy": (hit, hit)}, lags=[1, 2], **KEYS)
+    return s.select("a", "b", "lag", (F.col("y") / F.col("n")).alias("base"), F.when(F.col("x") > 0, F.col("xy") / F.col("x")).alias("conditional"))
 
 
 @query("r7_49_sign_tail", sql("ret", f", {_SER}, p AS (SELECT a.k AS a, b.k AS b, a.v - 1 AS x, b.v - 1 AS y FROM s a JOIN s b ON a.pos = b.pos AND a.k < b.k), q AS (SELECT a, b, quantile_cont(x, 0.3) AS qx, quantile_cont(y, 0.3) AS qy FROM p GROUP BY 1, 2) SELECT a, b, round(avg((sign(x) = sign(y))::INT), 6) AS sign_agreement, round(avg((x > 0 AND y > 0)::INT), 6) AS up_up, round(avg((x < 0 AND y < 0)::INT), 6) AS down_down, round(avg(CASE WHEN x <= qx + 1e-12 THEN (y <= qy + 1e-12)::INT END), 6) AS tail FROM p JOIN q USING (a, b) GROUP BY 1, 2"))
 def _(t):
-    p = pairs(t, [0]).filter("a < b").withColumns({"x": F.col("x") - 1, "y": F.col("y") - 1})
-    q = p.groupBy("a", "b").agg(F.percentile("x", F.lit(0.3)).alias("qx"), F.percentile("y", F.lit(0.3)).alias("qy"))
-    b = lambda c: F.avg(c.cast("double"))
-    x, y = F.col("x"), F.col("y")
-    return p.join(q, ["a", "b"]).groupBy("a", "b").agg(b(F.signum(x) == F.signum(y)).alias("sign_agreement"), b((x > 0) & (y > 0)).alias("up_up"), b((x < 0) & (y < 0)).alias("down_down"), F.avg(F.when(x <= F.col("qx") + 1e-12, (y <= F.col("qy") + 1e-12).cast("double"))).alias("tail"))
+    s = series(t).withColumn("v", F.col("v") - 1)
+    up, down, flat = (lambda v: v > 0), (lambda v: v < 0), (lambda v: v == 0)
+    q = L.lagged_sums(s, {"uu": (up, up), "dd": (down, down), "ff": (flat, flat)}, lags=[0], ordered=False, **KEYS)
+    n = F.col("n")
+    signs = q.select("a", "b", ((F.col("uu") + F.col("dd") + F.col("ff")) / n).alias("sign_agreement"), (F.col("uu") / n).alias("up_up"), (F.col("dd") / n).alias("down_down"))
+    return signs.join(L.tail_dependence(s, level=0.3, **KEYS), ["a", "b"])
 
 
 @query("r7_50_granger")
@@ -384,12 +386,12 @@ def _(t):
 
 @query("r7_51_event_response", sql("ret", f", {_SER}, p AS (SELECT a.k AS a, b.k AS b, l.lag, b.v AS y FROM s a CROSS JOIN (VALUES (0), (1), (3)) l(lag) JOIN s b ON b.pos = a.pos + l.lag AND a.k <> b.k WHERE a.v >= 1.5) SELECT a, b, lag, count(*) AS n, round(avg(y), 6) AS mean, round(quantile_cont(y, 0.5), 6) AS median, round(avg((y > 0)::INT), 6) AS up FROM p GROUP BY 1, 2, 3"))
 def _(t):
-    return pairs(t, [0, 1, 3]).filter("x >= 1.5").groupBy("a", "b", "lag").agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.percentile("y", F.lit(0.5)).alias("median"), F.avg((F.col("y") > 0).cast("double")).alias("up"))
+    return L.event_responses(series(t), lambda v: v >= 1.5, lags=[0, 1, 3], **KEYS)
 
 
 @query("r7_52_best_lag", sql("ret", f", {_SER}, c AS (SELECT a.k AS a, b.k AS b, l.lag, round(corr(a.v, b.v), 9) AS c FROM s a CROSS JOIN (SELECT unnest(range(-3, 4)) AS lag) l JOIN s b ON b.pos = a.pos + l.lag AND a.k < b.k GROUP BY 1, 2, 3) SELECT a, b, lag, round(c, 6) AS corr FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY abs(c) DESC, abs(lag), lag) AS n FROM c) WHERE n = 1"))
 def _(t):
-    c = pairs(t, list(range(-3, 4))).filter("a < b").groupBy("a", "b", "lag").agg(F.round(complete_corr(F.col("x"), F.col("y")), 9).alias("corr"))
+    c = L.lagged_correlations(series(t), lags=range(-3, 4), ordered=False, **KEYS).withColumn("corr", F.round("corr", 9)).drop("n")
     w = Window.partitionBy("a", "b").orderBy(F.desc(F.abs("corr")), F.abs("lag"), "lag")
     return c.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
@@ -403,44 +405,18 @@ def _(t):
 
 @query("r7_54_maxstat_permutation")
 def _(t):
-    """Largest |corr| over lags against moving-block shuffles of one side; p = (1 + exceeding) / (1 + draws). Pairs are spread over the cluster."""
-    import zlib
-
-    import numpy as np
-    import pandas as pd
-
-    s = series(t).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"))
-    p = s.select(F.col("k").alias("a"), F.col("s").alias("x")).crossJoin(s.select(F.col("k").alias("b"), F.col("s").alias("y"))).filter("a < b")
-
-    def test(batches):
-        for pdf in batches:
-            out = []
-            for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["x"], pdf["y"], strict=True):
-                u, v = {d["pos"]: d["v"] for d in x}, {d["pos"]: d["v"] for d in y}
-                at = sorted(u.keys() & v.keys())
-                xs, ys = np.array([u[i] for i in at]), np.array([v[i] for i in at])
-                stat = lambda q: max(abs(np.corrcoef(xs[max(0, -k) : len(xs) - max(0, k)], q[max(0, k) : len(q) - max(0, -k)])[0, 1]) for k in range(-3, 4))  # noqa: B023, E731
-                rng = np.random.default_rng(zlib.crc32(f"{a}|{b}".encode()))
-                seen, draws = stat(ys), 99
-                shuffled = [np.concatenate([ys[i : i + 5] for i in rng.permutation(range(0, len(ys), 5))]) for _ in range(draws)]
-                out.append((a, b, seen, (1 + sum(stat(q) >= seen for q in shuffled)) / (1 + draws)))
-            yield pd.DataFrame(out, columns=["a", "b", "stat", "p"])
-
-    return p.mapInPandas(test, "a string, b string, stat double, p double")
+    """Largest |corr| over lags against block shuffles of one side, weak pairs by few draws and the others by more."""
+    return L.maxstat_permutation(series(t), lags=range(-3, 4), **KEYS)
 
 
 @query("r7_55_frozen_lag_rolling", sql("ret", f", {_SER}, p AS (SELECT a.k AS a, b.k AS b, a.pos, a.v AS x, b.v AS y FROM s a JOIN s b ON b.pos = a.pos + 1 AND a.k < b.k), e(e) AS (VALUES (12), (18), (24), (29)) SELECT a, b, e AS end_pos, count(*) AS n, round(corr(x, y), 6) AS corr FROM p JOIN e ON pos BETWEEN e - 9 AND e GROUP BY 1, 2, 3"))
 def _(t):
-    ends = t.spark.createDataFrame([(12,), (18,), (24,), (29,)], "end_pos int")
-    p = pairs(t, [1]).filter("a < b").join(F.broadcast(ends), F.col("pos").between(F.col("end_pos") - 9, F.col("end_pos")))
-    return p.groupBy("a", "b", "end_pos").agg(F.count("*").alias("n"), complete_corr(F.col("x"), F.col("y")).alias("corr"))
+    return L.window_correlations(series(t), [12, 18, 24, 29], 10, lag=1, **KEYS)
 
 
 @query("r7_56_relation_states", sql("ret", f", {_SER}, p AS (SELECT a.k AS a, b.k AS b, a.pos, a.v AS x, b.v AS y FROM s a JOIN s b ON b.pos = a.pos AND a.k < b.k), r AS (SELECT *, corr(x, y) OVER w AS c, (x - y - avg(x - y) OVER w) / stddev_pop(x - y) OVER w AS z, count(*) OVER w AS n FROM p WINDOW w AS (PARTITION BY a, b ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) SELECT a, b, pos, round(c, 6) AS corr, round(z, 6) AS spread_z, CASE WHEN c >= 0.5 AND abs(z) < 1 THEN 'COUPLED' WHEN c >= 0.5 THEN 'STRETCHED' WHEN c <= -0.3 THEN 'OPPOSED' WHEN abs(z) >= 2 THEN 'DIVERGED' ELSE 'LOOSE' END AS state FROM r WHERE n = 10"))
 def _(t):
-    w = Window.partitionBy("a", "b").orderBy("pos").rowsBetween(-9, 0)
-    p = pairs(t, [0]).filter("a < b").withColumn("d", F.col("x") - F.col("y"))
-    p = p.withColumns({"corr": complete_corr(F.col("x"), F.col("y"), w), "spread_z": (F.col("d") - F.avg("d").over(w)) / F.stddev_pop("d").over(w), "n": F.count("*").over(w)}).filter("n = 10")
+    p = L.rolling_relations(series(t), 10, **KEYS)
     c, z = F.col("corr"), F.abs("spread_z")
     return p.select("a", "b", "pos", "corr", "spread_z", F.when((c >= 0.5) & (z < 1), "COUPLED").when(c >= 0.5, "STRETCHED").when(c <= -0.3, "OPPOSED").when(z >= 2, "DIVERGED").otherwise("LOOSE").alias("state"))
 
@@ -468,8 +444,12 @@ def _(t):
 
 @query("r7_59_60_lead_features", sql("ret", f", {_SER}, e AS (SELECT a.k AS leader, b.k AS follower, lag FROM (SELECT DISTINCT k FROM s) a, (SELECT DISTINCT k FROM s) b, (VALUES (1), (2)) l(lag) WHERE a.k <> b.k) SELECT e.follower AS k, x.pos + e.lag AS pos, round(avg(x.v), 6) AS mean, round(max(x.v), 6) AS top, round(min(x.v), 6) AS low, count(*) FILTER (x.v >= 1.5) AS shocks FROM e JOIN s x ON x.k = e.leader GROUP BY 1, 2"))
 def _(t):
-    s = series(t)
-    names = s.select("k").distinct()
-    e = names.select(F.col("k").alias("leader")).crossJoin(names.select(F.col("k").alias("follower"))).filter("leader <> follower").withColumn("lag", F.explode(F.array(F.lit(1), F.lit(2))))
-    x = s.withColumnRenamed("k", "leader").join(F.broadcast(e), "leader")
-    return x.groupBy(F.col("follower").alias("k"), (F.col("pos") + F.col("lag")).alias("pos")).agg(F.avg("v").alias("mean"), F.max("v").alias("top"), F.min("v").alias("low"), F.count_if(F.col("v") >= 1.5).alias("shocks"))
+    return L.other_leaders(series(t), 1.5, lags=[1, 2], **KEYS)
+
+
+@query("r7_60_top_leaders", f"WITH {_E}, s AS (SELECT 'N' || (l_suppkey % 9) AS k, year(l_shipdate) * 12 + month(l_shipdate) AS pos, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(*) - 25 AS v FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY weight DESC, src, lag) AS n FROM e) SELECT dst AS k, pos + lag AS pos, round(sum(weight * v) / sum(weight), 6) AS consensus, round(sum(weight * v), 6) AS pressure, round(max(v), 6) AS top, round(min(v), 6) AS low, count(*) FILTER (v >= 0.5) AS ups, count(*) FILTER (v <= -0.5) AS downs FROM r JOIN s ON s.k = r.src WHERE n <= 5 GROUP BY 1, 2")
+def _(t):
+    line = t.read("lineitem")
+    node, month = F.concat(F.lit("N"), (F.col("l_suppkey") % 9).cast("string")), F.year("l_shipdate") * 12 + F.month("l_shipdate")
+    s = line.groupBy(node.alias("k"), month.alias("pos")).agg((F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double") / F.count("*") - 25).alias("v"))
+    return L.edge_leaders(s, edges(t), 0.5, **KEYS)
