@@ -37,6 +37,41 @@ CLASSES = (
 )
 
 
+SPANS = "cast(array() as array<struct<start:int,end:int,kind:string,value:string>>)"
+#: Code points of the pieces that a text is cut into, so that reaching a place costs a piece and not the text before it.
+CHUNK = 2048
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(numbers: Column, grow, start: int = 0) -> Column:
+    """For each number of an array what grow(so far, number) has come to, the number included, from `start` on.
+
+    grow: a sum or a maximum. The array is cut into blocks of about its size's root, and arrays grow only within a block, so n numbers take n times its
+    root copied references, not n times n.
+    """
+
+    def within(block: Column, first: Column) -> Column:
+        more = lambda acc, x: let(grow(acc["at"], x), lambda v: F.struct(v.alias("at"), F.concat(acc["out"], F.array(v)).alias("out")))
+        return F.aggregate(block, F.struct(first.alias("at"), F.expr("cast(array() as array<int>)").alias("out")), more, lambda acc: acc["out"])
+
+    def whole(ns: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(ns))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(ns), size), lambda at: F.slice(ns, at, size))
+        totals = lambda bs: within(F.transform(bs, lambda b: F.aggregate(b, F.lit(start), grow)), F.lit(start))
+        first = lambda ts: F.concat(F.array(F.lit(start)), F.slice(ts, 1, F.size(ts) - 1))
+        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, first(totals(bs)), within)))
+
+    return let(numbers, lambda ns: F.when(F.size(ns) > 0, whole(ns)).otherwise(ns))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def spans_by(text: Column, pattern: str, kind: str, keep=None) -> Column:
     """Array of (start, end, kind, value) of a pattern's matches, leftmost and not overlapping, in code points.
 
@@ -44,22 +79,42 @@ def spans_by(text: Column, pattern: str, kind: str, keep=None) -> Column:
     condition on the match's text.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(pieces, 1, F.greatest(F.size(found), F.lit(0))), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size"), m.alias("value")))
-    empty = F.expr("struct(0 as pos, cast(array() as array<struct<start:int,end:int,kind:string,value:string>>) as spans)")
-    grown = F.aggregate(
-        steps,
-        empty,
-        lambda acc, s: F.struct(
-            (acc["pos"] + s["gap"] + s["size"]).alias("pos"),
-            F.concat(acc["spans"], F.array(F.struct((acc["pos"] + s["gap"]).alias("start"), (acc["pos"] + s["gap"] + s["size"]).alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value")))).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    spans = F.when(text.rlike(pattern), grown).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,kind:string,value:string>>)"))
+    steps = lambda ms: F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(ms)), ms, lambda gap, m: F.length(gap) + F.length(m))
+    span = lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), F.lit(kind).alias("kind"), m.alias("value"))
+    spans = F.when(text.rlike(pattern), let(found, lambda ms: F.zip_with(ms, running(steps(ms), _sum), span))).otherwise(F.expr(SPANS))
     return F.filter(spans, lambda s: keep(s["value"])) if keep else spans
 
 
+def substrings(text: Column, spans: Column) -> Column:
+    """The text of each of the spans (start, end): reached by chunks, so that many spans of a long text take time in its length."""
+    cut = lambda c, a, b: F.substr(c, a + 1, b - a)
+
+    def piece(chunks: Column, s: Column) -> Column:
+        part = lambda k: cut(F.get(chunks, k), F.greatest(s["start"] - k * CHUNK, F.lit(0)), F.least(s["end"] - k * CHUNK, F.lit(CHUNK)))
+        return F.when(s["end"] > s["start"], F.array_join(F.transform(F.sequence((s["start"] / CHUNK).cast("int"), ((s["end"] - 1) / CHUNK).cast("int")), part), "")).otherwise(F.lit(""))
+
+    whole = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, let(whole, lambda chunks: F.transform(spans, lambda s: piece(chunks, s)))).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def subtract(text: Column, spans: Column, holes: Column, kind: str) -> Column:
+    """The parts of disjoint spans (start, end) that no hole covers, as (start, end, kind, value) in order. Holes may overlap.
+
+    All ends of spans and holes are laid in one order; between two neighbours a place is inside a span, a hole, both or neither, which
+    running sums tell (a span counts one, a hole four).
+    """
+    edge = lambda xs, n: F.flatten(F.transform(xs, lambda x: F.array(F.struct(x["start"].alias("at"), F.lit(n).alias("by")), F.struct(x["end"].alias("at"), F.lit(-n).alias("by")))))
+
+    def parts(es: Column) -> Column:
+        state = running(F.transform(es, lambda e: e["by"]), _sum)
+        until = F.concat(F.slice(F.transform(es, lambda e: e["at"]), 2, F.size(es)), F.array(F.element_at(es, -1)["at"]))
+        between = F.zip_with(F.zip_with(es, until, lambda e, u: F.struct(e["at"].alias("start"), u.alias("end"))), state, lambda x, s: F.struct(x["start"].alias("start"), x["end"].alias("end"), s.alias("s")))
+        open_ = F.filter(between, lambda x: (x["s"] == 1) & (x["end"] > x["start"]))
+        return let(open_, lambda ps: F.zip_with(ps, substrings(text, ps), lambda p, v: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.lit(kind).alias("kind"), v.alias("value"))))
+
+    return F.when(F.size(spans) > 0, let(F.array_sort(F.concat(edge(spans, 1), edge(holes, 4))), parts)).otherwise(F.expr(SPANS))
+
+
 def window_entropy(value: Column, alphabet: str, width: int) -> Column:
     """The highest Shannon entropy, in bits, of any window of `width` characters (of the whole string, if shorter).
 
@@ -99,15 +154,6 @@ def random_looking(value: Column, width: int, filler: str) -> Column:
     return F.when(mixed, out).otherwise(F.lit(False))
 
 
-def outside(span: Column, holes: Column) -> Column:
-    """The parts of a span (start, end, kind, value) that no hole covers, as such spans. Holes: an array of structs with start and end."""
-    part = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), span["kind"].alias("kind"), F.substr(span["value"], a - span["start"] + 1, b - a).alias("value"))
-    grow = lambda acc, until: F.when(until > acc["pos"], F.concat(acc["parts"], F.array(part(acc["pos"], until)))).otherwise(acc["parts"])
-    start = F.struct(span["start"].alias("pos"), F.expr("cast(array() as array<struct<start:int,end:int,kind:string,value:string>>)").alias("parts"))
-    places = F.array_sort(F.transform(F.filter(holes, lambda h: (h["start"] < span["end"]) & (span["start"] < h["end"])), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))))
-    return F.aggregate(places, start, lambda acc, h: F.struct(F.greatest(acc["pos"], h["end"]).alias("pos"), grow(acc, h["start"]).alias("parts")), lambda acc: grow(acc, span["end"]))
-
-
 def find_secrets(docs: DataFrame, *, width: int = 20, placeholder: str = PLACEHOLDER, filler: str = FILLER) -> DataFrame:
     """(doc_id, found) for each row of docs (doc_id, text): found is an array of (start, end, kind, value) by start, then kind.
 
@@ -120,6 +166,7 @@ def find_secrets(docs: DataFrame, *, width: int = 20, placeholder: str = PLACEHO
     value = lambda m: F.regexp_extract(m, ASSIGN, 1)
     rows = docs.select(
         "doc_id",
+        text.alias("text"),
         spans_by(text, ASSIGN, "assign", lambda m: F.length(value(m)) >= ASSIGN_LEAST).alias("a"),
         spans_by(text, ACCESS, "access").alias("b"),
         spans_by(text, HEX, "hex").alias("c"),
@@ -127,14 +174,15 @@ def find_secrets(docs: DataFrame, *, width: int = 20, placeholder: str = PLACEHO
     )
     rank = lambda k: F.when(k == "assign", 0).when(k == "access", 1).when(k == "hex", 2).otherwise(3)
     ordered = lambda spans: F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank(s["kind"]).alias("rank"), s.alias("span")))), lambda x: x["span"])
-    base = rows.select("doc_id", F.concat("a", "b", "c").alias("base"), "d")
-    words = lambda s: F.transform(spans_by(s["value"], placeholder, "entropy"), lambda p: F.struct((p["start"] + s["start"]).alias("start"), (p["end"] + s["start"]).alias("end")))
-    assigned = F.transform(F.filter("base", lambda b: b["kind"] == "assign"), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))
-    left = F.flatten(F.transform("d", lambda s: outside(s, F.concat(words(s), assigned))))
-    base = base.withColumn("d", F.when(F.size("d") > 0, left).otherwise(F.col("d")))
-    base = base.withColumn("d", F.filter("d", lambda s: random_looking(s["value"], width, filler)))
-    more = F.flatten(F.transform("d", lambda s: outside(s, F.col("base"))))
-    return base.select("doc_id", ordered(F.col("base")).alias("base"), ordered(F.concat("base", more)).alias("found"))
+    place = lambda x, by: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"))
+    words = F.flatten(F.transform("d", lambda s: F.transform(spans_by(s["value"], placeholder, "entropy"), lambda p: place(p, s["start"]))))
+    base = rows.select("doc_id", "text", F.concat("a", "b", "c").alias("base"), "d", F.transform("a", lambda s: place(s, F.lit(0))).alias("assigned"))
+    left = subtract(F.col("text"), F.col("d"), F.concat(words, F.col("assigned")), "entropy")
+    # nothing sticks out of a string that is all one access or hex span, so its entropy needn't be known
+    looks = lambda s: F.when(s["value"].rlike(f"^(?:{ACCESS}|{HEX})$"), F.lit(False)).otherwise(random_looking(s["value"], width, filler))
+    random = base.withColumn("d", F.filter(left, looks))
+    more = subtract(F.col("text"), F.col("d"), F.col("base"), "entropy")
+    return random.select("doc_id", ordered(F.col("base")).alias("base"), ordered(F.concat("base", more)).alias("found"))
 
 
 def described(spans: Column) -> Column:
@@ -150,14 +198,11 @@ def redact_secrets(docs: DataFrame, *, mark: str = "[SECRET]", **find) -> DataFr
     found = find_secrets(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc_id"), F.col("text")), **find).withColumnRenamed("doc_id", "__row")
     row = F.col("__row")
     text = row["text"]
-    state = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    cut = F.aggregate(
-        "found",
-        state,
-        lambda acc, s: F.when(s["start"] < acc["pos"], F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("pos"), F.concat(acc["out"], F.substr(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mark)).alias("out"))
-        ),
-        lambda acc: F.concat(acc["out"], F.substr(text, acc["pos"] + 1, F.length(text))),
-    )
+    ends = running(F.transform("found", lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    before = lambda es: F.concat(F.array(F.lit(0)), es)
+    # what stands before each span that none before it reaches into, and behind the last
+    gaps = lambda es: F.filter(F.zip_with("found", F.slice(before(es), 1, F.size("found")), lambda s, e: F.struct(e.alias("start"), s["start"].alias("end"))), lambda g: g["start"] <= g["end"])
+    tail = lambda es: F.array(F.struct(F.element_at(es, -1).alias("start"), F.length(text).alias("end")))
+    cut = let(ends, lambda es: F.array_join(substrings(text, F.concat(gaps(es), tail(es))), mark))
     clean = F.when(F.size("found") > 0, cut).otherwise(text)
     return found.select(*[clean.alias(c) if c == "text" else F.coalesce(F.length(clean).cast("long"), row[c].cast("long")).alias(c) if c == "n_chars" else row[c].alias(c) for c in docs.columns])

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -158,6 +159,51 @@ def test_redaction_replaces_only_secrets(spark):
 # 3: licences
 
 
+def test_secrets_of_texts_with_very_many_matches(spark):
+    rng = random.Random(2)
+    runs = " ".join("%032x" % rng.getrandbits(128) for _ in range(60_000))  # 2 MB of checksums
+    mixed = "\n".join(f'token="{rng.getrandbits(128):032x}" \u00e9 {rng.getrandbits(128):032X} ends' for _ in range(3_000))
+    began = time.time()
+    found = {r["doc_id"]: r for r in secrets.find_secrets(docs(spark, [runs, mixed])).select("doc_id", secrets.described(F.col("found")).alias("f"), F.size("found").alias("n")).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs(spark, [runs, mixed])).collect()}
+    assert time.time() - began < 120
+    assert found[0]["f"] == ",".join(f"hex:{33 * i}:{33 * i + 32}" for i in range(60_000))
+    assert clean[0] == " ".join(["[SECRET]"] * 60_000)
+    upper = [m.span() for m in re.finditer("[0-9A-F]{32}", mixed)]
+    entropy = [tuple(map(int, x.split(":")[1:])) for x in found[1]["f"].split(",") if x.startswith("entropy")]
+    assert set(entropy) <= set(upper) and len(entropy) > 2_700
+    assert clean[1].count("[SECRET]") == 3_000 + len(entropy) and "token" not in clean[1] and clean[1].count("ends") == 3_000
+
+
+def brute_parts(spans, holes):
+    inside = [p for a, b in spans for p in range(a, b) if not any(x <= p < y for x, y in holes)]
+    edges = {x for h in holes for x in h}
+    out = []
+    for p in inside:
+        if out and out[-1][1] == p and p not in edges and not any(a == p for a, _ in spans):
+            out[-1][1] = p + 1
+        else:
+            out.append([p, p + 1])
+    return [tuple(x) for x in out]
+
+
+def test_subtracted_spans_and_substrings_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("ab\u00e9\U0001f600") for _ in range(rng.choice((0, 1, 40, 5000))))
+        cuts = sorted(rng.sample(range(len(text) + 1), min(len(text), 2 * rng.randint(0, 12)) // 2 * 2))
+        spans = list(zip(cuts[::2], cuts[1::2], strict=True))
+        holes = [tuple(sorted((rng.randint(0, len(text)), rng.randint(0, len(text))))) for _ in range(rng.randint(0, 9))]
+        rows.append((i, text, spans, [h for h in holes if h[0] < h[1]]))
+    df = spark.createDataFrame(rows, "i long, text string, spans array<struct<start:int,end:int>>, holes array<struct<start:int,end:int>>")
+    got = df.select("i", secrets.subtract(F.col("text"), F.col("spans"), F.col("holes"), "x").alias("p"), secrets.running(F.transform("spans", lambda s: s["end"] % 7), lambda a, b: F.greatest(a, b)).alias("m")).collect()
+    for r, (_, text, spans, holes) in zip(sorted(got), rows, strict=True):
+        assert [(p["start"], p["end"]) for p in r["p"]] == brute_parts(spans, holes)
+        assert all(p["value"] == text[p["start"] : p["end"]] for p in r["p"])
+        assert r["m"] == [max([0, *(e % 7 for _, e in spans[: k + 1])]) for k in range(len(spans))]
+
+
 def test_licences_by_line(spark):
     texts = ["x\nLicensed under the Apache License, Version 2.0.\ny", "released UNDER the mit   license!!", "Licensed under nothing at all", *AWKWARD]
     got = {r["doc_id"]: r for r in licences.scan_licences(clashing(docs(spark, texts))).collect()}
