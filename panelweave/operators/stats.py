@@ -10,13 +10,15 @@ from pyspark.sql.window import Window
 
 from panelweave.functions.scalar import safe_div
 from panelweave.functions.windows import complete_corr, pct_rank
+from panelweave.operators.quantiles import exact_quantiles, null_safe_join
 
 
 def feature_quality(long: DataFrame, by: Sequence[str] = ("feature",), value: str = "value", entity: str = "ticker") -> DataFrame:
-    """Share present, distinct values, deviation, quantiles, share of entities covered, and a quality score, in one pass."""
-    v = F.col(value)
-    q = [F.percentile(v, F.lit(p)).alias(f"q{round(100 * p):02d}") for p in (0.01, 0.05, 0.5, 0.95, 0.99)]
-    out = long.groupBy(*by).agg(F.count("*").alias("n_rows"), F.avg(v.isNotNull().cast("double")).alias("complete"), F.count_distinct(v).alias("n_values"), F.stddev_samp(v).alias("std"), *q, (F.count_distinct(F.when(v.isNotNull(), F.col(entity))) / F.count_distinct(entity)).alias("entity_share"))
+    """Share present, distinct values, deviation, quantiles, share of entities covered, and a quality score."""
+    v, shares = F.col(value), (0.01, 0.05, 0.5, 0.95, 0.99)
+    out = long.groupBy(*by).agg(F.count("*").alias("n_rows"), F.avg(v.isNotNull().cast("double")).alias("complete"), F.count_distinct(v).alias("n_values"), F.stddev_samp(v).alias("std"), (F.count_distinct(F.when(v.isNotNull(), F.col(entity))) / F.count_distinct(entity)).alias("entity_share"))
+    q = exact_quantiles(long, by, value, shares).select(*by, *(F.get("quantiles", F.lit(i)).alias(f"q{round(100 * s):02d}") for i, s in enumerate(shares)))
+    out = null_safe_join(out, q, by, *q.columns[len(by) :])
     return out.withColumn("quality", 0.45 * F.col("complete") + 0.25 * F.col("entity_share") + 0.15 * F.least(F.col("n_values") / 100.0, F.lit(1.0)) + 0.15)
 
 
@@ -136,8 +138,13 @@ def mean_difference(long: DataFrame, by: Sequence[str], value: str = "value", ta
     """Standardised difference of means, and the median gap over the pooled quartile range."""
     one, zero = F.when(F.col(target) == 1, F.col(value)), F.when(F.col(target) == 0, F.col(value))
     pooled = F.sqrt((F.var_samp(one) + F.var_samp(zero)) / 2)
-    iqr = F.percentile(value, F.lit(0.75)) - F.percentile(value, F.lit(0.25))
-    return long.groupBy(*by).agg(F.when(pooled > 1e-12, (F.avg(one) - F.avg(zero)) / pooled).alias("smd"), F.when(iqr > 1e-12, (F.percentile(one, F.lit(0.5)) - F.percentile(zero, F.lit(0.5))) / iqr).alias("median_gap"))
+    means = long.groupBy(*by).agg(F.when(pooled > 1e-12, (F.avg(one) - F.avg(zero)) / pooled).alias("smd"))
+    # a value counts among all, and among those of its class
+    twice = long.withColumn("__of", F.explode(F.array(F.lit(-1), F.when(F.col(target).isin(0, 1), F.col(target).cast("int"))))).filter("__of is not null")
+    q = exact_quantiles(twice, [*by, "__of"], value, (0.25, 0.5, 0.75))
+    at = lambda of, i: F.max(F.when(F.col("__of") == of, F.get("quantiles", F.lit(i))))
+    wide = q.groupBy(*by).agg((at(-1, 2) - at(-1, 0)).alias("iqr"), (at(1, 1) - at(0, 1)).alias("gap"))
+    return null_safe_join(means, wide, by, "iqr", "gap").withColumn("median_gap", F.when(F.col("iqr") > 1e-12, F.col("gap") / F.col("iqr"))).drop("iqr", "gap")
 
 
 def distribution_distances(long: DataFrame, by: Sequence[str], value: str = "value", target: str = "target") -> DataFrame:
@@ -147,7 +154,7 @@ def distribution_distances(long: DataFrame, by: Sequence[str], value: str = "val
     w, whole = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by)
     gap = F.abs(F.sum("p").over(w) / F.sum("p").over(whole) - F.sum("q").over(w) / F.sum("q").over(whole))
     s = s.withColumns({"gap": gap, "step": F.lead(value).over(w) - F.col(value)})
-    iqr = rows.groupBy(*by).agg((F.percentile(value, F.lit(0.75)) - F.percentile(value, F.lit(0.25))).alias("iqr"))
+    iqr = exact_quantiles(rows, by, value, (0.25, 0.75)).select(*by, (F.get("quantiles", F.lit(1)) - F.get("quantiles", F.lit(0))).alias("iqr"))
     out = s.groupBy(*by).agg(F.max("gap").alias("ks"), F.sum(F.col("gap") * F.col("step")).alias("area"))
     return out.join(iqr, list(by)).withColumn("wasserstein", F.when(F.col("iqr") > 1e-12, F.col("area") / F.col("iqr"))).drop("area", "iqr")
 
@@ -178,7 +185,7 @@ def mutual_information(long: DataFrame, by: Sequence[str], bins: int = 8, **name
 def edge_divergences(reference: DataFrame, current: DataFrame, by: Sequence[str], value: str = "value", bins: int = 10, eps: float = 1e-5) -> DataFrame:
     """Population stability index and Jensen-Shannon divergence (counts + 0.5) of two samples, on the reference's quantile edges with open ends."""
     inner = [i / bins for i in range(1, bins)]
-    edges = reference.groupBy(*by).agg(F.array_distinct(F.percentile(value, F.array(*map(F.lit, inner)))).alias("edges"))
+    edges = exact_quantiles(reference, by, value, inner).select(*by, F.array_distinct("quantiles").alias("edges"))
     both = reference.select(*by, value, F.lit(1).alias("__ref")).unionByName(current.select(*by, value, F.lit(0).alias("__ref"))).filter(F.col(value).isNotNull())
     coded = both.join(F.broadcast(edges), list(by)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(value))))
     each = coded.groupBy(*by, "bin", F.size("edges").alias("last")).agg(F.sum("__ref").alias("r"), F.sum(1 - F.col("__ref")).alias("c"))
