@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from panelweave.llm.common import per_text, stage, with_null_safe_text
 
 #: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 40_000
 #: The tokenizer file's pattern of words: contractions, runs of letters, single digits, runs of anything else but blanks.
 WORDS = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\w\s]|_)+")
 #: Numerals that count as letters to the pattern above, characters whose lower case depends on others or grows, blanks that not
