@@ -50,7 +50,7 @@ def pooled_top(df: DataFrame, score: str, fraction: float, *, tie: str = "row_id
     above = rows.filter(F.col("__s") > high)
     left = k - above.count()
     about = rows.filter(F.col("__s").between(low, high)).withColumns({"__c": F.lit(1), "__d": -F.col("__s")})
-    return above.select(*df.columns).unionByName(places(about, [], ["__d", tie], "__c", "__at").filter(F.col("__at") <= left).select(*df.columns))
+    return above.select(*df.columns).unionByName(places(about, [], ["__d", tie], ["__c"], ["__at"]).filter(F.col("__at") <= left).select(*df.columns))
 
 
 def confusion(df: DataFrame, alert: Column, target: str = "target", by: Sequence[str] = (), date: str = "date") -> DataFrame:

@@ -111,6 +111,36 @@ def test_matching_leaves_no_case_while_a_control_has_room(spark):
     assert joins.hierarchical_matching(df.filter("target = 1"), case=F.col("target") == 1, control=F.col("target") == 0, row_id="row_id", score="score", date="date", levels=[[]], most=1).count() == 0
 
 
+def brute_matching(rows, levels, most, day_cost=0.1 / 756, use_cost=0.01):
+    """Always the least (cost, case, control) of all pairs still free, level by level."""
+    cases, controls, used, out = [r for r in rows if r[-1] == 1], [r for r in rows if r[-1] == 0], {}, []
+    for number, level in enumerate(levels):
+        while True:
+            free = [c for c in cases if c[0] not in {o[0] for o in out} and all(c[k] is not None for k in level)]
+            pairs = [(round(abs(c[4] - k[4]) + day_cost * min(abs((c[3] - k[3]).days), 756) + use_cost * used.get(k[0], 0), 9), c[0], k[0]) for c in free for k in controls if used.get(k[0], 0) < most and all(c[x] == k[x] for x in level)]
+            if not pairs:
+                break
+            cost, i, j = min(pairs)
+            out.append((i, j, number, cost))
+            used[j] = used.get(j, 0) + 1
+    return sorted(out)
+
+
+@pytest.mark.parametrize("options", [{}, {"small_pairs": 0, "reach": 512}, {"small_pairs": 0, "reach": 2}])
+def test_matching_is_the_stable_one(spark, options):
+    rng = __import__("random").Random(6)
+    rows = [(i, rng.choice("ab") if i % 11 else None, rng.choice("xy"), DAYS[rng.randrange(3)], round(rng.random() ** 2, 4) + i * 1e-7, int(rng.random() < 0.5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, bucket string, market string, date date, score double, target int")
+    match = lambda d: joins.hierarchical_matching(d, case=F.col("target") == 1, control=F.col("target") == 0, row_id="row_id", score="score", date="date", levels=[["bucket"], ["market"], []], most=2, **options)
+    got = sorted((r.case_id, r.control_id, r.level, r.cost) for r in match(df.repartition(3)).collect())
+    want = brute_matching(rows, [[1], [2], []], 2)
+    if options.get("reach") == 2:  # stable within reach only: the same rows whatever the partitions, and all that can be matched
+        assert got == sorted((r.case_id, r.control_id, r.level, r.cost) for r in match(df.repartition(5, "score")).collect())
+        assert len(got) == len(want) and [sum(g[2] == k for g in got) for k in range(3)] == [sum(w[2] == k for w in want) for k in range(3)]
+    else:
+        assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 1e-8 for g, w in zip(got, want, strict=True))
+
+
 def test_components_and_bh(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 10)], "a long, b long")
     assert {r["node"]: r["component"] for r in stats.components_of(e).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9, 10: 9}
