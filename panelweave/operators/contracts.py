@@ -70,12 +70,6 @@ def whole_group_sample(df: DataFrame, group: str, order: Column, most: int) -> D
     return df.join(run.filter((F.col("__before") + F.col("__n") <= most) | (F.col("__before") == 0)).select(group), group, "left_semi")
 
 
-def downsample_negatives(df: DataFrame, label: str, order: Column, most: int, *by: str) -> DataFrame:
-    """All positives, and per group the `most` negatives that come first in the pseudo-random order."""
-    w = Window.partitionBy(*by, F.col(label)).orderBy(order)
-    return df.withColumn("__r", F.row_number().over(w)).filter((F.col(label) == 1) | (F.col("__r") <= most)).drop("__r")
-
-
 def spread_sample(df: DataFrame, k: int, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """About k rows per group, evenly spread in order: those where floor(place * k / size) rises."""
     w = Window.partitionBy(*by).orderBy(*order)

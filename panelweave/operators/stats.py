@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from panelweave.functions.scalar import safe_div
@@ -245,23 +249,49 @@ def sign_flip_p(df: DataFrame, by: Sequence[str], value: str, *, most: int = 16)
     return sizes.join(p, list(by), "left").select(*by, "n", "p")
 
 
-def bootstrap_mean(df: DataFrame, by: Sequence[str], value: str, *, draws: int = 200, seed: int = 7, alpha: float = 0.1) -> DataFrame:
-    """Percentile interval of a group's mean: each replicate draws as many values as there are, by hash."""
-    g = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("v"))
-    reps = g.select(*by, "v", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("rep"))
-    pick = F.transform(F.sequence(F.lit(1), F.size("v")), lambda i: F.element_at(F.col("v"), (F.pmod(F.xxhash64(F.lit(seed), *by, F.col("rep"), i), F.size("v")) + 1).cast("int")))
-    means = reps.select(*by, (F.aggregate(pick, F.lit(0.0), lambda a, x: a + x) / F.size("v")).alias("m"))
-    return means.groupBy(*by).agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
+def replicate_sums(df: DataFrame, by: Sequence[str], unit: Sequence[str], sums: dict[str, Column], *, draws: int, seed: int) -> DataFrame:
+    """(by, rep, sums): the columns' sums in each of `draws` replicates, in which a unit (a date, a stratum row) counts a Poisson(1) number of times.
+
+    A unit's numbers come from a generator seeded by its name, so they are the same in all groups and on any cluster. Tasks add whole vectors of
+    replicates to their groups and hand on one vector a group; no group is gathered.
+    """
+    names = list(sums)
+    units = df.groupBy(*by, *unit).agg(*(F.sum(c).cast("double").alias(n) for n, c in sums.items()))
+    keyed = units.select(*by, F.concat_ws("|", *(F.coalesce(F.col(u).cast("string"), F.lit("-")) for u in unit)).alias("__u"), *names)
+    schema = T.StructType([*keyed.select(*by).schema, *(T.StructField(n, T.ArrayType(T.DoubleType())) for n in names)])
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def told() -> pd.DataFrame:
+            return pd.DataFrame([(*k, *v.tolist()) for k, v in held.items()], columns=schema.names)
+
+        for pdf in batches:
+            groups = zip(*(pdf[b] for b in by), strict=True) if by else [()] * len(pdf)
+            for key, u, values in zip(groups, pdf["__u"], pdf[names].to_numpy(float), strict=True):
+                times = np.random.default_rng(zlib.crc32(f"{seed}|{u}".encode())).poisson(1.0, draws)
+                held[key] = held.get(key, 0.0) + np.nan_to_num(values)[:, None] * times[None, :]
+            if len(held) * draws > 4_000_000:
+                yield told()
+                held.clear()
+        if held:
+            yield told()
+
+    vectors = keyed.mapInPandas(add, schema)
+    each = vectors.select(*by, F.posexplode(F.arrays_zip(*names)).alias("rep", "x"))
+    return each.groupBy(*by, "rep").agg(*(F.sum(f"x.{n}").alias(n) for n in names))
+
+
+def bootstrap_mean(df: DataFrame, by: Sequence[str], value: str, unit: Sequence[str], *, draws: int = 200, seed: int = 7, alpha: float = 0.1) -> DataFrame:
+    """Percentile interval of a group's mean over Poisson replicates of its units; replicates without any are left out."""
+    v = F.col(value)
+    sums = replicate_sums(df.filter(v.isNotNull()), by, unit, {"__s": v, "__n": F.lit(1)}, draws=draws, seed=seed).filter("__n > 0").withColumn("m", F.col("__s") / F.col("__n"))
+    return sums.groupBy(*by).agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
 
 
 def poisson_bootstrap(df: DataFrame, by: Sequence[str], tp: Column, alerts: Column, unit: Sequence[str], *, draws: int = 200, seed: int = 11, quantile: float = 0.05) -> DataFrame:
-    """Lower quantile of precision over replicates in which each unit (a date, a stratum row) counts a hashed Poisson(1) number of times (what would be more than 5, 1 draw in 1,700, counts as 5)."""
-    units = df.groupBy(*by, *unit).agg(F.sum(tp.cast("int")).alias("__tp"), F.sum(alerts.cast("int")).alias("__al")).filter("__al > 0")
-    reps = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), *unit), F.lit(1 << 24)) + 0.5) / float(1 << 24)
-    # The Poisson(1) distribution function at 0 to 4
-    times = F.when(u < 0.3678794411714423, 0).when(u < 0.7357588823428847, 1).when(u < 0.9196986029286058, 2).when(u < 0.9810118431238462, 3).when(u < 0.9963401531726563, 4).otherwise(5)
-    sums = reps.withColumn("__t", times).groupBy(*by, "rep").agg(F.sum(F.col("__t") * F.col("__tp")).alias("tp"), F.sum(F.col("__t") * F.col("__al")).alias("al"))
+    """Lower quantile of precision over Poisson replicates of the units; replicates without alerts are left out."""
+    sums = replicate_sums(df.filter(alerts), by, unit, {"tp": tp.cast("int"), "al": alerts.cast("int")}, draws=draws, seed=seed)
     return sums.filter("al > 0").groupBy(*by).agg(F.count("*").alias("draws"), F.percentile(F.col("tp") / F.col("al"), F.lit(quantile)).alias("precision_low"))
 
 

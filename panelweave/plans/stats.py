@@ -303,7 +303,7 @@ def _(t):
 
 @query("r7_42_bootstrap_mean")
 def _(t):
-    return T.bootstrap_mean(T.correlations(t.features, ["feature", "fold_id"]), ["feature"], "corr")
+    return T.bootstrap_mean(T.correlations(t.features, ["feature", "fold_id"]), ["feature"], "corr", ["fold_id"])
 
 
 @query("r7_43_date_block_bootstrap")

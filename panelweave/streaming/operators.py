@@ -53,13 +53,23 @@ def upsert_batch(path: str, keys: Sequence[str], order: str):
     return merge
 
 
-def rolling_state(events: DataFrame, *, key: str, ts: str, value: str, size: int) -> DataFrame:
-    """Past-only z and signed streak per key, from a ring of the last values kept as state: (key, ts, value, z, streak)."""
+def rolling_state(events: DataFrame, *, key: str, ts: str, value: str, size: int, late: str = "1 day", idle_days: float = 365.0) -> DataFrame:
+    """Past-only z and signed streak per key, from a ring of the last values kept as state: (key, ts, value, z, streak).
+
+    A key's state goes once the watermark (the newest time less `late`) is idle_days past its last row: state holds the keys of that
+    time, not all that ever came. A key that comes back later begins anew. Rows behind the watermark are left out.
+    """
     import numpy as np
-    from pyspark.sql.streaming.state import GroupState
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    names = [key, ts, value, "z", "streak"]
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ring, streak = state.get if state.exists else ([], 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({n: [] for n in names})
+            return
+        ring, streak, last = state.get if state.exists else ([], 0, 0)
         ring = list(ring)
         for pdf in batches:
             rows = []
@@ -68,13 +78,15 @@ def rolling_state(events: DataFrame, *, key: str, ts: str, value: str, size: int
                 sign = int(np.sign(x))
                 streak = 0 if sign == 0 else streak + sign if streak * sign > 0 else sign
                 rows.append((k[0], t, x, z, streak))
-                ring = [*ring, float(x)][-size:]
-            yield pd.DataFrame(rows, columns=[key, ts, value, "z", "streak"])
-        state.update((ring, streak))
+                ring, last = [*ring, float(x)][-size:], max(last, int(t.timestamp() * 1000))
+            yield pd.DataFrame(rows, columns=names)
+        state.update((ring, streak, last))
+        state.setTimeoutTimestamp(max(last + int(idle_days * 86_400_000), state.getCurrentWatermarkMs() + 1))
 
     kinds = dict(events.dtypes)
     out = f"{key} {kinds[key]}, {ts} {kinds[ts]}, {value} {kinds[value]}, z double, streak long"
-    return events.select(key, ts, value).groupBy(key).applyInPandasWithState(step, out, "ring array<double>, streak long", "append", "NoTimeout")
+    kept = events.select(key, ts, value).withWatermark(ts, late)
+    return kept.groupBy(key).applyInPandasWithState(step, out, "ring array<double>, streak long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def safe_step(curve_path: str, base: float, *, precision: float, least_alerts: int):
@@ -98,10 +110,3 @@ def safe_step(curve_path: str, base: float, *, precision: float, least_alerts: i
         policy.write.mode("overwrite").parquet(f"{curve_path}/policy/batch={batch_id}")
 
     return update
-
-
-def late_split(batch: DataFrame, last_seen: DataFrame, *, key: str, ts: str) -> tuple[DataFrame, DataFrame]:
-    """(in time, late): rows at or after, and before, what was last seen of their key. Late corrections take effect by their arrival."""
-    j = batch.join(last_seen.select(key, F.col(ts).alias("__seen")), key, "left")
-    late = F.coalesce(F.col(ts) < F.col("__seen"), F.lit(False))
-    return j.filter(~late).drop("__seen"), j.filter(late).drop("__seen")

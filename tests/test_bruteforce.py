@@ -97,6 +97,29 @@ def test_bootstrap_means_enclose_the_mean(spark):
     assert rows and all(r["low"] <= r["high"] for r in rows)
 
 
+def replicated(units, draws, seed):
+    """Sums over units {name: values} with NumPy's own draws, seeded as the operator's."""
+    return sum(np.outer(v, np.random.default_rng(zlib.crc32(f"{seed}|{u}".encode())).poisson(1.0, draws)) for u, v in units.items())
+
+
+def test_bootstraps_equal_seeded_numpy(spark, duck):
+    c = duck.sql(sql("features", f"SELECT feature, fold_id, CASE WHEN count(*) >= 10 AND stddev_pop(value) > 1e-12 AND stddev_pop(target) > 1e-12 THEN corr(value, target) END AS c FROM {FV} GROUP BY 1, 2")).df().dropna()
+    for r in result(spark, "r7_42_bootstrap_mean"):
+        s, n = replicated({str(f): np.array([x, 1.0]) for f, x in c[c["feature"] == r["feature"]][["fold_id", "c"]].itertuples(index=False)}, 200, 7)
+        m = s[n > 0] / n[n > 0]
+        assert r["low"] == pytest.approx(np.quantile(m, 0.05), abs=2e-6) and r["high"] == pytest.approx(np.quantile(m, 0.95), abs=2e-6)
+    x = duck.sql(sql("scored", " SELECT market, ticker, date, target, score FROM scored WHERE score >= 0.8")).df()
+    x["date"] = x["date"].astype(str).str[:10]
+    for name, by, unit, draws in (("r7_43_date_block_bootstrap", [], ["date"], 200), ("r7_44_stratified_bootstrap", ["market"], ["ticker", "date"], 100)):
+        groups = {k: g for k, g in x.groupby(by)} if by else {(): x}
+        rows = result(spark, name)
+        assert len(rows) == len(groups)
+        for r in rows:
+            g = groups[tuple(r[b] for b in by)].groupby(unit)["target"].agg(["sum", "count"])
+            tp, al = replicated({"|".join(map(str, k if isinstance(k, tuple) else (k,))): v.to_numpy(float) for k, v in g.iterrows()}, draws, 11)
+            assert r["draws"] == (al > 0).sum() and r["precision_low"] == pytest.approx(np.quantile(tp[al > 0] / al[al > 0], 0.05), abs=2e-6)
+
+
 def test_average_linkage(spark, duck):
     """Clusters of each market: merged again here, pair by pair, from the correlations."""
     f = duck.sql(sql("features", f"SELECT market, feature, row_id, value FROM {FV}")).df()

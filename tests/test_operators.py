@@ -221,3 +221,18 @@ def test_streams_equal_batches(spark, tmp_path):
     scored = df.select(F.abs("value").alias("value"), (F.col("value") > 0).cast("int").alias("target")).withColumn("score", F.col("value") / 40).drop("value")
     streaming.safe_step(str(tmp_path / "pol"), 0.5, precision=0.45, least_alerts=5)(scored, 0)
     assert spark.read.parquet(str(tmp_path / "pol/policy")).first()["threshold"] >= 0.5
+
+
+def test_state_of_idle_keys_goes(spark, tmp_path):
+    begin = dt.datetime(2026, 1, 1)
+    batches = [[("a", 0, 1.0), ("b", 0, 2.0), ("c", 1, -1.0)], [("a", 5, 3.0)], [("a", 40, -2.0), ("d", 40, 1.0)], [("d", 41, 4.0)], [("b", 41, 5.0)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame([(k, begin + dt.timedelta(days=d), v) for k, d, v in rows], "key string, ts timestamp, value double").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    source = spark.readStream.schema("key string, ts timestamp, value double").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
+    out = streaming.rolling_state(source, key="key", ts="ts", value="value", size=4, late="1 day", idle_days=20)
+    q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(kept) >= 3 and kept[-1] <= 3  # a, d and the new b; the old b's and c's are gone
+    rows = {(r.key, (r.ts - begin).days): r.streak for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect()}
+    assert rows == {("a", 0): 1, ("b", 0): 1, ("c", 1): -1, ("a", 5): 2, ("a", 40): -1, ("d", 40): 1, ("d", 41): 2, ("b", 41): 1}
