@@ -15,6 +15,7 @@ from panelweave.operators import stats as T
 from panelweave.operators.leadlag import edge_correlations
 from panelweave.plans.crosssection import pr
 from panelweave.plans.evaluate import LONG, models
+from panelweave.plans.policy import CURVE
 from panelweave.plans.registry import query, sql
 from panelweave.plans.screening import _FC, fold_corr
 from panelweave.plans.stats import _SER, FV, KEYS, auc_sql, series
@@ -175,10 +176,10 @@ def _(t):
     return A.meta_weights(t.scored, negative_cost=1.5, half_life=9.0).select("row_id", "weight")
 
 
-@query("r14_25_abstain", sql("scored", "SELECT market, count(*) AS n, 'infinity'::DOUBLE AS threshold, 0 AS alerts FROM scored GROUP BY 1"))
+@query("r14_25_abstain", sql("scored", f"{CURVE}, o AS (SELECT market, score, row_number() OVER (PARTITION BY market ORDER BY tp / positives DESC, score DESC) AS n FROM c WHERE tp / alerts >= 0.8 AND alerts >= 20), p AS (SELECT m.market, coalesce(o.score, 'inf'::DOUBLE) AS threshold FROM (SELECT DISTINCT market FROM scored) m LEFT JOIN (SELECT * FROM o WHERE n = 1) o USING (market)) SELECT market, threshold, count(*) AS n, CAST(count(*) FILTER (score >= threshold) AS INTEGER) AS alerts FROM scored JOIN p USING (market) GROUP BY 1, 2"))
 def _(t):
-    """Where no threshold reaches the wanted precision the policy is an infinite threshold, which alerts on nothing."""
-    policy = P.safest_threshold(t.scored, ["market"], precision=1.01, least_alerts=1).select("market", "threshold")
+    """Markets whose scores reach a precision of 0.8 get a threshold; the others an infinite one, which alerts on nothing."""
+    policy = P.safest_threshold(t.scored, ["market"], precision=0.8, least_alerts=20).select("market", "threshold")
     x = t.scored.join(policy, "market")
     return x.groupBy("market", "threshold").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= F.col("threshold")).cast("int").alias("alerts"))
 
