@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from panelweave.functions.windows import complete_corr, pct_rank
 from panelweave.operators import assembly as A
+from panelweave.operators import newton as N
 from panelweave.operators import policy as P
 from panelweave.operators import stats as T
 from panelweave.operators.leadlag import edge_correlations
@@ -194,6 +195,23 @@ def _(t):
     return A.scope_specialist(t.scored.withColumn("cell", F.floor(F.col("score") * 5).cast("int")), ["market"], "cell", least=12).select("row_id", "specialist")
 
 
+def signals(t):
+    """Scored rows with the three models' signals side by side."""
+    return models(t).groupBy("row_id", "fold_id", "market", "target").pivot("model", [0, 1, 2]).agg(F.first("s")).toDF("row_id", "fold_id", "market", "target", "s0", "s1", "s2")
+
+
+@query("r14_16_trained_stack")
+def _(t):
+    """Meta scores of each fold by a logistic stack trained on the earlier folds."""
+    return N.forward_stack(signals(t), ["s0", "s1", "s2"], "target", "fold_id").filter("stacked is not null").select("row_id", "fold_id", "stacked")
+
+
+@query("r14_27_trained_specialists")
+def _(t):
+    """The same with a specialist for each market, blended by its number of rows."""
+    return N.forward_stack(signals(t), ["s0", "s1", "s2"], "target", "fold_id", scope=["market"]).filter("stacked is not null").select("row_id", "fold_id", "market", "stacked")
+
+
 @query("r14_28_prior_features", sql("features", f", {_FC}, e AS (SELECT DISTINCT fold_id AS f FROM fc), p AS (SELECT f AS for_fold, feature, round(avg(abs(c)), 9) AS prior FROM e JOIN fc ON fold_id < f WHERE c IS NOT NULL GROUP BY 1, 2) SELECT for_fold, feature, round(prior, 6) AS prior, row_number() OVER (PARTITION BY for_fold ORDER BY prior DESC, feature) AS place FROM p QUALIFY place <= 3"))
 def _(t):
     return A.prior_choice(fold_corr(t), ["feature"], [], F.abs("corr"), 3)

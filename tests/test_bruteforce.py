@@ -141,3 +141,54 @@ def test_average_linkage(spark, duck):
         for name, k in got[market].items():
             mine.setdefault(k, set()).add(name.split(":")[-1])
         assert sorted(map(sorted, mine.values())) == sorted(map(sorted, groups))
+
+
+def fitted(x, y, ridge=1.0):
+    """Logistic weights by plain gradient and Newton steps on the whole matrix."""
+    x = np.column_stack([np.ones(len(x)), x])
+    pull, w = np.r_[0.0, np.full(x.shape[1] - 1, ridge)], np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull + 1e-9), x.T @ (p - y) + pull * w)
+    return w
+
+
+def test_trained_stacks_equal_plain_fits(spark, duck):
+    x = duck.sql(sql("scored", f", {LONG} SELECT row_id, fold_id, market, target, max(s) FILTER (model = 0) AS s0, max(s) FILTER (model = 1) AS s1, max(s) FILTER (model = 2) AS s2 FROM lng JOIN scored USING (row_id) GROUP BY ALL")).df()
+    cols = ["s0", "s1", "s2"]
+    prob = lambda w, rows: 1 / (1 + np.exp(-(w[0] + rows[cols].to_numpy() @ w[1:])))
+    want, special = {}, {}
+    for f in sorted(x["fold_id"].unique())[1:]:
+        past, now = x[x["fold_id"] < f], x[x["fold_id"] == f]
+        pooled = dict(zip(now["row_id"], prob(fitted(past[cols].to_numpy(), past["target"].to_numpy()), now), strict=True))
+        want |= pooled
+        for m, g in now.groupby("market"):
+            own = past[past["market"] == m]
+            n, ones = len(own), own["target"].sum()
+            if n >= 30 and ones >= 5 and n - ones >= 5:
+                mine = prob(fitted(own[cols].to_numpy(), own["target"].to_numpy()), g)
+                special |= {r: n / (n + 50) * a + 50 / (n + 50) * pooled[r] for r, a in zip(g["row_id"], mine, strict=True)}
+            else:
+                special |= {r: pooled[r] for r in g["row_id"]}
+    for name, expected in (("r14_16_trained_stack", want), ("r14_27_trained_specialists", special)):
+        got = {r["row_id"]: r["stacked"] for r in result(spark, name)}
+        assert got.keys() == expected.keys() and all(got[r] == pytest.approx(v, abs=2e-6) for r, v in expected.items())
+
+
+def test_grouped_fits_of_odd_groups(spark):
+    from panelweave.operators.newton import grouped_logistic
+
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(300, 2)) * [1, 40], 3)  # one feature of large scale
+    y = (x[:, 0] + rng.normal(size=300) > 0).astype(int)
+    rows = [("usual", *map(float, a), int(b)) for a, b in zip(x, y, strict=True)]
+    rows += [("apart", float(i), 0.0, int(i > 10)) for i in range(20)] + [("one", 1.0, 2.0, 1)] * 5 + [("usual", None, 1.0, 1), (None, 1.0, 1.0, 1), ("none", 1.0, 1.0, None), ("usual", 1.0, 1.0, 7)]
+    df = spark.createDataFrame(rows, "g string, a double, b double, y int").repartition(3)
+    for limit in (10_000, 0):
+        got = {r["g"]: r for r in grouped_logistic(df, ["g"], ["a", "b"], "y", most_broadcast=limit, steps=60).collect()}
+        assert set(got) == {"usual", "apart", "one"} and got["usual"]["n"] == 300
+        assert np.allclose(got["usual"]["w"], fitted(x, y), atol=1e-6)
+        assert np.allclose(got["apart"]["w"], fitted(np.array([[i, 0.0] for i in range(20)]), np.arange(20) > 10), atol=1e-6)
+        assert 0 < got["one"]["w"][0] <= 20
+    assert grouped_logistic(df, [], ["a", "b"], "y", steps=60).count() == 1
+    assert grouped_logistic(df.filter("false"), ["g"], ["a"], "y").count() == 0
