@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Texts that `per_text` hands on at once.
+SLICE = 2_000
 _LOCAL: list[str] = []
 _STAGED: list[str] = []
 
@@ -77,9 +79,9 @@ def with_null_safe_text(df: DataFrame, key: str = "doc_id", text: str = "text")
 def per_text(frame: DataFrame, columns: str, compute: Callable[[list[str]], Iterator[tuple[Sequence[int] | None, dict]]], text: str = "text") -> DataFrame:
     """Rows computed from each whole text of frame, beside the row's other columns.
 
-    compute gets the texts of a batch and yields parts (rows, values): which rows of the batch the values belong to (None: all,
-    in order) and a list or array for each of `columns`. The other columns pass as Arrow arrays, so ids of any type keep
-    their exact values, nulls included.
+    compute gets some texts and yields parts (rows, values): which of them the values belong to (None: all, in order) and a list or
+    array for each of `columns`. The other columns pass as Arrow arrays, so ids of any type keep their exact values, nulls
+    included. At most SLICE texts of a batch are Python strings at a time.
     """
     others = [c for c in frame.columns if c != text]
     schema = T.StructType([*frame.select(*others).schema, *T.StructType.fromDDL(columns)])
@@ -88,7 +90,7 @@ def per_text(frame: DataFrame, columns: str, compute: Callable[[list[str]], Iter
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in (whole.slice(a, SLICE) for whole in batches for a in range(0, whole.num_rows, SLICE)):
             for rows, values in compute(batch.column(text).to_pylist()):
                 kept = batch.select(others) if rows is None else batch.select(others).take(pa.array(rows, pa.int64()))
                 own = [pa.array(values[f.name], f.type) for f in list(arrow)[len(others) :]]

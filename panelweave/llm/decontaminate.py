@@ -23,7 +23,7 @@ TOKEN = re.compile(rf"[.!?:\n]+|\d+(?:[.,]\d+)*|[^\W\d_{UNSPACED}]+|[{UNSPACED}]
 UNITS = frozenset("mm cm m km in ft mi mg g kg t oz lb ml cl l s sec ms min h hr hrs kmh mph hz khz mhz w kw kwh v a j kj kcal pa bar k c f usd eur gbp % $ € £ percent dollar dollars euro euros pound pounds cent cents metre metres meter meters kilometre kilometres kilometer kilometers mile miles inch inches foot feet gram grams kilogram kilograms litre litres liter liters second seconds minute minutes hour hours day days week weeks month months year years".split())
 CAPITAL, NUMBER, MARK, UNIT = 1, 2, 4, 8
 NUM_ID, NAME_ID, UNIT_ID = (xxh64_intdigest(x) & ~15 for x in ("<num>", "<name>", "<unit>"))
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 
 class _Tokens(dict):
@@ -160,8 +160,9 @@ def _sieve(windows: DataFrame) -> np.ndarray:
 def _hits(frame: DataFrame, sizes: list[int], sieve: np.ndarray) -> DataFrame:
     """(doc_id, pos, size, hash, slots): template windows of the given sizes in each row's whole text, as far as the sieve passes them."""
 
+    known = _Tokens()  # each task's own, for all its texts
+
     def cut(texts: list[str]) -> Iterator[tuple[list[int], dict]]:
-        known = _Tokens()
         rows: list[tuple] = []
         for k, text in enumerate(texts):
             h, slot, words = canonical_tokens(text, known)
