@@ -75,9 +75,9 @@ def scan_licences(docs: DataFrame, *, templates: dict[str, str] | None = None, t
     """(doc_id, n_matches, licence, dice, matches) for each row of docs: its lines, and runs of lines, that reach `threshold` with a template.
 
     A line (split at line ends) or run is compared only with templates whose bigram count lies between t/(2-t) and (2-t)/t times
-    its own, since no other can reach the threshold t. Each line counts for its best template (ties: the first by name). Runs
-    join neighbouring lines of which none reaches the threshold alone; of overlapping runs the best counts (ties: the earliest,
-    then the shortest; a run holds at most so many worded lines as the largest size bound has bigrams, and two).
+    its own, since no other can reach the threshold t. Each line or run counts for its best template (ties: the first by name).
+    Runs join neighbouring lines; of lines and runs that overlap the best counts (ties: the earliest, then the shortest; a
+    run holds at most so many worded lines as the largest size bound has bigrams, and two).
     matches: line:licence, comma-joined in line order, lines from 0, a run by its first line; licence and
     dice: the best match (ties: earliest line), else null. Null and empty texts have no matches. Rows are handled one by one:
     repeated rows repeat, an empty table gives an empty result.
@@ -112,11 +112,10 @@ def scan_licences(docs: DataFrame, *, templates: dict[str, str] | None = None, t
     last = F.size("lines")
     joint = lambda i: F.concat(F.element_at("lines", i)["words"], F.element_at("lines", i + 1)["words"])
     opens = F.filter(F.sequence(F.lit(1), last - 1), lambda i: F.arrays_overlap(_bigrams(joint(i)), known))
-    free = lambda r: ~F.exists("single", lambda s: s["line"].between(r["line"], r["end"]))
-    from_ = lambda i: F.filter(F.transform(F.sequence(F.lit(2), F.least(F.lit(longest), last - i + 1)), lambda k: _with(F.slice("lines", i, k), run)), lambda r: (r["best"]["dice"] >= threshold) & free(r))
+    from_ = lambda i: F.filter(F.transform(F.sequence(F.lit(2), F.least(F.lit(longest), last - i + 1)), lambda k: _with(F.slice("lines", i, k), run)), lambda r: r["best"]["dice"] >= threshold)
     rows = rows.withColumn("runs", F.when(last > 1, F.flatten(F.transform(opens, from_))).otherwise(none))
-    ranked = F.array_sort(F.transform("runs", lambda r: F.struct((-r["best"]["dice"]).alias("cost"), r["line"].alias("line"), r["end"].alias("end"), r.alias("run"))))
-    kept = F.aggregate(F.transform(ranked, lambda x: x["run"]), F.col("single"), lambda acc, r: F.when(F.exists(acc, lambda s: (s["line"] <= r["end"]) & (r["line"] <= s["end"])), acc).otherwise(F.concat(acc, F.array(r))))
+    ranked = F.array_sort(F.transform(F.concat("single", "runs"), lambda r: F.struct((-r["best"]["dice"]).alias("cost"), r["line"].alias("line"), r["end"].alias("end"), r.alias("run"))))
+    kept = F.aggregate(F.transform(ranked, lambda x: x["run"]), none, lambda acc, r: F.when(F.exists(acc, lambda s: (s["line"] <= r["end"]) & (r["line"] <= s["end"])), acc).otherwise(F.concat(acc, F.array(r))))
     rows = rows.select("doc_id", F.when(F.size("runs") > 0, F.array_sort(kept)).otherwise(F.coalesce("single", none)).alias("hits"))
     top = F.array_max(F.transform("hits", lambda x: F.struct(x["best"]["dice"].alias("dice"), (-x["line"]).alias("line"), x["best"]["rank"].alias("rank"))))
     name = lambda rank: F.get(F.array(*map(F.lit, names)), -rank)

@@ -187,6 +187,15 @@ def brute_parts(spans, holes):
     return [tuple(x) for x in out]
 
 
+def test_the_best_of_overlapping_lines_and_runs_counts(spark):
+    head = '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.'
+    texts = [f"code\n{head}\nmore code", head.split("\n")[0], f"{head}\n\n{head}"]
+    rows = {r["doc_id"]: r for r in licences.scan_licences(docs(spark, texts)).collect()}
+    assert rows[0]["matches"] == "1:apache-2.0-header" and rows[0]["licence"] == "apache-2.0-header" and rows[0]["dice"] == 1.0
+    assert rows[1]["n_matches"] == 1 and rows[1]["matches"].startswith("0:apache-2.0")
+    assert rows[2]["matches"] == "0:apache-2.0-header,3:apache-2.0-header"
+
+
 def test_subtracted_spans_and_substrings_against_brute_force(spark):
     rng = random.Random(8)
     rows = []
