@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelweave.functions.windows import leave_one_out_mean, over, pct_rank, rows, zscore
+from panelweave.operators.iterate import if_small
 
 
 def global_pct_rank(df: DataFrame, value: str, name: str, *, parts: int = 64) -> DataFrame:
@@ -63,7 +64,7 @@ def peer_block(df: DataFrame, r: str, *, date: str = "date", group: str = "bucke
 
 def cluster_innovation(long: DataFrame, clusters: DataFrame, *, row: str = "row_id", date: str = "date") -> DataFrame:
     """Long features (row, date, feature, value): own date rank less the median date rank of the other features of its cluster."""
-    ranked = long.withColumn("rank", pct_rank(F.col("value"), date, "feature")).join(F.broadcast(clusters), "feature")
+    ranked = long.withColumn("rank", pct_rank(F.col("value"), date, "feature")).join(if_small(clusters), "feature")
     pairs = ranked.select(row, "feature", "rank", "cluster").join(ranked.select(row, F.col("feature").alias("peer"), F.col("rank").alias("peer_rank"), "cluster"), [row, "cluster"]).filter("feature <> peer")
     return pairs.groupBy(row, "feature").agg((F.first("rank") - F.percentile("peer_rank", F.lit(0.5))).alias("innovation"))
 
@@ -71,7 +72,7 @@ def cluster_innovation(long: DataFrame, clusters: DataFrame, *, row: str = "row_
 def weighted_peer_innovation(long: DataFrame, edges: DataFrame, *, row: str = "row_id", date: str = "date") -> DataFrame:
     """Own date rank less the weighted mean date rank of the features that edges (feature, peer, weight) name."""
     ranked = long.withColumn("rank", pct_rank(F.col("value"), date, "feature")).select(row, "feature", "rank")
-    peers = ranked.select(row, F.col("feature").alias("peer"), F.col("rank").alias("peer_rank")).join(F.broadcast(edges), "peer")
+    peers = ranked.select(row, F.col("feature").alias("peer"), F.col("rank").alias("peer_rank")).join(if_small(edges), "peer")
     mean = peers.groupBy(row, "feature").agg((F.sum(F.col("weight") * F.col("peer_rank")) / F.sum("weight")).alias("mean"))
     return ranked.join(mean, [row, "feature"]).select(row, "feature", (F.col("rank") - F.col("mean")).alias("innovation"))
 
@@ -99,7 +100,7 @@ def relative_features(df: DataFrame, value: str, scopes: Sequence[str], date: st
 def one_hot_top(df: DataFrame, column: str, n: int, other: str = "__OTHER__") -> DataFrame:
     """(level, rank) of the n most frequent levels joined on: the column with rarer levels as `other`."""
     top = df.groupBy(column).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), column).limit(n).select(column, F.col(column).alias("level"))
-    return df.join(F.broadcast(top), column, "left").withColumn("level", F.coalesce("level", F.lit(other)))
+    return df.join(if_small(top), column, "left").withColumn("level", F.coalesce("level", F.lit(other)))
 
 
 def breadth(df: DataFrame, r: str, size: str, *, date: str = "date", crash: float = 0.5, top: int = 10) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelweave.functions.scalar import clip, logit, normal_two_sided, safe_div
+from panelweave.operators.iterate import if_small
 
 
 def prior_without_self(df: DataFrame, level: Sequence[str], effect: str, weight: str, name: str) -> DataFrame:
@@ -86,7 +87,7 @@ def robust_state(long: DataFrame, by: Sequence[str], value: str = "value") -> Da
 def evidence(long: DataFrame, state: DataFrame, directions: DataFrame, by: Sequence[str], row: str = "row_id", bound: float = 6.0) -> DataFrame:
     """Per row: oriented, clipped z of its features as count, weighted mean, least, greatest, deviation, and favourable and adverse shares."""
     z = clip((F.col("value") - F.col("centre")) / F.col("scale"), -bound, bound) * F.col("direction")
-    x = long.join(F.broadcast(state), list(by)).join(F.broadcast(directions), "feature").withColumn("z", z).filter("z is not null")
+    x = long.join(if_small(state), list(by)).join(if_small(directions), "feature").withColumn("z", z).filter("z is not null")
     return x.groupBy(row).agg(F.count("*").alias("slots"), (F.sum(F.col("z") * F.col("weight")) / F.sum("weight")).alias("mean"), F.min("z").alias("low"), F.max("z").alias("high"), F.stddev_pop("z").alias("std"), F.avg((F.col("z") > 0.5).cast("double")).alias("favourable"), F.avg((F.col("z") < -0.5).cast("double")).alias("adverse"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from panelweave.functions.scalar import safe_div
 from panelweave.functions.windows import complete_corr, pct_rank
+from panelweave.operators.iterate import if_small
 from panelweave.operators.quantiles import exact_quantiles, null_safe_join
 
 
@@ -101,6 +102,39 @@ def components_of(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = new.drop("old")
 
 
+def average_linkage(pairs: DataFrame, by: Sequence[str], *, cut: float, absent: float = 1.0, a: str = "a", b: str = "b", distance: str = "distance") -> DataFrame:
+    """(by, node, cluster): average-linkage clusters at the cut; a cluster is named by its least node. A pair counts once; pairs that aren't there lie `absent` apart (beyond the cut).
+
+    Clusters that are each other's nearest are merged, all such pairs of all groups in one round: average linkage is reducible (a merger is no
+    nearer to a third cluster than the nearer of its parts), so this gives the clusters of merging pair by pair, up to ties, which go to lesser
+    names. The table holds a row for each pair of clusters with sums of distances and counts; it only shrinks, and is never gathered.
+    """
+    from panelweave.operators.iterate import cut_lineage
+
+    if cut >= absent:
+        raise ValueError("the cut must lie below the distance of absent pairs")
+    keys = list(by)
+    both = pairs.filter(F.col(a) != F.col(b))
+    labels = cut_lineage(both.select(*keys, F.col(a).alias("node")).unionByName(both.select(*keys, F.col(b).alias("node"))).distinct().withColumn("cluster", F.col("node")))
+    d = both.filter(F.col(distance) < absent).groupBy(*keys, F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).agg(F.min(distance).cast("double").alias("s"), F.lit(1).cast("long").alias("n"))
+    d = cut_lineage(d)
+    while True:
+        size = labels.groupBy(*keys, "cluster").agg(F.count("*").alias("m"))
+        sized = lambda df, c: df.join(size.select(*keys, F.col("cluster").alias(c), F.col("m").alias(f"m{c}")), [*keys, c])  # noqa: B023, E731
+        cells = F.col("mx") * F.col("my")
+        near = sized(sized(d, "x"), "y").withColumn("v", F.round((F.col("s") + (cells - F.col("n")) * absent) / cells, 12))
+        best = F.min(F.struct("v", "x", "y")).alias("best")
+        each = near.groupBy(*keys, F.col("x").alias("c")).agg(best).unionByName(near.groupBy(*keys, F.col("y").alias("c")).agg(best)).groupBy(*keys, "c").agg(F.min("best").alias("best"))
+        merged = each.filter(F.col("best.v") <= cut).groupBy(*keys, F.col("best.x").alias("x"), F.col("best.y").alias("y")).agg(F.count("*").alias("votes")).filter("votes = 2")
+        merged = cut_lineage(merged.select(*keys, F.col("y").alias("gone"), F.col("x").alias("into")))
+        if merged.isEmpty():
+            return labels
+        renamed = lambda df, c: df.join(merged.withColumnRenamed("gone", c), [*keys, c], "left").withColumn(c, F.coalesce("into", c)).drop("into")  # noqa: B023, E731
+        labels = cut_lineage(renamed(labels, "cluster").select(*labels.columns))
+        moved = renamed(renamed(d, "x"), "y").filter("x <> y")
+        d = cut_lineage(moved.groupBy(*keys, F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+
+
 def auc(long: DataFrame, by: Sequence[str], score: str = "value", target: str = "target") -> DataFrame:
     """Tie-aware area under the ROC curve: (rank sum of positives - P(P+1)/2) / (P N). Rows are first reduced to distinct scores."""
     s = long.filter(F.col(score).isNotNull() & F.col(target).isin(0, 1)).groupBy(*by, score).agg(F.count("*").alias("k"), F.sum(target).alias("p"))
@@ -191,7 +225,7 @@ def edge_divergences(reference: DataFrame, current: DataFrame, by: Sequence[str]
     inner = [i / bins for i in range(1, bins)]
     edges = exact_quantiles(reference, by, value, inner).select(*by, F.array_distinct("quantiles").alias("edges"))
     both = reference.select(*by, value, F.lit(1).alias("__ref")).unionByName(current.select(*by, value, F.lit(0).alias("__ref"))).filter(F.col(value).isNotNull())
-    coded = both.join(F.broadcast(edges), list(by)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(value))))
+    coded = both.join(if_small(edges), list(by)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(value))))
     each = coded.groupBy(*by, "bin", F.size("edges").alias("last")).agg(F.sum("__ref").alias("r"), F.sum(1 - F.col("__ref")).alias("c"))
     frame = edges.select(*by, F.size("edges").alias("last"), F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))
     full = frame.join(each, [*by, "last", "bin"], "left").fillna(0, ["r", "c"])
@@ -226,7 +260,7 @@ def rejection_at_retention(df: DataFrame, score: str, positive: Column, negative
     p = df.filter(positive).withColumns({"__i": F.row_number().over(w) - 1, "__n": F.count("*").over(Window.partitionBy(*by))})
     cut = p.filter(F.col("__i") == F.floor((1 - retention) * (F.col("__n") - 1))).select(*by, F.col(score).alias("cut"))
     neg = df.filter(negative).select(*by, score)
-    joined = neg.join(F.broadcast(cut), list(by)) if by else neg.crossJoin(F.broadcast(cut))
+    joined = neg.join(if_small(cut), list(by)) if by else neg.crossJoin(F.broadcast(cut))
     return joined.groupBy(*by).agg(F.first("cut").alias("cut"), F.avg((F.col(score) < F.col("cut")).cast("double")).alias("rejected"))
 
 

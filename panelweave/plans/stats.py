@@ -107,28 +107,11 @@ def _(t):
 
 @query("r7_15_average_linkage")
 def _(t):
-    """Average-linkage clusters of features by 1 - |corr|, cut at 0.7; a scope's few hundred features in one grouped call."""
-    import numpy as np
-    import pandas as pd
-
-    m = T.correlation_matrix(t.features.withColumn("feature", F.concat_ws(":", "market", "feature"))).select(F.substring_index("a", ":", 1).alias("market"), "a", "b", "corr")
-
-    def link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["a"]) | set(pdf["b"]))
-        at = {n: i for i, n in enumerate(names)}
-        d = np.ones((len(names), len(names)))
-        for a, b, c in zip(pdf["a"], pdf["b"], pdf["corr"].fillna(0), strict=True):
-            d[at[a], at[b]] = d[at[b], at[a]] = 1 - abs(c)
-        groups = [[i] for i in range(len(names))]
-        while len(groups) > 1:
-            best = min(((d[np.ix_(x, y)].mean(), i, j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j), key=lambda z: z)
-            if best[0] > 0.7:
-                break
-            groups[best[1]] += groups.pop(best[2])
-        groups = sorted(sorted(g) for g in groups)
-        return pd.DataFrame([(key[0], names[i].split(":")[1], k) for k, g in enumerate(groups) for i in g], columns=["market", "feature", "cluster"])
-
-    return m.groupBy("market").applyInPandas(link, "market string, feature string, cluster int")
+    """Average-linkage clusters of features by 1 - |corr|, cut at 0.7, numbered in each market by their least feature."""
+    m = T.correlation_matrix(t.features.withColumn("feature", F.concat_ws(":", "market", "feature"))).select(F.substring_index("a", ":", 1).alias("market"), "a", "b", (1 - F.abs(F.coalesce("corr", F.lit(0.0)))).alias("distance"))
+    found = T.average_linkage(m, ["market"], cut=0.7)
+    number = F.dense_rank().over(Window.partitionBy("market").orderBy("cluster")) - 1
+    return found.select("market", F.substring_index("node", ":", -1).alias("feature"), number.cast("int").alias("cluster"))
 
 
 _Q = "q AS (SELECT feature, avg((value IS NOT NULL)::INT) AS complete, count(DISTINCT value) AS u, abs(corr(value, target)) AS signal FROM features GROUP BY 1)"

@@ -236,3 +236,27 @@ def test_state_of_idle_keys_goes(spark, tmp_path):
     assert max(kept) >= 3 and kept[-1] <= 3  # a, d and the new b; the old b's and c's are gone
     rows = {(r.key, (r.ts - begin).days): r.streak for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect()}
     assert rows == {("a", 0): 1, ("b", 0): 1, ("c", 1): -1, ("a", 5): 2, ("a", 40): -1, ("d", 40): 1, ("d", 41): 2, ("b", 41): 1}
+
+
+def test_average_linkage_of_many_groups(spark):
+    import numpy as np
+
+    from panelweave.operators.stats import average_linkage
+
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for g, n in (("a", 25), ("b", 9), ("c", 2), ("d", 40)):
+        points = rng.random((n, 2)) * 1.2
+        dist = np.minimum(np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1)), 1.0)
+        rows += [(g, f"{g}{i:02d}", f"{g}{j:02d}", float(dist[i, j])) for i in range(n) for j in range(i) if dist[i, j] < 1.0 or rng.random() < 0.5]
+        rows += [(g, f"{g}{i:02d}", f"{g}{i:02d}", 0.0) for i in range(n)]
+        here = sorted({x for r in rows if r[0] == g and r[1] != r[2] for x in r[1:3]})
+        groups = [[int(x[1:])] for x in here]
+        while len(groups) > 1:
+            d, i, j = min((dist[np.ix_(x, y)].mean(), i, j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j)
+            if d > 0.4:
+                break
+            groups[i] += groups.pop(j)
+        want |= {(g, f"{g}{k:02d}"): f"{g}{min(c):02d}" for c in groups for k in c}
+    df = spark.createDataFrame(rows, "g string, a string, b string, distance double")
+    assert {(r.g, r.node): r.cluster for r in average_linkage(df, ["g"], cut=0.4).collect()} == want
+    assert average_linkage(df.filter("false"), ["g"], cut=0.4).count() == 0
