@@ -208,6 +208,26 @@ def tail_dependence(df: DataFrame, *, entity: str, pos: str, value: str, level:
     return pair_blocks(df, kernel, "tail double", entity=entity, pos=pos, value=value, ordered=ordered, whole=True, **options)
 
 
+def median_information(df: DataFrame, *, entity: str, pos: str, value: str, ordered: bool = False, **options: int) -> DataFrame:
+    """(a, b, mi): mutual information, in nats, of lying above the median, over the positions that both have."""
+
+    def kernel(x: Tile, y: Tile, keep: np.ndarray) -> dict:
+        u, v = x.shifted(), y.shifted()
+        i, j = np.nonzero(keep & (_there(u) @ _there(v).T > 0))
+        mi = np.empty(len(i))
+        for r, (p, q) in enumerate(zip(i, j, strict=True)):
+            both = ~np.isnan(u[p]) & ~np.isnan(v[q])
+            a, b = (z[both] > np.quantile(z[both], 0.5) for z in (u[p], v[q]))
+            n = np.array([[(~a & ~b).sum(), (~a & b).sum()], [(a & ~b).sum(), (a & b).sum()]], float)
+            t = n.sum()
+            free = n.sum(1, keepdims=True) * n.sum(0, keepdims=True)
+            some = n > 0
+            mi[r] = (n[some] / t * np.log(n[some] * t / free[some])).sum()
+        return {"i": i, "j": j, "mi": mi}
+
+    return pair_blocks(df, kernel, "mi double", entity=entity, pos=pos, value=value, ordered=ordered, whole=True, **options)
+
+
 def window_correlations(df: DataFrame, ends: Sequence[int], size: int, *, entity: str, pos: str, value: str, lag: int, ordered: bool = False, **options: int) -> DataFrame:
     """(a, b, end_pos, n, corr): correlation at one lag over a's last `size` positions up to each of `ends`."""
 
