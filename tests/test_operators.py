@@ -260,3 +260,24 @@ def test_average_linkage_of_many_groups(spark):
     df = spark.createDataFrame(rows, "g string, a string, b string, distance double")
     assert {(r.g, r.node): r.cluster for r in average_linkage(df, ["g"], cut=0.4).collect()} == want
     assert average_linkage(df.filter("false"), ["g"], cut=0.4).count() == 0
+
+
+def test_names_of_the_queries_are_known():
+    """Each name that a query's code reads is one of its module's or a builtin: an import that goes missing shows without running the query."""
+    import builtins
+    import dis
+    import sys
+    import types
+
+    def read(code):
+        yield from (i.argval for i in dis.get_instructions(code) if i.opname == "LOAD_GLOBAL")
+        for c in code.co_consts:
+            if isinstance(c, types.CodeType):
+                yield from read(c)
+
+    plans = [m for n, m in sys.modules.items() if n.startswith("panelweave.plans.")]
+    assert len(plans) > 5
+    for m in plans:
+        with open(m.__file__) as f:
+            unknown = {n for n in read(compile(f.read(), m.__file__, "exec")) if not hasattr(m, n) and not hasattr(builtins, n)}
+        assert not unknown, (m.__name__, unknown)
