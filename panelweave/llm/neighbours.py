@@ -85,24 +85,50 @@ def distinct_vectors(vectors: DataFrame, keep: int, *, salts: int = 64) -> DataF
     return both.select(F.element_at("ids", 1).alias("vid"), "v", "ids")
 
 
-def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors as bytes, in steps of a 127th of their own largest component, and the steps."""
-    step = np.abs(v).max(1) / 127
-    return np.rint(v / step[:, None]).astype(np.int8), step
+def packed_vectors(unique: DataFrame) -> DataFrame:
+    """(vid, data): each vector as little-endian bytes, of four-byte numbers where these hold every component exactly, else of eight-byte ones."""
 
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for v in pdf["v"]:
+                with np.errstate(over="ignore"):
+                    short = (v := np.asarray(v, "<f8")).astype("<f4")
+                out.append((short if (short == v).all() else v).tobytes())
+            yield pd.DataFrame({"vid": pdf["vid"], "data": out})
+
+    return unique.select("vid", "v").mapInPandas(pack, "vid long, data binary")
+
+
+def _matrix(data: pd.Series, size: int) -> np.ndarray:
+    """The packed vectors of one length as rows of doubles."""
+    out, wide = np.empty((len(data), size)), data.map(len).to_numpy() == 8 * size
+    for at, kind in ((~wide, "<f4"), (wide, "<f8")):
+        if at.any():
+            out[at] = np.frombuffer(b"".join(data[at]), kind).reshape(-1, size)
+    return out
 
-def _matrix(codes: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1).astype(np.float32)
 
+def _best(s: np.ndarray, keep: int) -> np.ndarray:
+    """Columns of each row's `keep` largest values, in no order; of equal values the first columns."""
+    if s.shape[1] <= keep:
+        return np.broadcast_to(np.arange(s.shape[1]), s.shape)
+    at = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+    least = np.take_along_axis(s, at, 1).min(1)
+    for i in np.flatnonzero((s >= least[:, None]).sum(1) > keep):
+        some = np.flatnonzero(s[i] >= least[i])
+        at[i] = some[np.argsort(-s[i, some], kind="stable")[:keep]]
+    return at
 
-KEYED = "size int, curve int, part int, place long, vid long, code binary, step double"
+
+KEYED = "size int, curve int, part int, place long, vid long"
 
 
 def curve_index(unique: DataFrame, total: int, curves: int, dims: int, bits: int, seed: int) -> DataFrame:
-    """(size, curve, place, vid, code, step): each vector's place in each curve's order, among vectors of its length, staged.
+    """(size, curve, place, vid): each vector's place in each curve's order, among vectors of its length, staged.
 
     One range partitioning by (size, curve, key); rows are numbered as they lie in a partition, and the counts of the partitions
-    before are added. Vectors go along as bytes.
+    before are added.
     """
 
     def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,10 +137,9 @@ def curve_index(unique: DataFrame, total: int, curves: int, dims: int, bits: int
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
                 v = np.array(pdf["v"].iloc[at].tolist(), float)
-                keys, (codes, step) = curve_keys(v, curves, dims, bits, seed), quantise(v)
-                vid, packed = pdf["vid"].to_numpy()[at], [c.tobytes() for c in codes]
+                keys, vid = curve_keys(v, curves, dims, bits, seed), pdf["vid"].to_numpy()[at]
                 for c in range(curves):
-                    yield pd.DataFrame({"size": size, "curve": c, "key": keys[:, c], "vid": vid, "code": packed, "step": step})
+                    yield pd.DataFrame({"size": size, "curve": c, "key": keys[:, c], "vid": vid})
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), {}
@@ -127,9 +152,9 @@ def curve_index(unique: DataFrame, total: int, curves: int, dims: int, bits: int
             place += np.repeat([seen.get(g, 0) for g in group[first].tolist()], np.diff(np.r_[first, len(group)]))
             last = np.r_[first[1:] - 1, len(group) - 1]
             seen |= dict(zip(group[last].tolist(), (place[last] + 1).tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column("size"), batch.column("curve"), pa.array(np.full(len(group), part, np.int32)), pa.array(place.astype(np.int64)), *(batch.column(c) for c in ("vid", "code", "step"))], names=[x.split()[0] for x in KEYED.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("size"), batch.column("curve"), pa.array(np.full(len(group), part, np.int32)), pa.array(place.astype(np.int64)), batch.column("vid")], names=[x.split()[0] for x in KEYED.split(", ")])
 
-    rows = unique.select("vid", "v").mapInPandas(key, "size int, curve int, key long, vid long, code binary, step double")
+    rows = unique.select("vid", "v").mapInPandas(key, "size int, curve int, key long, vid long")
     dealt = rows.repartitionByRange(max(8, total * curves // 200_000), "size", "curve", "key", "vid").sortWithinPartitions("size", "curve", "key", "vid")
     return stage(dealt.mapInArrow(number, KEYED), "curves")
 
@@ -138,7 +163,7 @@ def _placed(index: DataFrame) -> DataFrame:
     """The index with places counted over all partitions of a curve."""
     sizes = index.groupBy("size", "curve", "part").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("size", "curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return index.join(before, ["size", "curve", "part"]).select("size", "curve", (F.col("place") + F.col("before")).alias("place"), "vid", "code", "step")
+    return index.join(before, ["size", "curve", "part"]).select("size", "curve", (F.col("place") + F.col("before")).alias("place"), "vid")
 
 
 def _calibrated(index: DataFrame, unique: DataFrame, asked: DataFrame, total: int, *, k: int, sample: int, target: float) -> int:
@@ -179,7 +204,7 @@ def _calibrated(index: DataFrame, unique: DataFrame, asked: DataFrame, total: in
     return rows
 
 
-def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, curves: int = 24, dims: int = 20, bits: int = 3, target: float = 0.94, sample: int = 256, window: int | None = None, most_rows: int = 65_536, seed: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, curves: int = 24, dims: int = 20, bits: int = 3, target: float = 0.96, sample: int = 256, window: int | None = None, most_rows: int = 65_536, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k vectors of largest inner product that were found, ties to smaller vec_id.
 
     vectors: (vec_id, embedding); queries: a condition on vec_id. All rows are indexed: for each of `curves` shifted Hilbert
@@ -187,8 +212,8 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, curves: int = 2
     cut into blocks of `window` rows; a query is compared with its own block and the two beside it. Without `window` the blocks
     are as small as lets a sample of `sample` queries find `target` of its true neighbours: of constant size where vectors lie in
     clusters, a share of the table where they lie like noise. Blocks hold at most most_rows rows; a wider window takes more of
-    them. In a block vectors are compared as bytes, and the best k and a quarter more of each block are scored again on the original vectors in
-    double precision.
+    them, and of a window as wide as the table one curve is enough. In a block the original vectors are compared in double
+    precision, whatever their lengths and however near they lie; the best k and a quarter more of each block, ties by id, are merged and scored again.
     Null, zero and non-finite vectors take no part (neither as queries), nor do null ids; equal vectors all count. Vectors of
     different lengths are never compared. Results with fewer than k candidates are shorter, and an empty table gives an empty
     result. Repeated ids count once per distinct vector.
@@ -201,27 +226,32 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, curves: int = 2
     index = _placed(curve_index(unique, total, curves, dims, bits, seed))
     window = window or _calibrated(index, unique, asked, total, k=k, sample=sample, target=target)
     window = max(window, min(1024, total // 256))  # smaller blocks would cost more to hand out than to compare
-    rows = min(window, most_rows)
-    reach, keep = -(-window // rows), k + k // 4 + 1
-    placed = index.select("size", "curve", (F.expr(f"place div {rows}")).cast("int").alias("block"), "vid", "code", "step")
-    own = placed.join(asked.select(F.col("qid").alias("vid")).distinct(), "vid", "left_semi")
-    targets = own.select("size", "curve", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"), F.col("vid").alias("qid"), "code").filter("block >= 0")
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    parts = -(-window // most_rows)  # blocks that make up a window
+    rows, keep = -(-window // parts), k + k // 4 + 1
+    if window >= total:
+        index = index.filter("curve = 0")  # each curve's window holds all
+    packed = stage(packed_vectors(unique), "packed")
+    placed = index.select("size", "curve", (F.expr(f"place div {rows}")).cast("int").alias("block"), "vid")
+    own = placed.join(asked.select(F.col("qid").alias("vid")).distinct(), "vid", "left_semi").join(packed, "vid")
+    home_of = F.expr(f"block div {parts}").cast("int") * parts
+    targets = own.select("size", "curve", F.explode(F.sequence(home_of - parts, home_of + 2 * parts - 1)).alias("block"), F.col("vid").alias("qid"), "data").filter("block >= 0")
+
+    def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"qid": [], "vid": [], "s": []}, dtype=object)
-        q, c = _matrix(left["code"]), _matrix(right["in_code"]) * right["step"].to_numpy(np.float32)[:, None]
+        right = right.sort_values("in_vid")
+        q, c = _matrix(left["data"], int(key[0])), _matrix(right["in_data"], int(key[0]))
         qid, vid, out = left["qid"].to_numpy(), right["in_vid"].to_numpy(), []
-        many = max(1, 4_000_000 // len(c))
+        many = max(1, 2_000_000 // len(c))
         for i in range(0, len(q), many):
             s = q[i : i + many] @ c.T
-            at = np.argpartition(-s, keep, axis=1)[:, :keep] if s.shape[1] > keep else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+            at = _best(s, keep)
             out.append((at, np.take_along_axis(s, at, 1)))
         at, s = (np.concatenate(x) for x in zip(*out, strict=True))
         return pd.DataFrame({"qid": qid, "vid": list(vid[at]), "s": list(s)})
 
-    home = placed.select(F.col("size").alias("in_size"), F.col("curve").alias("in_curve"), F.col("block").alias("in_block"), F.col("vid").alias("in_vid"), F.col("code").alias("in_code"), "step")
-    pairs = targets.groupBy("size", "curve", "block").cogroup(home.groupBy("in_size", "in_curve", "in_block")).applyInPandas(compare, "qid long, vid array<long>, s array<float>")
+    home = placed.join(packed, "vid").select(F.col("size").alias("in_size"), F.col("curve").alias("in_curve"), F.col("block").alias("in_block"), F.col("vid").alias("in_vid"), F.col("data").alias("in_data"))
+    pairs = targets.groupBy("size", "curve", "block").cogroup(home.groupBy("in_size", "in_curve", "in_block")).applyInPandas(compare, "qid long, vid array<long>, s array<double>")
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []

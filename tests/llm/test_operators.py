@@ -636,6 +636,22 @@ def test_neighbours_of_mixed_lengths_and_in_clusters(spark):
     assert 24 * 3 * window < 6000  # fewer products than comparing a query with each vector once
 
 
+def test_neighbours_that_differ_little(spark):
+    """In clusters tighter than a byte's step of their vectors, beside a large common part, and of many equal scores, in short blocks too."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(10, 32))
+    sets = [centres[np.arange(2000) % 10] + 0.005 * rng.normal(size=(2000, 32)), 10 + 0.05 * rng.normal(size=(2000, 32))]
+    for x, most_rows in zip(sets, (300, 65_536), strict=True):
+        x = x.astype(np.float32)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        got = {(r["query_id"], r["vec_id"]) for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=20, most_rows=most_rows).collect()}
+        s = x.astype(float) @ x.astype(float).T
+        np.fill_diagonal(s, -np.inf)
+        want = {(q, int(v)) for q in range(0, 2000, 20) for v in np.argsort(-s[q], kind="stable")[:20]}
+        assert len(got & want) >= 0.9 * len(want)
+    assert sorted(neighbours._best(np.array([[1.0, 3.0, 1.0, 2.0, 1.0]]), 3)[0]) == [0, 1, 3]
+
+
 def brute_leaks(texts, items, width=8, least=0.5):
     """Every window of every text against every window of every item."""
     known, out = decontaminate._Tokens(), []
