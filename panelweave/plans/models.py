@@ -90,7 +90,7 @@ def _(t):
     return run_stream(t, lambda s: ST.first_of_each(s, ["user_id", "event_type"]), name="first")
 
 
-@query("r12_6_rolling_state", "WITH n AS (SELECT user_id, ts, value, count(value) OVER w AS k, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s, sign(value)::INT AS g, row_number() OVER (PARTITION BY user_id ORDER BY ts) - row_number() OVER (PARTITION BY user_id, sign(value) ORDER BY ts) AS run FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) SELECT user_id, ts, value, CASE WHEN k >= 3 AND s > 1e-12 THEN round((value - m) / s, 6) END AS z, CAST(g * row_number() OVER (PARTITION BY user_id, g, run ORDER BY ts) AS BIGINT) AS streak FROM n")
+@query("r12_6_rolling_state", "WITH n AS (SELECT user_id, ts, value, count(value) OVER w AS k, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s, sign(value)::INT AS g, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) - row_number() OVER (PARTITION BY user_id, sign(value) ORDER BY ts, value) AS run FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, value ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) SELECT user_id, ts, value, CASE WHEN k >= 3 AND s > 1e-12 THEN round((value - m) / s, 6) END AS z, CAST(g * row_number() OVER (PARTITION BY user_id, g, run ORDER BY ts, value) AS BIGINT) AS streak FROM n")
 def _(t):
     return run_stream(t, lambda s: ST.rolling_state(s, key="user_id", ts="ts", value="value", size=10), name="rolling")
 

@@ -56,13 +56,15 @@ def upsert_batch(path: str, keys: Sequence[str], order: str):
 def rolling_state(events: DataFrame, *, key: str, ts: str, value: str, size: int, late: str = "1 day", idle_days: float = 365.0) -> DataFrame:
     """Past-only z and signed streak per key, from a ring of the last values kept as state: (key, ts, value, z, streak).
 
+    A key's rows of a micro-batch come in several parts, cut anywhere: they are put in one order, by time and then value. A null
+    value has no z and no streak, ends a run and takes a place in the ring that counts for nothing.
     A key's state goes once the watermark (the newest time less `late`) is idle_days past its last row: state holds the keys of that
     time, not all that ever came. A key that comes back later begins anew. Rows behind the watermark are left out.
     """
     import numpy as np
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    names = [key, ts, value, "z", "streak"]
+    names, at_once = [key, ts, value, "z", "streak"], 20_000
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -70,17 +72,28 @@ def rolling_state(events: DataFrame, *, key: str, ts: str, value: str, size: int
             yield pd.DataFrame({n: [] for n in names})
             return
         ring, streak, last = state.get if state.exists else ([], 0, 0)
-        ring = list(ring)
-        for pdf in batches:
-            rows = []
-            for t, x in pdf.sort_values(ts)[[ts, value]].itertuples(index=False):
-                z = (x - np.mean(ring)) / np.std(ring) if len(ring) >= max(2, size // 3) and np.std(ring) > 1e-12 else None
-                sign = int(np.sign(x))
-                streak = 0 if sign == 0 else streak + sign if streak * sign > 0 else sign
-                rows.append((k[0], t, x, z, streak))
-                ring, last = [*ring, float(x)][-size:], max(last, int(t.timestamp() * 1000))
-            yield pd.DataFrame(rows, columns=names)
-        state.update((ring, streak, last))
+        rows = pd.concat([pdf[[ts, value]] for pdf in batches]).sort_values([ts, value], ignore_index=True)
+        ring = np.array([np.nan if x is None else x for x in ring], float)
+        for i in range(0, len(rows), at_once):
+            some = rows.iloc[i : i + at_once]
+            x = some[value].to_numpy(float)
+            held = np.r_[np.full(size - len(ring), np.nan), ring, x]
+            past = np.lib.stride_tricks.sliding_window_view(held, size)[:-1]
+            known = ~np.isnan(past)
+            n = known.sum(1)
+            mean = np.where(known, past, 0).sum(1) / np.maximum(n, 1)
+            std = np.sqrt(np.where(known, (past - mean[:, None]) ** 2, 0).sum(1) / np.maximum(n, 1))
+            fine = (n >= max(2, size // 3)) & (std > 1e-12)
+            z = np.where(fine, (x - mean) / np.where(fine, std, 1), np.nan)
+            sign, place = np.sign(x), np.arange(len(x))
+            first = np.r_[True, ~(sign[1:] == sign[:-1])]
+            run = place - np.maximum.accumulate(np.where(first, place, 0)) + 1 + np.where(np.cumsum(first) == 1, abs(streak) * (sign[0] == np.sign(streak)), 0)
+            whole = pd.array(np.where(np.isnan(x), 0, sign * run).astype(np.int64), dtype="Int64")
+            streak = int(whole[-1])
+            whole[np.isnan(x)] = pd.NA
+            yield pd.DataFrame({key: k[0], ts: some[ts], value: some[value], "z": z, "streak": whole})
+            ring = held[len(held) - size :]
+        state.update((ring.tolist(), streak, last := max(last, int(rows[ts].iloc[-1].timestamp() * 1000))))
         state.setTimeoutTimestamp(max(last + int(idle_days * 86_400_000), state.getCurrentWatermarkMs() + 1))
 
     kinds = dict(events.dtypes)

@@ -223,6 +223,32 @@ def test_streams_equal_batches(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "pol/policy")).first()["threshold"] >= 0.5
 
 
+def test_rolling_state_orders_all_parts_of_a_batch(spark, tmp_path):
+    """Rows of keys in mixed order, handed on five at a time, with equal times and nulls: as if each key's rows came by time and value."""
+    import numpy as np
+
+    rng, begin = np.random.default_rng(8), dt.datetime(2026, 1, 1)
+    rows = [(f"k{i % 3}", int(i // 2 % 40), None if i % 17 == 5 else float(rng.integers(-9, 10))) for i in rng.permutation(200).tolist()]
+    spark.createDataFrame([(k, begin + dt.timedelta(minutes=m), v) for k, m, v in rows], "key string, ts timestamp, value double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        out = streaming.rolling_state(spark.readStream.schema("key string, ts timestamp, value double").parquet(str(tmp_path / "in")), key="key", ts="ts", value="value", size=6)
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = [(r.key, int((r.ts - begin).total_seconds() // 60), r.value, None if r.z is None else round(r.z, 6), r.streak) for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect()]
+    want = []
+    for key in ("k0", "k1", "k2"):
+        ring, streak = [], 0
+        for _, m, x in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2] is None, r[2] or 0.0)):
+            known = [v for v in ring[-6:] if v is not None]
+            z = None if x is None or len(known) < 2 or np.std(known) <= 1e-12 else round(float((x - np.mean(known)) / np.std(known)), 6)
+            streak = 0 if not x else streak + int(np.sign(x)) if streak * x > 0 else int(np.sign(x))
+            want.append((key, m, x, z, None if x is None else streak))
+            ring.append(x)
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_state_of_idle_keys_goes(spark, tmp_path):
     begin = dt.datetime(2026, 1, 1)
     batches = [[("a", 0, 1.0), ("b", 0, 2.0), ("c", 1, -1.0)], [("a", 5, 3.0)], [("a", 40, -2.0), ("d", 40, 1.0)], [("d", 41, 4.0)], [("b", 41, 5.0)]]
