@@ -331,9 +331,12 @@ def poisson_bootstrap(df: DataFrame, by: Sequence[str], tp: Column, alerts: Colu
 
 def bh_qvalues(df: DataFrame, p: str, by: Sequence[str] = (), tie: Sequence[str] = ()) -> DataFrame:
     """Benjamini-Hochberg q-values: p * m / rank, made monotone from the largest p down."""
-    w = Window.partitionBy(*by).orderBy(p, *tie)
-    out = df.withColumn("__q", F.col(p) * F.count(p).over(Window.partitionBy(*by)) / F.row_number().over(w))
-    return out.withColumn("q", F.least(F.min("__q").over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(1.0))).drop("__q")
+    whole = Window.partitionBy(*by)
+    out = df.withColumn("__rank", F.row_number().over(whole.orderBy(p, *tie)))
+    out = out.withColumn("__q", F.col(p) * F.count(p).over(whole) / F.col("__rank"))
+    # from the largest rank down: a frame that reaches to the end would be gone through anew for each row
+    down = whole.orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn("q", F.least(F.min("__q").over(down), F.lit(1.0))).drop("__q", "__rank")
 
 
 def fisher_combine(df: DataFrame, by: Sequence[str], p: str) -> DataFrame:

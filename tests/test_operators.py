@@ -249,6 +249,20 @@ def test_rolling_state_orders_all_parts_of_a_batch(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_bh_qvalues_go_once_through_a_group(spark):
+    """Equal to the rule as stated, with ties, by a frame that isn't gone through anew for each row."""
+    rows = [(i % 2, i, (1 + i * 7 % 50) / 400.0) for i in range(300)]
+    out = stats.bh_qvalues(spark.createDataFrame(rows, "g int, i int, p double"), "p", ["g"], ["i"])
+    want = {}
+    for g in (0, 1):
+        here, least = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[1])), 1.0
+        for rank in range(len(here), 0, -1):
+            least = min(least, here[rank - 1][2] * len(here) / rank)
+            want[here[rank - 1][1]] = round(least, 12)
+    assert {r["i"]: round(r["q"], 12) for r in out.collect()} == want
+    assert "currentrow$(), unboundedfollowing$()" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_state_of_idle_keys_goes(spark, tmp_path):
     begin = dt.datetime(2026, 1, 1)
     batches = [[("a", 0, 1.0), ("b", 0, 2.0), ("c", 1, -1.0)], [("a", 5, 3.0)], [("a", 40, -2.0), ("d", 40, 1.0)], [("d", 41, 4.0)], [("b", 41, 5.0)]]
