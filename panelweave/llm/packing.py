@@ -18,14 +18,26 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.common import per_text, stage, with_null_safe_text
 
-#: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 40_000
+#: Words that a generation of a worker's memory holds before the next one begins; there are two.
+REMEMBERED = 100_000
+_BASIC = [chr(i) for i in range(0x10000)]
+
+
+def _class(chars: list[str]) -> str:
+    """The characters as ranges: a class spelled out is one look into a table for each character, one made of categories several."""
+    codes = np.array([ord(c) for c in chars])
+    ends = np.flatnonzero(np.diff(codes) > 1)
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(codes[np.r_[0, ends + 1]], codes[np.r_[ends, -1]], strict=True)) + "]"
+
+
 #: The tokenizer file's pattern of words: contractions, runs of letters, single digits, runs of anything else but blanks.
-WORDS = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\w\s]|_)+")
+WORDS = re.compile(
+    _class([c for c in _BASIC if unicodedata.category(c)[0] == "L"]) + r"++|'(?:s|t|re|ve|m|ll|d)|\d|" + _class([c for c in _BASIC if not c.isalnum() and not c.isspace()]) + "++"
+)
 #: Numerals that count as letters to the pattern above, characters whose lower case depends on others or grows, blanks that not
 #: all count as such, characters younger than Unicode 3.2, whose kind depends on how new a table is, and everything beyond the
 #: basic plane.
-_DOUBTFUL = "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) in ("No", "Nl") or unicodedata.ucd_3_2_0.category(c) in ("Cn", "Cs"))
+_DOUBTFUL = "".join(c for c in _BASIC if unicodedata.category(c) in ("No", "Nl") or unicodedata.ucd_3_2_0.category(c) in ("Cn", "Cs"))
 ODD = re.compile("[\u03a3\u0130\x1c-\x1f\x85\u180e\u200b\U00010000-\U0010ffff" + _DOUBTFUL + "]")
 
 
@@ -53,8 +65,8 @@ class WordIds:
     The tokenizer lower-cases a text, cuts it by WORDS and encodes each piece on its own, so a text's ids are those of its
     pieces one after another, and pieces seen before are looked up. Unknown ones are encoded together, one blank between two,
     and parted where a token ends a word. Texts on which lower-casing or blanks could differ, or which spell a special token,
-    go to the tokenizer whole. Two generations of at most REMEMBERED pieces are kept: what is still in use moves to the new
-    one, so memory is bounded and common words stay.
+    go to the tokenizer whole. Two generations of pieces are kept, each of REMEMBERED and what 256 texts add: what is still in
+    use moves to the new one, so memory is bounded and common words stay.
     """
 
     def __init__(self, path: str) -> None:
@@ -62,22 +74,24 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.tokenizer.model)  # the same model, for pieces that are normal already
+        self.plain.pre_tokenizer = self.tokenizer.pre_tokenizer
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> np.ndarray:
+    def _ids(self, text: str, tokenizer) -> np.ndarray:
         """The tokenizer's ids; the fast way leaves out the places of tokens in the text, which aren't needed."""
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _encode(self, text: str) -> bytes:
-        return self._ids(text).tobytes()
+        return self._ids(text, self.tokenizer).tobytes()
 
     def _want(self, wanted: set[str]) -> None:
         """Bring all of `wanted` into the new generation."""
-        if len(self.new) + len(wanted) > REMEMBERED:
+        if len(self.new) > REMEMBERED:
             self.new, self.old = {}, self.new
         new, old = self.new, self.old
         unknown = []
@@ -88,7 +102,7 @@ class WordIds:
                 new[p] = known
         for i in range(0, len(unknown), 10_000):
             words = unknown[i : i + 10_000]
-            ids = self._ids(" ".join(words))
+            ids = self._ids(" ".join(words), self.plain)
             cut = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             data = ids.tobytes()
             if len(cut) == len(words) + 1:

@@ -603,6 +603,29 @@ def test_young_letters_are_cut_as_the_tokenizer_cuts_them(spark):
     assert list(ids(texts)) == [ids._encode(t) for t in texts]
 
 
+def test_every_character_is_cut_as_the_tokenizer_cuts_it():
+    P = pytest.importorskip("public_tokenizers")
+    ids = packing.WordIds(P.path("word_bpe_49k.json"))
+    texts = [f"ab{c}Cd {c} {c}{c}'{c}s 9{c}1!{c}? _{c}_" for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)])]
+    assert list(ids(texts)) == [ids._encode(t) for t in texts]
+
+
+def test_words_that_come_again_are_not_tokenised_again():
+    P = pytest.importorskip("public_tokenizers")
+    ids = packing.WordIds(P.path("word_bpe_49k.json"))
+    asked, tokenise = [], ids._ids
+    ids._ids = lambda text, *more: (asked.extend(text.split()), tokenise(text, *more))[1]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(letters[i // 26**k % 26] for k in range(4)) for i in range(75_000)]
+    batches = [[" ".join(words[i : i + 100]) for i in range(a, a + 25_000, 100)] for a in (0, 25_000, 50_000)]
+    for batch in batches * 3:
+        list(ids(batch))
+    assert sorted(asked) == sorted(words)
+    for a in range(0, 26**4, 25_000):  # memory stays bounded
+        list(ids([" ".join("x" + "".join(letters[i // 26**k % 26] for k in range(4)) for i in range(a, min(a + 25_000, 26**4)))]))
+        assert len(ids.new) <= packing.REMEMBERED + 25_000 and len(ids.old) <= packing.REMEMBERED + 25_000
+
+
 def test_packing_under_binding_limits(spark):
     P = pytest.importorskip("public_tokenizers")
     rng = random.Random(11)
