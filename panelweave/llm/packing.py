@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from panelweave.llm.common import per_text, stage, with_null_safe_text
 
 #: Words that a generation of a worker's memory holds before the next one begins; there are two.
-REMEMBERED = 100_000
+REMEMBERED = 40_000
 _BASIC = [chr(i) for i in range(0x10000)]
 
 
@@ -39,6 +39,7 @@ WORDS = re.compile(
 #: basic plane.
 _DOUBTFUL = "".join(c for c in _BASIC if unicodedata.category(c) in ("No", "Nl") or unicodedata.ucd_3_2_0.category(c) in ("Cn", "Cs"))
 ODD = re.compile("[\u03a3\u0130\x1c-\x1f\x85\u180e\u200b\U00010000-\U0010ffff" + _DOUBTFUL + "]")
+del _BASIC  # 5 MB in each worker
 
 
 def _plain(text: str) -> bool:
@@ -65,7 +66,7 @@ class WordIds:
     The tokenizer lower-cases a text, cuts it by WORDS and encodes each piece on its own, so a text's ids are those of its
     pieces one after another, and pieces seen before are looked up. Unknown ones are encoded together, one blank between two,
     and parted where a token ends a word. Texts on which lower-casing or blanks could differ, or which spell a special token,
-    go to the tokenizer whole. Two generations of pieces are kept, each of REMEMBERED and what 256 texts add: what is still in
+    go to the tokenizer whole. Two generations of pieces are kept, each of REMEMBERED and what 128 texts add: what is still in
     use moves to the new one, so memory is bounded and common words stay.
     """
 
@@ -112,8 +113,8 @@ class WordIds:
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids; words are looked for, and tokenised, for some texts at once."""
-        for i in range(0, len(texts), 256):
-            some = texts[i : i + 256]
+        for i in range(0, len(texts), 128):
+            some = texts[i : i + 128]
             parts = [WORDS.findall(t.lower()) if _plain(t) else None for t in some]
             self._want(set().union(*filter(None, parts)))
             get = self.new.__getitem__
