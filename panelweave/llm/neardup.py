@@ -124,8 +124,8 @@ def _prune_block(left: np.ndarray, right: np.ndarray, bars: list[tuple[int, int]
         m += left[:, i, None] == right[None, :, i]
     out = np.zeros(m.shape, bool)
     x, y = np.nonzero(m >= bars[0][1])
-    for i in range(0, len(x), 200_000):
-        xs, ys = x[i : i + 200_000], y[i : i + 200_000]
+    for i in range(0, len(x), 8192):  # both sides' values are laid out for each pair, a kilobyte a pair
+        xs, ys = x[i : i + 8192], y[i : i + 8192]
         keep = _prune(left[xs], right[ys], bars)
         out[xs[keep], ys[keep]] = True
     return out

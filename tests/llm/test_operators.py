@@ -5,6 +5,7 @@ import random
 import re
 import textwrap
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -626,6 +627,23 @@ def test_words_that_come_again_are_not_tokenised_again():
         assert len(ids.new) <= packing.REMEMBERED + 25_000 and len(ids.old) <= packing.REMEMBERED + 25_000
 
 
+def test_blocks_of_like_texts_are_compared_in_little_memory():
+    params = neardup.JoinParams()
+    rng = np.random.default_rng(3)
+    one = rng.integers(0, 1 << 32, params.values, dtype=np.uint32)
+    left, right = (np.tile(one, (512, 1)) for _ in range(2))
+    right[::2, rng.integers(0, params.values, 256)] += 1
+    right[1::4, 13:] += 1
+    bars = neardup.least_matches(params)
+    tracemalloc.start()
+    got = neardup._prune_block(left, right, bars)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+    x, y = np.divmod(np.arange(512 * 512), 512)
+    assert (np.flatnonzero(got) == neardup._prune(left[x], right[y], bars)).all() and 0 < got.sum() < got.size
+
+
 def test_packing_under_binding_limits(spark):
     P = pytest.importorskip("public_tokenizers")
     rng = random.Random(11)
