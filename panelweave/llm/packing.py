@@ -50,6 +50,15 @@ def _plain(text: str) -> bool:
 END = struct.pack("<I", 1)
 
 
+def _byte_signs() -> dict[int, int]:
+    """The tokenizer file's sign for each byte: printable ones of Latin-1 stand for themselves, the others for those from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: b for b in own} | {b: 0x100 + k for k, b in enumerate(sorted(set(range(0x100)) - set(own)))}
+
+
+BYTE_SIGNS = _byte_signs()
+
+
 @dataclass(frozen=True)
 class BinLimits:
     """A sequence's capacities. attention: the sum of squared lengths, what attention within documents costs."""
@@ -64,10 +73,10 @@ class WordIds:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer lower-cases a text, cuts it by WORDS and encodes each piece on its own, so a text's ids are those of its
-    pieces one after another, and pieces seen before are looked up. Unknown ones are encoded together, one blank between two,
-    and parted where a token ends a word. Texts on which lower-casing or blanks could differ, or which spell a special token,
-    go to the tokenizer whole. Two generations of pieces are kept, each of REMEMBERED and what 128 texts add: what is still in
-    use moves to the new one, so memory is bounded and common words stay.
+    pieces one after another, and pieces seen before are looked up. Unknown ones go to the tokenizer's model one by one, as the
+    signs of their bytes: nothing is left to normalise or to cut. Texts on which lower-casing or blanks could differ, or which
+    spell a special token, go to the tokenizer whole. Two generations of pieces are kept, each of REMEMBERED and what 128 texts
+    add: what is still in use moves to the new one, so memory is bounded and common words stay.
     """
 
     def __init__(self, path: str) -> None:
@@ -75,41 +84,28 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = Tokenizer(self.tokenizer.model)  # the same model, for pieces that are normal already
-        self.plain.pre_tokenizer = self.tokenizer.pre_tokenizer
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _ids(self, text: str, tokenizer) -> np.ndarray:
-        """The tokenizer's ids; the fast way leaves out the places of tokens in the text, which aren't needed."""
-        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
     def _encode(self, text: str) -> bytes:
-        return self._ids(text, self.tokenizer).tobytes()
+        """A whole text's ids; the fast way leaves out the places of tokens in the text, which aren't needed."""
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _ids(self, word: str) -> bytes:
+        """The ids of a piece that WORDS cut from a lower-case text."""
+        signs = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(BYTE_SIGNS)
+        ids = [t.id for t in self.model.tokenize(signs)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _want(self, wanted: set[str]) -> None:
         """Bring all of `wanted` into the new generation."""
         if len(self.new) > REMEMBERED:
             self.new, self.old = {}, self.new
         new, old = self.new, self.old
-        unknown = []
         for p in wanted - new.keys():
-            if (known := old.get(p)) is None:
-                unknown.append(p)
-            else:
-                new[p] = known
-        for i in range(0, len(unknown), 10_000):
-            words = unknown[i : i + 10_000]
-            ids = self._ids(" ".join(words), self.plain)
-            cut = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            data = ids.tobytes()
-            if len(cut) == len(words) + 1:
-                new.update((w, data[a:b]) for w, a, b in zip(words, cut, cut[1:], strict=False))
-            else:
-                new.update((w, self._encode(w)) for w in words)
+            known = old.get(p)
+            new[p] = self._ids(p) if known is None else known
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids; words are looked for, and tokenised, for some texts at once."""

@@ -644,6 +644,37 @@ def test_blocks_of_like_texts_are_compared_in_little_memory():
     assert (np.flatnonzero(got) == neardup._prune(left[x], right[y], bars)).all() and 0 < got.sum() < got.size
 
 
+def test_unknown_words_are_neither_normalised_nor_cut_again(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    import tokenizers
+
+    real, whole = tokenizers.Tokenizer, []
+
+    class Counted:
+        """A tokenizer that lists what it encodes with all its steps."""
+
+        def __init__(self, model, own=None):
+            self.own = own or real(model)
+
+        @classmethod
+        def from_file(cls, path):
+            return cls(None, real.from_file(path))
+
+        def __getattr__(self, name):
+            if name.startswith("encode"):
+                whole.append(name)
+            return getattr(self.own, name)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    ids = packing.WordIds(P.path("word_bpe_49k.json"))
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz\u00e4\u00df\u00f1\u00ed\u0153\u03b1\u0436\u4e2d\u0e01"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 40))) + rng.choice(["", "!?", "\u20ac\u2026", "'ll", "42", "\x7f\x01"]) for _ in range(50)) for _ in range(100)] + ["x" * 5000]
+    got = list(ids(texts))
+    assert not whole
+    assert got == [ids._encode(t) for t in texts] and whole
+
+
 def test_packing_under_binding_limits(spark):
     P = pytest.importorskip("public_tokenizers")
     rng = random.Random(11)
