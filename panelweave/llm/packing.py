@@ -8,18 +8,25 @@ import re
 import struct
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import per_text, stage, with_null_safe_text
 
-#: Words that a generation of a worker's memory holds before the next one begins; there are two.
-REMEMBERED = 40_000
+#: Words, of at most LONGEST characters, that a worker remembers beside those of the texts just seen.
+REMEMBERED = 100_000
+LONGEST = 100
+#: Characters of the texts whose words are looked for at once.
+TOGETHER = 1_000_000
 _BASIC = [chr(i) for i in range(0x10000)]
 
 
@@ -48,6 +55,8 @@ def _plain(text: str) -> bool:
 
 
 END = struct.pack("<I", 1)
+ID_OF = attrgetter("id")
+MEMORY = pa.schema({"word": pa.large_string(), "ids": pa.large_binary()})
 
 
 def _byte_signs() -> dict[int, int]:
@@ -75,8 +84,8 @@ class WordIds:
     The tokenizer lower-cases a text, cuts it by WORDS and encodes each piece on its own, so a text's ids are those of its
     pieces one after another, and pieces seen before are looked up. Unknown ones go to the tokenizer's model one by one, as the
     signs of their bytes: nothing is left to normalise or to cut. Texts on which lower-casing or blanks could differ, or which
-    spell a special token, go to the tokenizer whole. Two generations of pieces are kept, each of REMEMBERED and what 128 texts
-    add: what is still in use moves to the new one, so memory is bounded and common words stay.
+    spell a special token, go to the tokenizer whole. Two Arrow tables of pieces are kept, as they are smaller than dicts: `new`, what
+    the last texts used, and `old`, the REMEMBERED ones used last before, so memory is bounded and common words stay.
     """
 
     def __init__(self, path: str) -> None:
@@ -85,8 +94,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.new = self.old = MEMORY.empty_table()
 
     def _encode(self, text: str) -> bytes:
         """A whole text's ids; the fast way leaves out the places of tokens in the text, which aren't needed."""
@@ -95,27 +103,49 @@ class WordIds:
     def _ids(self, word: str) -> bytes:
         """The ids of a piece that WORDS cut from a lower-case text."""
         signs = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(BYTE_SIGNS)
-        ids = [t.id for t in self.model.tokenize(signs)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _want(self, wanted: set[str]) -> None:
-        """Bring all of `wanted` into the new generation."""
-        if len(self.new) > REMEMBERED:
-            self.new, self.old = {}, self.new
-        new, old = self.new, self.old
-        for p in wanted - new.keys():
-            known = old.get(p)
-            new[p] = self._ids(p) if known is None else known
+        return array("I", map(ID_OF, self.model.tokenize(signs))).tobytes()
+
+    def _all(self, runs: pa.Array) -> list[bytes]:
+        """The ids of different lower-case runs without blanks. Letters alone are one piece; pieces are remembered, runs of several aren't.
+
+        The memory is searched, and brought into the order of last use, once for all runs; only unknown ones become strings.
+        """
+        memory = pa.concat_tables([self.old, self.new]).combine_chunks()
+        words, ids = memory["word"], memory["ids"]
+        known = pc.index_in(runs, value_set=words)
+        unknown = runs.filter(known.is_null()).to_numpy(zero_copy_only=False).tolist()
+        parts = [(run,) if run.isalpha() else WORDS.findall(run) for run in unknown]
+        pieces = pa.array(list(set().union(*parts)), pa.large_string())
+        of_several = pc.index_in(pieces, value_set=words)
+        found = dict(zip(pieces.to_numpy(zero_copy_only=False).tolist(), ids.take(of_several).to_numpy().tolist(), strict=True))
+        fresh = {p: self._ids(p) for p, i in found.items() if i is None}
+        found |= fresh
+        used = np.zeros(memory.num_rows, bool)
+        for at in (known, of_several):
+            used[at.drop_null().to_numpy()] = True
+        short = [p for p in fresh if len(p) <= LONGEST]
+        self.new = pa.concat_tables([memory.filter(pa.array(used)), pa.table([short, [fresh[p] for p in short]], schema=MEMORY)])
+        rest = memory.filter(pa.array(~used))
+        self.old = rest.slice(max(0, rest.num_rows - REMEMBERED))
+        rest_ids = iter([b"".join(map(found.__getitem__, p)) for p in parts])
+        return [next(rest_ids) if i is None else i for i in ids.take(known).to_numpy().tolist()]
+
+    def _some(self, texts: list[str]) -> Iterator[bytes]:
+        """Each text's ids. No piece holds a blank, so texts are cut at blanks first, and each different run between is looked for once."""
+        plain = [_plain(t) for t in texts]
+        cut = pc.utf8_split_whitespace(pa.array([t.lower() if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string()))
+        ends, runs = cut.offsets.to_pylist(), cut.values.dictionary_encode()
+        del cut
+        which, ids = runs.indices.to_numpy(), self._all(runs.dictionary)
+        for k, t in enumerate(texts):
+            yield b"".join(map(ids.__getitem__, which[ends[k] : ends[k + 1]].tolist())) if plain[k] else self._encode(t)
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids; words are looked for, and tokenised, for some texts at once."""
-        for i in range(0, len(texts), 128):
-            some = texts[i : i + 128]
-            parts = [WORDS.findall(t.lower()) if _plain(t) else None for t in some]
-            self._want(set().union(*filter(None, parts)))
-            get = self.new.__getitem__
-            for t, p in zip(some, parts, strict=True):
-                yield self._encode(t) if p is None else b"".join(map(get, p))
+        """Each text's ids; words are looked for, and tokenised, for TOGETHER characters at once, or one text that is longer."""
+        group = np.cumsum([len(t) for t in texts]) // TOGETHER
+        ends = [*(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+        for a, b in zip([0, *ends], ends, strict=False):
+            yield from self._some(texts[a:b])
 
 
 _LOADED: dict[str, WordIds] = {}

@@ -627,6 +627,22 @@ def test_words_that_come_again_are_not_tokenised_again():
         assert len(ids.new) <= packing.REMEMBERED + 25_000 and len(ids.old) <= packing.REMEMBERED + 25_000
 
 
+def test_many_words_are_remembered_in_little_memory():
+    P = pytest.importorskip("public_tokenizers")
+    ids = packing.WordIds(P.path("word_bpe_49k.json"))
+    asked, tokenise = [], ids._ids
+    ids._ids = lambda text, *more: (asked.append(text), tokenise(text, *more))[1]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(letters[i // 26**k % 26] for k in range(4)) for i in range(100_000)]
+    texts = [" ".join(words[i : i + 250]) for i in range(0, 100_000, 250)]
+    for _ in range(3):
+        assert len(list(ids(texts))) == 400
+    assert sorted(asked) == sorted(words) and ids.new.nbytes + ids.old.nbytes < 10e6
+    long = ["y" * 200 + str(i) + "z" * 5000 + "\u3000.\xa0 it's  \n" for i in range(20)] + ["", " \t\u2003", "'Ll'S--1a"]
+    assert list(ids(long)) == [ids._encode(t) for t in long] and list(ids([])) == []
+    assert max(len(w) for t in (ids.new, ids.old) for w in t["word"].to_pylist()) <= packing.LONGEST
+
+
 def test_blocks_of_like_texts_are_compared_in_little_memory():
     params = neardup.JoinParams()
     rng = np.random.default_rng(3)
