@@ -19,6 +19,11 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.when(b != 0, a.cast("double") / b.cast("double"))
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b of doubles as IEEE 754 and SQL's engine have it: infinite at b = 0, NaN for 0 / 0. Spark's own division is an error there."""
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / b)
+
+
 def clip(c: Column, low: float, high: float) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(high)), F.lit(low)))
 

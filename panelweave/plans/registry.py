@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelweave.functions.scalar import ratio
 from panelweave.functions.windows import pct_rank
 from panelweave.operators.labels import forward_labels
 
@@ -39,9 +40,9 @@ class Tables:
 
     @cached_property
     def ret(self) -> DataFrame:
-        """The panel with r, the change of close against the row before."""
+        """The panel with r, the change of close against the row before: infinite (or NaN, 0 against 0) after a close of 0."""
         w = Window.partitionBy("ticker").orderBy("date")
-        return self.panel.withColumn("r", F.col("close") / F.lag("close").over(w) - 1)
+        return self.panel.withColumn("r", ratio(F.col("close"), F.lag("close").over(w)) - 1)
 
     @cached_property
     def labelled(self) -> DataFrame:
