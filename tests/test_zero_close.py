@@ -14,6 +14,7 @@ from tests.test_queries import FOLDER, TABLES, order, plain
 #: Each failed by DIVIDE_BY_ZERO in the panel's returns.
 NAMES = """
 r10_10_two_stage
+r10_11_calibration_choice
 """.split()
 
 
