@@ -15,6 +15,7 @@ from tests.test_queries import FOLDER, TABLES, order, plain
 NAMES = """
 r10_10_two_stage
 r10_11_calibration_choice
+r10_14_15_historical_rank
 """.split()
 
 
