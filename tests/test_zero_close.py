@@ -16,6 +16,7 @@ NAMES = """
 r10_10_two_stage
 r10_11_calibration_choice
 r10_14_15_historical_rank
+r10_12_apply_calibrator
 """.split()
 
 
