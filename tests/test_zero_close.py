@@ -19,6 +19,7 @@ r10_14_15_historical_rank
 r10_12_apply_calibrator
 r10_17_rank_average
 r10_13_tie_break
+r10_16_score_blend
 """.split()
 
 
