@@ -20,6 +20,7 @@ r10_12_apply_calibrator
 r10_17_rank_average
 r10_13_tie_break
 r10_16_score_blend
+r10_18_family_ensemble
 """.split()
 
 
