@@ -21,6 +21,7 @@ r10_17_rank_average
 r10_13_tie_break
 r10_16_score_blend
 r10_18_family_ensemble
+r10_20_stack
 """.split()
 
 
