@@ -22,6 +22,7 @@ r10_13_tie_break
 r10_16_score_blend
 r10_18_family_ensemble
 r10_20_stack
+r10_19_simplex_search
 """.split()
 
 
