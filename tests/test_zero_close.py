@@ -23,6 +23,7 @@ r10_16_score_blend
 r10_18_family_ensemble
 r10_20_stack
 r10_19_simplex_search
+r10_1_calibration_error
 """.split()
 
 
