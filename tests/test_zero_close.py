@@ -24,6 +24,7 @@ r10_18_family_ensemble
 r10_20_stack
 r10_19_simplex_search
 r10_1_calibration_error
+r10_21_meta_features
 """.split()
 
 
