@@ -25,6 +25,7 @@ r10_20_stack
 r10_19_simplex_search
 r10_1_calibration_error
 r10_21_meta_features
+r10_22_logit_blend
 """.split()
 
 
