@@ -26,6 +26,7 @@ r10_19_simplex_search
 r10_1_calibration_error
 r10_21_meta_features
 r10_22_logit_blend
+r10_23_hard_negative_weights
 """.split()
 
 
