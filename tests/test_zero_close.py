@@ -27,6 +27,7 @@ r10_1_calibration_error
 r10_21_meta_features
 r10_22_logit_blend
 r10_23_hard_negative_weights
+r10_24_ablation_plan
 """.split()
 
 
