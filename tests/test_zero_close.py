@@ -30,6 +30,7 @@ r10_23_hard_negative_weights
 r10_24_ablation_plan
 r10_25_paired_deltas
 r10_27_sensitivity_pivot
+r10_26_ablation_tiers
 """.split()
 
 
