@@ -31,6 +31,7 @@ r10_24_ablation_plan
 r10_25_paired_deltas
 r10_27_sensitivity_pivot
 r10_26_ablation_tiers
+r10_28_nonadditivity
 """.split()
 
 
