@@ -32,6 +32,7 @@ r10_25_paired_deltas
 r10_27_sensitivity_pivot
 r10_26_ablation_tiers
 r10_28_nonadditivity
+r10_29_permutation_importance
 """.split()
 
 
