@@ -33,6 +33,7 @@ r10_27_sensitivity_pivot
 r10_26_ablation_tiers
 r10_28_nonadditivity
 r10_29_permutation_importance
+r10_2_brier_logloss
 """.split()
 
 
