@@ -34,6 +34,7 @@ r10_26_ablation_tiers
 r10_28_nonadditivity
 r10_29_permutation_importance
 r10_2_brier_logloss
+r10_30_base_matched
 """.split()
 
 
