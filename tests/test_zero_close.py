@@ -35,6 +35,7 @@ r10_28_nonadditivity
 r10_29_permutation_importance
 r10_2_brier_logloss
 r10_30_base_matched
+r10_31_champion
 """.split()
 
 
