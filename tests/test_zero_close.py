@@ -36,6 +36,7 @@ r10_29_permutation_importance
 r10_2_brier_logloss
 r10_30_base_matched
 r10_31_champion
+r10_32_matched_probe
 """.split()
 
 
