@@ -24,6 +24,16 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / b)
 
 
+def ln(c: Column) -> Column:
+    """Natural logarithm, -infinity at 0, where Spark's own is null."""
+    return F.when(c == 0, F.lit(float("-inf"))).otherwise(F.log(c))
+
+
+def sign(c: Column) -> Column:
+    """-1, 0 or 1; 0 for NaN, where Spark's own is NaN."""
+    return F.nanvl(F.signum(c), F.lit(0.0))
+
+
 def clip(c: Column, low: float, high: float) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(high)), F.lit(low)))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelweave.functions.scalar import clip, safe_div
+from panelweave.functions.scalar import clip, ln, ratio, safe_div, sign
 from panelweave.functions.windows import complete_corr, over, rolling, rows
 
 
@@ -76,7 +76,7 @@ def compound(r: Column, w: WindowSpec, size: int) -> Column:
 
 
 def drawdown(x: Column, w: WindowSpec, size: int) -> Column:
-    return x / F.max(x).over(rows(w, size)) - 1
+    return ratio(x, F.max(x).over(rows(w, size))) - 1
 
 
 def rows_since_peak(df: DataFrame, x: str, w: WindowSpec, name: str) -> DataFrame:
@@ -94,9 +94,8 @@ def rows_since_low(df: DataFrame, x: str, w: WindowSpec, size: int, name: str) -
 
 
 def signed_streak(df: DataFrame, r: str, w: WindowSpec, name: str, entity: str) -> DataFrame:
-    """Length of the run of equal signs that the row is in so far, with the sign; 0 for zero and null."""
-    sign = F.coalesce(F.signum(r), F.lit(0.0)).cast("int")
-    out = df.withColumn("__s", sign).withColumn("__new", F.when(F.col("__s") == F.lag("__s").over(w), 0).otherwise(1))
+    """Length of the run of equal signs that the row is in so far, with the sign; 0 for zero, NaN and null."""
+    out = df.withColumn("__s", F.coalesce(sign(F.col(r)), F.lit(0.0)).cast("int")).withColumn("__new", F.when(F.col("__s") == F.lag("__s").over(w), 0).otherwise(1))
     out = out.withColumn("__run", F.sum("__new").over(w))
     time = [c for c in df.columns if c == "date"] or df.columns[:1]
     return out.withColumn(name, F.col("__s") * F.row_number().over(over(entity, "__run", order=tuple(time)))).drop("__s", "__new", "__run")
@@ -156,11 +155,12 @@ def range_volatility(df: DataFrame, o: str, h: str, l: str, c: str, *, entity: s
     """Parkinson, Garman-Klass, Rogers-Satchell and Yang-Zhang volatility of the last rows, and bipower variation with its jump share."""
     w = over(entity, order=time)
     f = rows(w, size)
-    hl, co = F.log(F.col(h) / F.col(l)), F.log(F.col(c) / F.col(o))
-    ho, lo = F.log(F.col(h) / F.col(o)), F.log(F.col(l) / F.col(o))
-    gap = F.log(F.col(o) / F.lag(c).over(w))
+    log_ratio = lambda a, b: ln(ratio(a, b))
+    hl, co = log_ratio(F.col(h), F.col(l)), log_ratio(F.col(c), F.col(o))
+    ho, lo = log_ratio(F.col(h), F.col(o)), log_ratio(F.col(l), F.col(o))
+    gap = log_ratio(F.col(o), F.lag(c).over(w))
     rs = ho * (ho - co) + lo * (lo - co)
-    out = df.withColumns({"__hl": hl * hl, "__gk": 0.5 * hl * hl - (2 * log(2.0) - 1) * co * co, "__rs": rs, "__gap": gap, "__co": co, "__r": F.log(F.col(c) / F.lag(c).over(w))})
+    out = df.withColumns({"__hl": hl * hl, "__gk": 0.5 * hl * hl - (2 * log(2.0) - 1) * co * co, "__rs": rs, "__gap": gap, "__co": co, "__r": log_ratio(F.col(c), F.lag(c).over(w))})
     out = out.withColumn("__bp", F.abs(F.col("__r")) * F.abs(F.lag("__r").over(w)))
     enough = F.count("__hl").over(f) >= least
     root = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))
@@ -180,15 +180,15 @@ def microstructure(df: DataFrame, o: str, h: str, l: str, c: str, v: str, *, ent
     """Illiquidity (|r| per value traded), spread from successive price covariance, close location, signed volume, zero-return share, turnover shock."""
     w = over(entity, order=time)
     f = rows(w, size)
-    out = df.withColumns({"__r": F.col(c) / F.lag(c).over(w) - 1, "__d": F.col(c) - F.lag(c).over(w)})
+    out = df.withColumns({"__r": ratio(F.col(c), F.lag(c).over(w)) - 1, "__d": F.col(c) - F.lag(c).over(w)})
     out = out.withColumn("__dl", F.lag("__d").over(w))
     cov = F.covar_samp("__d", "__dl").over(f)
     enough = F.count("__r").over(f) >= least
     return out.withColumns({
-        "illiquidity": F.when(enough, F.avg(safe_div(F.abs(F.col("__r")), F.col(c) * F.col(v))).over(f)),
+        "illiquidity": F.when(enough, F.avg(ratio(F.abs(F.col("__r")), F.col(c) * F.col(v))).over(f)),
         "roll_spread": F.when(F.count("__dl").over(f) >= least, 2 * F.sqrt(F.greatest(-cov, F.lit(0.0)))),
         "close_location": safe_div(2 * F.col(c) - F.col(h) - F.col(l), F.col(h) - F.col(l)),
-        "signed_volume": F.when(enough, F.sum(F.signum("__r") * F.col(v)).over(f)),
+        "signed_volume": F.when(enough, F.sum(sign(F.col("__r")) * F.col(v)).over(f)),
         "zero_share": F.when(enough, F.avg(F.when(F.col("__r").isNotNull(), (F.col("__r") == 0).cast("double"))).over(f)),
         "turnover_shock": safe_div(F.col(v), F.avg(v).over(rows(w, size, True))),
     }).drop("__r", "__d", "__dl")
@@ -198,11 +198,11 @@ def limit_stress(df: DataFrame, o: str, h: str, l: str, c: str, *, bar: float, e
     """Close against the day's low, gap down, sell-off from the high, extreme falls of the last rows and the run of falls."""
     w = over(entity, order=time)
     f = rows(w, size)
-    out = df.withColumn("__r", F.col(c) / F.lag(c).over(w) - 1)
+    out = df.withColumn("__r", ratio(F.col(c), F.lag(c).over(w)) - 1)
     out = out.withColumns({
         "close_to_low": safe_div(F.col(c) - F.col(l), F.col(h) - F.col(l)),
-        "gap_down": F.least(F.col(o) / F.lag(c).over(w) - 1, F.lit(0.0)),
-        "selloff": F.col(c) / F.col(h) - 1,
+        "gap_down": F.least(ratio(F.col(o), F.lag(c).over(w)) - 1, F.lit(0.0)),
+        "selloff": ratio(F.col(c), F.col(h)) - 1,
         "extreme_falls": F.sum(F.when(F.col("__r") <= -bar, 1).otherwise(0)).over(f),
     })
     return signed_streak(out, "__r", w, "fall_run", entity).withColumn("fall_run", F.greatest(-F.col("fall_run"), F.lit(0))).drop("__r")

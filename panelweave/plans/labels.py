@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelweave.functions.scalar import ln, ratio
 from panelweave.functions.windows import over
 from panelweave.operators import labels as L
 from panelweave.operators import rolling as R
@@ -49,7 +50,7 @@ def _(t):
 @query("r4_6_label_from_closes", sql("panel", f"SELECT ticker, date, CASE WHEN lead(close, 3) {W}) IS NOT NULL THEN (greatest(lead(close, 1) {W}), lead(close, 2) {W}), lead(close, 3) {W})) / close - 1 >= 3.0000001)::INT END AS label FROM panel"))
 def _(t):
     leads = [F.lead("close", k).over(_w()) for k in (1, 2, 3)]
-    return t.panel.select("ticker", "date", F.when(leads[2].isNotNull(), (F.greatest(*leads) / F.col("close") - 1 >= 3.0000001).cast("int")).alias("label"))
+    return t.panel.select("ticker", "date", F.when(leads[2].isNotNull(), (ratio(F.greatest(*leads), F.col("close")) - 1 >= 3.0000001).cast("int")).alias("label"))
 
 
 @query("r4_7_hazard_composition", sql("scored", "SELECT row_id, round(1 - (1 - score) * (1 - score / 2) * (1 - score / 4), 6) AS p_up FROM scored"))
@@ -228,7 +229,7 @@ def _(t):
 @query("r5_24_price_block", sql("ret", f"SELECT ticker, date, round(close / lag(close, 3) {W}) - 1, 6) AS ret3, round(close / avg(close) {_frame(5)} - 1, 6) AS gap5, round(CASE WHEN count(r) {_frame(5)} >= 5 THEN stddev_pop(r) {_frame(5)} END, 6) AS vol5, round(buys::DOUBLE / volume, 6) AS flow, round(ln(close), 6) AS log_size FROM ret"))
 def _(t):
     c = F.col("close")
-    return t.ret.select("ticker", "date", (c / F.lag(c, 3).over(_w()) - 1).alias("ret3"), (c / F.avg(c).over(_w().rowsBetween(-4, 0)) - 1).alias("gap5"), F.when(F.count("r").over(_w().rowsBetween(-4, 0)) >= 5, F.stddev_pop("r").over(_w().rowsBetween(-4, 0))).alias("vol5"), (F.col("buys") / F.col("volume")).alias("flow"), F.log(c).alias("log_size"))
+    return t.ret.select("ticker", "date", (ratio(c, F.lag(c, 3).over(_w())) - 1).alias("ret3"), (ratio(c, F.avg(c).over(_w().rowsBetween(-4, 0))) - 1).alias("gap5"), F.when(F.count("r").over(_w().rowsBetween(-4, 0)) >= 5, F.stddev_pop("r").over(_w().rowsBetween(-4, 0))).alias("vol5"), (F.col("buys") / F.col("volume")).alias("flow"), ln(c).alias("log_size"))
 
 
 @query("r5_25_flow_block", sql("panel", f", f AS (SELECT *, buys::DOUBLE / volume AS f FROM panel) SELECT ticker, date, round(sum(f) {_frame(5)}, 6) AS sum5, round(f - lag(f, 1) {W}), 6) AS change1, round((f - lag(f, 1) {W})) - (lag(f, 1) {W}) - lag(f, 2) {W})), 6) AS acceleration, round(f - errors::DOUBLE / volume, 6) AS divergence FROM f"))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from panelweave.functions.scalar import finite
 from panelweave.functions.windows import pct_rank
 from panelweave.operators import ml
 from panelweave.plans.registry import Tables, query
@@ -15,7 +16,8 @@ FEATURES = ["close", "volume", "errors", "buys", "r"]
 
 
 def frame(t: Tables):
-    return t.scored.withColumns({c: F.col(c).cast("double") for c in FEATURES})
+    """Scored rows with their features as doubles; infinite and NaN returns are null, which the fits impute."""
+    return t.scored.withColumns({c: finite(F.col(c)) for c in FEATURES})
 
 
 @query("r10_8_forward_logistic")

@@ -356,6 +356,8 @@ def _(t):
     j = lagged.select(F.col("k").alias("b"), "pos", F.col("v").alias("y"), F.col("l1").alias("o1"), F.col("l2").alias("o2")).join(lagged.select(F.col("k").alias("a"), "pos", "l1", "l2"), "pos").filter("a <> b")
 
     def gain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if not np.isfinite(pdf[["y", "o1", "o2", "l1", "l2"]].to_numpy()).all():  # an infinite return leaves the pair undefined
+            return pd.DataFrame([(key[0], key[1], None, None)], columns=["a", "b", "gain", "f"])
         y, one = pdf["y"].to_numpy(), np.ones(len(pdf))
         rss = []
         for cols in (["o1", "o2"], ["o1", "o2", "l1", "l2"]):

@@ -1,12 +1,13 @@
 """Queries on events where some users' days sum up to a close of 0, so that the return of the day after is infinite (or NaN, 0 against 0)."""
 
+import math
 import os
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.functions.scalar import ratio
+from panelweave.functions.scalar import ln, ratio, sign
 from panelweave.plans import QUERIES, SQL
 from panelweave.plans.registry import Tables, sql
 from tests.test_queries import FOLDER, TABLES, order, plain
@@ -38,6 +39,19 @@ r10_30_base_matched
 r10_31_champion
 r10_32_matched_probe
 """.split()
+#: These divide by prices themselves, cast or fit what comes of it; r10_8_forward_logistic stands for all fits on the same features.
+NAMES += """
+r4_6_label_from_closes
+r5_10_drawdown
+r5_13_signed_streak
+r5_20_range_volatility
+r5_20_range_volatility_full
+r5_21_microstructure
+r5_22_limit_stress
+r5_24_price_block
+r7_50_granger
+r10_8_forward_logistic
+""".split()
 
 
 @pytest.fixture(scope="module")
@@ -47,7 +61,7 @@ def zeros(tmp_path_factory):
     for t in TABLES:
         if t != "events" and os.path.exists(f"{FOLDER}/{t}.parquet"):
             (folder / f"{t}.parquet").symlink_to(f"{FOLDER}/{t}.parquet")
-    con.execute(f"COPY (SELECT * REPLACE (CASE WHEN (user_id * 3 + day(ts)) % 11 < 2 THEN 0.0 ELSE value END AS value) FROM '{FOLDER}/events.parquet' ORDER BY event_id) TO '{folder}/events.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (SELECT * REPLACE (CASE WHEN (user_id * 3 + day(ts)) % 11 < 2 OR event_id % 17 = 0 THEN 0.0 ELSE value END AS value) FROM '{FOLDER}/events.parquet' ORDER BY event_id) TO '{folder}/events.parquet' (FORMAT parquet)")
     for p in folder.iterdir():
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
     return str(folder), con
@@ -80,6 +94,8 @@ def test_returns_after_a_close_of_zero(spark, zeros):
     assert {"inf", "nan", "-1"} <= {r[2] for r in got} and {"inf", "nan"} <= {r[3] for r in got}
 
 
-def test_ratio(spark):
+def test_division_logarithm_and_sign(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 0.0), (-3.0, 0.0), (0.0, 0.0), (None, 0.0), (1.0, None)], "a double, b double")
     assert [str(r[0]) for r in df.select(ratio(F.col("a"), F.col("b"))).collect()] == ["0.5", "inf", "-inf", "nan", "None", "None"]
+    x = spark.createDataFrame([(0.0,), (1.0,), (math.inf,), (math.nan,), (None,)], "x double").select(ln(F.col("x")), sign(F.col("x"))).collect()
+    assert [tuple(map(str, r)) for r in x] == [("-inf", "0.0"), ("0.0", "1.0"), ("inf", "1.0"), ("nan", "0.0"), ("None", "None")]
